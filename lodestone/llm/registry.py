@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestone.llm import quality
+from lodestone.llm import chat, quality, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE = {
+    "op7_chat_formatting": chat.OP7_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
