@@ -26,9 +26,9 @@ MAX_POSITIVE, MAX_NEGATIVE = 4000, 8000
 #: A text is predicted toxic from this score.
 THRESHOLD = 0.7
 #: Features are hashed to so many places; in the sample a feature has to occur in MIN_TEXTS texts.
-PLACES, MIN_TEXTS = 1 << 20, 3
+PLACES, MIN_TEXTS = 1 << 20, 5
 #: Weights of the L1 penalty, of the score changes under swapped identities, and rounds of the fit.
-L1, SWAP, ROUNDS = 0.0008, 4.0, 200
+L1, SWAP, ROUNDS = 0.0008, 4.0, 500
 #: Lengths of word beginnings.
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -109,33 +109,49 @@ def train(rows: list[list[int]], labels: list[int], swaps: list[tuple[list[int],
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -40.0 if not len(y) or y.max() == 0 else 40.0)
-    flat, count = np.unique(np.concatenate([np.asarray(r, np.int64) for r in rows]), return_counts=True)
-    columns = flat[count >= MIN_TEXTS]
-    owner, where = _compact(rows, columns)
-    n, m = len(y), len(columns)
-    weight = np.where(y == 1, share[1], share[0])
+    n, weight = len(y), np.where(y == 1, share[1], share[0])
     weight /= weight.sum()
+    flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    columns, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    mass, toxic_mass = np.bincount(at, weight[owner]), np.bincount(at, (weight * y)[owner])
+    # features that speak for label 1 only: what is absent from a text must not count for it
+    columns = columns[(count >= MIN_TEXTS) & (toxic_mass > 2 * np.dot(weight, y) * mass)]
+    m = len(columns)
+    owner, where = _compact(rows, columns)
     a_owner, a_where = _compact([a for a, _ in swaps], columns)
     b_owner, b_where = _compact([b for _, b in swaps], columns)
-    scale = 1 / np.sqrt(np.bincount(owner, minlength=n).mean() + 1)  # keeps the steps bounded
-    w, b = np.zeros(m), np.log(np.dot(weight, y) / np.dot(weight, 1 - y))
-    v, vb, t = w.copy(), b, 1.0
-    step = 12.0
+    k = max(1, len(swaps))
+    scale = 1 / np.sqrt(np.bincount(where, weight[owner], m) + 1e-4)  # rare features move as fast as frequent ones
+
+    def forward(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = v * scale
+        return np.bincount(owner, u[where], n), np.bincount(a_owner, u[a_where], k) - np.bincount(b_owner, u[b_where], k)
+
+    def backward(r: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return scale * (np.bincount(where, r[owner], m) + np.bincount(a_where, d[a_owner], m) - np.bincount(b_where, d[b_owner], m))
+
+    v, largest = np.ones(m) / max(1, m) ** 0.5, 1.0
+    for _ in range(15 if m else 0):  # the largest curvature, by power iteration
+        z, d = forward(v)
+        u = backward(0.25 * weight * z, SWAP / k * d)
+        largest = max(np.linalg.norm(u), 1e-9)
+        v = u / largest
+    step = 0.9 / (1.2 * largest + 0.25)
+    w, b = np.zeros(m), float(np.log(np.dot(weight, y) / np.dot(weight, 1 - y)))
+    v, vb, t = w, b, 1.0
     for _ in range(ROUNDS):
-        z = np.bincount(owner, v[where], n) * scale + vb
-        r = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.bincount(where, r[owner], m) * scale
-        if swaps:
-            d = (np.bincount(a_owner, v[a_where], len(swaps)) - np.bincount(b_owner, v[b_where], len(swaps))) * scale * SWAP / len(swaps)
-            g += (np.bincount(a_where, d[a_owner], m) - np.bincount(b_where, d[b_owner], m)) * scale
-        old, old_b = w, b
-        w = v - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1 * scale, 0)
-        b = vb - step * r.sum() * 0.25
+        z, d = forward(v)
+        r = weight * (1 / (1 + np.exp(-np.clip(z + vb, -40, 40))) - y)
+        new = v - step * backward(r, SWAP / k * d)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * L1, 0)
+        new_b = vb - step * r.sum()
+        if np.dot(v - new, new - w) > 0:  # overshot: start the acceleration again
+            t = 1.0
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        v, vb = w + (last - 1) / t * (w - old), b + (last - 1) / t * (b - old_b)
-    keep = np.flatnonzero(w)
-    return Model({int(columns[i]): float(w[i] * scale) for i in keep}, float(b))
+        v, vb = new + (last - 1) / t * (new - w), new_b + (last - 1) / t * (new_b - b)
+        w, b = new, new_b
+    return Model({int(columns[i]): float(w[i] * scale[i]) for i in np.flatnonzero(w)}, float(b))
 
 
 def _prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
