@@ -61,8 +61,8 @@ def places(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f"{n}:{word[:n]}") % PLACES for n in BEGINNINGS if len(word) >= n] + [xxhash.xxh3_64_intdigest(f"w:{word}") % PLACES]
 
 
-def _features(found: set[str]) -> list[int]:
-    return sorted({p for w in found for p in places(w)})
+def _features(found: set[str]) -> np.ndarray:
+    return np.array(sorted({p for w in found for p in places(w)}), np.int32)
 
 
 @dataclass(frozen=True)
@@ -92,29 +92,30 @@ class Model:
         return score
 
 
-def _compact(rows: list[list[int]], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _compact(rows: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row starts and column numbers of the places kept."""
-    at = [np.asarray(r, np.int64) for r in rows]
-    flat = np.concatenate(at) if at else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(at)), [len(r) for r in at])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     where = np.searchsorted(columns, flat)
     where[where == len(columns)] = 0
     good = columns[where] == flat if len(columns) else np.zeros(len(flat), bool)
     return owner[good], where[good]
 
 
-def train(rows: list[list[int]], labels: list[int], swaps: list[tuple[list[int], list[int]]], share: tuple[float, float]) -> Model:
-    """Fits by accelerated proximal gradient steps. `swaps`: feature lists of a text and of its counterfactual.
+def train(rows: list[np.ndarray], labels: list[int], swaps: list[tuple[np.ndarray, np.ndarray]], share: tuple[float, float]) -> Model:
+    """Fits by accelerated proximal gradient steps. `swaps`: features of a text and of its counterfactual.
     `share`: how many labelled rows each sampled one stands for, for label 0 and 1."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -40.0 if not len(y) or y.max() == 0 else 40.0)
     n, weight = len(y), np.where(y == 1, share[1], share[0])
     weight /= weight.sum()
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    columns, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    mass, toxic_mass = np.bincount(at, weight[owner]), np.bincount(at, (weight * y)[owner])
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    count, mass, toxic_mass = np.bincount(flat, minlength=PLACES), np.bincount(flat, weight[owner], PLACES), np.bincount(flat, (weight * y)[owner], PLACES)
+    del flat, owner
+    columns = np.flatnonzero(count).astype(np.int32)
+    count, mass, toxic_mass = count[columns], mass[columns], toxic_mass[columns]
     # features that speak for label 1 only: what is absent from a text must not count for it
     columns = columns[(count >= MIN_TEXTS) & (toxic_mass > 2 * np.dot(weight, y) * mass)]
     m = len(columns)
@@ -159,11 +160,10 @@ def _prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
     own, other = [], []
     for text in batch.column("_text").to_pylist():
         found = words(text)
-        own.append(_features(found))
+        own.append(_features(found).tobytes())
         named = found & _SWAP.keys()
-        other.append(_features((found - named) | {_SWAP[x] for x in named}) if named else None)
-    kind = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, kind), pa.array(other, kind)], names=["toxic", "own", "other"])
+        other.append(_features((found - named) | {_SWAP[x] for x in named}).tobytes() if named else None)
+    return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["toxic", "own", "other"])
 
 
 def held_out(key: str = "doc_id"):
@@ -181,12 +181,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_positive: in
     # at most max_positive + max_negative rows of two numbers, whatever the size of the tables
     sample = F.broadcast(spark.createDataFrame([r for p in parts for r in p.collect()] or [], usable.schema).dropDuplicates(["doc_id"]))
     texts = docs.select("doc_id", text_of(text).alias("_text")).join(sample, "doc_id").select("toxic", "_text")
-    rows = map_texts(texts, "_text", _prepare, "toxic int, own array<int>, other array<int>").collect()
-    n = [sum(r["toxic"] == c for r in rows) for c in (0, 1)]
+    got = map_texts(texts, "_text", _prepare, "toxic int, own binary, other binary").toArrow()
+    labels, own, other = (got.column(c).to_pylist() for c in ("toxic", "own", "other"))
+    n = [labels.count(c) for c in (0, 1)]
     share = tuple(all_n.get(c, 0) / max(1, n[c]) for c in (0, 1))
-    swaps = [(r["own"], r["other"]) for r in rows if r["other"]]
-    swaps += [(places(a), places(b)) for a, b in _SWAP.items()]
-    return train([r["own"] for r in rows], [r["toxic"] for r in rows], swaps, share)
+    read = lambda x: np.frombuffer(x, np.int32)
+    swaps = [(read(a), read(b)) for a, b in zip(own, other, strict=True) if b is not None]
+    swaps += [(_features({a}), _features({b})) for a, b in _SWAP.items()]
+    return train([read(x) for x in own], labels, swaps, share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
