@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, packing, quality, toxicity
+from lodestone.llm import chat, packing, quality, shards, toxicity
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_binary_output": shards.op8_binary_output,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
