@@ -22,7 +22,33 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Space in runs: all but the last of a run is one piece, the last goes with the word behind it.
 _CHUNK = re.compile(r"\s+(?!\S)|\s?\S+")
 #: Letters and then punctuation, which the patterns of both tokenizers cut apart in any case.
-_PLAIN = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+PLAIN = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def simple(raw: np.ndarray, starts: np.ndarray, w_start: np.ndarray, w_end: np.ndarray, first: np.ndarray, spaced: bool) -> np.ndarray:
+    """Texts that numpy may cut: no odd white space and, where it counts, single spaces or line breaks only."""
+    here = np.flatnonzero((raw < 32) & (raw >= 28) | (raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
+    a, b, c = raw[here], *(raw[np.minimum(here + k, len(raw) - 1)] for k in (1, 2))
+    wide = (a < 32) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+    wide |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    bad = np.zeros(len(starts) - 1, bool)
+    bad[np.searchsorted(starts, here[wide], "right") - 1] = True
+    if spaced:
+        tab = np.flatnonzero((raw == 9) | (raw >= 11) & (raw <= 13))
+        bad[np.searchsorted(starts, tab, "right") - 1] = True
+        lengths = np.concatenate(([0], np.cumsum(w_end - w_start)))
+        inside = lengths[first[1:]] - lengths[first[:-1]]
+        gaps = np.maximum(np.diff(first) - 1, 0)
+        bad |= inside + gaps != np.diff(starts)  # more white space than one between words
+    return ~bad
+
+
+def with_space(w_start: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Word starts moved back by the white space before them, but for each text's first word."""
+    out = w_start - 1
+    heads = first[:-1][np.diff(first) > 0]
+    out[heads] += 1
+    return out
 
 
 class Encoder:
@@ -59,7 +85,7 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks, from the ids of their letters and of their punctuation where they are so plain."""
-        parts = {c: m.groups() if (m := _PLAIN.fullmatch(c)) else (c,) for c in chunks}
+        parts = {c: m.groups() if (m := PLAIN.fullmatch(c)) else (c,) for c in chunks}
         new = list({p for x in parts.values() for p in x if p not in self.pieces})
         if len(self.pieces) > MOST:
             self.pieces.clear()
@@ -79,11 +105,10 @@ class Encoder:
         raw, starts = spans.buffer(column)
         w_start, w_end = spans.words(raw, starts)
         first = spans.owners(w_start, starts)
-        simple = self._simple(raw, starts, w_start, w_end, first)
-        odd = np.flatnonzero(~simple)
+        fine = simple(raw, starts, w_start, w_end, first, self.spaced)
+        odd = np.flatnonzero(~fine)
         if self.spaced:  # the white space before a word is part of the piece; a text's first word has none
-            w_start = w_start.copy()
-            w_start[np.setdiff1d(np.arange(len(w_start)), first[:-1][np.diff(first) > 0], assume_unique=True)] -= 1
+            w_start = with_space(w_start, first)
         pool, at, size = self._pool(raw, w_start, w_end)
         ids = np.concatenate(([0], np.cumsum(size)))[first]
         flat = pool[spans.ragged(at, size)]
@@ -94,23 +119,6 @@ class Encoder:
                 out[i] = got
         return out
 
-    def _simple(self, raw: np.ndarray, starts: np.ndarray, w_start: np.ndarray, w_end: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Texts that numpy may cut: no odd white space and, where it counts, single spaces or line breaks only."""
-        here = np.flatnonzero((raw < 32) & (raw >= 28) | (raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
-        a, b, c = raw[here], *(raw[np.minimum(here + k, len(raw) - 1)] for k in (1, 2))
-        wide = (a < 32) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
-        wide |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
-        bad = np.zeros(len(starts) - 1, bool)
-        bad[np.searchsorted(starts, here[wide], "right") - 1] = True
-        if self.spaced:
-            tab = np.flatnonzero((raw == 9) | (raw >= 11) & (raw <= 13))
-            bad[np.searchsorted(starts, tab, "right") - 1] = True
-            lengths = np.concatenate(([0], np.cumsum(w_end - w_start)))
-            inside = lengths[first[1:]] - lengths[first[:-1]]
-            gaps = np.maximum(np.diff(first) - 1, 0)
-            bad |= inside + gaps != np.diff(starts)  # more white space than one between words
-        return ~bad
-
     def _pool(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the distinct pieces in a row, and where each piece's ids are there."""
         if not len(start):

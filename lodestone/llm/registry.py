@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, packing, quality, shards, toxicity
+from lodestone.llm import bpe, chat, packing, quality, shards, toxicity
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_binary_output": shards.op8_binary_output,
