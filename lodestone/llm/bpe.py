@@ -33,7 +33,7 @@ from lodestone.llm.columns import documents, text_of
 #: Text bytes of a block and, about, of the words that meet in one task.
 BLOCK_BYTES = 8 << 20
 
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @cache

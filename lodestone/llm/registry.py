@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, chat, packing, quality, shards, toxicity
+from lodestone.llm import bpe, chat, fingerprint, packing, quality, shards, toxicity
 
 QUERIES = {
+    "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
     "op3_packing": packing.op3_packing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
