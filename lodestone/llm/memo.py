@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import spans
 
-#: Pieces remembered in a worker, at most.
-MOST = 1_500_000
+#: Pieces and words remembered in a worker: each memory has two generations of so many, of which the older is forgotten.
+PIECES, WORDS = 300_000, 150_000
 #: White space to Python's str, but not to the tokenizers' pattern; texts with it are encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Space in runs: all but the last of a run is one piece, the last goes with the word behind it.
@@ -51,6 +51,26 @@ def with_space(w_start: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+class Memory:
+    """A mapping of bounded size that forgets what hasn't been asked for lately."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def recall(self, keys) -> list:
+        """The keys that aren't known; those that are are in `new` from now on."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        new, old, missing = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    missing.append(k)
+                else:
+                    new[k] = v
+        return missing
+
+
 class Encoder:
     """Ids of texts as little-endian arrays of the narrowest type that holds the vocabulary."""
 
@@ -60,10 +80,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced = len(self._direct(["a b"])[0]) == len(self._direct(["a", " b"])[1]) + 1 and self._direct([" b"]) != self._direct(["b"])
         self.join, self.separator = ("\n", self._direct(["\n"])[0][0]) if self.spaced else (" | ", self._direct(["|"])[0][0])
-        self.after_space: dict[str, bytes] = {}
-        self.exact: dict[str, bytes] = {}
-        self.exact_bytes: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.after_space, self.exact = Memory(WORDS // 8), Memory(WORDS // 8)
+        self.words, self.pieces = Memory(WORDS), Memory(PIECES)
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,12 +104,10 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks, from the ids of their letters and of their punctuation where they are so plain."""
         parts = {c: m.groups() if (m := PLAIN.fullmatch(c)) else (c,) for c in chunks}
-        new = list({p for x in parts.values() for p in x if p not in self.pieces})
-        if len(self.pieces) > MOST:
-            self.pieces.clear()
-            new = list({p for x in parts.values() for p in x})
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        return {c: b"".join([self.pieces[p] for p in x]) for c, x in parts.items()}
+        new = self.pieces.recall(dict.fromkeys(p for x in parts.values() for p in x))
+        known = self.pieces.new
+        known.update(zip(new, self._encode(new), strict=True))
+        return {c: b"".join([known[p] for p in x]) for c, x in parts.items()}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self._direct([text])[0], self.dtype)
@@ -126,14 +142,11 @@ class Encoder:
         _, index, inverse = np.unique(spans.Hashes(raw).of(start, end), return_index=True, return_inverse=True)
         data = raw.tobytes()
         pieces = [data[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
-        if len(self.exact_bytes) > MOST:
-            self.exact_bytes.clear()
-        memory = self.exact_bytes
-        if new := [p for p in pieces if p not in memory]:
+        if new := self.words.recall(pieces):
             texts = [p.decode("utf-8", "replace") for p in new]
             got = self._learn(set(texts))
-            memory.update(zip(new, map(got.__getitem__, texts), strict=True))
-        found = [memory[p] for p in pieces]
+            self.words.new.update(zip(new, map(got.__getitem__, texts), strict=True))
+        found = list(map(self.words.new.__getitem__, pieces))
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         at = np.cumsum(size) - size
         return np.frombuffer(b"".join(found), self.dtype), at[inverse], size[inverse]
@@ -173,15 +186,12 @@ class Encoder:
                 out.append(np.frombuffer(b"".join(ids), self.dtype))
         return out
 
-    def _known(self, memory: dict[str, bytes], lists: list[list[str]], before: str = ""):
+    def _known(self, memory: Memory, lists: list[list[str]], before: str = ""):
         """A lookup that knows all that the lists hold."""
-        need = set().union(*lists) if lists else set()
-        if len(memory) > MOST:
-            memory.clear()
-        if new := need.difference(memory):
+        if new := memory.recall(set().union(*lists)):
             got = self._learn({before + x for x in new})
-            memory.update((x, got[before + x]) for x in new)
-        return memory.__getitem__
+            memory.new.update((x, got[before + x]) for x in new)
+        return memory.new.__getitem__
 
 
 @cache
