@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, chat, fingerprint, packing, quality, shards, toxicity
+from lodestone.llm import bpe, chat, fingerprint, jaccard, packing, quality, shards, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_binary_output": shards.op8_binary_output,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
