@@ -22,16 +22,16 @@ import pyarrow as pa
 import pyarrow.compute
 import regex
 import tiktoken
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import memo, scratch, spans
+from lodestone.llm import memo, spans
 from lodestone.llm.columns import documents, text_of
 
 #: Text bytes of a block and, about, of the words that meet in one task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -139,30 +139,44 @@ def _bucket(words: list[bytes], n: int) -> np.ndarray:
 
 def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """finish(ids, positions, counts) of each block, as columns beside each document's key, where ids holds the ids of
-    each of the block's distinct words. It returns one list for each of the columns. Null texts are empty."""
+    each of the block's distinct words. It returns one list for each of the columns. Null texts are empty.
+
+    The texts are cut twice, once for the words and once for the positions; writing the positions down in between would
+    cost more disk than cutting costs time. A block is named by its content, so that cuts which don't agree (rows in
+    another order at the second read) are found out and raise an error.
+    """
     base = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
     kind = base.schema["_key"].dataType.simpleString()
     total = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     n_buckets = min(1 << 16, max(16, -(-total // block_bytes)))
     arrow_key = pa.int64() if kind == "bigint" else pa.string()
-    out_type = pa.schema([("blk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.list_(arrow_key)), ("counts", pa.binary()), ("positions", pa.binary()), ("buckets", pa.binary()), ("words", pa.binary())])
+    position_type = pa.schema([("blk", pa.int64()), ("keys", pa.list_(arrow_key)), ("counts", pa.binary()), ("positions", pa.binary()), ("buckets", pa.binary())])
+    word_type = pa.schema([("blk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary())])
     if kind != "bigint":
         base = base.withColumn("_key", F.col("_key").cast("string"))
 
-    def block(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def block(parts: list[pa.RecordBatch], of_words: bool) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
         words, positions, counts = cut(table.column("_text").chunk(0))
+        keys = table.column("_key").to_pylist()
         bucket = _bucket(words, n_buckets)
-        rows = [{"blk": number, "keys": table.column("_key").to_pylist(), "counts": counts.astype("<u4").tobytes(), "positions": _write_numbers(positions), "buckets": zstandard.compress(bucket.astype("<u2").tobytes(), 1)}]
+        name = xxhash.xxh3_64(positions.tobytes())
+        for part in (repr(keys).encode(), counts.tobytes(), b"\0".join(words)):
+            name.update(part)
+        number = name.intdigest() - (1 << 63)
+        if not of_words:
+            rows = [{"blk": number, "keys": keys, "counts": counts.astype("<u4").tobytes(), "positions": _write_numbers(positions), "buckets": zstandard.compress(bucket.astype("<u2").tobytes(), 1)}]
+            return pa.RecordBatch.from_pylist(rows, position_type)
+        rows = []
         order = np.argsort(bucket, kind="stable").tolist()
         ends = np.cumsum(np.bincount(bucket, minlength=n_buckets)).tolist()
         for b, (x, y) in enumerate(zip([0, *ends], ends, strict=False)):
             if y > x:
                 rows.append({"blk": number, "bucket": b, "words": _write_list([words[i] for i in order[x:y]])})
-        return pa.RecordBatch.from_pylist(rows, out_type)
+        return pa.RecordBatch.from_pylist(rows, word_type)
 
-    def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+    def cut_blocks(batches: Iterator[pa.RecordBatch], of_words: bool) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             ends = np.cumsum(pa.compute.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False))
             at = 0
@@ -173,10 +187,10 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
                 size += int(ends[stop - 1]) - before
                 at = stop
                 if size >= block_bytes:
-                    yield block(number, parts)
-                    number, parts, size = number + 1, [], 0
+                    yield block(parts, of_words)
+                    parts, size = [], 0
         if parts:
-            yield block(number, parts)
+            yield block(parts, of_words)
 
     def encode_words(table: pa.Table) -> pa.Table:
         """Each distinct word once; ids go back to every block that has the word."""
@@ -196,21 +210,28 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
     final = pa.schema([("_key", arrow_key), *((n, arrow_of[t]) for n, t in fields)])
 
     def together(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        if blocks.num_rows == 0:
+            raise ValueError("the texts came in another order at the second read; write them as a table first")
         row = blocks.to_pylist()[0]
+        copies = blocks.num_rows  # blocks of equal content
         bucket = np.frombuffer(zstandard.decompress(row["buckets"]), "<u2")
         ids: list = [None] * len(bucket)
         order = np.argsort(bucket, kind="stable")
         starts = np.searchsorted(bucket[order], np.arange(n_buckets))
-        for b, blob in zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist(), strict=True):
+        replied = dict(zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist(), strict=True))
+        if len(replied) != len(np.unique(bucket)):
+            raise ValueError("the texts came in another order at the second read; write them as a table first")
+        for b, blob in replied.items():
             got = _read_ids(blob)
             for i, x in zip(order[starts[b] : starts[b] + len(got)].tolist(), got, strict=True):
                 ids[i] = x
         made = finish(ids, _read_numbers(row["positions"]), np.frombuffer(row["counts"], "<u4").astype(np.int64))
-        return pa.Table.from_arrays([pa.array(row["keys"], arrow_key), *(pa.array(m, t.type) for m, t in zip(made, list(final)[1:], strict=True))], schema=final)
+        done = pa.Table.from_arrays([pa.array(row["keys"], arrow_key), *(pa.array(m, t.type) for m, t in zip(made, list(final)[1:], strict=True))], schema=final)
+        return pa.concat_tables([done] * copies)
 
-    table = scratch.keep(base.mapInArrow(cut_blocks, f"blk long, bucket int, keys array<{'bigint' if kind == 'bigint' else 'string'}>, counts binary, positions binary, buckets binary, words binary"), "words")
-    replies = table.where("bucket IS NOT NULL").select("blk", "bucket", "words").groupBy("bucket").applyInArrow(encode_words, "blk long, bucket int, ids binary")
-    blocks = table.where("bucket IS NULL").select("blk", "keys", "counts", "positions", "buckets")
+    words = base.mapInArrow(lambda it: cut_blocks(it, True), "blk long, bucket int, words binary")
+    replies = words.groupBy("bucket").applyInArrow(encode_words, "blk long, bucket int, ids binary")
+    blocks = base.mapInArrow(lambda it: cut_blocks(it, False), f"blk long, keys array<{'bigint' if kind == 'bigint' else 'string'}>, counts binary, positions binary, buckets binary")
     out = blocks.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(together, f"_key {'bigint' if kind == 'bigint' else 'string'}, {columns}")
     return out.select(F.col("_key").cast(kind).alias(key), *(n for n, _ in fields))
 

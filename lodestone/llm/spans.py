@@ -19,16 +19,22 @@ _BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+#: Powers are the product of one from each of two short tables.
+_STEP = 4096
+
+
 @cache
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    """Powers of the base, or of its inverse, modulo 2**64."""
-    out = np.full(n, pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+def _powers(n: int, base: int) -> np.ndarray:
+    """The first n powers, modulo 2**64."""
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    return _powers(1 << max(20, (n - 1).bit_length()), inverse)[:n]
+def _tables(n: int, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    steps = 1 << max(8, (n // _STEP + 1).bit_length())
+    return _powers(_STEP, base), _powers(steps, pow(base, _STEP, 1 << 64))
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,16 +50,24 @@ class Hashes:
     """Hashes of any stretch of `raw`, each in constant time."""
 
     def __init__(self, raw: np.ndarray):
-        values = _BYTE_VALUES[raw]
-        values *= powers(len(raw))
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(values, out=self.sums[1:])
-        self.inverse = powers(len(raw) + 1, True)
+        n = len(raw)
+        self.sums = np.zeros(n + 1, np.uint64)
+        values = self.sums[1:]
+        np.take(_BYTE_VALUES, raw, out=values)
+        small, large = _tables(n, False)
+        whole = n // _STEP * _STEP
+        rows = values[:whole].reshape(-1, _STEP)
+        rows *= small
+        rows *= large[: len(rows), None]
+        values[whole:] *= small[: n - whole] * large[whole // _STEP]
+        np.cumsum(values, out=values)
+        self.inverse = _tables(n + 1, True)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = self.sums[ends]
         out -= self.sums[starts]
-        out *= self.inverse[starts]
+        out *= self.inverse[0][starts & (_STEP - 1)]
+        out *= self.inverse[1][starts // _STEP]
         return mix(out)
 
 
