@@ -1,6 +1,6 @@
 """Corpus-wide counts of 64-bit keys for blocks of documents.
 
-A block is some megabytes of texts, handled in one piece by numpy. Each block deals its distinct keys out by their value;
+A block is a few megabytes of texts, handled in one piece by numpy. Each block deals its distinct keys out by their value;
 where all blocks' keys of one range meet they are counted, and the counts go back in the same order, a byte each. So
 no key is gathered more than once a block, whatever its frequency, and what moves is some bytes a key.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.columns import text_of
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Counts are exact up to this.
 MOST = 255
 
