@@ -1,7 +1,7 @@
 """Corpus-wide counts of 64-bit keys for blocks of documents.
 
 A block is a few megabytes of texts, handled in one piece by numpy. Each block deals its distinct keys out by their value;
-where all blocks' keys of one range meet they are counted, and the counts go back in the same order, a byte each. So
+where all blocks' keys of one range meet they are counted, and the counts go back in the same order, as numbers of the type asked for, which bounds them. So
 no key is gathered more than once a block, whatever its frequency, and what moves is some bytes a key.
 """
 
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.columns import text_of
 
 BLOCK_BYTES = 4 << 20
-#: Counts are exact up to this.
-MOST = 255
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -57,7 +55,11 @@ def bounds(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)])).astype(np.int64)
 
 
-def counted(base: DataFrame, n_blocks: int, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def write_counts(counts: np.ndarray, dtype: type) -> bytes:
+    return zstandard.compress(np.minimum(counts, np.iinfo(dtype).max).astype(dtype).tobytes(), 1)
+
+
+def counted(base: DataFrame, n_blocks: int, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint8) -> DataFrame:
     """Rows (_blk, bucket, counts). find(block) gives a block's distinct keys, ascending, and how often it has each. The
     counts of all blocks together come back for the same keys: read_counts() puts a block's rows in order."""
     n_buckets = n_blocks
@@ -65,31 +67,33 @@ def counted(base: DataFrame, n_blocks: int, find: Callable[[pa.Table], tuple[np.
     def deal(table: pa.Table) -> pa.Table:
         keys, counts = find(table)
         at = bounds(keys, n_buckets)
-        counts = np.minimum(counts, MOST).astype(np.uint8)
         blk = table.column("_blk")[0].as_py()
-        rows = [{"_blk": blk, "bucket": b, "keys": pack(keys[x:y]), "counts": zstandard.compress(counts[x:y].tobytes(), 1)} for b, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if y > x]
+        rows = [{"_blk": blk, "bucket": b, "keys": pack(keys[x:y]), "counts": write_counts(counts[x:y], dtype)} for b, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if y > x]
         return pa.Table.from_pylist(rows, pa.schema([("_blk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    return answer(base.groupBy("_blk").applyInArrow(deal, "_blk int, bucket int, keys binary, counts binary"))
+    return answer(base.groupBy("_blk").applyInArrow(deal, "_blk int, bucket int, keys binary, counts binary"), dtype)
 
 
-def answer(dealt: DataFrame) -> DataFrame:
-    """Counts of all rows (_blk, bucket, keys, counts) of a bucket together, for each row's keys."""
+def answer(dealt: DataFrame, dtype: type = np.uint8) -> DataFrame:
+    """Counts of all rows (_blk, bucket, keys, counts) of a bucket together, for each row's keys. Rows of a negative block
+    are counted, but not answered."""
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpack(k) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint8) for c in table.column("counts").to_pylist()])
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(c), dtype) for c in table.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.minimum(np.bincount(inverse, counts), MOST).astype(np.uint8)[inverse]
+        total = np.bincount(inverse, counts)[inverse]
         ends = np.cumsum([len(k) for k in keys]).tolist()
-        replies = [zstandard.compress(total[a:b].tobytes(), 1) for a, b in zip([0, *ends], ends, strict=False)]
+        asks = np.asarray(table.column("_blk")) >= 0
+        replies = [write_counts(total[x:y], dtype) for x, y, ask in zip([0, *ends], ends, asks.tolist(), strict=False) if ask]
+        table = table.filter(pa.array(asks))
         return pa.Table.from_arrays([table.column("_blk"), table.column("bucket"), pa.array(replies, pa.binary())], names=["_blk", "bucket", "counts"])
 
     return dealt.groupBy("bucket").applyInArrow(add, "_blk int, bucket int, counts binary")
 
 
-def read_counts(replies: pa.Table) -> np.ndarray:
+def read_counts(replies: pa.Table, dtype: type = np.uint8) -> np.ndarray:
     """A block's counts, in the order of its ascending keys."""
     order = np.argsort(np.asarray(replies.column("bucket")), kind="stable")
     blobs = replies.column("counts").to_pylist()
-    return np.frombuffer(b"".join(zstandard.decompress(blobs[i]) for i in order.tolist()), np.uint8)
+    return np.frombuffer(b"".join(zstandard.decompress(blobs[i]) for i in order.tolist()), dtype)

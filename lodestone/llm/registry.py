@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, chat, fingerprint, jaccard, packing, quality, shards, toxicity
+from lodestone.llm import bpe, chat, fingerprint, jaccard, packing, quality, shards, suffix, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
