@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, chat, fingerprint, jaccard, packing, quality, shards, suffix, toxicity
+from lodestone.llm import bpe, chat, fingerprint, jaccard, licenses, packing, quality, shards, suffix, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_license_scans": licenses.op6_license_scans,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_binary_output": shards.op8_binary_output,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
