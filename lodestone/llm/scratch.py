@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed by drop_all()."""
+    """A fresh path in the shared folder, noted in the scope that is open."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _made.append(path)
     return path
@@ -39,14 +41,22 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def drop_all(spark: SparkSession, since: int = 0) -> None:
-    """Removes the tables made since mark(); results that still read them must have been written before."""
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths made inside, for drop()."""
+    before = len(_made)
+    made: list[str] = []
+    try:
+        yield made
+    finally:
+        made += _made[before:]
+        del _made[before:]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables; results that still read them must have been written before."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made[since:]:
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    del _made[since:]
-
-
-def mark() -> int:
-    return len(_made)
+    paths.clear()

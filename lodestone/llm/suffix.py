@@ -234,16 +234,17 @@ def _covered(n: int, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarr
     return np.cumsum(step[:-1]) > 0
 
 
-_DONE = "doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_DONE = "doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 _STATE = "_blk int, bucket int, keys binary, counts binary, " + _DONE + ", text binary, solid binary, loose binary"
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """Rows (key, n_bytes, n_removed, n_spans, kept_sha256) of all documents, and kept (the remaining bytes) if asked for.
+    """Rows (key, n_bytes, n_removed, n_spans, kept_sha256) of all documents, and kept_text if asked for: the remaining bytes
+    as text, without the bytes of characters that a removed string has cut in two. The key may be a struct.
 
     A byte goes if it is in a string of `length` bytes that also starts anywhere else, in its own text (overlaps too) or in
     another; strings are judged on the input, and none crosses a text's end. Null texts are empty. Repeated rows are
-    copies of each other. The remaining bytes need not be valid UTF-8.
+    copies of each other.
     """
     base, n_blocks = exchange.blocks(docs, key, text)
     base = base.withColumn("_text", F.col("_text").cast("binary"))
@@ -262,9 +263,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         kept = raw[~gone]
         runs = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
         made = {"n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": runs, "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest()}
-        return made | ({"kept": kept.tobytes()} if with_text else {})
-
-    state_type = _arrow(_STATE, kind)
+        return made | ({"kept_text": kept.tobytes().decode("utf-8", "ignore")} if with_text else {})
 
     def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(_column(table), length)
@@ -291,9 +290,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             found, times = np.unique(block.window_keys(low, high), return_counts=True)
             edges = exchange.bounds(found, n_buckets).tolist()
             rows += [{"_blk": name, "bucket": b, "keys": exchange.pack(found[x:y]), "counts": exchange.write_counts(times[x:y], COUNTS)} for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
-        return pa.Table.from_pylist(rows, state_type)
-
-    done_type = _arrow(_DONE, kind)
+        return pa.Table.from_pylist(rows, _arrow(_STATE, table.column("_key").type))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         texts = table.column("text").to_pylist()
@@ -312,14 +309,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             low, high = _unranged(solid)
             own = raw[starts[i] : starts[i + 1]]
             rows.append({"doc": doc, **row(own, _covered(len(own), np.concatenate((low, hit)), np.concatenate((high, hit)), length))})
-        return pa.Table.from_pylist(rows, done_type)
+        return pa.Table.from_pylist(rows, _arrow(_DONE, table.column("doc").type))
 
     replies = exchange.counted(base, n_blocks, find, COUNTS)
     state = scratch.keep(base.groupBy("_blk").cogroup(replies.groupBy("_blk")).applyInArrow(settle, _STATE.format(kind=kind)), "repeats")
     answers = exchange.answer(state.where("bucket IS NOT NULL").select("_blk", "bucket", "keys", "counts"), COUNTS)
     pending = state.where("text IS NOT NULL").select("_blk", "doc", "text", "solid", "loose")
     finished = pending.groupBy("_blk").cogroup(answers.groupBy("_blk")).applyInArrow(finish, _DONE.format(kind=kind))
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     both = state.where("bucket IS NULL AND text IS NULL").select("doc", *names).unionByName(finished.select("doc", *names))
     return both.withColumnRenamed("doc", key)
 
@@ -332,9 +329,9 @@ def _by_text(starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tupl
     return [(low[a:b] - s, high[a:b] - s) for a, b, s in zip(at.tolist(), at[1:].tolist(), starts.tolist(), strict=False)]
 
 
-def _arrow(schema: str, kind: str) -> pa.Schema:
-    types = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    return pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.format(kind=kind).split(", "))])
+def _arrow(schema: str, key: pa.DataType) -> pa.Schema:
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "{kind}": key}
+    return pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
