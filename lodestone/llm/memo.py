@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from lodestone.llm import spans
 
 #: Pieces and words remembered in a worker: each memory has two generations of so many, of which the older is forgotten.
-PIECES, WORDS = 300_000, 150_000
+PIECES, WORDS = 450_000, 200_000
 #: White space to Python's str, but not to the tokenizers' pattern; texts with it are encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Space in runs: all but the last of a run is one piece, the last goes with the word behind it.
@@ -79,6 +79,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced = len(self._direct(["a b"])[0]) == len(self._direct(["a", " b"])[1]) + 1 and self._direct([" b"]) != self._direct(["b"])
+        self.uncased = self._direct(["ABCXYZ"]) == self._direct(["abcxyz"])
         self.join, self.separator = ("\n", self._direct(["\n"])[0][0]) if self.spaced else (" | ", self._direct(["|"])[0][0])
         self.after_space, self.exact = Memory(WORDS // 8), Memory(WORDS // 8)
         self.words, self.pieces = Memory(WORDS), Memory(PIECES)
@@ -119,6 +120,8 @@ class Encoder:
         """Ids of each text of a column without nulls. Texts whose words stand one space or line break apart are cut
         all at once by numpy; each distinct piece of the column is then looked up once."""
         raw, starts = spans.buffer(column)
+        if self.uncased:
+            raw = spans.LOWER[raw]  # fewer distinct words, and the same ids
         w_start, w_end = spans.words(raw, starts)
         first = spans.owners(w_start, starts)
         fine = simple(raw, starts, w_start, w_end, first, self.spaced)
