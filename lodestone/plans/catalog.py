@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.plans import knowledge, ranking
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_ALL = {**ranking.QUERIES, **knowledge.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
