@@ -269,7 +269,7 @@ def decode(encoded_docs: DataFrame, vocabulary: str, key: str = "doc_id", ids: s
     id outside the table is an error."""
     spark = encoded_docs.sparkSession
     table = F.broadcast(spark.createDataFrame([(i, b) for b, i in ranks(vocabulary).items()], "id int, bytes binary"))  # bounded by the vocabulary
-    spread = encoded_docs.select(F.monotonically_increasing_id().alias("_row"), key, F.posexplode_outer(ids).alias("_pos", "id"))
+    spread = encoded_docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", key, F.posexplode_outer(ids).alias("_pos", "id"))
     joined = spread.join(table, "id", "left").withColumn("bytes", F.when(F.col("id").isNull(), F.lit(b"")).otherwise(F.expr("coalesce(bytes, raise_error('an id has no token'))")))
     whole = joined.groupBy("_row").agg(F.first(key).alias(key), F.sort_array(F.collect_list(F.struct("_pos", "bytes"))).alias("parts"))
     hexed = F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), "")

@@ -24,7 +24,8 @@ BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 10_000
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """A 48-bit hash of each shingle, in order; empty for a text without words."""
+    """A 48-bit hash of each shingle, in order; empty for a null text and one without words."""
+    text = F.coalesce(text, F.lit(""))
     hashes = F.transform(F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), "[\\x09-\\x0D ]+"), lambda w: F.xxhash64(w))
     several = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + j) for j in range(words)]), 16))
     one = lambda h: F.array(F.shiftrightunsigned(F.xxhash64(h), 16))

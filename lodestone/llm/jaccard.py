@@ -160,15 +160,14 @@ class _Index:
         return np.bincount(self.owners[spans.ragged(self.at[tokens], self.size[tokens])], minlength=len(self.n))
 
 
-def link(tokens: list[np.ndarray], rare: np.ndarray, weight: np.ndarray, parts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def link(tokens: list[np.ndarray], rare: np.ndarray, weight: np.ndarray, parts: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """For each set, the number of the first set (in the given order) of its component, and the weight of the sets that it is
-    linked with. `parts`: where there are two, only links between them count."""
+    linked with. With `parts`, only links between different parts count."""
     index = _Index(tokens, rare, percent)
     m = len(tokens)
     parent = np.arange(m)
     linked = np.zeros(m, np.int64)
     answers: dict[int, np.ndarray] = {}
-    across = len(np.unique(parts)) > 1
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -178,7 +177,7 @@ def link(tokens: list[np.ndarray], rare: np.ndarray, weight: np.ndarray, parts:
 
     for x in np.argsort(index.n, kind="stable").tolist():
         near = index.candidates(x)
-        if across:
+        if parts is not None:
             near = near[parts[near] != parts[x]]
         if not len(near):
             continue
@@ -249,17 +248,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     placed = placed.select("doc", "cluster", "part", "parts", F.explode(pairs).alias("p"))
     place = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", "p"))
-    placed = placed.select("doc", "part", (F.col("parts") > 1).alias("split"), place.alias("place"))
+    placed = placed.select("doc", "part", (F.col("parts") > 1).alias("split"), (F.col("p.i") < F.col("p.j")).alias("across"), place.alias("place"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc")
         doc = np.asarray(table.column("doc"))
         tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-        root, links = link(tokens, np.asarray(table.column("rare")), np.asarray(table.column("copies")), np.asarray(table.column("part")) if table.column("split")[0].as_py() else np.zeros(len(doc)), percent)
+        root, links = link(tokens, np.asarray(table.column("rare")), np.asarray(table.column("copies")), np.asarray(table.column("part")) if table.column("across")[0].as_py() else None, percent)
         return pa.Table.from_arrays([pa.array(doc), pa.array(doc[root]), pa.array(links), table.column("split")], names=["doc", "root", "links", "split"])
 
     schema = "doc long, root long, links long, split boolean"
-    solved = scratch.keep(placed.join(reps, "doc").select("place", "doc", "rare", "copies", "tokens", "part", "split").groupBy("place").applyInArrow(compare, schema), "links")
+    solved = scratch.keep(placed.join(reps, "doc").select("place", "doc", "rare", "copies", "tokens", "part", "split", "across").groupBy("place").applyInArrow(compare, schema), "links")
     whole = solved.where("NOT split").select("doc", "root", "links")
     if solved.where("split").limit(1).count():
         joined = graph.components(solved.where("split").select(F.col("doc").alias("u"), F.col("root").alias("v")))
