@@ -92,14 +92,10 @@ class Model:
         return score
 
 
-def _compact(rows: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row starts and column numbers of the places kept."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    where = np.searchsorted(columns, flat)
-    where[where == len(columns)] = 0
-    good = columns[where] == flat if len(columns) else np.zeros(len(flat), bool)
-    return owner[good], where[good]
+def _compact(rows: list[np.ndarray], lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and column numbers of the features kept; `lookup` has each feature's column, or -1."""
+    parts = [(c := lookup[r])[c >= 0] for r in rows]
+    return np.repeat(np.arange(len(rows)), [len(p) for p in parts]), np.concatenate(parts or [lookup[:0]])
 
 
 def train(rows: list[np.ndarray], labels: list[int], swaps: list[tuple[np.ndarray, np.ndarray]], share: tuple[float, float]) -> Model:
@@ -110,18 +106,19 @@ def train(rows: list[np.ndarray], labels: list[int], swaps: list[tuple[np.ndarra
         return Model({}, -40.0 if not len(y) or y.max() == 0 else 40.0)
     n, weight = len(y), np.where(y == 1, share[1], share[0])
     weight /= weight.sum()
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    count, mass, toxic_mass = np.bincount(flat, minlength=PLACES), np.bincount(flat, weight[owner], PLACES), np.bincount(flat, (weight * y)[owner], PLACES)
-    del flat, owner
-    columns = np.flatnonzero(count).astype(np.int32)
-    count, mass, toxic_mass = count[columns], mass[columns], toxic_mass[columns]
+    count, mass, toxic_mass = np.zeros(PLACES, np.int32), np.zeros(PLACES), np.zeros(PLACES)
+    for r, own, label in zip(rows, weight, y, strict=True):
+        count[r] += 1
+        mass[r] += own
+        toxic_mass[r] += own * label
     # features that speak for label 1 only: what is absent from a text must not count for it
-    columns = columns[(count >= MIN_TEXTS) & (toxic_mass > 2 * np.dot(weight, y) * mass)]
+    columns = np.flatnonzero((count >= MIN_TEXTS) & (toxic_mass > 2 * np.dot(weight, y) * mass))
     m = len(columns)
-    owner, where = _compact(rows, columns)
-    a_owner, a_where = _compact([a for a, _ in swaps], columns)
-    b_owner, b_where = _compact([b for _, b in swaps], columns)
+    lookup = np.full(PLACES, -1, np.int32)
+    lookup[columns] = np.arange(m)
+    owner, where = _compact(rows, lookup)
+    a_owner, a_where = _compact([a for a, _ in swaps], lookup)
+    b_owner, b_where = _compact([b for _, b in swaps], lookup)
     k = max(1, len(swaps))
     scale = 1 / np.sqrt(np.bincount(where, weight[owner], m) + 1e-4)  # rare features move as fast as frequent ones
 
