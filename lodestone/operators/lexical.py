@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Distinct tokens of all questions that are sent to every task, at most; more are joined by a shuffle.
+MOST_TERMS = 1_000_000
 
 
 def ranked(scores: DataFrame, k: int, by: str = "item_id", key: str = "doc_id") -> DataFrame:
@@ -24,6 +26,8 @@ def bm25(corpus: DataFrame, questions: DataFrame, key: str = "doc_id", text: str
     stats = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))  # one row
     asked = questions.select(by, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     terms = asked.select("term").distinct()
+    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:  # then the corpus is cut down before it is shuffled
+        terms = F.broadcast(terms)
     found = cut.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
     tf = found.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import cited_files, repo_of
@@ -38,10 +39,9 @@ def pinned(wanted: DataFrame, registered: DataFrame, questions: DataFrame, by: s
 def merge_repos(chunks: DataFrame, by: str = "item_id", across: bool = True) -> DataFrame:
     """Chunks of several repositories with scores scaled to 0..1 over all of them, or within each repository; those of a question
     with one repository are left alone."""
-    n = chunks.groupBy(by).agg(F.count_distinct("repo").alias("_n"))
-    marked = chunks.join(n, by)
-    scaled = min_max(marked.where("_n > 1"), *((by,) if across else (by, "repo")))
-    return scaled.unionByName(marked.where("_n = 1")).drop("_n")
+    several = F.size(F.collect_set("repo").over(W.partitionBy(by))) > 1  # repositories, a few
+    scaled = min_max(chunks.withColumn("_own", F.col("score")), *((by,) if across else (by, "repo")))
+    return scaled.withColumn("score", F.when(several, F.col("score")).otherwise(F.col("_own"))).drop("_own")
 
 
 def stale_citations(cited: DataFrame, files: DataFrame, ranges: DataFrame) -> DataFrame:

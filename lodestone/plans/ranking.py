@@ -240,8 +240,9 @@ def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     """Dense and lexical lists, fused per question; the technical pool under its quota, joined by the functional one, reranked,
     and cut to the best."""
     hits = _with_question(spark, sf)
-    technical = select.quota(hits.where("collection = 'technical'"), CONFIG.quotas, POOL, "lang").drop("guaranteed", "rank")
-    both = hits.where("collection = 'functional'").unionByName(technical)
+    # both collections in one pass: the functional one has no quota and keeps its pool
+    placed = hits.withColumn("place", F.concat_ws("/", F.col("item_id").cast("string"), "collection"))
+    both = select.quota(placed, CONFIG.quotas, POOL, "lang", by="place").drop("guaranteed", "rank", "place")
     best = lexical.ranked(rerank.rerank(both).select("item_id", "doc_id", "collection", "lang", "score"), TOP)
     return best.withColumn("title", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
 
