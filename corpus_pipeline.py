@@ -52,7 +52,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays, once."""
-    groups = scratch.keep(jaccard.linked(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id"), "kept")
+    groups = scratch.keep(jaccard.linked(docs.select("doc_id", "text")).where("doc_id <=> component_id").select("doc_id"), "kept")
     out = _only(docs, groups)
     repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out

@@ -27,7 +27,7 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes
     base = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     n = max(16, -(-total // block_bytes))
-    return base.withColumn("_blk", F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int")), n
+    return base.withColumn("_blk", F.pmod(F.xxhash64("_key", "_text"), F.lit(n)).cast("int")), n
 
 
 def pack(keys: np.ndarray) -> bytes:

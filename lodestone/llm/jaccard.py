@@ -108,6 +108,8 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
 
 #: Sets that one task compares, about. A cluster of more is compared in pairs of parts of half as many.
 TASK_SETS = 4000
+#: Keys from here on stand for null ones.
+_NO_KEY = 1 << 62
 #: Answers of so many latest sets are kept to derive later ones from.
 RECENT = 256
 
@@ -227,12 +229,14 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both. component_id is the smallest
     key that is reachable by links; documents without words (null or empty text) are linked with nothing. Repeated rows
-    are linked like copies. No pair of documents is ever a row: classes of equal sets stand for their documents, and
+    are linked like copies. Null keys stay null, and are a component only where no other key is reachable. No pair of documents is ever a row: classes of equal sets stand for their documents, and
     tasks return one row for each set they compare.
     """
     spark = docs.sparkSession
     wanted = docs.select(F.col(key).cast("long").alias(key), text)
     found = scratch.keep(sets(wanted, key, text, words, percent), "sets")
+    # a null key stands behind all others, by its set's hash
+    found = found.withColumn("doc", F.coalesce("doc", F.lit(_NO_KEY) + F.shiftrightunsigned("a", 3)))
     open_ = found.where("tokens IS NOT NULL")
     classes = open_.groupBy("n", "a", "b").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     # one document's shingles for each class; ranking before the shuffle keeps a class of many copies small
@@ -268,7 +272,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     done = found.select(F.col("doc"), "n", "a", "b", F.col("tokens").isNotNull().alias("open"))
     classed = done.where("open").join(by_class, ["n", "a", "b"]).select("doc", "n", "component", "n_links")
     alone = done.where("NOT open").select("doc", "n", F.col("doc").alias("component"), F.lit(0).cast("long").alias("n_links"))
-    return classed.unionByName(alone).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+    real = lambda c: F.when(F.col(c) < _NO_KEY, F.col(c))
+    return classed.unionByName(alone).select(real("doc").alias(key), F.col("n").alias("n_shingles"), real("component").alias("component_id"), "n_links")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

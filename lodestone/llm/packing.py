@@ -96,7 +96,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     numbered, so they must not change between reads. Repeated documents are packed as often as they occur."""
     spark = made.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = made.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    spread = made.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     counts = spread.groupBy("k", "_b").agg(F.count("*").alias("n"))
     # capacity classes times buckets rows: small, whatever the corpus
     before = counts.select("k", "_b", (F.sum("n").over(W.partitionBy("k").orderBy("_b")) - F.col("n")).alias("_before"))

@@ -8,7 +8,7 @@ and one slot, and compares the fingerprint; a key that isn't in the shard is ref
     magic 8 bytes | n keys u64 | n ids u64 | width u64 | n buckets u64
     displacements u32[n buckets] | fingerprints u32[n] | keys i64[n] | starts u64[n] | lengths u64[n] | ids
 
-Rows with equal keys are one key whose ids follow each other; null keys aren't indexed (see write()). Files are written under
+Rows with equal keys are one key whose ids follow each other; null keys are one key, the lowest. Files are written under
 a name that holds the task's attempt, and only the files of finished attempts are listed in the returned manifest, so
 a lost or repeated task leaves no trace in what is read.
 """
@@ -36,6 +36,7 @@ from lodestone.llm.spans import mix
 
 MAGIC, _HEAD = b"LODEIDS1", struct.Struct("<8s4Q")
 END_ID = 1
+NO_KEY = -(1 << 63)
 #: Text bytes of one shard, about.
 SHARD_BYTES = 8 << 20
 #: Keys that share a displacement, on average.
@@ -142,13 +143,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
     """Writes all documents as shards under `path` (a URI that all executors reach) and returns the manifest, a written table:
     (shard, file, first_key, n_keys, n_ids), shards in ascending order of keys.
 
-    Null texts are empty and have the end id only. Null keys can't be looked up and raise an error.
+    Null texts are empty and have the end id only; null keys are stored as the least whole number of 64 bits.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("_key"), text_of(text).alias("_text"))
-    total, nulls = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count_if(F.col("_key").isNull())).first()
-    if nulls:
-        raise ValueError(f"{nulls} documents have no {key}")
+    base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), text_of(text).alias("_text"))
+    total = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     n = max(1, -(-total // shard_bytes))
     ordered = base.repartitionByRange(n, "_key").sortWithinPartitions("_key", "_text")
 
@@ -196,7 +195,8 @@ def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                 columns = [keys, start.astype(np.int64) + before, length.astype(np.int64), np.asarray(crc, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(F.broadcast(base), "file").select("content", "base").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    out = files.join(F.broadcast(base), "file").select("content", "base").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    return out.withColumn("key", F.nullif("key", F.lit(NO_KEY)))
 
 
 def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,3 +337,17 @@ def test_word_spans():
     a, b = spans.words(raw, starts)
     assert [bytes(raw[x:y]) for x, y in zip(a, b)] == [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert spans.owners(a, starts).tolist() == [0, 2, 2, 3, 5, 6]
+
+
+def test_null_keys(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(None, text, "h"), (None, "", "h"), (7, text, None), (None, "lone " * 9, "h")], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["n_links"]) for r in jaccard.linked(docs).collect())
+    assert got == [(-1, 0, -1, 0), (-1, 1, -1, 0), (-1, 116, 7, 1), (7, 116, 7, 1)]
+    path = scratch.new_path(spark, "nulls")
+    out = shards.read(spark, path, shards.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r["key"] for r in out] == [None, 7]
+    assert suffix.dedup(docs).where("n_removed > 0").count() == 2
+    assert len(fingerprint.following(docs.select("doc_id", "text"), "doc_id", "text").collect()) == 4
+    assert packing.pack(scratch.keep(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "t")).select("doc_id").distinct().count() == 2
+    assert bpe.encode(docs, RANKS).count() == 4 and quality.quality(docs).count() == 4
