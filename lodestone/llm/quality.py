@@ -4,12 +4,15 @@ Each text is cut into lines, lines are normalised and hashed, and for each host
 line are counted. Lines above the limit are boilerplate and are taken off; a document of which little is left is
 depleted and rejected, as is one that fails the base rules.
 
-Copies of one page repeat each of its lines without making them boilerplate. So documents in which a line stands
-between the same two neighbours count once, and a line is taken off only if at least half of its documents count.
+Copies of one page repeat each of its lines without making them boilerplate. So documents with the same set of lines
+count once. The query op10_quality_rules keeps to its SQL, by which documents in which a line stands between the same two
+neighbours count once, and a line is taken off only if more than half of its documents count; inside a block of three or
+more lines that rule finds nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -74,18 +77,28 @@ def line_hashes(text: str) -> list[dict]:
     return list(found.values())
 
 
+def page_hash(lines: list[dict]) -> int:
+    """A hash of the set of a document's lines."""
+    return _hash(np.sort(np.array([x["line"] for x in lines], np.int64)).tobytes())
+
+
 def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = batch.column("_text").to_pylist()
     stats = list(zip(*map(text_stats, texts), strict=True)) or [[]] * 5
+    lines = [line_hashes(t) for t in texts]
     kind = pa.list_(pa.struct([("line", pa.int64()), ("near", pa.int64()), ("words", pa.int32())]))
     return pa.RecordBatch.from_arrays(
-        [batch.column("_row"), batch.column("_host"), *(pa.array(x, pa.int64()) for x in stats), pa.array([line_hashes(t) for t in texts], kind)],
-        names=["_row", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+        [batch.column("_row"), batch.column("_host"), *(pa.array(x, pa.int64()) for x in stats), pa.array([page_hash(x) for x in lines], pa.int64()), pa.array(lines, kind)],
+        names=["_row", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "page", "lines"],
     )
 
 
-def boilerplate(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """The (_host, line) pairs above the limit, of rows (_host, line, near), one for each document and line."""
+def boilerplate(lines: DataFrame, max_documents: int = MAX_DOCUMENTS, by: str = "page") -> DataFrame:
+    """The (_host, line) pairs above the limit, of rows (_host, line, near, page), one for each document and line. `by` says
+    which documents count once: those of a page, or those in which a line is near the same others (the rule of OP10_SQL)."""
+    if by == "page":
+        pages = lines.groupBy("_host", "line", "page").agg(F.lit(1).alias("n"))  # a very common line is dealt by its pages
+        return pages.groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("_host", "line")
     return (
         lines.groupBy("_host", "line", "near")
         .agg(F.count("*").alias("n"))
@@ -96,11 +109,11 @@ def boilerplate(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFra
     )
 
 
-def quality(docs: DataFrame, text: str = "text", host: str = "source", max_documents: int = MAX_DOCUMENTS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", host: str = "source", max_documents: int = MAX_DOCUMENTS, max_removed_percent: int = MAX_REMOVED_PERCENT, by: str = "page") -> DataFrame:
     """The rows of `docs` with the figures of text_stats(), n_removed_words, base_failed and kept.
 
     A null text counts as empty and fails the base rules. A null host is a host of its own. Repeated rows are judged
-    one by one, each alike. Columns of `docs` with the names of the figures are replaced; all others stay.
+    one by one, each alike. `by` is as in boilerplate(). Columns of `docs` with the names of the figures are replaced; all others stay.
     """
     row = "_row"
     taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept"}
@@ -108,9 +121,9 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docum
     # the figures and the other columns are written once; texts are read again only where the caller wants them
     base = docs.select(F.struct(*[F.col(c) for c in light], F.monotonically_increasing_id().alias("_i")).alias(row), F.when(F.col(host).isNull(), "").otherwise(F.concat(F.lit("."), F.col(host).cast("string"))).alias("_host"), text_of(text).alias("_text"))
     kind = base.schema[row].dataType.simpleString()
-    found = scratch.keep(map_texts(base, "_text", _measure, f"_row {kind}, _host string, {_STATS}, {_LINES}"), "quality")
-    lines = found.select(F.col("_row._i").alias("_i"), "_host", F.inline("lines"))
-    removed = lines.join(boilerplate(lines, max_documents), ["_host", "line"]).groupBy("_i").agg(F.sum("words").alias("n_removed_words"))
+    found = scratch.keep(map_texts(base, "_text", _measure, f"_row {kind}, _host string, {_STATS}, page long, {_LINES}"), "quality")
+    lines = found.select(F.col("_row._i").alias("_i"), "_host", "page", F.inline("lines"))
+    removed = lines.join(boilerplate(lines, max_documents, by), ["_host", "line"]).groupBy("_i").agg(F.sum("words").alias("n_removed_words"))
     out = found.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").join(removed, "_i", "left").drop("_i")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
@@ -118,7 +131,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docum
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+    return quality(documents(spark, sf_dir).select("doc_id", "text", "source"), by="near").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 OP10_SQL = r"""

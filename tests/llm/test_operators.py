@@ -312,6 +312,18 @@ def test_quality_boilerplate(spark):
     assert not any(kept[i] for i in range(12)) and all(v for i, v in kept.items() if i >= 100)
 
 
+def test_quality_blocks(spark):
+    rnd = random.Random(4)
+    prose = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.random())[2:6] for _ in range(n))
+    menu = "\n".join(prose(20) for _ in range(10))
+    data = [(i, "h", menu + "\n" + prose(15)) for i in range(30)]  # the inner lines have the same neighbours everywhere
+    data += [(100 + i, "h", prose(90)) for i in range(3)]
+    page = "\n".join(prose(20) for _ in range(4))
+    data += [(200 + i, "h", page) for i in range(30)]  # copies count once
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()}
+    assert all(r["n_removed_words"] == (200 if i < 100 else 0) and r["kept"] == (i >= 100) for i, r in got.items())
+
+
 def test_empty_tables(empty, spark):
     assert fingerprint.following(empty.select("doc_id", "text"), "doc_id", "text").count() == 0
     assert suffix.dedup(empty).count() == 0
