@@ -24,7 +24,7 @@ COVERAGE = 0.8
 #: A notice may be spread over so many times the template's words.
 SPREAD = 2
 
-#: Short notices of public licenses, by SPDX identifier.
+#: Short notices of public licenses, by SPDX identifier, and the notice that reserves all rights.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
@@ -33,6 +33,7 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    "LicenseRef-All-Rights-Reserved": ("All rights reserved.",),
 }
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
