@@ -51,11 +51,13 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays, once."""
-    groups = scratch.keep(jaccard.linked(docs.select("doc_id", "text")).where("doc_id <=> component_id").select("doc_id"), "kept")
-    out = _only(docs, groups)
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """Of each group of linked documents, the one with the smallest id stays, once; null ids stand behind all others. Rows are
+    told apart by numbers, which are written down, so null and repeated ids lose nothing."""
+    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.linked(rows.select("_row", "text"), "_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row"))
+    kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 @_stage

@@ -5,6 +5,19 @@ import random
 import corpus_pipeline
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark, tmp_path):
+    rnd = random.Random(2)
+    prose = lambda: " ".join(str(rnd.random())[2:8] for _ in range(60))
+    a, b, c = prose(), prose(), prose()
+    data = [(None, prose()) for _ in range(5)] + [(7, prose()) for _ in range(5)] + [(None, a), (3, a), (9, a), (7, b), (7, b), (None, c), (None, c), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(data)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/in")
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/in"), str(tmp_path))
+    assert got.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert left == sorted([*data[:10], (3, a), (7, b), (None, c), (None, ""), (None, None)], key=str)
+
+
 def test_stages(spark, tmp_path):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(rnd.randint(2, 9)))
