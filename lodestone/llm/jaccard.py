@@ -108,8 +108,6 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
 
 #: Sets that one task compares, about. A cluster of more is compared in pairs of parts of half as many.
 TASK_SETS = 4000
-#: Keys from here on stand for null ones.
-_NO_KEY = 1 << 62
 #: Answers of so many latest sets are kept to derive later ones from.
 RECENT = 256
 
@@ -228,17 +226,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """Rows (key, n_shingles, component_id, n_links) of all documents. The key is a whole number.
 
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both. component_id is the smallest
-    key that is reachable by links; documents without words (null or empty text) are linked with nothing. Repeated rows
+    key that is reachable by links, of all 64-bit keys; documents without words (null or empty text) are linked with nothing. Repeated rows
     are linked like copies. Null keys stay null, and are a component only where no other key is reachable. No pair of documents is ever a row: classes of equal sets stand for their documents, and
     tasks return one row for each set they compare.
     """
     spark = docs.sparkSession
     wanted = docs.select(F.col(key).cast("long").alias(key), text)
-    found = scratch.keep(sets(wanted, key, text, words, percent), "sets")
-    # a null key stands behind all others, by its set's hash
-    found = found.withColumn("doc", F.coalesce("doc", F.lit(_NO_KEY) + F.shiftrightunsigned("a", 3)))
+    # rows are told apart by numbers, so any key may be null, repeated or as large as can be
+    found = sets(wanted, key, text, words, percent).withColumnRenamed("doc", "key").withColumn("doc", F.monotonically_increasing_id())
+    found = scratch.keep(found, "sets")
     open_ = found.where("tokens IS NOT NULL")
-    classes = open_.groupBy("n", "a", "b").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    classes = open_.groupBy("n", "a", "b").agg(F.min("doc").alias("rep"), F.min("key").alias("least"), F.count("*").alias("copies"))
     # one document's shingles for each class; ranking before the shuffle keeps a class of many copies small
     first = open_.withColumn("_r", F.row_number().over(W.partitionBy("n", "a", "b").orderBy("doc"))).where("_r = 1").drop("_r")
     reps = scratch.keep(first.join(classes, ["n", "a", "b"]).select("doc", "n", "rare", "copies", "tokens"), "classes")
@@ -268,12 +266,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         joined = graph.components(solved.where("split").select(F.col("doc").alias("u"), F.col("root").alias("v")))
         sums = solved.where("split").groupBy("doc").agg(F.sum("links").alias("links"))
         whole = whole.unionByName(sums.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("root")), "doc"))
-    by_class = classes.join(whole, F.col("rep") == F.col("doc"), "left").select("n", "a", "b", F.least("rep", F.coalesce("root", "rep")).alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    done = found.select(F.col("doc"), "n", "a", "b", F.col("tokens").isNotNull().alias("open"))
-    classed = done.where("open").join(by_class, ["n", "a", "b"]).select("doc", "n", "component", "n_links")
-    alone = done.where("NOT open").select("doc", "n", F.col("doc").alias("component"), F.lit(0).cast("long").alias("n_links"))
-    real = lambda c: F.when(F.col(c) < _NO_KEY, F.col(c))
-    return classed.unionByName(alone).select(real("doc").alias(key), F.col("n").alias("n_shingles"), real("component").alias("component_id"), "n_links")
+    by_class = classes.join(whole, F.col("rep") == F.col("doc"), "left").select("n", "a", "b", "least", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # null keys are passed over, so a component's is null only where it has no other
+    by_class = by_class.join(by_class.groupBy("root").agg(F.min("least").alias("component")), "root").drop("root", "least")
+    done = found.select("key", "n", "a", "b", F.col("tokens").isNotNull().alias("open"))
+    classed = done.where("open").join(by_class, ["n", "a", "b"]).select("key", "n", "component", "n_links")
+    alone = done.where("NOT open").select("key", "n", F.col("key").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    return classed.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,15 @@ def test_jaccard(docs, rows, task_sets):
         assert (r["n_shingles"], r["component_id"], r["n_links"]) == (len(sets[i]), component[i], len(links[i])), i
 
 
+def test_jaccard_large_keys(spark):
+    text = [" ".join(f"{c}{i}" for i in range(120)) for c in "abcd"]
+    low, high = -(1 << 63), (1 << 63) - 1
+    data = [(high, text[0]), (1 << 62, text[0] + " end"), (high - 1, text[1]), (low, text[2]), (None, text[2]), (None, text[3]), (None, text[3]), (high, "")]
+    got = [tuple(r) for r in jaccard.linked(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "component_id", "n_links").collect()]
+    want = [(high, 1 << 62, 1), (1 << 62, 1 << 62, 1), (high - 1, high - 1, 0), (low, low, 1), (None, low, 1), (None, None, 1), (None, None, 1), (high, high, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (7, 7), *[(k, k + 1) for k in range(100, 160)]]
     got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect())
