@@ -1,11 +1,13 @@
 """Encoding with the tokenizers library, word by word and with a memory.
 
-A text is cut where the tokenizer's own pattern always cuts, each distinct piece is encoded once in a Python worker,
-and the ids of a text are its pieces' ids in a row. The result is what the tokenizer gives for the whole text.
+Texts are cut where the tokenizer's own pattern always cuts. Of a batch's distinct pieces, those not met lately are handed to
+the library together, a mark before each, and the ids of a text are its pieces' ids in a row. The result is what the tokenizer
+gives for the whole text. Pieces are told apart by 64-bit hashes; what is remembered are arrays of a bounded number of pieces.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
 
@@ -15,14 +17,14 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import spans
 
-#: Pieces and words remembered in a worker: each memory has two generations of so many, of which the older is forgotten.
-PIECES, WORDS = 300_000, 150_000
-#: White space to Python's str, but not to the tokenizers' pattern; texts with it are encoded whole.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Space in runs: all but the last of a run is one piece, the last goes with the word behind it.
-_CHUNK = re.compile(r"\s+(?!\S)|\s?\S+")
-#: Letters and then punctuation, which the patterns of both tokenizers cut apart in any case.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
+
+#: Pieces handed over as one text, and pieces remembered in each of two generations, of which the older is forgotten.
+RUN, REMEMBERED = 1024, 1 << 20
+#: Letters and then punctuation, which the pattern of byte-level BPE cuts apart in any case.
 PLAIN = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Pieces on which an encoder first tries whether joining changes nothing.
+_TRIED = ["a", " b", "don't", " x's", "...", " --", "12", " 345", "é", " ñandú,", "日本", " 🙂", "a.b", "('c')", " <|endoftext|>", "_", " ́", "$1"]
 
 
 def simple(raw: np.ndarray, starts: np.ndarray, w_start: np.ndarray, w_end: np.ndarray, first: np.ndarray, spaced: bool) -> np.ndarray:
@@ -52,23 +54,26 @@ def with_space(w_start: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """A mapping of bounded size that forgets what hasn't been asked for lately."""
+    """Ids of pieces by their hashes, in ascending order of these."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hashes, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is known, and where."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[i] == hashes, i
 
-    def recall(self, keys) -> list:
-        """The keys that aren't known; those that are are in `new` from now on."""
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        new, old, missing = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                if (v := old.get(k)) is None:
-                    missing.append(k)
-                else:
-                    new[k] = v
-        return missing
+    def add(self, hashes: np.ndarray, pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Ascending hashes that aren't known, and their ids in `pool`."""
+        all_ = np.concatenate((self.hashes, hashes))
+        order = np.argsort(all_, kind="stable")
+        self.hashes = all_[order]
+        self.at = np.concatenate((self.at, at + len(self.pool)))[order]
+        self.size = np.concatenate((self.size, size.astype(np.int32)))[order]
+        self.pool = np.concatenate((self.pool, pool))
 
 
 class Encoder:
@@ -80,121 +85,118 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced = len(self._direct(["a b"])[0]) == len(self._direct(["a", " b"])[1]) + 1 and self._direct([" b"]) != self._direct(["b"])
         self.uncased = self._direct(["ABCXYZ"]) == self._direct(["abcxyz"])
-        self.join, self.separator = ("\n", self._direct(["\n"])[0][0]) if self.spaced else (" | ", self._direct(["|"])[0][0])
-        self.after_space, self.exact = Memory(WORDS // 8), Memory(WORDS // 8)
-        self.words, self.pieces = Memory(WORDS), Memory(PIECES)
+        # a line break stands for itself in front of a word; where white space is dropped, a bar between spaces does
+        self.before = b"\n" if self.spaced else b" | "
+        mark = self._direct([self.before.decode()])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.new, self.old = Memory(self.dtype), Memory(self.dtype)
+        self.joins = self.mark is not None and self._joinable()
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each on its own. Plain ones are handed over together, a separator between them."""
-        plain = [p for p in pieces if self.separator is not None and (p[:1] == " " and p.strip() == p[1:] and p[1:].isalpha() if self.spaced else p.isalpha())]
-        found = dict.fromkeys(plain)
-        rest = [p for p in pieces if p not in found]
-        runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for run, ids in zip(runs, self._direct([self.join.join(r) for r in runs]), strict=True):
-            a = np.asarray(ids, self.dtype)
-            ends, raw, width, start = np.flatnonzero(a == self.separator).tolist(), a.tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(run, [*ends, len(a)], strict=True):
-                found[p] = raw[start * width : end * width]
-                start = end + 1
-        found.update(zip(rest, (np.asarray(x, self.dtype).tobytes() for x in self._direct(rest)), strict=True))
-        return [found[p] for p in pieces]
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, from the ids of their letters and of their punctuation where they are so plain."""
-        parts = {c: m.groups() if (m := PLAIN.fullmatch(c)) else (c,) for c in chunks}
-        new = self.pieces.recall(dict.fromkeys(p for x in parts.values() for p in x))
-        known = self.pieces.new
-        known.update(zip(new, self._encode(new), strict=True))
-        return {c: b"".join([known[p] for p in x]) for c, x in parts.items()}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.asarray(self._direct([text])[0], self.dtype)
+    def _joinable(self) -> bool:
+        """Whether pieces with the mark before each have the ids that each has alone."""
+        flat = self._direct(["".join(self.before.decode() + x for x in _TRIED)])[0]
+        return flat == [x for ids in self._direct(_TRIED) for x in (self.mark, *ids)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_column(pa.array(texts, pa.string())) if texts else []
 
     def encode_column(self, column: pa.Array) -> list[np.ndarray]:
-        """Ids of each text of a column without nulls. Texts whose words stand one space or line break apart are cut
-        all at once by numpy; each distinct piece of the column is then looked up once."""
+        """Ids of each text of a column without nulls. Texts whose words stand one space or line break apart (or, where white
+        space is dropped, any white space that numpy knows) are cut all at once; others are handed over whole."""
+        flat, ends, odd = self.encode_flat(column)
+        out = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        for i, ids in odd.items():
+            out[i] = ids
+        return out
+
+    def encode_flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """All texts' ids in a row and where each one's start, but for the texts that numpy doesn't cut, whose ids stand apart."""
         raw, starts = spans.buffer(column)
         if self.uncased:
             raw = spans.LOWER[raw]  # fewer distinct words, and the same ids
         w_start, w_end = spans.words(raw, starts)
         first = spans.owners(w_start, starts)
-        fine = simple(raw, starts, w_start, w_end, first, self.spaced)
-        odd = np.flatnonzero(~fine)
+        fine = simple(raw, starts, w_start, w_end, first, self.spaced) & self.joins
+        if not fine.all():
+            kept = fine[np.repeat(np.arange(len(fine)), np.diff(first))]
+            w_start, w_end = w_start[kept], w_end[kept]
+            first = np.concatenate(([0], np.cumsum(np.where(fine, np.diff(first), 0))))
         if self.spaced:  # the white space before a word is part of the piece; a text's first word has none
             w_start = with_space(w_start, first)
         pool, at, size = self._pool(raw, w_start, w_end)
-        ids = np.concatenate(([0], np.cumsum(size)))[first]
-        flat = pool[spans.ragged(at, size)]
-        out = [flat[a:b] for a, b in zip(ids.tolist(), ids[1:].tolist(), strict=False)]
-        if len(odd):
-            texts = [column[int(i)].as_py() for i in odd]
-            for i, got in zip(odd.tolist(), self._spaced(texts) if self.spaced else self._words(texts), strict=True):
-                out[i] = got
-        return out
+        ends = np.concatenate(([0], np.cumsum(size)))[first]
+        odd = np.flatnonzero(~fine).tolist()
+        whole = self._direct([column[i].as_py() for i in odd]) if odd else []
+        return pool[spans.ragged(at, size)], ends, {i: np.asarray(x, self.dtype) for i, x in zip(odd, whole, strict=True)}
 
     def _pool(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the distinct pieces in a row, and where each piece's ids are there."""
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        _, index, inverse = np.unique(spans.Hashes(raw).of(start, end), return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        pieces = [data[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
-        if new := self.words.recall(pieces):
-            texts = [p.decode("utf-8", "replace") for p in new]
-            got = self._learn(set(texts))
-            self.words.new.update(zip(new, map(got.__getitem__, texts), strict=True))
-        found = list(map(self.words.new.__getitem__, pieces))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        at = np.cumsum(size) - size
-        return np.frombuffer(b"".join(found), self.dtype), at[inverse], size[inverse]
-
-    def _words(self, texts: list[str]) -> list[np.ndarray]:
-        """White space is dropped, so the words are the pieces."""
-        cut = [None if _ODD.search(t) else t.split() for t in texts]
-        known = self._known(self.exact, [x for x in cut if x])
-        return [self._whole(t) if x is None else np.frombuffer(b"".join(map(known, x)), self.dtype) for t, x in zip(texts, cut, strict=True)]
-
-    def _spaced(self, texts: list[str]) -> list[np.ndarray]:
-        """A space goes with the word behind it. Texts whose words stand one space or line break apart are cut by
-        str.split; others by the pattern for runs of white space."""
-        lines: list[list[list[str]] | None] = []
-        chunks: list[list[str] | None] = []
-        for t in texts:
-            if t.replace("\n", " ").split(" ") == t.split():
-                ls = [x.split(" ") for x in t.split("\n")]
-                lines.append([x[1:] for x in ls])
-                chunks.append([("\n" if i else "") + x[0] for i, x in enumerate(ls)])
-            else:
-                lines.append(None)
-                chunks.append(None if _ODD.search(t) else _CHUNK.findall(t))
-        spaced = self._known(self.after_space, [x for ls in lines if ls for x in ls], " ")
-        exact = self._known(self.exact, [x for x in chunks if x])
-        out = []
-        for t, ls, cs in zip(texts, lines, chunks, strict=True):
-            if cs is None:
-                out.append(self._whole(t))
-            elif ls is None:
-                out.append(np.frombuffer(b"".join(map(exact, cs)), self.dtype))
-            else:
-                ids = []
-                for head, x in zip(cs, ls, strict=True):
-                    ids.append(exact(head))
-                    ids += map(spaced, x)
-                out.append(np.frombuffer(b"".join(ids), self.dtype))
-        return out
-
-    def _known(self, memory: Memory, lists: list[list[str]], before: str = ""):
-        """A lookup that knows all that the lists hold."""
-        if new := memory.recall(set().union(*lists)):
-            got = self._learn({before + x for x in new})
-            memory.new.update((x, got[before + x]) for x in new)
-        return memory.new.__getitem__
+        hashes = spans.Hashes(raw).of(start, end)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        inverse = np.empty(len(order), np.int32)
+        inverse[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        index = order[fresh]
+        pool, at, size = self._recalled(ranked[fresh], raw, start[index], end[index])
+        return pool, at[inverse], size[inverse]
+
+    def _recalled(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces with ascending hashes: from the newer memory, or the older one, which then go to the newer, or encoded."""
+        if len(self.new.hashes) > REMEMBERED:
+            self.old, self.new = self.new, Memory(self.dtype)
+        known, _ = self.new.find(hashes)
+        if (rest := np.flatnonzero(~known)).size:
+            was, i = self.old.find(hashes[rest])
+            i = i[was]
+            size = self.old.size[i].astype(np.int64)
+            pools, ats, sizes = [self.old.pool[spans.ragged(self.old.at[i], size)]], [np.cumsum(size) - size], [size]
+            if len(fresh := rest[~was]):
+                pool, at, size = self._joined(raw, start[fresh], end[fresh])
+                ats.append(at + len(pools[0]))
+                pools.append(pool)
+                sizes.append(size)
+            order = np.argsort(np.concatenate((rest[was], fresh)), kind="stable")
+            self.new.add(hashes[rest], np.concatenate(pools), np.concatenate(ats)[order], np.concatenate(sizes)[order])
+        _, i = self.new.find(hashes)
+        return self.new.pool, self.new.at[i], self.new.size[i].astype(np.int64)
+
+    def _joined(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, the mark before each. A piece behind a line break has that as its mark, so it keeps the mark."""
+        broken = (raw[start] == 10) if self.spaced else np.zeros(len(start), bool)
+        start = start + broken
+        if not self.spaced and (bars := np.flatnonzero(raw == ord("|"))).size:  # what holds the mark itself goes alone
+            alone = np.searchsorted(bars, start) < np.searchsorted(bars, end)
+        else:
+            alone = np.zeros(len(start), bool)
+        length = np.where(alone, 0, end - start)
+        wide = len(self.before)
+        place = np.cumsum(length + wide) - length
+        out = np.empty(int(place[-1] + length[-1]), np.uint8)
+        for k, byte in enumerate(self.before):
+            out[place - wide + k] = byte
+        out[spans.ragged(place, length)] = raw[spans.ragged(start, length)]
+        cuts = [*(place[::RUN] - wide).tolist(), len(out)]
+        data = out.tobytes()
+        ids = self._direct([data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)])
+        pool = np.concatenate([np.asarray(x, self.dtype) for x in ids])
+        marks = np.flatnonzero(pool == self.mark)
+        if len(marks) != len(start):
+            raise ValueError("the tokenizer joins words across white space")
+        at = marks + 1 - broken
+        size = np.concatenate((marks[1:], [len(pool)])) - at
+        if alone.any():
+            which = np.flatnonzero(alone).tolist()
+            own = [np.asarray(x, self.dtype) for x in self._direct([raw[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in which])]
+            size[which] = [len(x) for x in own]
+            at[which] = len(pool) + np.cumsum(size[which]) - size[which]
+            pool = np.concatenate([pool, *own])
+        return pool, at, size
 
 
 @cache
