@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.columns import text_of
 
 BLOCK_BYTES = 4 << 20
+#: Blocks whose keys' share one bucket counts; and keys that are sorted at a time there.
+BUCKET_BLOCKS, AT_A_TIME = 16, 1 << 20
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -30,6 +32,12 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes
     return base.withColumn("_blk", F.pmod(F.xxhash64("_key", "_text"), F.lit(n)).cast("int")), n
 
 
+def buckets(n_blocks: int) -> int:
+    """How many buckets count the keys of so many blocks: each gets about BUCKET_BLOCKS blocks' worth. A row goes from each
+    block to each bucket, so at terabytes larger blocks should be chosen."""
+    return max(16, -(-n_blocks // BUCKET_BLOCKS))
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Ascending keys as their first and the steps between them, in as few whole bytes as the largest step needs."""
     steps = np.diff(keys)
@@ -62,7 +70,7 @@ def write_counts(counts: np.ndarray, dtype: type) -> bytes:
 def counted(base: DataFrame, n_blocks: int, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint8) -> DataFrame:
     """Rows (_blk, bucket, counts). find(block) gives a block's distinct keys, ascending, and how often it has each. The
     counts of all blocks together come back for the same keys: read_counts() puts a block's rows in order."""
-    n_buckets = n_blocks
+    n_buckets = buckets(n_blocks)
 
     def deal(table: pa.Table) -> pa.Table:
         keys, counts = find(table)
@@ -80,18 +88,32 @@ def answer(dealt: DataFrame, dtype: type = np.uint8) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpack(k) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(zstandard.decompress(c), dtype) for c in table.column("counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts)[inverse]
-        ends = np.cumsum([len(k) for k in keys]).tolist()
+        counts = [np.frombuffer(zstandard.decompress(c), dtype) for c in table.column("counts").to_pylist()]
+        totals = [np.empty(len(k), np.int64) for k in keys]
+        for own in _ranges(keys):
+            _, inverse = np.unique(np.concatenate([k[x:y] for k, (x, y) in zip(keys, own, strict=True)]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([c[x:y] for c, (x, y) in zip(counts, own, strict=True)]))[inverse]
+            ends = np.cumsum([0, *(y - x for x, y in own)]).tolist()
+            for t, (x, y), a, b in zip(totals, own, ends, ends[1:], strict=False):
+                t[x:y] = total[a:b]
         asks = np.asarray(table.column("_blk")) >= 0
-        replies = [write_counts(total[x:y], dtype) for x, y, ask in zip([0, *ends], ends, asks.tolist(), strict=False) if ask]
+        replies = [write_counts(t, dtype) for t, ask in zip(totals, asks.tolist(), strict=True) if ask]
         table = table.filter(pa.array(asks))
         return pa.Table.from_arrays([table.column("_blk"), table.column("bucket"), pa.array(replies, pa.binary())], names=["_blk", "bucket", "counts"])
 
     return dealt.groupBy("bucket").applyInArrow(add, "_blk int, bucket int, counts binary")
 
 
+def _ranges(keys: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """For each range of about AT_A_TIME keys: where each of the ascending lists is in it."""
+    some = [k for k in keys if len(k)]
+    low, high = min((int(k[0]) for k in some), default=0), max((int(k[-1]) for k in some), default=0)
+    n = max(1, sum(map(len, keys)) // AT_A_TIME)
+    edges = np.array([low + (high - low) * i // n for i in range(1, n)], np.uint64)
+    at = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+    return [[(a[i], a[i + 1]) for a in at] for i in range(n)]
+
+
 def read_counts(replies: pa.Table, dtype: type = np.uint8) -> np.ndarray:
     """A block's counts, in the order of its ascending keys."""
     order = np.argsort(np.asarray(replies.column("bucket")), kind="stable")

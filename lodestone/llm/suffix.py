@@ -1,17 +1,19 @@
 """Removal of long repeated byte strings, by suffix sorting at content-defined places.
 
-A place is a cut if the 16 bytes there hash to a multiple of RATE, so equal strings are cut at equal places wherever
-they stand. A text is then a sequence of phrases, what lies between its cuts, and a block of texts a sequence of
-phrase numbers, some fifty times shorter than its bytes.
-
-1. Each block's sequence is suffix-sorted in linear time by Lyndon groups (suffix_array below). Neighbours in that
-   order that begin with the same phrases are one class. Classes are counted over all blocks (exchange.py).
+A place is a cut if the 16 bytes there hash to a multiple of a rate, so equal strings are cut at equal places wherever
+they stand. A text is then a sequence of phrases, what lies between its cuts, long ones cut again at fixed distances, and a
+block of texts a sequence of phrase numbers, some fifty times shorter than its bytes.
+
+1. Each block's sequence is suffix-sorted in linear time by Lyndon groups (suffix_array below). A cut's class are the cuts
+   around it in that order that share as many phrases with it as all its windows hold: a stretch of the suffix array, found
+   by the common prefixes of neighbours. Each class is named once, by its string, and its size counted over all blocks by that
+   name (exchange.py).
 2. A window is a string of LENGTH bytes; it belongs to the first cut in it. A cut whose class is unique has no
    repeated window. Where even the longer string of all the cut's windows together is repeated, all of them are.
 3. What remains are cuts near the ends of repeated passages. Their windows are checked one by one, again by counts
-   over all blocks, against all windows of their class; so are windows whose first REACH bytes have no cut.
+   over all blocks, against all windows of their class; so are windows whose first bytes have no cut.
 
-Strings are compared by 64-bit hashes of their bytes.
+Between blocks, strings are compared by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 from lodestone.llm import exchange, scratch, spans
 from lodestone.llm.columns import documents
 
-#: Bytes of a repeated string.
-LENGTH = 400
-#: Bytes that decide a cut; one place in RATE is one. Windows whose first cut is within REACH bytes go by that cut.
-CONTEXT, RATE, REACH = 16, 48, 240
+#: Bytes of a repeated string, and of the shortest that may be asked for.
+LENGTH, LEAST = 400, 100
+#: Bytes that decide a cut; one place in so many is one, for strings of LENGTH bytes.
+CONTEXT, RATE = 16, 48
 #: Counts of classes must be exact, as they are compared.
 COUNTS = np.uint32
 
@@ -130,7 +132,9 @@ class Block:
 
     def __init__(self, column: pa.Array, length: int):
         self.raw, self.starts = spans.buffer(column)
-        self.length, self.reach = length, min(REACH, length - CONTEXT * 4)
+        #: Windows whose first cut is within `reach` bytes go by that cut, and all hold `sure` bytes behind it.
+        self.length, self.reach, self.rate = length, 3 * length // 5, max(8, RATE * length // LENGTH)
+        self.sure = length - self.reach - CONTEXT
         self.hashes = spans.Hashes(self.raw)
         self.cuts = self._cuts()
         text = np.searchsorted(self.starts, self.cuts, "right") - 1
@@ -150,16 +154,34 @@ class Block:
             a, b = (np.ndarray((m,), "<u8", data, at + k, (1,)).copy() for k in (0, 8))
             a *= np.uint64(0x9FB21C651E98DF25)
             b ^= a >> np.uint64(29)
-            found.append(np.flatnonzero(spans.mix(b) % np.uint64(RATE) == 0) + at)
+            found.append(np.flatnonzero(spans.mix(b) % np.uint64(self.rate) == 0) + at)
         cuts = np.concatenate(found) if found else np.zeros(0, np.int64)
         return cuts[cuts + CONTEXT <= self.starts[np.searchsorted(self.starts, cuts, "right")]]
 
-    def short_keys(self) -> np.ndarray:
-        """The class of each cut: its phrases that end in what all its windows hold, or the bytes where none does."""
-        sure = self.cuts + self.length - self.reach
-        last = self.cuts[np.searchsorted(self.cuts, sure - CONTEXT, "right") - 1] if len(self.cuts) else self.cuts
-        phrases = last > self.cuts
-        return self.hashes.of(self.cuts, np.minimum(np.where(phrases, last, sure), len(self.raw))) ^ np.where(phrases, np.uint64(0), np.uint64(1 << 40))
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all phrases, those longer than `sure` in pieces, and which is the first one of each cut."""
+        pieces = -(-(self.phrase_end - self.cuts) // self.sure)
+        first = np.cumsum(pieces) - pieces
+        nth = spans.ragged(np.zeros(len(pieces), np.int64), pieces)
+        start = np.repeat(self.cuts, pieces) + nth * self.sure
+        return start, np.minimum(start + self.sure, np.repeat(self.phrase_end, pieces)), first
+
+    def depths(self, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many phrases lie in all windows of each cut: what equal windows have in common decides them."""
+        return np.searchsorted(end, self.cuts + self.sure, "right") - first
+
+    def short_keys(self, which: np.ndarray | None = None) -> np.ndarray:
+        """The name of each cut's class, or of some cuts': a hash of the phrases."""
+        start, end, first = self.phrases()
+        depth = self.depths(end, first)
+        if which is not None:
+            first, depth = first[which], depth[which]
+        hashes, out = self.hashes.of(start, end), np.zeros(len(first), np.uint64)
+        todo = np.arange(len(first))
+        for d in range(int(depth.max()) if len(depth) else 0):
+            todo = todo[depth[todo] > d]
+            out[todo] = spans.mix((out[todo] ^ hashes[first[todo] + d]) + np.uint64(d + 1))
+        return out
 
     def long_keys(self, which: np.ndarray) -> np.ndarray:
         """The string of all windows of each given cut, with the cut's place in it."""
@@ -185,23 +207,45 @@ class Block:
         return self.hashes.of(at, at + self.length)
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of the cuts that windows go by, and how often each occurs here: runs of neighbours in suffix order."""
+        """Names of the classes of cuts that windows go by, ascending, and how often each class occurs here."""
         own = self.serving()
         if not len(own):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        _, symbol = np.unique(self.hashes.of(self.cuts, self.phrase_end), return_inverse=True)
-        at = np.arange(len(symbol)) + self.text - self.text[0]  # a zero stands between texts
+        start, end, first = self.phrases()
+        _, symbol = np.unique(self.hashes.of(start, end), return_inverse=True)
+        text = np.searchsorted(self.starts, start, "right") - 1
+        at = np.arange(len(symbol)) + text - text[0]  # a zero stands between texts
         sequence = np.zeros(int(at[-1]) + 1, np.int64)
         sequence[at] = symbol + 1
-        cut_at = np.full(len(sequence), -1)
-        cut_at[at] = np.arange(len(symbol))
-        ranked = cut_at[np.asarray(suffix_array(sequence.tolist()))]
-        serves = np.zeros(len(symbol), bool)
-        serves[own] = True
-        ranked = ranked[(ranked >= 0) & serves[ranked]]
-        keys = self.short_keys()[ranked]
-        run = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[run], np.diff(np.concatenate((run, [len(keys)])))
+        order = np.asarray(suffix_array(sequence.tolist()))
+        depth = np.zeros(len(sequence), np.int64)  # phrases that make the class of a cut that windows go by
+        depth[at[first[own]]] = self.depths(end, first)[own]
+        cut_at = np.zeros(len(sequence), np.int64)
+        cut_at[at[first]] = np.arange(len(first))
+        # common prefixes of neighbours, as far as any class goes
+        most = int(depth.max())
+        padded = np.concatenate((sequence, np.full(most, -1)))
+        alike, common = np.arange(1, len(order)), np.zeros(len(order), np.int64)
+        for d in range(most):
+            alike = alike[padded[order[alike] + d] == padded[order[alike - 1] + d]]
+            common[alike] += 1
+        members, names, sizes = depth[order], [], []
+        place = np.arange(len(order))
+        for d in range(1, most + 1):
+            here = np.flatnonzero(members == d)
+            if len(here):
+                stretch = np.maximum.accumulate(np.where(common < d, place, 0))[here]
+                fresh = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
+                names.append(cut_at[order[here[fresh]]])
+                sizes.append(np.diff(np.concatenate((fresh, [len(here)]))))
+        named, sizes = np.concatenate(names), np.concatenate(sizes)
+        keys = self.short_keys(named)
+        ranked = np.argsort(keys, kind="stable")
+        for i in np.flatnonzero(np.diff(keys[ranked]) == 0).tolist():
+            a, b = (at[first[named[k]]] for k in ranked[i : i + 2])
+            if depth[a] == depth[b] and np.array_equal(sequence[a : a + depth[a]], sequence[b : b + depth[b]]):
+                raise ValueError("a class lies in two stretches: the suffixes are out of order")
+        return keys[ranked], sizes[ranked]
 
     def all_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Keys of classes, of long strings and of windows without a cut, distinct and ascending; and where each cut's class
@@ -249,7 +293,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     base, n_blocks = exchange.blocks(docs, key, text)
     base = base.withColumn("_text", F.col("_text").cast("binary"))
     kind = base.schema["_key"].dataType.simpleString()
-    n_buckets = n_blocks
+    n_buckets = exchange.buckets(n_blocks)
+    if length < LEAST:
+        raise ValueError(f"repeated strings must have {LEAST} bytes or more")
 
     def find(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         block = Block(_column(table), length)
