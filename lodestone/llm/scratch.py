@@ -1,7 +1,7 @@
 """Tables that a job writes and reads again, in the folder that all executors share.
 
-The folder is the one in spark.checkpoint.dir; only where that is unset (as in tests) is one made on this machine.
-A written table cuts the lineage: an executor lost later costs a re-read, not a recomputation.
+The folder is the one in spark.checkpoint.dir; only where that is unset and Spark runs in one process (as in tests) is one
+made on this machine. Tables stay as long as results may read them: what a scope() has collected can be dropped. A written table cuts the lineage: an executor lost later costs a re-read, not a recomputation.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,15 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     top = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, noted in the scope that is open."""
+    """A fresh path in the shared folder, noted in the innermost open scope."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
@@ -44,13 +47,11 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
 @contextmanager
 def scope() -> Iterator[list[str]]:
     """Collects the paths made inside, for drop()."""
-    before = len(_made)
-    made: list[str] = []
+    _scopes.append([])
     try:
-        yield made
+        yield _scopes[-1]
     finally:
-        made += _made[before:]
-        del _made[before:]
+        _scopes.pop()
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

@@ -91,15 +91,31 @@ def test_suffix_array_against_sorting():
         assert suffix.suffix_array(a) == sorted(range(len(a)), key=lambda i: a[i:])
 
 
-def test_suffix_dedup(docs, rows):
-    out = {r["doc_id"]: r for r in suffix.dedup(docs, with_text=True).collect()}
+def test_classes_come_from_the_suffix_order(rows, monkeypatch):
+    block = suffix.Block(pa.array([t or "" for _, t in rows]), 400)
+    keys, sizes = block.classes()
+    own = block.serving()
+    start, end, first = block.phrases()
+    phrases = [bytes(block.raw[a:b]) for a, b in zip(start, end)]
+    strings = Counter(tuple(phrases[a : a + d]) for a, d in zip(first[own], block.depths(end, first)[own]))
+    assert sorted(sizes.tolist()) == sorted(strings.values()) and len(keys) == len(strings) < len(own)
+    assert (keys == np.unique(block.short_keys()[own])).all()
+    for wrong in (lambda s: list(range(len(s))), lambda s: list(np.random.default_rng(1).permutation(len(s)))):
+        monkeypatch.setattr(suffix, "suffix_array", wrong)
+        with pytest.raises(ValueError):
+            block.classes()
+
+
+@pytest.mark.parametrize("length", [400, 240, 100])
+def test_suffix_dedup(docs, rows, length):
+    out = {r["doc_id"]: r for r in suffix.dedup(docs, length=length, with_text=True).collect()}
     raw = {i: (t or "").encode() for i, t in rows}
-    count = Counter(b[k : k + 400] for b in raw.values() for k in range(len(b) - 399))
+    count = Counter(b[k : k + length] for b in raw.values() for k in range(len(b) - length + 1))
     for i, b in raw.items():
         gone = np.zeros(len(b), bool)
-        for k in range(len(b) - 399):
-            if count[b[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         assert (out[i]["n_bytes"], out[i]["n_removed"], out[i]["n_spans"]) == (len(b), gone.sum(), runs), i
@@ -323,8 +339,12 @@ def test_quality_boilerplate(spark):
     data += [(100 + i, "h", page) for i in range(30)]  # copies of a page aren't boilerplate
     data += [(200 + i, "other", prose(12) + "\n" + notice + "\n" + prose(8)) for i in range(10)]  # at the limit
     data += [(300, None, prose(80)), (301, "h", notice.upper() + "\n" + prose(300))]
-    kept = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()}
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
     assert not any(kept[i] for i in range(12)) and all(v for i, v in kept.items() if i >= 100)
+    cleaned = {r["doc_id"]: r["text"] for r in quality.quality(docs, with_text=True).collect()}
+    for i, host, t in data:
+        assert cleaned[i] == "\n".join(x for x in t.split("\n") if host != "h" or x.lower() != notice.lower())
 
 
 def test_quality_blocks(spark):
