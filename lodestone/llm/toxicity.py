@@ -164,19 +164,21 @@ def _prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def held_out(key: str = "doc_id"):
-    """Rows that are never learnt from."""
-    return F.crc32(F.col(key).cast("string")) % 3 == 1
+    """Rows that are never learnt from; a null id counts as learnt from, though labels never reach it."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
-    """Learns labels.toxic of doc_id from the texts. Held-out ids, null ids and null labels are left out. Without
-    labelled rows all scores are 0; with one label only, all scores are that label."""
+    """Learns labels.toxic of doc_id from the texts. Held-out ids, null ids and null labels are left out; an id that is labelled
+    both ways counts as toxic; documents that repeat an id are each learnt from. Without labelled rows all scores are 0; with
+    one label only, all scores are that label."""
     spark = docs.sparkSession
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     all_n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     parts = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c, most in ((1, max_positive), (0, max_negative))]
     # at most max_positive + max_negative rows of two numbers, whatever the size of the tables
-    sample = F.broadcast(spark.createDataFrame([r for p in parts for r in p.collect()] or [], usable.schema).dropDuplicates(["doc_id"]))
+    sample = F.broadcast(spark.createDataFrame([r for p in parts for r in p.collect()] or [], usable.schema))
     texts = docs.select("doc_id", text_of(text).alias("_text")).join(sample, "doc_id").select("toxic", "_text")
     got = map_texts(texts, "_text", _prepare, "toxic int, own binary, other binary").toArrow()
     labels, own, other = (got.column(c).to_pylist() for c in ("toxic", "own", "other"))
@@ -189,25 +191,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_positive: in
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` with score and predicted; columns of these names are replaced. A null text is scored as an
-    empty one."""
-    others = [c for c in docs.columns if c not in ("score", "predicted")]
+    """The rows of `docs` with score and predicted; columns of these names are replaced, all others stay. A null text is scored as
+    an empty one and stays null; repeated rows are scored one by one; an empty table gives no rows."""
+    others = [c for c in docs.columns if c not in ("score", "predicted", text)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scorers: list = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not scorers:
             scorers.append(shared.value.scorer())
-        got = [scorers[0](t) for t in batch.column("_text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(got, pa.float64())], names=["_row", "score"])
+        got = [scorers[0](t or "") for t in batch.column("_text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), pa.array(got, pa.float64())], names=["_row", "_text", "score"])
 
-    base = docs.select(F.struct(*others).alias("_row"), text_of(text).alias("_text"))
-    out = map_texts(base, "_text", run, f"_row {base.schema['_row'].dataType.simpleString()}, score double")
-    return out.select("_row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    base = docs.select(F.struct(*others).alias("_row"), F.col(text).cast("string").alias("_text"))
+    out = map_texts(base, "_text", run, f"_row {base.schema['_row'].dataType.simpleString()}, _text string, score double")
+    columns = [F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("score", "predicted")]
+    return out.select(*columns, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score(docs.select("doc_id", text_of().alias("text")), model)
+    scored = score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

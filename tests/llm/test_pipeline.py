@@ -44,4 +44,48 @@ def test_stages(spark, tmp_path):
     assert kept[2] == kept[1] - {62, 64} == kept[3] == kept[4]
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/suffix-array dedup").collect()}
     assert passage not in texts[70] and passage not in texts[71] and texts[5] == rows[5][1]
-    assert corpus_pipeline.run(spark, sf).count() == d.count()
+    first, second = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)  # neither has been read yet
+    want = sorted(map(tuple, d.collect()))
+    assert sorted(map(tuple, first.collect())) == want == sorted(map(tuple, second.collect()))
+
+
+def test_passages_of_little_more_than_fifty_words(spark, tmp_path):
+    """Passages of 51 to 60 words, some 290 bytes and more, that two documents share are cut out whole; nothing else is."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghiklmnoprstuéß") for _ in range(rnd.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    data, want = [], {}
+    for k in range(40):
+        passage = prose(51 + k % 10)
+        for i in (2 * k, 2 * k + 1):
+            a, b = f"{i}a{prose(120)}", f"{prose(60)}{i}b"
+            data.append((i, f"{a} {passage} {b}"))
+            want[i] = (a, b, passage)
+    data += [(100 + i, prose(150)) for i in range(20)] + [(200, ""), (201, None), (None, prose(90))]
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t or ""), True) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, n_removed boolean")
+    got = {r["doc_id"]: r for r in corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()}
+    assert len(got) == len(data)
+    for i, (a, b, passage) in want.items():
+        assert got[i]["text"].startswith(a[:-1]) and got[i]["text"].endswith(b[1:]) and len(got[i]["text"]) <= len(a) + len(b) + 2, i
+        assert got[i]["n_chars"] == len(got[i]["text"]) and got[i]["n_removed"] is True
+    assert all(got[i]["text"] == (t or "") for i, t in data if i not in want)
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """Every stage on an empty table, and on null and repeated ids with columns named as the operators'."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept string, score double, _i int, line string, sequence_id long"
+    rnd = random.Random(8)
+    prose = lambda n: " ".join(str(rnd.random())[2:8] for _ in range(n))
+    text = prose(70)
+    odd = [(None, text), (None, prose(80)), (4, prose(60)), (4, prose(60)), (5, text), (5, text), (6, None), (7, "x " * 9000)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for data in ([], [(i, t, None, None, 0, "a", 0.1, 3, "b", 9) for i, t in odd]):
+        docs = spark.createDataFrame(data, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{len(data)}-{name}"
+            docs.write.parquet(path)
+            docs = stage(spark, spark.read.parquet(path), str(tmp_path))
+            if name != "packing":
+                assert dict(docs.dtypes) == dict(spark.read.parquet(path).dtypes)
+        ids = sorted((r["doc_id"] for r in docs.where("start = 0").collect()), key=str)
+        assert ids == ([] if not data else [4, 4, 5, None])
