@@ -7,6 +7,7 @@ one returns the packed pieces. A stage's result is written as Parquet and read a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,42 +15,64 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, packing, quality, scratch, suffix, toxicity
 
-_used: list[str] = []
+#: Bytes of a repeated passage: fewer than any passage of fifty words has, so that one of more is found whole.
+PASSAGE_BYTES = 240
 
+_Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Working tables of stages called by hand: (folder, stage, paths).
+_open: list[tuple[str, str, list[str]]] = []
 
-def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage; first it removes the working tables of the stage before, whose result is written by then."""
 
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.drop(spark, _used)
-        with scratch.scope() as made:
-            out = function(spark, docs, sf_dir)
-        _used.extend(made)
-        return out
+def _stage(after: str | None) -> Callable[[_Stage], _Stage]:
+    """A stage as it is called by hand, one after the other. Its documents are what the stage `after` gave, written by then, so
+    that one's working tables go, unless it has been called more than once meanwhile: then it isn't known whose result has been
+    written. run() calls the plain functions and keeps account itself."""
+
+    def decorate(function: _Stage) -> _Stage:
+        @wraps(function)
+        def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            before = [x for x in _open if x[:2] == (sf_dir, after)]
+            if len(before) == 1:
+                _open.remove(before[0])
+                scratch.drop(spark, before[0][2])
+            with scratch.scope() as made:
+                out = function(spark, docs, sf_dir)
+            _open.append((sf_dir, function.__name__, made))
+            return out
+
+        stage.plain = function
+        return stage
 
-    return stage
+    return decorate
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are among `ids`; a null id counts as a value."""
-    wanted = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+def _as(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """Rows (_others, text) with the columns of `docs`; n_chars follows the text."""
+    out = made.select("_others.*", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
-@_stage
+def _others(docs: DataFrame):
+    """All columns but the text as one, so that no operator's column can clash with them."""
+    return F.struct(*[c for c in docs.columns if c != "text"]).alias("_others")
+
+
+@_stage(None)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or of which boilerplate lines are most, go."""
-    return _only(docs, quality.quality(docs.select("doc_id", "text", "source")).where("kept"))
+    """Lines that many documents of a host share go; documents that fail the base rules, or of which such lines are most, go whole."""
+    return _as(docs, quality.quality(docs.select(_others(docs), "text", "source"), with_text=True).where("kept"))
 
 
-@_stage
+@_stage("quality_rules")
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model is fitted on labelled documents that are still here."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs.select(_others(docs), "text"), model).where("predicted = 0").select("_others.*", "text").select(*docs.columns)
 
 
-@_stage
+@_stage("toxic_documents")
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays, once; null ids stand behind all others. Rows are
     told apart by numbers, which are written down, so null and repeated ids lose nothing."""
@@ -60,16 +83,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
-@_stage
+@_stage("near_duplicates")
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 bytes that stand anywhere else go; documents stay, even if nothing of them is left."""
-    others = [c for c in docs.columns if c != "text"]
-    made = suffix.dedup(docs.select(F.struct(*others).alias("_others"), "text"), "_others", with_text=True)
-    made = made.select("_others.*", F.col("kept_text").alias("text"))
-    return made.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Bytes in strings of PASSAGE_BYTES bytes that stand anywhere else go; documents stay, even if nothing of them is left."""
+    made = suffix.dedup(docs.select(_others(docs), "text"), "_others", length=PASSAGE_BYTES, with_text=True)
+    return _as(docs, made.select("_others", F.col("kept_text").alias("text")))
 
 
-@_stage
+@_stage("repeated_passages")
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids."""
     made = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -89,8 +110,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; every stage's result but the last is a table in the shared folder."""
+    """All stages over the documents. Every stage's result but the last is a table in the shared folder, which goes, with the
+    stage's working tables, as soon as the next one is written. What the result reads stays; several runs don't touch each other."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    written: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch.scope() as made:
+            out = stage.plain(spark, docs, sf_dir)
+        with scratch.scope() as result:
+            docs = scratch.keep(out, name.replace(" ", "-"))
+        scratch.drop(spark, [*made, *written])
+        written = result
+    out = STAGES[-1][1].plain(spark, docs, sf_dir)  # cuts the documents into a table of pieces, which the result reads
+    scratch.drop(spark, written)
+    return out
