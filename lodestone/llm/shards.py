@@ -5,12 +5,13 @@ holds the vocabulary, and an index: a minimal perfect hash that maps each key to
 fingerprint, its first id's place in the shard and its number of ids. A lookup hashes the key, reads one displacement
 and one slot, and compares the fingerprint; a key that isn't in the shard is refused but for one in 2**32.
 
-    magic 8 bytes | n keys u64 | n ids u64 | width u64 | n buckets u64
-    displacements u32[n buckets] | fingerprints u32[n] | keys i64[n] | starts u64[n] | lengths u64[n] | ids
+    magic 8 bytes | n keys, n documents, n without key, n ids, width, n buckets u64
+    displacements u32[n buckets] | fingerprints u32[n keys] | keys i64[n keys] | first documents u64[n keys]
+    numbers of documents u64[n keys] | starts u64[n documents + 1] | ids
 
-Rows with equal keys are one key whose ids follow each other; null keys are one key, the lowest. Files are written under
-a name that holds the task's attempt, and only the files of finished attempts are listed in the returned manifest, so
-a lost or repeated task leaves no trace in what is read.
+Documents of one key stand next to each other, each with its own ids, and may fill several shards; those without a key are
+the first ones. Files are written under a name of their own for each attempt, and only the files of finished attempts are
+listed in the returned manifest, so a lost or repeated task leaves no trace in what is read.
 """
 
 from __future__ import annotations
@@ -30,15 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm import memo, scratch
+from lodestone.llm import memo, scratch, spans
 from lodestone.llm.columns import documents, slices, text_of
 from lodestone.llm.spans import mix
 
-MAGIC, _HEAD = b"LODEIDS1", struct.Struct("<8s4Q")
+MAGIC, _HEAD = b"LODEIDS2", struct.Struct("<8s6Q")
 END_ID = 1
-NO_KEY = -(1 << 63)
 #: Text bytes of one shard, about.
 SHARD_BYTES = 8 << 20
+#: Shards whose numbers of ids are added up in one go, and that are read in one task.
+GROUP, TASK_SHARDS = 1024, 4
 #: Keys that share a displacement, on average.
 PER_BUCKET = 4
 
@@ -93,47 +95,55 @@ class Shard:
     raw: bytes
 
     def __post_init__(self):
-        magic, self.n, self.n_ids, width, n_buckets = _HEAD.unpack_from(self.raw)
+        magic, self.n, self.n_docs, self.n_without, self.n_ids, width, n_buckets = _HEAD.unpack_from(self.raw)
         if magic != MAGIC:
             raise ValueError("not a shard file")
         at = _HEAD.size
-        self.displacements = np.frombuffer(self.raw, "<u4", n_buckets, at)
-        at += 4 * n_buckets
-        self.fingerprints = np.frombuffer(self.raw, "<u4", self.n, at)
-        at += 4 * self.n
-        self.keys, self.starts, self.lengths = (np.frombuffer(self.raw, t, self.n, at + 8 * self.n * i) for i, t in enumerate(("<i8", "<u8", "<u8")))
-        self.ids = np.frombuffer(self.raw, f"<u{width}", self.n_ids, at + 24 * self.n)
+
+        def part(dtype: str, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(self.raw, dtype, n, at)
+            at += out.nbytes
+            return out
+
+        self.displacements, self.fingerprints, self.keys = part("<u4", n_buckets), part("<u4", self.n), part("<i8", self.n)
+        self.first, self.count, self.starts = part("<u8", self.n), part("<u8", self.n), part("<u8", self.n_docs + 1)
+        self.ids = part(f"<u{width}", self.n_ids)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each key: whether it is here, its ids' start in this shard, and their number."""
+        """For each key: whether it is here, its first document's number, and how many documents it has."""
         if not self.n:
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         h, g, fingerprint = _hashes(keys)
         slot = _slot(g, self.displacements[(h % np.uint64(len(self.displacements))).astype(np.int64)], self.n)
-        return self.fingerprints[slot] == fingerprint, self.starts[slot], self.lengths[slot]
+        return self.fingerprints[slot] == fingerprint, self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
+
+    def document(self, i: int) -> np.ndarray:
+        return self.ids[int(self.starts[i]) : int(self.starts[i + 1])]
 
-    def get(self, key: int) -> np.ndarray | None:
-        found, start, length = self.find(np.array([key], np.int64))
-        return self.ids[int(start[0]) : int(start[0] + length[0])] if found[0] else None
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each of a key's documents; none if the key isn't here."""
+        found, first, count = self.find(np.array([key], np.int64))
+        return [self.document(i) for i in range(int(first[0]), int(first[0] + count[0]))] if found[0] else []
 
 
-def pack_shard(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard's bytes, of ascending keys, each one's number of ids, and all ids in a row."""
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    starts = np.cumsum(lengths) - lengths
-    distinct, own_starts = keys[first], starts[first]
-    own_lengths = np.add.reduceat(lengths, first) if len(first) else lengths
+def pack_shard(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, without: int = 0) -> bytes:
+    """A shard's bytes: each document's number of ids, all ids in a row, and the ascending keys of all documents but the first
+    `without`, which have none."""
+    fresh = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    distinct, count = keys[fresh], np.diff(np.concatenate((fresh, [len(keys)])))
     displacements, slots = build_index(distinct)
     by_slot = np.argsort(slots)
     _, _, fingerprints = _hashes(distinct)
     return b"".join(
         [
-            _HEAD.pack(MAGIC, len(distinct), len(ids), ids.dtype.itemsize, len(displacements)),
+            _HEAD.pack(MAGIC, len(distinct), len(lengths), without, len(ids), ids.dtype.itemsize, len(displacements)),
             displacements.astype("<u4").tobytes(),
             fingerprints[by_slot].astype("<u4").tobytes(),
             distinct[by_slot].astype("<i8").tobytes(),
-            own_starts[by_slot].astype("<u8").tobytes(),
-            own_lengths[by_slot].astype("<u8").tobytes(),
+            (fresh + without)[by_slot].astype("<u8").tobytes(),
+            count[by_slot].astype("<u8").tobytes(),
+            np.concatenate(([0], np.cumsum(lengths))).astype("<u8").tobytes(),
             ids.tobytes(),
         ]
     )
@@ -141,65 +151,76 @@ def pack_shard(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
 
 def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes all documents as shards under `path` (a URI that all executors reach) and returns the manifest, a written table:
-    (shard, file, first_key, n_keys, n_ids), shards in ascending order of keys.
+    (shard, file, first_key, last_key, n_docs, n_ids), shards in ascending order of keys.
 
-    Null texts are empty and have the end id only; null keys are stored as the least whole number of 64 bits.
+    Null texts are empty and have the end id only. Null keys come first. Equal keys are ordered by their texts' hashes and
+    may go on in the next shard, so no key decides a shard's size; repeated rows are documents of their own. An empty table
+    gives no shard.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), text_of(text).alias("_text"))
+    base = docs.select(F.col(key).cast("long").alias("_key"), text_of(text).alias("_text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     n = max(1, -(-total // shard_bytes))
-    ordered = base.repartitionByRange(n, "_key").sortWithinPartitions("_key", "_text")
+    order = ["_key", "_hash", "_n"]
+    ordered = base.withColumn("_hash", F.xxhash64("_text")).withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("_key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = memo.encoder(vocabulary)
-        keys, lengths, ids = [], [], []
+        keys, lengths, ids, without = [], [], [], 0
         for batch in batches:
             for part in slices(batch, "_text"):
-                keys.append(np.asarray(part.column("_key")))
+                without += part.column("_key").null_count
+                keys.append(np.asarray(part.column("_key").drop_null(), np.int64))
                 got = [np.append(x, encoder.dtype.type(end_id)) for x in encoder.encode_column(part.column("_text"))]
                 lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
                 ids.append(np.concatenate(got))
         if keys:
-            keys = np.concatenate(keys)
-            ids = np.concatenate(ids)
-            task = TaskContext.get()
-            name = f"{path}/shard-{task.partitionId():06d}-{uuid.uuid4().hex}.ids"
-            store, place = pa.fs.FileSystem.from_uri(name)
+            keys, lengths, ids = np.concatenate(keys), np.concatenate(lengths), np.concatenate(ids)
+            shard = TaskContext.get().partitionId()
+            name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"
+            store, place = pa.fs.FileSystem.from_uri(f"{path}/{name}")
             with store.open_output_stream(place) as out:
-                out.write(pack_shard(keys, np.concatenate(lengths), ids))
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": name.rpartition("/")[2], "first_key": int(keys[0]), "n_keys": len(np.unique(keys)), "n_ids": len(ids)}])
+                out.write(pack_shard(keys, lengths, ids, without))
+            some = [int(keys[i]) for i in (0, -1)] if len(keys) else [None, None]
+            row = {"shard": shard, "file": name, "first_key": some[0], "last_key": some[1], "n_docs": len(lengths), "n_ids": len(ids)}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([(c, pa.string() if c == "file" else pa.int64()) for c in row]))
 
-    jvm, p = spark.sparkContext._jvm, path
-    folder = jvm.org.apache.hadoop.fs.Path(p)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    return scratch.keep(ordered.mapInArrow(run, "shard long, file string, first_key long, n_keys long, n_ids long"), "manifest")
+    return scratch.keep(ordered.mapInArrow(run, "shard long, file string, first_key long, last_key long, n_docs long, n_ids long"), "manifest")
 
 
-def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """One row for each key, read from the files by lookups through their indexes: key, start (ids of all keys before
+def read(path: str, manifest: DataFrame) -> DataFrame:
+    """One row for each document, read from the files by lookups through their indexes: key, start (ids of all documents before
     it), n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
-    # one row for each shard, of thousands of documents: the running sum is small
-    base = manifest.select("file", (F.sum("n_ids").over(W.orderBy("first_key", "shard")) - F.col("n_ids")).alias("base"))
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    grouped = manifest.withColumn("_group", F.expr(f"shard div {GROUP}"))
+    sums = grouped.groupBy("_group").agg(F.sum("n_ids").alias("n"))
+    before = sums.select("_group", (F.sum("n").over(W.orderBy("_group")) - F.col("n")).alias("before"))  # a row for GROUP shards
+    base = F.col("before") + F.sum("n_ids").over(W.partitionBy("_group").orderBy("shard")) - F.col("n_ids")
+    placed = grouped.join(before, "_group").select("shard", "file", base.alias("base"))
+    tasks = max(1, -(-manifest.count() // TASK_SHARDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, before in zip(batch.column("content"), batch.column("base").to_pylist(), strict=True):
-                shard = Shard(raw.as_py())
+            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                store, place = pa.fs.FileSystem.from_uri(f"{path}/{name}")
+                with store.open_input_stream(place) as file:
+                    shard = Shard(file.read())
                 keys = np.sort(shard.keys)
-                found, start, length = shard.find(keys)
-                if not found.all():
+                found, first, count = shard.find(keys)
+                docs = np.concatenate((np.arange(shard.n_without), spans.ragged(first, count)))
+                if not found.all() or len(docs) != shard.n_docs:
                     raise ValueError("a key is missing from its shard's index")
-                crc = [zlib.crc32(shard.ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
-                columns = [keys, start.astype(np.int64) + before, length.astype(np.int64), np.asarray(crc, np.int64)]
+                own = np.concatenate((np.zeros(shard.n_without, np.int64), np.repeat(keys, count)))
+                starts = shard.starts.astype(np.int64)
+                crc = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in docs.tolist()]
+                columns = [pa.array(own, pa.int64(), mask=np.arange(len(docs)) < shard.n_without), starts[docs] + base, starts[docs + 1] - starts[docs], crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    out = files.join(F.broadcast(base), "file").select("content", "base").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("key", F.nullif("key", F.lit(NO_KEY)))
+    return placed.repartition(tasks, "shard").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "ids")
     manifest = write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
-    return read(spark, path, manifest).withColumnRenamed("key", "doc_id")
+    return read(path, manifest).withColumnRenamed("key", "doc_id")

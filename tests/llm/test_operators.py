@@ -253,9 +253,13 @@ def test_perfect_hash_index():
         keys = np.unique(rnd.integers(-(1 << 62), 1 << 62, n))
         _, slots = shards.build_index(keys)
         assert sorted(slots.tolist()) == list(range(len(keys)))
-    lengths = np.arange(1, len(keys) + 1) % 5
-    shard = shards.Shard(shards.pack_shard(keys, lengths, np.arange(lengths.sum()).astype("<u2")))
-    assert shard.get(int(keys[7])).tolist() == list(range(int(lengths[:7].sum()), int(lengths[:8].sum())))
+    keys = np.sort(np.concatenate((keys, keys[5:9], keys[5:9])))
+    lengths = np.arange(3 + len(keys)) % 5
+    ends = np.cumsum(lengths)
+    shard = shards.Shard(shards.pack_shard(keys, lengths, np.arange(lengths.sum()).astype("<u2"), 3))
+    for i in (0, 4, 5, 16, 17, len(keys) - 1):
+        own = np.flatnonzero(keys == keys[i]) + 3
+        assert [x.tolist() for x in shard.get(int(keys[i]))] == [list(range(ends[k] - lengths[k], ends[k])) for k in own]
     found, _, _ = shard.find(rnd.integers(1 << 62, (1 << 63) - 1, 5000))
     assert found.sum() <= 2
 
@@ -264,7 +268,7 @@ def test_binary_output(docs, rows, spark, empty):
     path = scratch.new_path(spark, "shards")
     manifest = shards.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), shard_bytes=2000)
     assert manifest.count() > 3
-    got = {r["key"]: r for r in shards.read(spark, path, manifest).collect()}
+    got = {r["key"]: r for r in shards.read(path, manifest).collect()}
     tokenizer = memo.encoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer
     start = 0
     for i, t in rows:
@@ -272,7 +276,23 @@ def test_binary_output(docs, rows, spark, empty):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     path = scratch.new_path(spark, "none")
-    assert shards.read(spark, path, shards.write(empty, path, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+    assert shards.read(path, shards.write(empty, path, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
+def test_hot_and_repeated_keys_in_shards(spark):
+    """A key with most rows, null keys and the lowest key there is: a row for each document, over several shards."""
+    low = -(1 << 63)
+    data = [(7, f"copy {i % 9} " * 20) for i in range(60)] + [(None, f"none {i}") for i in range(9)] + [(low, "lowest"), (8, ""), (8, None), (9, "x")]
+    path = scratch.new_path(spark, "hot")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    manifest = shards.write(spark.createDataFrame(data, "doc_id long, text string").repartition(3), path, vocabulary, shard_bytes=1500)
+    out = shards.read(path, manifest).orderBy("start").collect()
+    assert manifest.where("first_key = 7 OR last_key = 7").count() > 2
+    assert [r["key"] for r in out] == [None] * 9 + [low] + [7] * 60 + [8, 8, 9]
+    assert [r["start"] for r in out] == [0, *np.cumsum([r["n_tokens"] for r in out])[:-1]]
+    encoder = memo.encoder(vocabulary)
+    want = Counter((k, zlib.crc32(np.append(encoder.encode([t or ""])[0], 1).astype("<u4").tobytes())) for k, t in data)
+    assert Counter((r["key"], r["ids_crc32"]) for r in out) == want
 
 
 def brute_links(rows, percent=80):
@@ -392,8 +412,8 @@ def test_null_keys(spark):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["n_links"]) for r in jaccard.linked(docs).collect())
     assert got == [(-1, 0, -1, 0), (-1, 1, -1, 0), (-1, 116, 7, 1), (7, 116, 7, 1)]
     path = scratch.new_path(spark, "nulls")
-    out = shards.read(spark, path, shards.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))).orderBy("start").collect()
-    assert [r["key"] for r in out] == [None, 7]
+    out = shards.read(path, shards.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r["key"] for r in out] == [None, None, None, 7] and [r["start"] for r in out] == [0, *np.cumsum([r["n_tokens"] for r in out])[:-1]]
     assert suffix.dedup(docs).where("n_removed > 0").count() == 2
     assert len(fingerprint.following(docs.select("doc_id", "text"), "doc_id", "text").collect()) == 4
     assert packing.pack(scratch.keep(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "t")).select("doc_id").distinct().count() == 2
