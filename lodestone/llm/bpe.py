@@ -5,7 +5,8 @@ own list of distinct words, and deals those words out by their hash. Where all b
 encoded once; its ids go back to the blocks, and each text is put together again by position. Neither a frequent word
 nor a large group of equal texts weighs more than one word a block.
 
-Decoding joins the ids with the table of token bytes, which the vocabulary bounds.
+Decoding joins the ids with the table of token bytes, which the vocabulary bounds: ids as rows with the table's rows
+(decode), or blocks of ids with the whole table (op4_byte_bpe).
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm import memo, spans
 from lodestone.llm.columns import documents, text_of
 
-#: Text bytes of a block and, about, of the words that meet in one task.
-BLOCK_BYTES = 4 << 20
+#: Text bytes of a block, and blocks whose words' share meets in one bucket, about.
+BLOCK_BYTES, BUCKET_BLOCKS = 4 << 20, 8
 
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -53,17 +55,19 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-@cache
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' bytes in a row, and each id's start and length there; an id without a token has none."""
-    table = {b: a for a, b in ranks(path).items()}
-    size = np.array([len(table.get(i, b"")) for i in range(max(table) + 1)], np.int64)
-    return np.frombuffer(b"".join(table.get(i, b"") for i in range(len(size))), np.uint8), np.cumsum(size) - size, size
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table of token bytes: (id, bytes), a row for each token of the vocabulary."""
+    return spark.createDataFrame([(i, b) for b, i in ranks(path).items()], "id int, bytes binary")
 
 
-def decode_ids(ids: np.ndarray, path: str) -> bytes:
-    raw, start, size = token_bytes(path)
-    return raw[spans.ragged(start[ids], size[ids])].tobytes()
+def decode_ids(ids: np.ndarray, tokens: pa.StructArray) -> np.ndarray:
+    """The bytes of ids in a row, by a table of tokens (id, bytes) in ascending order of ids."""
+    known = np.asarray(tokens.field("id"))
+    at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
+    if len(ids) and not (len(known) and (known[at] == ids).all()):
+        raise ValueError("an id has no token")
+    raw, start = spans.buffer(tokens.field("bytes"))
+    return raw[spans.ragged(start[at], start[at + 1] - start[at])] if len(ids) else np.zeros(0, np.uint8)
 
 
 def _write_list(items: list[bytes]) -> bytes:
@@ -78,8 +82,8 @@ def _read_list(blob: bytes) -> list[bytes]:
 
 
 def _write_numbers(x: np.ndarray) -> bytes:
-    """Numbers of which small ones are frequent: a byte each, and three more for those from 255."""
-    large = x[x >= 255].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    """Numbers of which small ones are frequent: a byte each, and four more for those from 255."""
+    large = x[x >= 255].astype("<u4").view(np.uint8).reshape(-1, 4)
     return zstandard.compress(struct.pack("<Q", len(x)) + np.minimum(x, 255).astype(np.uint8).tobytes() + large.T.tobytes(), 3)
 
 
@@ -87,8 +91,8 @@ def _read_numbers(blob: bytes) -> np.ndarray:
     raw = zstandard.decompress(blob)
     n = struct.unpack_from("<Q", raw)[0]
     out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
-    planes = np.frombuffer(raw, np.uint8, offset=8 + n).reshape(3, -1).astype(np.int64)
-    out[out == 255] = planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(raw, np.uint8, offset=8 + n).reshape(4, -1).astype(np.int64)
+    out[out == 255] = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
     return out
 
 
@@ -137,9 +141,10 @@ def _bucket(words: list[bytes], n: int) -> np.ndarray:
     return ((spans.Hashes(raw).of(at[:-1], at[1:]) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """finish(ids, positions, counts) of each block, as columns beside each document's key, where ids holds the ids of
-    each of the block's distinct words. It returns one list for each of the columns. Null texts are empty.
+def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, with_tokens: bool = False) -> DataFrame:
+    """finish(ids, positions, counts, tokens) of each block, as columns beside each document's key, where ids holds the ids of
+    each of the block's distinct words, and tokens the token-byte table, joined with each block, if asked for. It returns
+    one list for each of the columns. Null texts are empty; keys may be null, repeated and of any type.
 
     The texts are cut twice, once for the words and once for the positions; writing the positions down in between would
     cost more disk than cutting costs time. A block is named by its content, so that cuts which don't agree (rows in
@@ -148,12 +153,10 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
     base = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
     kind = base.schema["_key"].dataType.simpleString()
     total = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    n_buckets = min(1 << 16, max(16, -(-total // block_bytes)))
-    arrow_key = pa.int64() if kind == "bigint" else pa.string()
+    n_buckets = min(1 << 16, max(16, -(-total // (block_bytes * BUCKET_BLOCKS))))
+    arrow_key = to_arrow_type(base.schema["_key"].dataType)
     position_type = pa.schema([("blk", pa.int64()), ("keys", pa.list_(arrow_key)), ("counts", pa.binary()), ("positions", pa.binary()), ("buckets", pa.binary())])
     word_type = pa.schema([("blk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary())])
-    if kind != "bigint":
-        base = base.withColumn("_key", F.col("_key").cast("string"))
 
     def block(parts: list[pa.RecordBatch], of_words: bool) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -212,7 +215,8 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
     def together(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         if blocks.num_rows == 0:
             raise ValueError("the texts came in another order at the second read; write them as a table first")
-        row = blocks.to_pylist()[0]
+        tokens = blocks.column("tokens").combine_chunks().slice(0, 1).flatten() if with_tokens else None
+        row = blocks.drop_columns(["tokens"] * with_tokens).to_pylist()[0]
         copies = blocks.num_rows  # blocks of equal content
         bucket = np.frombuffer(zstandard.decompress(row["buckets"]), "<u2")
         ids: list = [None] * len(bucket)
@@ -225,15 +229,19 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
             got = _read_ids(blob)
             for i, x in zip(order[starts[b] : starts[b] + len(got)].tolist(), got, strict=True):
                 ids[i] = x
-        made = finish(ids, _read_numbers(row["positions"]), np.frombuffer(row["counts"], "<u4").astype(np.int64))
+        made = finish(ids, _read_numbers(row["positions"]), np.frombuffer(row["counts"], "<u4").astype(np.int64), tokens)
         done = pa.Table.from_arrays([pa.array(row["keys"], arrow_key), *(pa.array(m, t.type) for m, t in zip(made, list(final)[1:], strict=True))], schema=final)
         return pa.concat_tables([done] * copies)
 
     words = base.mapInArrow(lambda it: cut_blocks(it, True), "blk long, bucket int, words binary")
     replies = words.groupBy("bucket").applyInArrow(encode_words, "blk long, bucket int, ids binary")
-    blocks = base.mapInArrow(lambda it: cut_blocks(it, False), f"blk long, keys array<{'bigint' if kind == 'bigint' else 'string'}>, counts binary, positions binary, buckets binary")
-    out = blocks.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(together, f"_key {'bigint' if kind == 'bigint' else 'string'}, {columns}")
-    return out.select(F.col("_key").cast(kind).alias(key), *(n for n, _ in fields))
+    blocks = base.mapInArrow(lambda it: cut_blocks(it, False), f"blk long, keys array<{kind}>, counts binary, positions binary, buckets binary")
+    if with_tokens:  # one row, as large as the vocabulary's file
+        rows = F.sort_array(F.collect_list(F.struct("id", "bytes"))).alias("tokens")
+        table = token_table(docs.sparkSession, vocabulary).agg(rows).withColumn("vocabulary", F.lit(vocabulary))
+        blocks = blocks.withColumn("vocabulary", F.lit(vocabulary)).join(F.broadcast(table), "vocabulary").drop("vocabulary")
+    out = blocks.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(together, f"_key {kind}, {columns}")
+    return out.select(F.col("_key").alias(key), *(n for n, _ in fields))
 
 
 def _write_ids(items: list[bytes]) -> bytes:
@@ -257,7 +265,7 @@ def _read_ids(blob: bytes) -> list[np.ndarray]:
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ids array<int>) of all documents, as the tiktoken library would encode each text without special tokens."""
 
-    def finish(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray):
+    def finish(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray, _):
         flat, bounds = _flat_ids(ids, positions, counts)
         return ([flat[a:b].astype(np.int32) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)],)
 
@@ -267,8 +275,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 def decode(encoded_docs: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows (key, text binary): the ids' bytes in a row, by a join with the token-byte table. Null ids give an empty text; an
     id outside the table is an error."""
-    spark = encoded_docs.sparkSession
-    table = F.broadcast(spark.createDataFrame([(i, b) for b, i in ranks(vocabulary).items()], "id int, bytes binary"))  # bounded by the vocabulary
+    table = F.broadcast(token_table(encoded_docs.sparkSession, vocabulary))  # bounded by the vocabulary
     spread = encoded_docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", key, F.posexplode_outer(ids).alias("_pos", "id"))
     joined = spread.join(table, "id", "left").withColumn("bytes", F.when(F.col("id").isNull(), F.lit(b"")).otherwise(F.expr("coalesce(bytes, raise_error('an id has no token'))")))
     whole = joined.groupBy("_row").agg(F.first(key).alias(key), F.sort_array(F.collect_list(F.struct("_pos", "bytes"))).alias("parts"))
@@ -290,14 +297,14 @@ def _flat_ids(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray)
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def finish(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray):
+    def finish(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray, tokens: pa.StructArray):
         flat, bounds = _flat_ids(ids, positions, counts)
         digits = [str(i).encode() for i in range(int(flat.max()) + 1)] if len(flat) else []
         n, ids_sha, text_sha = np.diff(bounds), [], []
         for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
             own = flat[a:b]
             ids_sha.append(hashlib.sha256(b" ".join(map(digits.__getitem__, own.tolist()))).hexdigest())
-            text_sha.append(hashlib.sha256(decode_ids(own, vocabulary)).hexdigest())
+            text_sha.append(hashlib.sha256(decode_ids(own, tokens)).hexdigest())
         return n, ids_sha, text_sha
 
-    return encoded(documents(spark, sf_dir), vocabulary, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(documents(spark, sf_dir), vocabulary, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", with_tokens=True)
