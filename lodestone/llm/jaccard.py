@@ -7,9 +7,8 @@
 3. Classes that may be linked meet in index lists, one for each shingle of their prefixes. Members of a list are
    ordered by size and cut into blocks by the shingle's position; a block whose positions leave too few shingles is
    skipped as a whole (index-level skipping).
-4. A set that follows a very similar one starts from that one's answers: shared counts can differ by no more than the
-   two sets do, so most are settled without a look at the shingles, and a set that is linked to a member of a
-   component need not be compared with the others of it (answer-level skipping).
+4. A set that follows a very similar one starts from that one's answers: only the lists of the shingles that one of the two
+   lacks are read, and added to or taken from its shared counts (answer-level skipping).
 """
 
 from __future__ import annotations
@@ -77,8 +76,8 @@ def _chunked(table: pa.Table) -> pa.Array:
 
 
 def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Rows (doc, n, a, b, rare, tokens) of all documents: the set's size and a 128-bit sum of it, and for those that may have
-    a link, the shingles in the common order and how many of them no other document has."""
+    """Rows (doc, n, a, b, rare, open, tokens) of all documents: the set's size and a 128-bit sum of it, and for those that may
+    have a link (open), the shingles in the common order and how many of them no other document has."""
     base, n_blocks = exchange.blocks(docs, key, text)
 
     def find(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +97,18 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
         h, ends = own.hashes[order], np.cumsum(n)
         tokens = [h[e - m : e].tobytes() if m and r < p else None for e, m, r, p in zip(ends.tolist(), n.tolist(), rare.tolist(), need.tolist(), strict=True)]
         return pa.Table.from_arrays(
-            [table.column("_key"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rare), pa.array(tokens, pa.binary())],
-            names=["doc", "n", "a", "b", "rare", "tokens"],
+            [table.column("_key"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rare), pa.array([t is not None for t in tokens]), pa.array(tokens, pa.binary())],
+            names=["doc", "n", "a", "b", "rare", "open", "tokens"],
         )
 
     replies = exchange.counted(base, n_blocks, find)
-    return base.groupBy("_blk").cogroup(replies.groupBy("_blk")).applyInArrow(settle, f"doc {base.schema['_key'].dataType.simpleString()}, n long, a long, b long, rare long, tokens binary")
+    return base.groupBy("_blk").cogroup(replies.groupBy("_blk")).applyInArrow(settle, f"doc {base.schema['_key'].dataType.simpleString()}, n long, a long, b long, rare long, open boolean, tokens binary")
 
 
 #: Sets that one task compares, about. A cluster of more is compared in pairs of parts of half as many.
 TASK_SETS = 4000
+#: Classes of copies whose documents aren't shuffled to meet their class, at most.
+HOT_CLASSES = 5000
 #: Answers of so many latest sets are kept to derive later ones from.
 RECENT = 256
 
@@ -235,7 +236,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     # rows are told apart by numbers, so any key may be null, repeated or as large as can be
     found = sets(wanted, key, text, words, percent).withColumnRenamed("doc", "key").withColumn("doc", F.monotonically_increasing_id())
     found = scratch.keep(found, "sets")
-    open_ = found.where("tokens IS NOT NULL")
+    open_ = found.where("open")
     classes = open_.groupBy("n", "a", "b").agg(F.min("doc").alias("rep"), F.min("key").alias("least"), F.count("*").alias("copies"))
     # one document's shingles for each class; ranking before the shuffle keeps a class of many copies small
     first = open_.withColumn("_r", F.row_number().over(W.partitionBy("n", "a", "b").orderBy("doc"))).where("_r = 1").drop("_r")
@@ -266,11 +267,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         joined = graph.components(solved.where("split").select(F.col("doc").alias("u"), F.col("root").alias("v")))
         sums = solved.where("split").groupBy("doc").agg(F.sum("links").alias("links"))
         whole = whole.unionByName(sums.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("root")), "doc"))
-    by_class = classes.join(whole, F.col("rep") == F.col("doc"), "left").select("n", "a", "b", "least", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_class = classes.join(whole, F.col("rep") == F.col("doc"), "left").select("n", "a", "b", "copies", "least", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # null keys are passed over, so a component's is null only where it has no other
     by_class = by_class.join(by_class.groupBy("root").agg(F.min("least").alias("component")), "root").drop("root", "least")
-    done = found.select("key", "n", "a", "b", F.col("tokens").isNotNull().alias("open"))
-    classed = done.where("open").join(by_class, ["n", "a", "b"]).select("key", "n", "component", "n_links")
+    done = found.select("key", "n", "a", "b", "open")
+    # classes of so many copies that there are at most HOT_CLASSES: their documents stay where they are, all others are shuffled
+    least = -(-found.count() // HOT_CLASSES) + 1
+    hot = F.broadcast(by_class.where(F.col("copies") >= least).drop("copies"))
+    cold = by_class.where(F.col("copies") < least).drop("copies")
+    on = ["n", "a", "b"]
+    classed = done.where("open").join(hot, on).unionByName(done.where("open").join(hot.select(*on), on, "left_anti").join(cold, on))
+    classed = classed.select("key", "n", "component", "n_links")
     alone = done.where("NOT open").select("key", "n", F.col("key").alias("component"), F.lit(0).cast("long").alias("n_links"))
     return classed.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 

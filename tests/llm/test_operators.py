@@ -172,8 +172,23 @@ def test_byte_bpe(docs, rows):
     assert back == {i: t or "" for i, t in rows}
 
 
+def test_op4_digests_and_struct_keys(docs, rows, spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    encoding = bpe.encoding(RANKS)
+    for r in bpe.op4_byte_bpe(spark, str(tmp_path)).collect():
+        ids = encoding.encode_ordinary(rows[r["doc_id"]][1] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256((rows[r["doc_id"]][1] or "").encode()).hexdigest()
+    keyed = docs.select(F.struct("doc_id", "lang").alias("k"), "text")
+    assert {r["k"]["doc_id"]: r["ids"] for r in bpe.encode(keyed, RANKS, "k").collect()} == {i: encoding.encode_ordinary(t or "") for i, t in rows}
+    with pytest.raises(ValueError):
+        bpe.decode_ids(np.array([1, 7]), pa.StructArray.from_arrays([pa.array([1], pa.int32()), pa.array([b"a"])], ["id", "bytes"]))
+
+
 def test_numbers_round_trip():
-    for x in ([], [0], [254, 255, 256, 70000, 3], list(range(3000))):
+    for x in ([], [0], [254, 255, 256, 70000, 3, 1 << 25], list(range(3000))):
         assert bpe._read_numbers(bpe._write_numbers(np.array(x, np.int64))).tolist() == x
 
 
@@ -313,8 +328,9 @@ def brute_links(rows, percent=80):
     return sets, linked, component
 
 
-@pytest.mark.parametrize("task_sets", [4, 4000])
-def test_jaccard(docs, rows, task_sets):
+@pytest.mark.parametrize(("task_sets", "hot"), [(4, 5000), (4000, 2)])
+def test_jaccard(docs, rows, task_sets, hot, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_CLASSES", hot)
     sets, links, component = brute_links(rows)
     got = jaccard.linked(docs, task_sets=task_sets).collect()
     assert len(got) == len(rows)
