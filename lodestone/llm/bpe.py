@@ -60,14 +60,25 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, b) for b, i in ranks(path).items()], "id int, bytes binary")
 
 
-def decode_ids(ids: np.ndarray, tokens: pa.StructArray) -> np.ndarray:
-    """The bytes of ids in a row, by a table of tokens (id, bytes) in ascending order of ids."""
-    known = np.asarray(tokens.field("id"))
-    at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
-    if len(ids) and not (len(known) and (known[at] == ids).all()):
+def packed_table(spark: SparkSession, path: str) -> DataFrame:
+    """The same table as one row (vocabulary, sizes, bytes): all tokens' bytes in the order of their ids, compressed."""
+    table = {i: b for b, i in ranks(path).items()}
+    tokens = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
+    row = (path, np.array([len(x) for x in tokens], "<u4").tobytes(), b"".join(tokens))
+    return spark.createDataFrame([(row[0], *(bytearray(zstandard.compress(x, 19)) for x in row[1:]))], "vocabulary string, sizes binary, bytes binary")
+
+
+def unpacked(sizes: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's number of bytes and where they start, and all tokens' bytes."""
+    size = np.frombuffer(zstandard.decompress(sizes), "<u4").astype(np.int64)
+    return size, np.cumsum(size) - size, np.frombuffer(zstandard.decompress(raw), np.uint8)
+
+
+def decode_ids(ids: np.ndarray, size: np.ndarray, start: np.ndarray, raw: np.ndarray) -> bytes:
+    """The bytes of ids in a row, by an unpacked table. No token is empty, so an id without bytes is an error."""
+    if len(ids) and (int(ids.max()) >= len(size) or not size[ids].all()):
         raise ValueError("an id has no token")
-    raw, start = spans.buffer(tokens.field("bytes"))
-    return raw[spans.ragged(start[at], start[at + 1] - start[at])] if len(ids) else np.zeros(0, np.uint8)
+    return raw[spans.ragged(start[ids], size[ids])].tobytes()
 
 
 def _write_list(items: list[bytes]) -> bytes:
@@ -215,8 +226,8 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
     def together(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         if blocks.num_rows == 0:
             raise ValueError("the texts came in another order at the second read; write them as a table first")
-        tokens = blocks.column("tokens").combine_chunks().slice(0, 1).flatten() if with_tokens else None
-        row = blocks.drop_columns(["tokens"] * with_tokens).to_pylist()[0]
+        row = blocks.to_pylist()[0]
+        tokens = unpacked(row["sizes"], row["bytes"]) if with_tokens else None
         copies = blocks.num_rows  # blocks of equal content
         bucket = np.frombuffer(zstandard.decompress(row["buckets"]), "<u2")
         ids: list = [None] * len(bucket)
@@ -237,9 +248,7 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
     replies = words.groupBy("bucket").applyInArrow(encode_words, "blk long, bucket int, ids binary")
     blocks = base.mapInArrow(lambda it: cut_blocks(it, False), f"blk long, keys array<{kind}>, counts binary, positions binary, buckets binary")
     if with_tokens:  # one row, as large as the vocabulary's file
-        rows = F.sort_array(F.collect_list(F.struct("id", "bytes"))).alias("tokens")
-        table = token_table(docs.sparkSession, vocabulary).agg(rows).withColumn("vocabulary", F.lit(vocabulary))
-        blocks = blocks.withColumn("vocabulary", F.lit(vocabulary)).join(F.broadcast(table), "vocabulary").drop("vocabulary")
+        blocks = blocks.withColumn("vocabulary", F.lit(vocabulary)).join(F.broadcast(packed_table(docs.sparkSession, vocabulary)), "vocabulary").drop("vocabulary")
     out = blocks.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(together, f"_key {kind}, {columns}")
     return out.select(F.col("_key").alias(key), *(n for n, _ in fields))
 
@@ -297,14 +306,14 @@ def _flat_ids(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray)
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def finish(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray, tokens: pa.StructArray):
+    def finish(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray, tokens: tuple[np.ndarray, np.ndarray, np.ndarray]):
         flat, bounds = _flat_ids(ids, positions, counts)
         digits = [str(i).encode() for i in range(int(flat.max()) + 1)] if len(flat) else []
         n, ids_sha, text_sha = np.diff(bounds), [], []
         for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
             own = flat[a:b]
             ids_sha.append(hashlib.sha256(b" ".join(map(digits.__getitem__, own.tolist()))).hexdigest())
-            text_sha.append(hashlib.sha256(decode_ids(own, tokens)).hexdigest())
+            text_sha.append(hashlib.sha256(decode_ids(own, *tokens)).hexdigest())
         return n, ids_sha, text_sha
 
     return encoded(documents(spark, sf_dir), vocabulary, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", with_tokens=True)

@@ -184,7 +184,7 @@ def test_op4_digests_and_struct_keys(docs, rows, spark, tmp_path):
     keyed = docs.select(F.struct("doc_id", "lang").alias("k"), "text")
     assert {r["k"]["doc_id"]: r["ids"] for r in bpe.encode(keyed, RANKS, "k").collect()} == {i: encoding.encode_ordinary(t or "") for i, t in rows}
     with pytest.raises(ValueError):
-        bpe.decode_ids(np.array([1, 7]), pa.StructArray.from_arrays([pa.array([1], pa.int32()), pa.array([b"a"])], ["id", "bytes"]))
+        bpe.decode_ids(np.array([1, 0]), np.array([0, 1]), np.array([0, 0]), np.array([97], np.uint8))
 
 
 def test_numbers_round_trip():
