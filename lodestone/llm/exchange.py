@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.columns import text_of
 
 BLOCK_BYTES = 4 << 20
-#: Blocks whose keys' share one bucket counts; and keys that are sorted at a time there.
+#: Blocks whose keys' share one bucket counts, where a block has few keys; and keys that are sorted at a time there.
 BUCKET_BLOCKS, AT_A_TIME = 16, 1 << 20
 
 
@@ -32,10 +32,10 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes
     return base.withColumn("_blk", F.pmod(F.xxhash64("_key", "_text"), F.lit(n)).cast("int")), n
 
 
-def buckets(n_blocks: int) -> int:
-    """How many buckets count the keys of so many blocks: each gets about BUCKET_BLOCKS blocks' worth. A row goes from each
+def buckets(n_blocks: int, bucket_blocks: int = BUCKET_BLOCKS) -> int:
+    """How many buckets count the keys of so many blocks: each gets about bucket_blocks blocks' worth. A row goes from each
     block to each bucket, so at terabytes larger blocks should be chosen."""
-    return max(16, -(-n_blocks // BUCKET_BLOCKS))
+    return max(16, -(-n_blocks // bucket_blocks))
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -67,10 +67,10 @@ def write_counts(counts: np.ndarray, dtype: type) -> bytes:
     return zstandard.compress(np.minimum(counts, np.iinfo(dtype).max).astype(dtype).tobytes(), 1)
 
 
-def counted(base: DataFrame, n_blocks: int, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint8) -> DataFrame:
+def counted(base: DataFrame, n_blocks: int, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint8, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
     """Rows (_blk, bucket, counts). find(block) gives a block's distinct keys, ascending, and how often it has each. The
     counts of all blocks together come back for the same keys: read_counts() puts a block's rows in order."""
-    n_buckets = buckets(n_blocks)
+    n_buckets = buckets(n_blocks, bucket_blocks)
 
     def deal(table: pa.Table) -> pa.Table:
         keys, counts = find(table)
@@ -89,13 +89,13 @@ def answer(dealt: DataFrame, dtype: type = np.uint8) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         keys = [unpack(k) for k in table.column("keys").to_pylist()]
         counts = [np.frombuffer(zstandard.decompress(c), dtype) for c in table.column("counts").to_pylist()]
-        totals = [np.empty(len(k), np.int64) for k in keys]
+        totals, most = [np.empty(len(k), dtype) for k in keys], np.iinfo(dtype).max
         for own in _ranges(keys):
             _, inverse = np.unique(np.concatenate([k[x:y] for k, (x, y) in zip(keys, own, strict=True)]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([c[x:y] for c, (x, y) in zip(counts, own, strict=True)]))[inverse]
             ends = np.cumsum([0, *(y - x for x, y in own)]).tolist()
             for t, (x, y), a, b in zip(totals, own, ends, ends[1:], strict=False):
-                t[x:y] = total[a:b]
+                t[x:y] = np.minimum(total[a:b], most)
         asks = np.asarray(table.column("_blk")) >= 0
         replies = [write_counts(t, dtype) for t, ask in zip(totals, asks.tolist(), strict=True) if ask]
         table = table.filter(pa.array(asks))

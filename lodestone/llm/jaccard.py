@@ -101,12 +101,14 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
             names=["doc", "n", "a", "b", "rare", "open", "tokens"],
         )
 
-    replies = exchange.counted(base, n_blocks, find)
+    replies = exchange.counted(base, n_blocks, find, bucket_blocks=BUCKET_BLOCKS)
     return base.groupBy("_blk").cogroup(replies.groupBy("_blk")).applyInArrow(settle, f"doc {base.schema['_key'].dataType.simpleString()}, n long, a long, b long, rare long, open boolean, tokens binary")
 
 
 #: Sets that one task compares, about. A cluster of more is compared in pairs of parts of half as many.
 TASK_SETS = 4000
+#: Blocks whose shingles' share one bucket counts.
+BUCKET_BLOCKS = 6
 #: Classes of copies whose documents aren't shuffled to meet their class, at most.
 HOT_CLASSES = 5000
 #: Answers of so many latest sets are kept to derive later ones from.
