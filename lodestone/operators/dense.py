@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from lodestone.operators.best import pick, question_blocks, slices
+
+
+def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id", key: str = "vec_id") -> DataFrame:
+    """(by, key, score): at least the k best of all vectors (key, embedding) for each stated question (by, vector), and no more than
+    k for each block of vectors; lexical.ranked() takes the k best of these. The score is the scalar product, which is the
+    cosine of unit vectors. Null vectors are passed over; all vectors have one length."""
+    by_type, key_type = (df.schema[c].dataType for df, c in ((questions, by), (vectors, key)))
+    schema = pa.schema([(by, to_arrow_type(by_type)), (key, to_arrow_type(key_type)), ("score", pa.float64())])
 
-from lodestone.functions.text import dot
+    def part(block: list) -> DataFrame:
+        names = [r[by] for r in block]
+        asked = np.array([r["vector"] for r in block], float)
 
-#: So many question vectors are sent to every task at most; more are compared in blocks by a distributed join.
-MOST_QUESTIONS = 4096
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in slices(batch):
+                    own = some.column("embedding")
+                    matrix = np.asarray(own.flatten(), float).reshape(len(own), -1)
+                    scores = np.round(matrix @ asked.T, 6)
+                    row, question = pick(scores, np.ones(scores.shape, bool), np.asarray(some.column(key)), k)
+                    columns = [pa.array([names[q] for q in question.tolist()], schema.field(0).type), some.column(key).take(pa.array(row)), pa.array(scores[row, question])]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+        return vectors.select(key, "embedding").where("embedding IS NOT NULL").mapInArrow(run, f"{by} {by_type.simpleString()}, {key} {key_type.simpleString()}, score double")
 
-def similarities(vectors: DataFrame, questions: DataFrame, by: str = "item_id", key: str = "vec_id") -> DataFrame:
-    """(by, key, score) of all vectors (key, embedding) for the stated questions (by, vector): the scalar product, which is
-    the cosine of unit vectors."""
-    asked = questions.select(by, F.col("vector"))
-    if asked.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS:
-        asked = F.broadcast(asked)
-    return vectors.crossJoin(asked).select(by, key, F.round(dot(F.col("embedding"), F.col("vector")), 6).alias("score"))
+    blocks = list(question_blocks(questions.select(by, "vector").where("vector IS NOT NULL"), by))
+    return reduce(DataFrame.unionByName, [part(b) for b in blocks if b] or [part([])])

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import tokens
+from lodestone.operators.best import pick, question_blocks, slices
 
 K1, B = 1.5, 0.75
-#: Distinct tokens of all questions that are sent to every task, at most; more are joined by a shuffle.
-MOST_TERMS = 1_000_000
 
 
 def ranked(scores: DataFrame, k: int, by: str = "item_id", key: str = "doc_id") -> DataFrame:
@@ -19,22 +25,73 @@ def ranked(scores: DataFrame, k: int, by: str = "item_id", key: str = "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(corpus: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", by: str = "item_id") -> DataFrame:
-    """(by, key, score) of all rows that share a token with a question. Only tokens of questions are shuffled: the corpus is
-    cut down to them before anything is counted."""
-    cut = corpus.select(key, tokens(F.col(text)).alias("t"))
-    stats = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))  # one row
+def topk(corpus: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", text: str = "text", by: str = "item_id", within: str | None = None) -> DataFrame:
+    """(by, key, score), and `within` if given: at least the k best rows for each question by BM25, of each value of `within` if
+    given, among all rows that share a token with the question, and no more than k for each block of rows; ranked() takes the
+    k best of these.
+
+    Frequencies are counted over the whole corpus first, by partial counts of the questions' terms only. Then each block of rows is
+    scored against all questions at once: a frequent term is one row of numbers, not a join key.
+    """
+    cut = corpus.select(key, *[within] * bool(within), tokens(F.col(text)).alias("t"))
     asked = questions.select(by, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    terms = asked.select("term").distinct()
-    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:  # then the corpus is cut down before it is shuffled
-        terms = F.broadcast(terms)
-    found = cut.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
-    tf = found.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    parts = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return parts.groupBy(by, key).agg(F.round(F.sum(weight), 6).alias("score"))
+    by_type, key_type = (df.schema[c].dataType for df, c in ((questions, by), (corpus, key)))
+    names = [by, key, *[within] * bool(within), "score"]
+    types = [by_type, key_type, *[corpus.schema[within].dataType for _ in [0] if within]]
+    schema = pa.schema([*((n, to_arrow_type(t)) for n, t in zip(names, types, strict=False)), ("score", pa.float64())])
+    ddl = ", ".join(f"{n} {t.simpleString()}" for n, t in zip(names, types, strict=False)) + ", score double"
+    spark = corpus.sparkSession
+
+    def part(block: list) -> DataFrame:
+        items = list(dict.fromkeys(r[by] for r in block))
+        number, wanted = {x: i for i, x in enumerate(items)}, defaultdict(list)
+        for r in block:
+            wanted[r["term"]].append(number[r[by]])
+        terms = {t: i for i, t in enumerate(sorted(wanted))}
+        of = [np.array(wanted[t]) for t in terms]
+        # one row for each term of the block's questions
+        known = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
+        counted = cut.select(F.explode(F.array_distinct("t")).alias("term")).join(known, "term", "left_semi").groupBy("term").count()
+        df = np.zeros(len(terms))
+        for r in counted.collect():
+            df[terms[r["term"]]] = r["count"]
+        n, mean = cut.agg(F.count("*"), F.avg(F.size("t"))).first()
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+        def score(some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            """Scores of rows for questions, and which of them share a term."""
+            lists = some.column("t")
+            length = np.asarray(lists.value_lengths(), np.int64)
+            coded = lists.flatten().dictionary_encode()
+            term = np.array([terms.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(lists)), length)[term >= 0]
+            pairs, tf = np.unique(term[term >= 0] * len(lists) + row, return_counts=True)  # by term, then row
+            term, row = np.divmod(pairs, max(1, len(lists)))
+            weight = idf[term] * tf / (tf + K1 * (1 - B + B * length[row] / mean))
+            scores = np.zeros((len(lists), len(items)))
+            edges = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1], [True]))) if len(term) else np.zeros(1, np.int64)
+            for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+                scores[np.ix_(row[a:b], of[term[a]])] += weight[a:b, None]
+            return np.round(scores, 6), scores > 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in slices(batch):
+                    groups = [np.arange(some.num_rows)]
+                    if within:
+                        own = np.asarray(some.column(within).dictionary_encode(null_encoding="encode").indices)
+                        groups = [np.flatnonzero(own == g) for g in np.unique(own)]
+                    scores, shared = score(some)
+                    keys = np.asarray(some.column(key))
+                    for g in groups:
+                        row, question = pick(scores[g], shared[g], keys[g], k)
+                        at = pa.array(g[row])
+                        columns = [pa.array([items[q] for q in question.tolist()], schema.field(0).type), *(some.column(c).take(at) for c in names[1:-1]), pa.array(scores[g[row], question])]
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        return cut.mapInArrow(run, ddl)
+
+    return reduce(DataFrame.unionByName, [part(b) for b in question_blocks(asked, by)])
 
 
 def coverage(hits: DataFrame, question: str = "question", text: str = "text") -> DataFrame:

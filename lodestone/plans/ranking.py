@@ -52,19 +52,19 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark")
 
 
-def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25(table(spark, sf, "documents"), _questions(spark, sf))
+def _bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return lexical.topk(table(spark, sf, "documents"), _questions(spark, sf), k)
 
 
-def _dense(spark: SparkSession, sf: str) -> DataFrame:
+def _dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
     v = table(spark, sf, "embeddings")
     asked = _questions(spark, sf).join(v, F.col("vec_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("vector"))
-    return dense.similarities(v, asked).withColumnRenamed("vec_id", "doc_id")
+    return dense.topk(v, asked, k).withColumnRenamed("vec_id", "doc_id")
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda df, name: lexical.ranked(df, POOL).withColumn("list", F.lit(name))
-    return one(_bm25(spark, sf), "bm25").unionByName(one(_dense(spark, sf), "dense"))
+    return one(_bm25(spark, sf, POOL), "bm25").unionByName(one(_dense(spark, sf, POOL), "dense"))
 
 
 BM25_SQL = r"""
@@ -97,16 +97,16 @@ hits AS (SELECT item_id, doc_id, score, rank, lang, source, CASE WHEN lang = 'es
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(_bm25(spark, sf), TOP)
+    return lexical.ranked(_bm25(spark, sf, TOP), TOP)
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(_dense(spark, sf), TOP)
+    return lexical.ranked(_dense(spark, sf, TOP), TOP)
 
 
 def vector_only_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Without a docstore there is no lexical list: the dense pool as it is, scores not fused."""
-    return lexical.ranked(_dense(spark, sf), POOL)
+    return lexical.ranked(_dense(spark, sf, POOL), POOL)
 
 
 def _fusion(mode: str):
@@ -256,8 +256,8 @@ SELECT *, 'Document ' || doc_id AS title FROM (SELECT *, row_number() OVER (PART
 
 def query_code(spark: SparkSession, sf: str) -> DataFrame:
     """Every repository's best chunks for each question, without a docs stage."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("repo"))
-    scored = _bm25(spark, sf).join(d, "doc_id").withColumn("place", F.concat_ws("/", F.col("item_id").cast("string"), "repo"))
+    d = table(spark, sf, "documents").withColumnRenamed("source", "repo")
+    scored = lexical.topk(d, _questions(spark, sf), TOP, within="repo").withColumn("place", F.concat_ws("/", F.col("item_id").cast("string"), "repo"))
     return lexical.ranked(scored, TOP, "place").select("item_id", "repo", "doc_id", "score", "rank")
 
 
@@ -303,7 +303,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score
 
 def retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     """For each question, the first of its five best hits that holds the question's text, and whether that is among three."""
-    top = lexical.ranked(_bm25(spark, sf), 5).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    top = lexical.ranked(_bm25(spark, sf, 5), 5).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     asked = _questions(spark, sf).withColumnRenamed("text", "question")
     found = asked.join(top, "item_id", "left").groupBy("item_id").agg(F.min(F.when(F.col("text").contains(F.col("question")), F.col("rank"))).alias("best_rank"))
     return found.withColumn("passed", F.coalesce(F.col("best_rank") <= 3, F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone import config
 from lodestone.functions import parse
 from lodestone.functions import text as tx
-from lodestone.operators import delta, fuse, integrity, lexical, links, registry, route, select, tree
+from lodestone.operators import delta, dense, fuse, integrity, lexical, links, registry, route, select, tree
 from lodestone.plans import catalog
 from lodestone.sources import pages
 from lodestone.streaming import delta as stream
@@ -61,7 +61,24 @@ def test_html(spark):
 def test_bm25_orders_by_match(spark):
     docs = spark.createDataFrame([(1, "red fox jumps"), (2, "red red wine"), (3, "blue sky"), (4, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(9, "red fox"), (8, "zz")], "item_id long, text string")
-    assert [(r["doc_id"], r["rank"]) for r in lexical.ranked(lexical.bm25(docs, asked), 8).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert [(r["doc_id"], r["rank"]) for r in lexical.ranked(lexical.topk(docs, asked, 8), 8).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert [r["doc_id"] for r in lexical.ranked(lexical.topk(docs, asked, 1), 1).collect()] == [1]
+    assert lexical.topk(docs, asked.limit(0), 3).count() == 0 == lexical.topk(docs.limit(0), asked, 3).count()
+
+
+def test_blocks_of_rows_and_questions(spark, monkeypatch):
+    """Many blocks give what one gives; ties go to the lowest keys, and each value of `within` has its own best."""
+    words = ["red", "fox", "sky", "sea", "oak", "the"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 6] for j in range(1, 2 + i % 4)), f"g{i % 3}") for i in range(60)], "doc_id long, text string, g string").repartition(4)
+    asked = spark.createDataFrame([(i, f"{words[i % 6]} the") for i in range(9)], "item_id long, text string")
+    vectors = docs.selectExpr("doc_id AS vec_id", "array(doc_id % 7, doc_id % 3) AS embedding")
+    turned = asked.selectExpr("item_id", "array(1, item_id) AS vector")
+    run = lambda: (rows(lexical.ranked(lexical.topk(docs, asked, 4), 4)), rows(lexical.topk(docs, asked, 60, within="g")), rows(lexical.ranked(dense.topk(vectors, turned, 4), 4, key="vec_id")))
+    whole = run()
+    best = sorted((-(v % 7 + q * (v % 3)), v) for q in [5] for v in range(60))[:4]
+    assert [(-r[2], r[1]) for r in sorted(whole[2], key=lambda r: r[3]) if r[0] == 5] == best
+    monkeypatch.setattr("lodestone.operators.best.MOST_QUESTIONS", 2)
+    assert run() == whole
 
 
 @pytest.mark.parametrize("mode", fuse.MODES)
