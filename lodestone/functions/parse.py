@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
 
+#: Keys of metadata, titles of endpoints and databases, headings of controller sections.
+_KEY = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:"
 _VERB = r"^(GET|POST|PUT|PATCH|DELETE)\s"
+_BRACKET = r"\[[^\]]+\]\s*$"
+_SECTION, _NEXT, _NAME = r"^##\s+Controllers\s*$", r"^##\s+\S", r"^###\s+(?=.)"
 
 
 def metadata(markdown: Column) -> Column:
@@ -16,7 +20,7 @@ def metadata(markdown: Column) -> Column:
     line = F.get(F.filter(F.slice(F.split(markdown, "\n"), 1, 3), lambda x: x.contains("**Metadata**")), F.lit(0))
     rest = F.regexp_replace(F.regexp_replace(line, r"^.*?\*\*Metadata\*\*", ""), r"^\s*[—:-]\s*", "")
     segments = F.split(F.replace(rest, F.lit("\\_"), F.lit("_")), r"\s*·\s*")
-    pairs = F.transform(segments, lambda s: F.struct(F.regexp_extract(s, r"^\s*(\w+)\s*:", 1).alias("k"), F.regexp_extract_all(s, F.lit("`([^`]*)`"), F.lit(1)).alias("v")))
+    pairs = F.transform(segments, lambda s: F.struct(F.regexp_extract(s, _KEY, 1).alias("k"), F.regexp_extract_all(s, F.lit("`([^`]*)`"), F.lit(1)).alias("v")))
     good = F.filter(pairs, lambda p: (p["k"] != "") & (F.size(p["v"]) > 0))
     last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["k"] == p["k"]))
     return F.when(F.size(last) > 0, F.map_from_entries(last))
@@ -34,7 +38,7 @@ def page_type(meta: Column, title: Column, parent_title: Column) -> Column:
         .when(one(meta, "endpoint_id").isNotNull(), "endpoint")
         .when(one(meta, "store").isNotNull() & one(meta, "collection").isNotNull(), "db-collection")
         .when(one(meta, "repoType").isNotNull(), "repo-registry")
-        .when(title.rlike(r"\[[^\]]+\]$"), "db-collection")
+        .when(title.rlike(_BRACKET), "db-collection")
         .when(title.endswith("· Technical Hub"), "technical-hub")
         .when(title.rlike(_VERB), "endpoint")
         .when(parent_title == "Features", "feature-hub")
@@ -51,8 +55,8 @@ def joined_id(kind: str, *parts: Column) -> Column:
 
 def controller_sections(markdown: Column) -> Column:
     """The sections under "## Controllers", as an array of (name, text) in their order."""
-    block = F.regexp_extract(markdown, r"(?s)(?:^|\n)## Controllers[^\n]*\n(.*?)(?=\n## |\z)", 1)
-    parts = F.split(F.concat(F.lit("\n"), block), r"\n### ")
+    block = F.regexp_extract(markdown, rf"(?dms){_SECTION}(.*?)(?={_NEXT}|\z)", 1)
+    parts = F.split(block, f"(?dm){_NAME}")
     return F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(strip(F.substring_index(p, "\n", 1)).alias("name"), strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("text")))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of a chunk, at most, and what marks a longer one as cut.
+#: Characters of a chunk, at most, and what marks a longer one as cut.
 MAX_CHUNK_CHARS = 8000
 TRUNCATION_MARK = "\n\n_[... truncated]_"
 #: Words of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
+#: Ids that name a repository, and citations of a file's line.
 _STABLE_ID = r"^(ep|ctrl)::([^:]+)::"
 _CITATION = r"\b([\w.]+\.cs):(\d+)\b"
 

@@ -45,3 +45,13 @@ def pick(scores: np.ndarray, present: np.ndarray, keys: np.ndarray, k: int) -> t
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, ROWS):
         yield batch.slice(at, ROWS)
+
+
+def groups(batch: pa.RecordBatch, within: str | None) -> Iterator[np.ndarray]:
+    """The rows of each value of a column; all rows without one."""
+    if within is None:
+        yield np.arange(batch.num_rows)
+    else:
+        own = np.asarray(batch.column(within).dictionary_encode(null_encoding="encode").indices)
+        for value in np.unique(own):
+            yield np.flatnonzero(own == value)

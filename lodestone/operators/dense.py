@@ -10,15 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.operators.best import pick, question_blocks, slices
+from lodestone.operators.best import groups, pick, question_blocks, slices
 
 
-def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id", key: str = "vec_id") -> DataFrame:
-    """(by, key, score): at least the k best of all vectors (key, embedding) for each stated question (by, vector), and no more than
-    k for each block of vectors; lexical.ranked() takes the k best of these. The score is the scalar product, which is the
+def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id", key: str = "vec_id", within: str | None = None) -> DataFrame:
+    """(by, key, score), and `within` if given: at least the k best of all vectors (key, embedding) for each stated question (by,
+    vector), of each value of `within` if given, and no more than k for each block of vectors; lexical.ranked() takes the k best
+    of these. The score is the scalar product, which is the
     cosine of unit vectors. Null vectors are passed over; all vectors have one length."""
     by_type, key_type = (df.schema[c].dataType for df, c in ((questions, by), (vectors, key)))
-    schema = pa.schema([(by, to_arrow_type(by_type)), (key, to_arrow_type(key_type)), ("score", pa.float64())])
+    fields = [(by, by_type), (key, key_type), *((within, vectors.schema[within].dataType) for _ in [0] if within)]
+    schema = pa.schema([*((n, to_arrow_type(t)) for n, t in fields), ("score", pa.float64())])
+    ddl = ", ".join(f"{n} {t.simpleString()}" for n, t in fields) + ", score double"
+    names_in = [n for n, _ in fields[1:]]
 
     def part(block: list) -> DataFrame:
         names = [r[by] for r in block]
@@ -30,11 +34,13 @@ def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id",
                     own = some.column("embedding")
                     matrix = np.asarray(own.flatten(), float).reshape(len(own), -1)
                     scores = np.round(matrix @ asked.T, 6)
-                    row, question = pick(scores, np.ones(scores.shape, bool), np.asarray(some.column(key)), k)
-                    columns = [pa.array([names[q] for q in question.tolist()], schema.field(0).type), some.column(key).take(pa.array(row)), pa.array(scores[row, question])]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    keys = np.asarray(some.column(key))
+                    for g in groups(some, within):
+                        row, question = pick(scores[g], np.ones(scores[g].shape, bool), keys[g], k)
+                        columns = [pa.array([names[q] for q in question.tolist()], schema.field(0).type), *(some.column(c).take(pa.array(g[row])) for c in names_in), pa.array(scores[g[row], question])]
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        return vectors.select(key, "embedding").where("embedding IS NOT NULL").mapInArrow(run, f"{by} {by_type.simpleString()}, {key} {key_type.simpleString()}, score double")
+        return vectors.select(*names_in, "embedding").where("embedding IS NOT NULL").mapInArrow(run, ddl)
 
     blocks = list(question_blocks(questions.select(by, "vector").where("vector IS NOT NULL"), by))
     return reduce(DataFrame.unionByName, [part(b) for b in blocks if b] or [part([])])

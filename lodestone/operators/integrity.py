@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import MAX_CHUNK_CHARS, TRUNCATION_MARK, strip_end
 
 #: The forms of stable ids.
-ENDPOINT_ID = r"^ep::[^:\s]+::\S+$"
-CONTROLLER_ID = r"^ctrl::[^:\s]+::[A-Za-z0-9_.]+$"
-DB_ID = r"^db::[^:\s]+::\S+$"
+CONTROLLER_ID = r"^ctrl::[^:\s\[\]'\"/\\]+::[^:\s\[\]'\"/\\]+$"
+ENDPOINT_ID = r"^ep::[^:\s\[\]'\"/\\]+::[^:\s\[\]'\"/\\{}]+$"
+DB_ID = r"^db::[^:\s\[\]'\"/\\]+::[^:\s\[\]'\"/\\]+$"
 NEAR_CAP = 0.8
 
 
@@ -74,13 +74,14 @@ def _of(chunks: DataFrame, doc_type: str) -> DataFrame:
 
 
 def references(chunks: DataFrame) -> DataFrame:
-    """Rules across chunks: dangling and one-sided links, unreferenced databases, features without hubs."""
+    """Rules across chunks: dangling and one-sided links, unreferenced databases, features without hubs. Malformed ids neither
+    refer to anything nor are referred to."""
     ep, ctrl, db = _of(chunks, "endpoint"), _of(chunks, "controller-context"), _of(chunks, "db-collection")
-    to_ctrl = ep.where(F.col("controller_id").rlike(CONTROLLER_ID)).select(F.col("node_id").alias("place"), "controller_id", "endpoint_id")
-    to_db = ep.select(F.col("node_id").alias("place"), F.explode(_ids("db_ids")).alias("db_id"))
+    to_ctrl = ep.where(F.col("controller_id").rlike(CONTROLLER_ID) & ~_missing("endpoint_id")).select(F.col("node_id").alias("place"), "controller_id", "endpoint_id")
+    to_db = ep.select(F.col("node_id").alias("place"), F.explode(_ids("db_ids")).alias("db_id")).where(F.col("db_id").rlike(DB_ID))
     back = ctrl.select(F.col("node_id").alias("place"), "controller_id", F.explode(_ids("used_by")).alias("endpoint_id"))
     known = ctrl.select("controller_id").distinct()
-    used = ep.select(F.explode(_ids("feature")).alias("feature")).distinct()
+    used = chunks.where(F.col("doc_type").isin("endpoint", "technical-hub")).select(F.explode(_ids("feature")).alias("feature")).distinct()
 
     def finding(rows: DataFrame, severity: str, place: str, text: str, value: str) -> DataFrame:
         return rows.select(F.lit(severity).alias("severity"), F.col(place).alias("place"), F.concat(F.lit(text), F.col(value)).alias("message"))
@@ -90,11 +91,11 @@ def references(chunks: DataFrame) -> DataFrame:
 
     parts = [
         finding(to_ctrl.join(known, "controller_id", "left_anti"), "error", "place", "no controller ", "controller_id"),
-        finding(to_db.where(F.col("db_id").rlike(DB_ID)).join(db.select("db_id").distinct(), "db_id", "left_anti"), "error", "place", "no database ", "db_id"),
-        finding(back.join(ep.select("endpoint_id").distinct(), "endpoint_id", "left_anti"), "warn", "place", "no endpoint ", "endpoint_id"),
+        finding(to_db.join(db.select("db_id").distinct(), "db_id", "left_anti"), "error", "place", "no database ", "db_id"),
+        finding(back.join(ep.where(F.col("endpoint_id").rlike(ENDPOINT_ID)).select("endpoint_id").distinct(), "endpoint_id", "left_anti"), "warn", "place", "no endpoint ", "endpoint_id"),
         finding(to_ctrl.join(known, "controller_id", "left_semi").join(back.select("controller_id", "endpoint_id").distinct(), ["controller_id", "endpoint_id"], "left_anti"), "error", "place", "not listed by ", "controller_id"),
         finding(back.join(to_ctrl.select("controller_id", "endpoint_id").distinct(), ["controller_id", "endpoint_id"], "left_anti"), "warn", "place", "lists, but is not used by ", "endpoint_id"),
-        finding(db.join(to_db.select("db_id").distinct(), "db_id", "left_anti"), "warn", "node_id", "unreferenced ", "db_id"),
+        finding(db.where(~_missing("db_id")).join(to_db.select("db_id").distinct(), "db_id", "left_anti"), "warn", "node_id", "unreferenced ", "db_id"),
         finding(without_hub("feature-hub"), "warn", "feature", "no feature hub for ", "feature"),
         finding(without_hub("technical-hub"), "error", "feature", "no technical hub for ", "feature"),
     ]

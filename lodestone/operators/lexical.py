@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import tokens
-from lodestone.operators.best import pick, question_blocks, slices
+from lodestone.operators.best import groups, pick, question_blocks, slices
 
 K1, B = 1.5, 0.75
 
@@ -77,13 +77,9 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", t
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for some in slices(batch):
-                    groups = [np.arange(some.num_rows)]
-                    if within:
-                        own = np.asarray(some.column(within).dictionary_encode(null_encoding="encode").indices)
-                        groups = [np.flatnonzero(own == g) for g in np.unique(own)]
                     scores, shared = score(some)
                     keys = np.asarray(some.column(key))
-                    for g in groups:
+                    for g in groups(some, within):
                         row, question = pick(scores[g], shared[g], keys[g], k)
                         at = pa.array(g[row])
                         columns = [pa.array([items[q] for q in question.tolist()], schema.field(0).type), *(some.column(c).take(at) for c in names[1:-1]), pa.array(scores[g[row], question])]

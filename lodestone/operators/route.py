@@ -11,10 +11,11 @@ from lodestone.operators.fuse import min_max
 
 
 def derive(hits: DataFrame, by: str = "item_id") -> DataFrame:
-    """(by, repo, files, symbols) from hits (by, ids, content): the repositories in the ids of a hit and of its citations; its
-    cited files and the last parts of its ids are hints for each of them."""
+    """(by, repo, files, symbols) from hits (by, ids, content): the repositories in the ids of a hit, its own first, and of its
+    citations; its cited files and the last part of its own id, if that names a repository, are hints for each of them."""
     repos = F.array_distinct(F.filter(F.transform("ids", repo_of), lambda r: r.isNotNull()))
-    symbols = F.transform("ids", lambda i: F.element_at(F.split(i, "::"), -1))
+    own = F.get("ids", F.lit(0))
+    symbols = F.when(repo_of(own).isNotNull(), F.array(F.element_at(F.split(own, "::"), -1))).otherwise(F.array().cast("array<string>"))
     spread = hits.select(by, cited_files(F.col("content")).alias("files"), symbols.alias("symbols"), F.explode(repos).alias("repo"))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     return spread.groupBy(by, "repo").agg(union("files").alias("files"), union("symbols").alias("symbols"))

@@ -44,7 +44,7 @@ def boost(hits: DataFrame, hints: list[str], factor: float, *columns: str) -> Da
         return hits
     place = F.lower(F.concat_ws("|", *columns))
     hit = F.exists(F.array(*map(F.lit, wanted)), lambda h: place.contains(h))
-    return hits.withColumn("score", F.round(F.col("score") * F.when(hit, factor).otherwise(1.0), 6))
+    return hits.withColumn("score", F.col("score") * F.when(hit, factor).otherwise(1.0))
 
 
 def reorder(hits: DataFrame, order: list[str], category_column: str, by: str = "item_id") -> DataFrame:

@@ -100,7 +100,7 @@ def used_by_xref(spark: SparkSession, sf: str) -> DataFrame:
 
 
 USED_BY_SQL = f"""WITH {ENTITY_SQL} SELECT 'ctrl::' || n_name || '::' || c_custkey AS controller_id, count(endpoint_id) AS n, coalesce(string_agg(endpoint_id, ',' ORDER BY endpoint_id), '') AS used_by
-FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN base ON o_custkey = c_custkey GROUP BY 1"""
+FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN base ON controller_id = 'ctrl::' || n_name || '::' || c_custkey GROUP BY 1"""
 
 
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +273,7 @@ def _findings_sql(rules: list[tuple[str, str, str]], where: str, more: str = "")
     return f"WITH {ENTITY_SQL} " + " UNION ALL ".join(parts) + more
 
 
-_EP, _CTRL, _DB = integrity.ENDPOINT_ID, integrity.CONTROLLER_ID, integrity.DB_ID
+_EP, _CTRL, _DB = (p.replace("'", "''") for p in (integrity.ENDPOINT_ID, integrity.CONTROLLER_ID, integrity.DB_ID))
 EP_SQL = _findings_sql(
     [
         ("error", "endpoint_id missing", "coalesce(endpoint_id, '') = ''"),
@@ -292,12 +292,12 @@ DB_SQL = _findings_sql([*[("error", f"{c} missing", f"coalesce({c}, '') = ''") f
 CTRL_SQL = _findings_sql([("error", "controller_id missing", "coalesce(controller_id, '') = ''"), ("error", "controller_id malformed", f"controller_id <> '' AND NOT regexp_matches(controller_id, '{_CTRL}')"), ("warn", "used_by empty", "len(used_by) = 0")], "doc_type = 'controller-context'")
 HUB_SQL = _findings_sql([("error", "feature empty", "len(feature) = 0")], "doc_type LIKE '%hub'")
 XREF_BODY = f"""ep AS (SELECT * FROM chunks WHERE doc_type = 'endpoint'), c AS (SELECT * FROM chunks WHERE doc_type = 'controller-context'), d AS (SELECT * FROM chunks WHERE doc_type = 'db-collection'),
-td AS (SELECT node_id, unnest(db_ids) AS db_id FROM ep), back AS (SELECT node_id, controller_id, unnest(used_by) AS endpoint_id FROM c), used AS (SELECT DISTINCT unnest(feature) AS f FROM ep),
+td AS (SELECT * FROM (SELECT node_id, unnest(db_ids) AS db_id FROM ep) WHERE regexp_matches(db_id, '{_DB}')), epc AS (SELECT * FROM ep WHERE regexp_matches(controller_id, '{_CTRL}')), back AS (SELECT node_id, controller_id, unnest(used_by) AS endpoint_id FROM c), used AS (SELECT DISTINCT unnest(feature) AS f FROM chunks WHERE doc_type IN ('endpoint', 'technical-hub')),
 xref AS (SELECT 'error' AS severity, node_id AS place, 'no controller ' || controller_id AS message FROM ep WHERE regexp_matches(controller_id, '{_CTRL}') AND controller_id NOT IN (SELECT controller_id FROM c)
-UNION ALL SELECT 'error', node_id, 'no database ' || db_id FROM td WHERE regexp_matches(db_id, '{_DB}') AND db_id NOT IN (SELECT db_id FROM d)
-UNION ALL SELECT 'warn', node_id, 'no endpoint ' || endpoint_id FROM back WHERE endpoint_id NOT IN (SELECT endpoint_id FROM ep)
-UNION ALL SELECT 'error', node_id, 'not listed by ' || controller_id FROM ep WHERE controller_id IN (SELECT controller_id FROM c) AND NOT EXISTS (SELECT 1 FROM back b WHERE b.controller_id = ep.controller_id AND b.endpoint_id = ep.endpoint_id)
-UNION ALL SELECT 'warn', node_id, 'lists, but is not used by ' || endpoint_id FROM back b WHERE NOT EXISTS (SELECT 1 FROM ep WHERE b.controller_id = ep.controller_id AND b.endpoint_id = ep.endpoint_id)
+UNION ALL SELECT 'error', node_id, 'no database ' || db_id FROM td WHERE db_id NOT IN (SELECT db_id FROM d)
+UNION ALL SELECT 'warn', node_id, 'no endpoint ' || endpoint_id FROM back WHERE endpoint_id NOT IN (SELECT endpoint_id FROM ep WHERE regexp_matches(endpoint_id, '{_EP}'))
+UNION ALL SELECT 'error', node_id, 'not listed by ' || controller_id FROM epc WHERE controller_id IN (SELECT controller_id FROM c) AND NOT EXISTS (SELECT 1 FROM back b WHERE b.controller_id = epc.controller_id AND b.endpoint_id = epc.endpoint_id)
+UNION ALL SELECT 'warn', node_id, 'lists, but is not used by ' || endpoint_id FROM back b WHERE NOT EXISTS (SELECT 1 FROM epc WHERE b.controller_id = epc.controller_id AND b.endpoint_id = epc.endpoint_id)
 UNION ALL SELECT 'warn', node_id, 'unreferenced ' || db_id FROM d WHERE db_id NOT IN (SELECT db_id FROM td)
 UNION ALL SELECT 'warn', f, 'no feature hub for ' || f FROM used WHERE f NOT IN (SELECT unnest(feature) FROM chunks WHERE doc_type = 'feature-hub')
 UNION ALL SELECT 'error', f, 'no technical hub for ' || f FROM used WHERE f NOT IN (SELECT unnest(feature) FROM chunks WHERE doc_type = 'technical-hub'))"""
@@ -360,7 +360,7 @@ def route_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ROUTE_BODY = f"""WITH {ENTITY_SQL}, reg AS (SELECT n_name AS repo FROM nation WHERE n_regionkey <> 0), ep AS (SELECT * FROM chunks WHERE doc_type = 'endpoint'),
-sym AS (SELECT controller_id AS item_id, repo, split_part(unnest(list_concat([endpoint_id, controller_id], db_ids)), '::', 3) AS s FROM ep),
+sym AS (SELECT controller_id AS item_id, repo, split_part(endpoint_id, '::', 3) AS s FROM ep),
 ss AS (SELECT item_id, repo, string_agg(DISTINCT s, ',' ORDER BY s) AS symbols FROM sym GROUP BY 1, 2),
 fs AS (SELECT controller_id AS item_id, repo, string_agg(DISTINCT regexp_extract(content, '\\b([\\w.]+\\.cs):(\\d+)\\b', 1), ',' ORDER BY regexp_extract(content, '\\b([\\w.]+\\.cs):(\\d+)\\b', 1)) AS files FROM ep GROUP BY 1, 2),
 good AS (SELECT item_id, repo, false AS fallback, files, symbols FROM ss JOIN fs USING (item_id, repo) WHERE repo IN (SELECT repo FROM reg)),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import CodeIndex, Retrieval
-from lodestone.operators import dense, fuse, lexical, rerank, route, select
+from lodestone.operators import dense, fuse, lexical, links, rerank, route, select
 from lodestone.sources.tables import document_chunks, table
 
 CONFIG = Retrieval(quotas={"fr": 2, "de": 1, "es": 1})
@@ -193,7 +193,7 @@ def hint_boost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 HINT_SQL = f"""WITH {POOL_SQL},
-b AS (SELECT item_id, doc_id, round(score * CASE WHEN contains(lower(source || '|' || lang), 'src1') OR contains(lower(source || '|' || lang), 'de') THEN 1.5 ELSE 1.0 END, 6) AS score FROM hits)
+b AS (SELECT item_id, doc_id, score * CASE WHEN contains(lower(source || '|' || lang), 'src1') OR contains(lower(source || '|' || lang), 'de') THEN 1.5 ELSE 1.0 END AS score FROM hits)
 {_ranked_sql("b", TOP)}"""
 
 
@@ -255,14 +255,43 @@ SELECT *, 'Document ' || doc_id AS title FROM (SELECT *, row_number() OVER (PART
 
 
 def query_code(spark: SparkSession, sf: str) -> DataFrame:
-    """Every repository's best chunks for each question, without a docs stage."""
-    d = table(spark, sf, "documents").withColumnRenamed("source", "repo")
-    scored = lexical.topk(d, _questions(spark, sf), TOP, within="repo").withColumn("place", F.concat_ws("/", F.col("item_id").cast("string"), "repo"))
-    return lexical.ranked(scored, TOP, "place").select("item_id", "repo", "doc_id", "score", "rank")
-
-
-QUERY_CODE_SQL = f"""WITH {BM25_SQL} SELECT * FROM (SELECT item_id, source AS repo, doc_id, score, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS rank
-FROM bm25 JOIN documents USING (doc_id)) WHERE rank <= {TOP}"""
+    """Every repository's chunks for each question, without a docs stage: both lists of the repository fused, hinted chunks
+    boosted, categories under their quotas and character floors, in the order of priorities, with the parent's summary (here the
+    start of the first of ten documents) where the parent isn't selected itself."""
+    d = table(spark, sf, "documents").withColumnRenamed("source", "repo").withColumn("text", F.coalesce("text", F.lit("")))
+    v = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    asked = _questions(spark, sf).join(v, F.col("doc_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("vector"))
+    of_repo = v.select("doc_id", "embedding").join(d.select("doc_id", "repo"), "doc_id")
+    place = F.concat_ws("/", F.col("item_id").cast("string"), "repo")
+    one = lambda df, name: lexical.ranked(df.withColumn("place", place), POOL, "place").withColumn("list", F.lit(name))
+    lists = one(lexical.topk(d, _questions(spark, sf), POOL, within="repo"), "bm25").unionByName(one(dense.topk(of_repo, asked, POOL, key="doc_id", within="repo"), "dense"))
+    pool = lexical.ranked(fuse.fuse(lists, CODE.fusion, by="place"), POOL, "place").drop("rank").join(d, "doc_id")
+    hits = select.boost(pool, HINTS, CODE.hint_boost, "repo", "lang").withColumn("chars", F.char_length("text"))
+    heading = F.when(F.col("repo") == "src0", F.concat("repo", F.lit(CODE.overview_suffix))).otherwise(F.col("repo"))
+    hits = hits.withColumn("category", select.category(heading, F.col("lang"), CODE.category_map, CODE.overview_suffix))
+    best = select.quota(hits, CODE.quotas, CODE.top_k, "category", by="place", min_chars=CODE.min_category_chars, extra=CODE.min_category_extra, chars="chars")
+    best = select.reorder(best, list(CODE.priority_order), "lang", by="place").drop("text")
+    parents = d.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("summary"))
+    shown = links.parent_summaries(best.withColumn("chunk_id", F.col("doc_id")).withColumn("parent_id", F.col("doc_id") - F.col("doc_id") % 10), parents, "place")
+    return shown.select(F.element_at(F.split("place", "/"), 1).cast("long").alias("item_id"), "repo", "doc_id", "category", "score", "rank", "parent_summary")
+
+
+CODE_QUERY_SQL = f"""{BM25_SQL}, {DENSE_SQL},
+both_ AS (SELECT item_id, doc_id, source AS repo, score, 'bm25' AS list FROM bm25 JOIN documents USING (doc_id) UNION ALL SELECT item_id, doc_id, source, score, 'dense' FROM dense JOIN documents USING (doc_id)),
+kl AS (SELECT *, row_number() OVER (PARTITION BY item_id, repo, list ORDER BY score DESC, doc_id) AS rank FROM both_),
+kf AS (SELECT item_id, repo, doc_id, round(sum(1 / (60 + rank - 1)), 6) AS score FROM kl WHERE rank <= {POOL} GROUP BY 1, 2, 3),
+kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, repo ORDER BY score DESC, doc_id) AS rank FROM kf) WHERE rank <= {POOL}),
+kb AS (SELECT item_id, repo, doc_id, lang, length(coalesce(text, '')) AS chars, score * CASE WHEN contains(lower(repo || '|' || lang), 'src1') OR contains(lower(repo || '|' || lang), 'de') THEN 1.5 ELSE 1.0 END AS score,
+              CASE WHEN repo = 'src0' THEN 'other' WHEN lang IN ('fr', 'de') THEN 'guide' WHEN lang = 'es' THEN 'note' ELSE 'other' END AS category FROM kp JOIN documents USING (doc_id)),
+kn AS (SELECT *, CASE category WHEN 'guide' THEN 2 WHEN 'note' THEN 1 ELSE 0 END AS quota, row_number() OVER w AS rn,
+              coalesce(sum(chars) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kb WINDOW w AS (PARTITION BY item_id, repo, category ORDER BY score DESC, doc_id)),
+kg AS (SELECT *, rn <= quota OR (quota > 0 AND rn <= quota + 2 AND before < 4000) AS guaranteed FROM kn),
+kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, repo ORDER BY guaranteed DESC, score DESC, doc_id) AS r FROM kg) WHERE r <= {TOP}),
+code_ AS (SELECT item_id, repo, doc_id, category, score, row_number() OVER (PARTITION BY item_id, repo ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, r) AS rank,
+                 CASE WHEN NOT EXISTS (SELECT 1 FROM kr x WHERE x.item_id = kr.item_id AND x.repo = kr.repo AND x.doc_id = kr.doc_id - kr.doc_id % 10)
+                      THEN (SELECT left(coalesce(p.text, ''), 40) FROM documents p WHERE p.doc_id = kr.doc_id - kr.doc_id % 10) END AS parent_summary FROM kr)
+"""
+QUERY_CODE_SQL = f"WITH {CODE_QUERY_SQL} SELECT * FROM code_"
 
 
 def code_score_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,8 +299,7 @@ def code_score_merge(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.ranked(merged, TOP).select("item_id", "repo", "doc_id", "score", "rank")
 
 
-MERGE_SQL = f"""WITH {BM25_SQL}, c AS (SELECT * FROM (SELECT item_id, source AS repo, doc_id, score, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS r
-FROM bm25 JOIN documents USING (doc_id)) WHERE r <= {TOP}),
+MERGE_SQL = f"""WITH {CODE_QUERY_SQL}, c AS (SELECT item_id, repo, doc_id, score FROM code_),
 n AS (SELECT item_id, count(DISTINCT repo) AS n FROM c GROUP BY 1),
 s AS (SELECT item_id, repo, doc_id, CASE WHEN n = 1 THEN score ELSE round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) END AS score
       FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM c WINDOW w AS (PARTITION BY item_id)) JOIN n USING (item_id))
@@ -289,15 +317,14 @@ def deep_query(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.ranked(route.merge_repos(code), TOP).select("item_id", "repo", "doc_id", "fallback", "score", "rank")
 
 
-DEEP_SQL = HYBRID_SQL.replace("\nSELECT *, 'Document '", ",\ndocs AS (SELECT *, 'Document '", 1) + f"""),
+DEEP_SQL = HYBRID_SQL.replace(f"WITH {BM25_SQL}, {DENSE_SQL}", f"WITH {CODE_QUERY_SQL}", 1).replace("\nSELECT *, 'Document '", ",\ndocs AS (SELECT *, 'Document '", 1) + f"""),
 reg AS (SELECT DISTINCT source AS repo FROM documents WHERE lang = 'en'),
 der AS (SELECT DISTINCT item_id, source AS repo FROM docs JOIN documents USING (doc_id) WHERE source IN (SELECT repo FROM reg)),
 routed AS (SELECT item_id, repo, false AS fallback FROM der UNION ALL SELECT item_id, repo, true FROM benchmark CROSS JOIN reg WHERE item_id NOT IN (SELECT item_id FROM der)),
-k AS (SELECT * FROM (SELECT item_id, source AS repo, doc_id, score, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS r FROM bm25 JOIN documents USING (doc_id)) WHERE r <= {TOP}),
-kr AS (SELECT k.*, fallback FROM k JOIN routed USING (item_id, repo)),
-n AS (SELECT item_id, count(DISTINCT repo) AS n FROM kr GROUP BY 1),
+kc AS (SELECT item_id, repo, doc_id, score, fallback FROM code_ JOIN routed USING (item_id, repo)),
+n AS (SELECT item_id, count(DISTINCT repo) AS n FROM kc GROUP BY 1),
 sc AS (SELECT item_id, repo, doc_id, fallback, CASE WHEN n = 1 THEN score ELSE round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) END AS score
-      FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM kr WINDOW w AS (PARTITION BY item_id)) JOIN n USING (item_id))
+      FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM kc WINDOW w AS (PARTITION BY item_id)) JOIN n USING (item_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {TOP}"""
 
 

@@ -25,12 +25,15 @@ def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as endpoints, customers as controllers, parts as databases, priorities as features.
 
     Some of what a real knowledge base lacks is lacking here too: furniture customers and parts of size 1 have no chunk,
-    pending orders no route, and finished orders aren't listed by their controller."""
+    pending orders no route, and finished orders aren't listed by their controller. Some ids are malformed (orders by 97, customers
+by 89, parts by 83), parts of size 2 have no store, those of size 3 no type, and one feature hub has no feature."""
     t = lambda name: table(spark, sf_dir, name)
     s = lambda c: F.col(c).cast("string")
+    bad = lambda c, n, a, b: F.when(F.col(c) % n == 0, F.concat(F.lit(a), s(c), F.lit(b))).otherwise(s(c))
+    order_id, customer_id, part_id = bad("o_orderkey", 97, "{", "}"), lambda c: bad(c, 89, "[", "]"), bad("p_partkey", 83, "/", "")
     base = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    base = base.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("n_name").alias("repo"), F.concat_ws("::", F.lit("ep"), "n_name", s("o_orderkey")).alias("endpoint_id"), F.concat_ws("::", F.lit("ctrl"), "n_name", s("o_custkey")).alias("controller_id"))
-    dbs = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", F.concat_ws("::", F.lit("db"), "p_brand", s("p_partkey")).alias("db_id"))
+    base = base.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("n_name").alias("repo"), F.concat_ws("::", F.lit("ep"), "n_name", order_id).alias("endpoint_id"), F.concat_ws("::", F.lit("ctrl"), "n_name", customer_id("o_custkey")).alias("controller_id"))
+    dbs = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", F.concat_ws("::", F.lit("db"), "p_brand", part_id).alias("db_id"))
     dbs = dbs.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("db_id")).alias("db_ids"))
     none = F.array().cast("array<string>")
     title = F.concat(F.lit("Order "), s("o_orderkey"))
@@ -56,7 +59,7 @@ def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("title"),
         F.concat(F.lit("# "), "c_name", F.lit("\n\n"), "c_mktsegment").alias("content"),
         F.col("n_name").alias("repo"),
-        F.concat_ws("::", F.lit("ctrl"), "n_name", s("c_custkey")).alias("controller_id"),
+        F.concat_ws("::", F.lit("ctrl"), "n_name", customer_id("c_custkey")).alias("controller_id"),
         F.coalesce("used_by", none).alias("used_by"),
     )
     db = t("part").where("p_size > 1").select(
@@ -65,17 +68,17 @@ def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("part-"), s("p_partkey")).alias("page_id"),
         F.col("p_name").alias("title"),
         F.concat(F.lit("# "), "p_name", F.lit("\n\n"), "p_type").alias("content"),
-        F.col("p_brand").alias("store"),
-        F.col("p_type").alias("type"),
+        F.when(F.col("p_size") != 2, F.col("p_brand")).alias("store"),
+        F.when(F.col("p_size") == 3, "").otherwise(F.col("p_type")).alias("type"),
         s("p_partkey").alias("db_collection"),
-        F.concat_ws("::", F.lit("db"), "p_brand", s("p_partkey")).alias("db_id"),
+        F.concat_ws("::", F.lit("db"), "p_brand", part_id).alias("db_id"),
     )
     features = t("orders").select("o_orderpriority").distinct()
 
     def hub(kind: str, collection: str, without: str) -> DataFrame:
         p = F.col("o_orderpriority")
         return features.where(p != without).select(
-            F.lit(kind).alias("doc_type"), F.lit(collection).alias("collection"), F.concat(F.lit(kind + "-"), p).alias("page_id"), p.alias("title"), F.concat(F.lit("# "), p).alias("content"), F.array(p).alias("feature")
+            F.lit(kind).alias("doc_type"), F.lit(collection).alias("collection"), F.concat(F.lit(kind + "-"), p).alias("page_id"), p.alias("title"), F.concat(F.lit("# "), p).alias("content"), F.when((F.lit(kind) == "feature-hub") & (p == "3-MEDIUM"), none).otherwise(F.array(p)).alias("feature")
         )
 
     parts = [ep, ctrl, db, hub("feature-hub", "functional", "5-LOW"), hub("technical-hub", "technical", "1-URGENT")]
@@ -87,10 +90,10 @@ def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same chunks in SQL, as common table expressions that end in `chunks`.
 ENTITY_SQL = """
-base AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, n_name AS repo, 'ep::' || n_name || '::' || o_orderkey AS endpoint_id,
-                'ctrl::' || n_name || '::' || o_custkey AS controller_id
+base AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, n_name AS repo, 'ep::' || n_name || '::' || CASE WHEN o_orderkey % 97 = 0 THEN '{' || o_orderkey || '}' ELSE o_orderkey::VARCHAR END AS endpoint_id,
+                'ctrl::' || n_name || '::' || CASE WHEN o_custkey % 89 = 0 THEN '[' || o_custkey || ']' ELSE o_custkey::VARCHAR END AS controller_id
          FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
-dbs AS (SELECT l_orderkey AS o_orderkey, list(DISTINCT 'db::' || p_brand || '::' || p_partkey ORDER BY 'db::' || p_brand || '::' || p_partkey) AS db_ids
+dbs AS (SELECT l_orderkey AS o_orderkey, list(DISTINCT 'db::' || p_brand || '::' || CASE WHEN p_partkey % 83 = 0 THEN '/' || p_partkey ELSE p_partkey::VARCHAR END ORDER BY 'db::' || p_brand || '::' || CASE WHEN p_partkey % 83 = 0 THEN '/' || p_partkey ELSE p_partkey::VARCHAR END) AS db_ids
         FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
 listed AS (SELECT o_custkey, list(DISTINCT endpoint_id ORDER BY endpoint_id) AS used_by FROM base WHERE o_orderstatus <> 'F' GROUP BY 1),
 parts AS (
@@ -102,16 +105,16 @@ parts AS (
     FROM base LEFT JOIN dbs USING (o_orderkey)
     UNION ALL BY NAME
     SELECT 'controller-context' AS doc_type, 'technical' AS collection, 'repo-' || n_name AS page_id, c_name AS title,
-           '# ' || c_name || chr(10) || chr(10) || c_mktsegment AS content, n_name AS repo, 'ctrl::' || n_name || '::' || c_custkey AS controller_id,
+           '# ' || c_name || chr(10) || chr(10) || c_mktsegment AS content, n_name AS repo, 'ctrl::' || n_name || '::' || CASE WHEN c_custkey % 89 = 0 THEN '[' || c_custkey || ']' ELSE c_custkey::VARCHAR END AS controller_id,
            coalesce(used_by, []::VARCHAR[]) AS used_by
     FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN listed ON o_custkey = c_custkey WHERE c_mktsegment <> 'FURNITURE'
     UNION ALL BY NAME
     SELECT 'db-collection' AS doc_type, 'technical' AS collection, 'part-' || p_partkey AS page_id, p_name AS title,
-           '# ' || p_name || chr(10) || chr(10) || p_type AS content, p_brand AS store, p_type AS type, p_partkey::VARCHAR AS db_collection,
-           'db::' || p_brand || '::' || p_partkey AS db_id
+           '# ' || p_name || chr(10) || chr(10) || p_type AS content, CASE WHEN p_size <> 2 THEN p_brand END AS store, CASE WHEN p_size = 3 THEN '' ELSE p_type END AS type, p_partkey::VARCHAR AS db_collection,
+           'db::' || p_brand || '::' || CASE WHEN p_partkey % 83 = 0 THEN '/' || p_partkey ELSE p_partkey::VARCHAR END AS db_id
     FROM part WHERE p_size > 1
     UNION ALL BY NAME
-    SELECT 'feature-hub' AS doc_type, 'functional' AS collection, 'feature-hub-' || p AS page_id, p AS title, '# ' || p AS content, [p] AS feature
+    SELECT 'feature-hub' AS doc_type, 'functional' AS collection, 'feature-hub-' || p AS page_id, p AS title, '# ' || p AS content, CASE WHEN p = '3-MEDIUM' THEN []::VARCHAR[] ELSE [p] END AS feature
     FROM (SELECT DISTINCT o_orderpriority AS p FROM orders) WHERE p <> '5-LOW'
     UNION ALL BY NAME
     SELECT 'technical-hub' AS doc_type, 'technical' AS collection, 'technical-hub-' || p AS page_id, p AS title, '# ' || p AS content, [p] AS feature

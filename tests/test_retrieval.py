@@ -37,7 +37,7 @@ def test_page_type_order(spark):
         ("**Metadata** — endpoint_id: `e` · store: `s` · collection: `c`", "t", None, "endpoint"),
         ("**Metadata** — store: `s` · collection: `c`", "t", None, "db-collection"),
         ("**Metadata** — repoType: `r`", "t", None, "repo-registry"),
-        ("-", "users [mongo]", "Features", "db-collection"),
+        ("-", "users [mongo]  ", "Features", "db-collection"),
         ("-", "A · Technical Hub", "Features", "technical-hub"),
         ("-", "POST /x", "Features", "endpoint"),
         ("-", "A", "Features", "feature-hub"),
@@ -49,7 +49,7 @@ def test_page_type_order(spark):
 
 def test_controller_sections(spark):
     md = "# R\n## Controllers\nintro\n### A\none\ntwo\n### B\n\n## Next\n### C\nno"
-    got = spark.createDataFrame([(md,), ("none",), ("## Controllers\n### Last\nend",)], "m string").select(parse.controller_sections(F.col("m"))).collect()
+    got = spark.createDataFrame([(md,), ("## Controllers of X\n### A\nno",), ("x\n##  Controllers \n\n###\tLast\nend\n##  Next\n### B\nno",)], "m string").select(parse.controller_sections(F.col("m"))).collect()
     assert [[tuple(s) for s in r[0]] for r in got] == [[("A", "one\ntwo"), ("B", "")], [], [("Last", "end")]]
 
 
@@ -135,7 +135,7 @@ def test_routing(spark):
     hits = spark.createDataFrame([(1, ["ep::r1::op", "db::m::c"], "see a.cs:12 and b.cs:3"), (1, ["ctrl::gone::C"], ""), (2, ["db::m::c"], "z.cs:1")], "item_id long, ids array<string>, content string")
     registered = spark.createDataFrame([("r1",), ("r2",)], "repo string")
     got = route.route(route.derive(hits), registered, hits)
-    assert rows(got) == [(1, "r1", False, ["a.cs", "b.cs"], ["c", "op"]), (2, "r1", True, [], []), (2, "r2", True, [], [])]
+    assert rows(got) == [(1, "r1", False, ["a.cs", "b.cs"], ["op"]), (2, "r1", True, [], []), (2, "r2", True, [], [])]
     none = spark.createDataFrame([], "item_id long, repo string")
     assert all(r[2] for r in route.pinned(none, registered, hits).collect())
 
@@ -215,5 +215,11 @@ def test_config(tmp_path):
         config.load(str(tmp_path / "c.json"))
 
 
+def test_forms_of_ids(spark):
+    data = [("ep::r::{x}", "ctrl::r::Foo-Bar", "db::m::c"), ("ep::r::x", "ctrl::r::a b", "db::m::c/d"), ("ep::r::'x'", "ctrl::r", "db::[m]::c"), ("ep::r::a-b.c", "ctrl::r::C:d", "db::m::\"c\"")]
+    good = spark.createDataFrame(data, "e string, c string, d string").select(F.col("e").rlike(integrity.ENDPOINT_ID), F.col("c").rlike(integrity.CONTROLLER_ID), F.col("d").rlike(integrity.DB_ID))
+    assert [tuple(r) for r in good.collect()] == [(False, True, True), (True, False, False), (False, False, False), (True, False, False)]
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE) and len(catalog.QUERIES) >= 54
