@@ -19,7 +19,7 @@ def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id",
     of these. The score is the scalar product, which is the
     cosine of unit vectors. Null vectors are passed over; all vectors have one length."""
     by_type, key_type = (df.schema[c].dataType for df, c in ((questions, by), (vectors, key)))
-    fields = [(by, by_type), (key, key_type), *((within, vectors.schema[within].dataType) for _ in [0] if within)]
+    fields = [(by, by_type), (key, key_type), *((c, vectors.schema[c].dataType) for c in [within] if c)]
     schema = pa.schema([*((n, to_arrow_type(t)) for n, t in fields), ("score", pa.float64())])
     ddl = ", ".join(f"{n} {t.simpleString()}" for n, t in fields) + ", score double"
     names_in = [n for n, _ in fields[1:]]

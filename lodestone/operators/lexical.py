@@ -33,14 +33,17 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", t
     Frequencies are counted over the whole corpus first, by partial counts of the questions' terms only. Then each block of rows is
     scored against all questions at once: a frequent term is one row of numbers, not a join key.
     """
-    cut = corpus.select(key, *[within] * bool(within), tokens(F.col(text)).alias("t"))
+    spark = corpus.sparkSession
+    some = corpus.select(key, *[within] * bool(within), text)
+    if some.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # one small file would keep one core busy
+        some = some.repartition(spark.sparkContext.defaultParallelism)
+    cut = some.select(key, *[within] * bool(within), tokens(F.col(text)).alias("t"))
     asked = questions.select(by, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     by_type, key_type = (df.schema[c].dataType for df, c in ((questions, by), (corpus, key)))
     names = [by, key, *[within] * bool(within), "score"]
-    types = [by_type, key_type, *[corpus.schema[within].dataType for _ in [0] if within]]
+    types = [by_type, key_type, *(corpus.schema[c].dataType for c in [within] if c)]
     schema = pa.schema([*((n, to_arrow_type(t)) for n, t in zip(names, types, strict=False)), ("score", pa.float64())])
     ddl = ", ".join(f"{n} {t.simpleString()}" for n, t in zip(names, types, strict=False)) + ", score double"
-    spark = corpus.sparkSession
 
     def part(block: list) -> DataFrame:
         items = list(dict.fromkeys(r[by] for r in block))
@@ -49,13 +52,12 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", t
             wanted[r["term"]].append(number[r[by]])
         terms = {t: i for i, t in enumerate(sorted(wanted))}
         of = [np.array(wanted[t]) for t in terms]
-        # one row for each term of the block's questions
-        known = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
-        counted = cut.select(F.explode(F.array_distinct("t")).alias("term")).join(known, "term", "left_semi").groupBy("term").count()
-        df = np.zeros(len(terms))
-        for r in counted.collect():
-            df[terms[r["term"]]] = r["count"]
-        n, mean = cut.agg(F.count("*"), F.avg(F.size("t"))).first()
+        # one row for each term of the block's questions, and one, the empty term, that stands for every row of the corpus
+        known = F.broadcast(spark.createDataFrame([(t,) for t in ["", *terms]], "term string"))
+        spread = cut.select(F.size("t").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), "")).alias("term"))
+        counted = {r["term"]: r for r in spread.join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()}
+        n, mean = (counted[""]["n"], counted[""]["mean"]) if counted else (0, 1.0)
+        df = np.array([counted[t]["n"] if t in counted else 0 for t in terms], float)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
 
         def score(some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

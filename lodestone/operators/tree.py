@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def crawl(pages: DataFrame, roots: list[str], excluded_titles: list[str] | None = None, max_depth: int = 50) -> DataFrame:
     """All pages (page_id, title, parent_id) below the roots, with root and depth from 1. A root itself is no result, and a page
-    with an excluded title goes with all below it. Trees of several roots are concatenated."""
+    with an excluded title goes with all below it. Trees of several roots are concatenated. Trees deeper than max_depth, and crawls
+    of more rows than spark.sql.cteRecursionRowLimit (a million by default), raise an error rather than end early."""
     spark = pages.sparkSession
     kept = pages if not excluded_titles else pages.where(~F.coalesce(F.col("title"), F.lit("")).isin(excluded_titles))
     kept.createOrReplaceTempView("_crawl_pages")
