@@ -4,16 +4,20 @@
     python -m lodestone.cli run hybrid_query /data/dir
     python -m lodestone.cli status /data/dir
     python -m lodestone.cli validate /data/dir      exits with 1 if an integrity rule finds an error
+    python -m lodestone.cli ingest /data/dir /store/dir [--full] [--strict]      exits with 1 if strict and an integrity rule finds an error
     python -m lodestone.cli eval /data/dir          exits with 1 if a retrieval, diversity or routing case fails
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from dataclasses import asdict
 
-from lodestone.plans import catalog
+from lodestone.plans import catalog, ingest
 from lodestone.session import build
+from lodestone.sources.tables import entity_chunks
 
 #: Result rows printed, a report's length.
 SHOWN = 1000
@@ -33,11 +37,20 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("data")
     for name in ("status", "validate", "eval"):
         commands.add_parser(name).add_argument("data")
+    sync = commands.add_parser("ingest")
+    sync.add_argument("data")
+    sync.add_argument("store")
+    sync.add_argument("--full", action="store_true", help="forget what is stored")
+    sync.add_argument("--strict", action="store_true", help="fail if the stored chunks break an integrity rule")
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(catalog.QUERIES))
         return 0
     spark = build()
+    if args.command == "ingest":
+        report = ingest.run(spark, args.store, entity_chunks(spark, args.data), args.full, args.strict)
+        print(json.dumps(asdict(report)))
+        return int(not report.ok)
     query = lambda name: catalog.QUERIES[name](spark, args.data)
     if args.command == "run":
         _print(query(args.query))

@@ -7,8 +7,9 @@ from lodestone import config
 from lodestone.functions import parse
 from lodestone.functions import text as tx
 from lodestone.operators import delta, dense, fuse, integrity, lexical, links, registry, route, select, tree
-from lodestone.plans import catalog
-from lodestone.sources import pages
+from lodestone.plans import catalog, ingest
+from lodestone.sources import pages, store
+from lodestone.sources.tables import entity_chunks
 from lodestone.streaming import delta as stream
 
 
@@ -223,3 +224,49 @@ def test_forms_of_ids(spark):
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE) and len(catalog.QUERIES) >= 54
+
+
+def _pages(spark, data):
+    chunks = spark.createDataFrame(data, "collection string, page_id string, content string, version long")
+    return chunks.select("*", F.sha2("content", 256).alias("node_id"))
+
+
+def test_store(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "s"))
+    assert kept.docstore() is None and kept.vectors().count() == 0 and kept.state().count() == 0
+    asked = spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        asked.add(len(texts))
+        return texts.map(lambda t: [float(len(t))])
+
+    first = [("technical", "a", "one", 1), ("technical", "a", "two", 1), ("technical", "b", "three", 1), ("functional", "c", "four", 1), ("functional", "d", "5", 1)]
+    assert rows(kept.sync(_pages(spark, first), embedder=embedder)) == [("functional", 2), ("technical", 3)]
+    second = [("technical", "a", "one", 2), ("technical", "a", "two", 2), ("technical", "b", "changed", 2), ("functional", "c", "four", 1), ("functional", "e", "new", 1)]
+    kept.sync(_pages(spark, second), embedder=embedder)
+    assert asked.value == 5 + 2 and rows(kept.changes().select("page_id", "change")) == [("a", "unchanged"), ("b", "changed"), ("c", "unchanged"), ("d", "removed"), ("e", "added")]
+    live = [("a", 3.0, 1), ("a", 3.0, 1), ("b", 7.0, 2), ("c", 4.0, 1), ("e", 3.0, 2)]
+    seen = lambda: rows(kept.vectors().select("page_id", F.get("embedding", F.lit(0)), "run"))
+    assert seen() == live and kept.docstore().count() == 5
+    assert rows(kept.state().select("page_id", "version")) == [("a", 2), ("b", 2), ("c", 1), ("e", 1)]
+    # a run that ended before its state was written doesn't count, and the next one takes its place
+    (tmp_path / "s" / "vectors" / "run=3").mkdir()
+    kept.vacuum()
+    assert seen() == live and not (tmp_path / "s" / "docstore" / "run=1").exists()
+    kept.sync(_pages(spark, second), embedder=embedder)
+    assert asked.value == 7 and seen() == live and kept.last() == 3
+    kept.sync(_pages(spark, second[:1]), full=True)
+    assert seen() == [("a", None, 4)]
+    kept.sync(_pages(spark, []))
+    assert kept.vectors().count() == 0 and kept.docstore().count() == 0
+    with pytest.raises(ValueError):
+        kept.sync(_pages(spark, [("technical", None, "x", 1)]))
+
+
+def test_ingest_gate(spark, tmp_path):
+    chunks = entity_chunks(spark, "/root/testdata/sf0.001")
+    done = ingest.run(spark, str(tmp_path / "s"), chunks, strict=True)
+    assert not done.ok and done.findings["error"] > 0 and set(done.pages) == {"added"} and done.nodes["functional"] > 0
+    sound = chunks.where("doc_type = 'feature-hub' AND size(feature) > 0")
+    again = ingest.run(spark, str(tmp_path / "s"), sound, strict=True)
+    assert again.ok and set(again.pages) == {"unchanged", "removed"}
