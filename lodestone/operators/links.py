@@ -22,7 +22,7 @@ def public_id(chunks: DataFrame) -> DataFrame:
 
 
 def citations(hits: DataFrame, index: DataFrame, by: str) -> DataFrame:
-    """(by, node_id, cited, position) of the chunks that hits link to, in the order of the links, each once a hit and never a
+    """(by, node_id, cited, position, key) of the chunks that hits link to, in the order of the links, each once a hit and never a
     hit itself. Endpoints link to their controller, databases and features, controllers to their endpoints; links stay in a
     hit's own collection. hits: by, node_id, collection, doc_type, controller_id, db_ids, feature, used_by."""
     empty = F.array().cast("array<string>")
@@ -32,7 +32,7 @@ def citations(hits: DataFrame, index: DataFrame, by: str) -> DataFrame:
     found = links.join(index.withColumnRenamed("node_id", "cited"), ["collection", "key"])
     found = found.join(hits.select(by, F.col("node_id").alias("cited")), [by, "cited"], "left_anti")
     first = W.partitionBy(by, "node_id", "cited").orderBy("position")
-    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(by, "node_id", "cited", "position")
+    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(by, "node_id", "cited", "position", "key")
 
 
 def expand(ids: DataFrame, index: DataFrame, chunks: DataFrame) -> DataFrame:

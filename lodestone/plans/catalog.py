@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import ingest, knowledge, ranking
+from lodestone.plans import ingest, knowledge, linked, ranking
 
-_ALL = {**ranking.QUERIES, **knowledge.QUERIES, **ingest.QUERIES}
+_ALL = {**ranking.QUERIES, **knowledge.QUERIES, **linked.QUERIES, **ingest.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}

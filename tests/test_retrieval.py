@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone import config
 from lodestone.functions import parse
 from lodestone.functions import text as tx
-from lodestone.operators import delta, dense, fuse, integrity, lexical, links, registry, route, select, tree
+from lodestone.operators import answer, delta, dense, fuse, integrity, lexical, links, registry, route, select, tree
 from lodestone.plans import catalog, ingest
 from lodestone.sources import pages, store
 from lodestone.sources.tables import entity_chunks
@@ -176,7 +176,7 @@ def test_citations_keep_first_position_and_leave_hits_out(spark):
     ]
     chunks = spark.createDataFrame(data, schema)
     hits = chunks.where("node_id IN ('e', 'c')").withColumn("q", F.lit(1))
-    assert rows(links.citations(hits, links.id_index(chunks), "q")) == [(1, "e", "a", 1), (1, "e", "h", 1)]
+    assert rows(links.citations(hits, links.id_index(chunks), "q")) == [(1, "e", "a", 1, "db::m::a"), (1, "e", "h", 1, "db::m::a")]
 
 
 def test_manifests(spark):
@@ -270,3 +270,46 @@ def test_ingest_gate(spark, tmp_path):
     sound = chunks.where("doc_type = 'feature-hub' AND size(feature) > 0")
     again = ingest.run(spark, str(tmp_path / "s"), sound, strict=True)
     assert again.ok and set(again.pages) == {"unchanged", "removed"}
+
+
+def test_answers_of_repositories(spark):
+    kind = "item_id long, repo string, chunk_id long, heading string, file_path string, layer string, source_type string, content string, score double"
+    data = [(1, "a", 1, "h", "x/A.cs", "l", "code", "t", 1.0), (1, "a", 2, "h", "x/B.cs", "l", "code", "t", 0.9), (1, "b", 3, None, "C.cs", "l", "code", "t", 5.0), (1, "c", 4, "h", "D.cs", None, "rule", "t", 2.0), (2, "a", 5, "h", "A.cs", "l", "code", "t", 0.3)]
+    repos = spark.createDataFrame([(1, "a", False, ["b.CS", " "]), (1, "b", False, []), (1, "c", False, None), (1, "none", False, []), (2, "a", True, [])], "item_id long, repo string, fallback boolean, files array<string>")
+    hits = answer.code_hits(spark.createDataFrame(data, kind), repos, config.CodeIndex(hint_boost=2.0))
+    # B.cs is hinted and leads; b's answer lacks a heading and is an error of b alone; scores are scaled over a and c
+    got = rows(answer.assemble(hits, repos).select("item_id", "repo", F.coalesce("chunk_id", F.lit(0)), F.coalesce("rank", F.lit(0)), F.coalesce("score", F.lit(-1.0)), F.coalesce("error", F.lit(""))))
+    assert got == [(1, "a", 1, 2, 0.0, ""), (1, "a", 2, 1, 0.8, ""), (1, "b", 0, 0, -1.0, "repo b: answer without heading"), (1, "c", 4, 1, 1.0, ""), (2, "a", 5, 1, 0.3, "")]
+    assert answer.contract(hits).columns == ["item_id", "repo", "chunk_id", *answer.CODE_FIELDS]
+
+
+def test_best_hits_without_rerank(spark):
+    pool = [(1, f"t{i}", "technical", "endpoint" if i else "other", "c", "q", float(i)) for i in range(4)] + [(1, "f", "functional", "feature-hub", "c", "q", 0.001)]
+    pool = spark.createDataFrame(pool, "item_id long, node_id string, collection string, doc_type string, content string, question string, score double")
+    best = answer.best_hits(pool, config.Retrieval(top_k=3, quotas={"other": 1}, rerank=False))
+    assert [(r["node_id"], r["score"], r["rank"]) for r in best.orderBy("rank").collect()] == [("f", 1.0, 1), ("t3", 1.0, 2), ("t2", 0.666667, 3)]
+
+
+def test_validation_of_repositories(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "repo string")
+    manifests = spark.createDataFrame([("a", "risk"), ("b", None), ("c", None)], "repoKey string, knownRisk string")
+    chunks = spark.createDataFrame([("a", None, "code"), ("a", "l", None), ("c", "l", "code"), ("x", "l", "code")], "repo string, layer string, source_type string")
+    errors = spark.createDataFrame([("c", "repo c: answer without heading")], "repo string, error string")
+    got = rows(registry.validate(asked, manifests, chunks, errors).select("repo", "position", "step", "ok", F.coalesce("error", F.lit(""))))
+    assert got == [
+        ("a", 1, "manifest", True, ""), ("a", 2, "status", True, ""), ("a", 3, "probe", True, ""),
+        ("b", 1, "manifest", True, ""), ("b", 2, "status", False, "status is empty"),
+        ("c", 1, "manifest", True, ""), ("c", 2, "status", True, ""), ("c", 3, "probe", False, "repo c: answer without heading"),
+        ("d", 1, "manifest", False, "not registered"),
+    ]
+    assert rows(registry.code_status(chunks, "repo")) == [("a", "-", "code", 1), ("a", "l", "?", 1), ("a", "total", "", 2), ("c", "l", "code", 1), ("c", "total", "", 1), ("x", "l", "code", 1), ("x", "total", "", 1)]
+
+
+def test_manifest_files(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"contractVersion": 1,\n "repoKey": "a", "displayName": "A", "serve": {"command": "run"}, "repoRoot": ".."}')
+    (tmp_path / "2.json").write_text('{"contractVersion": 2, "repoKey": "b", "displayName": "B", "index": {"store": {"persistDir": "idx"}}}')
+    (tmp_path / "3.json").write_text('not json')
+    (tmp_path / "4.json").write_text('{"contractVersion": "two", "repoKey": "d"}')
+    got = registry.load(spark, [str(tmp_path / f"{i}.json") for i in (1, 2, 3, 4)]).orderBy("position").collect()
+    assert [(r["repoKey"], r["error"]) for r in got] == [("a", None), ("b", None), (None, "not valid JSON, or not of the contract's types"), (None, "not valid JSON, or not of the contract's types")]
+    assert got[0]["repoRoot"] == str(tmp_path.parent) and got[1]["persistDir"] == str(tmp_path / "idx") and got[1]["repoRoot"] == str(tmp_path)
