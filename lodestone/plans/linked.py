@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import CodeIndex, Retrieval
-from lodestone.operators import answer, lexical, links
+from lodestone.operators import answer, lexical, links, registry
 from lodestone.sources.tables import ENTITY_SQL, entity_chunks, table
 
 DOCS = Retrieval()
@@ -197,7 +197,42 @@ def deep_eval(spark: SparkSession, sf: str) -> DataFrame:
 DEEP_EVAL_SQL = f"""{DEEP_BODY} SELECT item_id, count(DISTINCT CASE WHEN error = '' THEN repo END) AS n_repos, count(*) FILTER (error <> '') AS n_errors, bool_or(fallback) AS fallback,
   coalesce(bool_or(error = '' AND suffix(file_path, 'File' || (item_id % 100) || '.cs')), false) AS passed FROM deep GROUP BY 1"""
 
+def code_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of each repository's code index by layer and type, and in all; urgent orders have no layer here."""
+    layer = F.when(F.col("layer") != "1-URGENT", F.col("layer"))
+    return registry.code_status(_code(spark, sf).withColumn("layer", layer))
+
+
+CODE_STATUS_SQL = """WITH c AS (SELECT n_name AS repo, CASE WHEN o_orderpriority = '1-URGENT' THEN '-' ELSE o_orderpriority END AS layer FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT repo, layer, 'code' AS source_type, count(*) AS n FROM c GROUP BY 1, 2 UNION ALL SELECT repo, 'total', '', count(*) FROM c GROUP BY 1"""
+
+
+def repo_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps of every nation's validation, and of one that doesn't exist: registered, an index that isn't empty (that of NATION_5 is),
+    an answer to a probe that keeps the contract."""
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("repo"))
+    code = _code(spark, sf).where("repo <> 'NATION_5'")
+    probe = spark.createDataFrame([(0, "urgent")], "item_id long, content string")
+    found = lexical.topk(code, probe, 1, "chunk_id", "content", within="repo").withColumn("place", F.col("repo"))
+    answers = lexical.ranked(found, 1, "place", "chunk_id").join(code, ["repo", "chunk_id"])
+    manifests = _registered(spark, sf).select(F.col("repo").alias("repoKey"), F.lit(None).cast("string").alias("knownRisk"))
+    asked = names.unionByName(spark.createDataFrame([("NOWHERE",)], "repo string"))
+    return registry.validate(asked, manifests, code, answer.response_errors(answers)).select("repo", "position", "step", "ok", F.coalesce("error", F.lit("")).alias("error"))
+
+
+VALIDATE_SQL = f"""WITH asked AS (SELECT 0 AS item_id, 'urgent' AS text), reg AS (SELECT n_name AS repo FROM nation WHERE n_regionkey <> 0),
+code AS (SELECT o_orderkey AS chunk_id, n_name AS repo, 'File' || (o_custkey % 100) || ' ' || o_orderpriority AS content,
+  CASE WHEN n_name <> 'NATION_3' OR o_orderstatus <> 'P' THEN o_orderpriority END AS heading FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name <> 'NATION_5'),
+{_bm25_sql("c", "code", "chunk_id", "content")},
+best AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY repo ORDER BY score DESC, chunk_id) AS r FROM cbm25 JOIN code c ON c.chunk_id = k) WHERE r = 1),
+a AS (SELECT n_name AS repo FROM nation UNION ALL SELECT 'NOWHERE'), known AS (SELECT * FROM a WHERE repo IN (SELECT repo FROM reg)), filled AS (SELECT * FROM known WHERE repo IN (SELECT repo FROM code))
+SELECT repo, 1::INT AS position, 'manifest' AS step, repo IN (SELECT repo FROM reg) AS ok, CASE WHEN repo IN (SELECT repo FROM reg) THEN '' ELSE 'not registered' END AS error FROM a
+UNION ALL SELECT repo, 2, 'status', repo IN (SELECT repo FROM code), CASE WHEN repo IN (SELECT repo FROM code) THEN '' ELSE 'status is empty' END FROM known
+UNION ALL SELECT f.repo, 3, 'probe', b.repo IS NULL, coalesce('repo ' || b.repo || ': answer without heading', '') FROM filled f LEFT JOIN (SELECT repo FROM best WHERE heading IS NULL) b ON b.repo = f.repo"""
+
 QUERIES = {
+    "code_status": (code_status, CODE_STATUS_SQL),
+    "repo_validate": (repo_validate, VALIDATE_SQL),
     "docs_query": (docs_query, DOCS_SQL),
     "docs_query_scoped": (docs_query_scoped, SCOPED_SQL),
     "deep_query_cited": (deep_query_cited, f"{DEEP_BODY} SELECT * FROM deep"),
