@@ -434,3 +434,78 @@ def test_null_keys(spark):
     assert len(fingerprint.following(docs.select("doc_id", "text"), "doc_id", "text").collect()) == 4
     assert packing.pack(scratch.keep(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "t")).select("doc_id").distinct().count() == 2
     assert bpe.encode(docs, RANKS).count() == 4 and quality.quality(docs).count() == 4
+
+
+def shingles_of(text):
+    w = text.encode().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_op1_against_brute_force(docs, rows, spark, tmp_path, monkeypatch):
+    """Edited texts and their digests exactly; likeness against the true shares of shingles, exact for texts below the sketch size."""
+    monkeypatch.setattr(fingerprint, "BUCKET_BYTES", 4000)
+    docs.select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fingerprint.op1_document_fingerprints(spark, str(tmp_path)).collect()}
+    known = {i: t or "" for i, t in rows}
+    assert got.keys() == known.keys()
+
+    def near(a, b, estimate):
+        a, b = shingles_of(a), shingles_of(b)
+        true = len(a & b) / len(a | b) if a and b else float(not a and not b)
+        assert abs(estimate - true) <= (0.13 if len(a | b) > fingerprint.K else 1e-9)
+
+    for i, t in known.items():
+        other, third, r = known[i - 1 if i else len(rows) - 1], len(t) // 3, got[i]
+        edited = t[: len(t) - third] + other[:third]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        near(t, edited, r["near_edited"])
+        near(t, other, r["near_next"])
+    by_text = defaultdict(set)
+    for i, t in known.items():
+        by_text[t].add(got[i]["fingerprint"])
+    assert all(len(s) == 1 for s in by_text.values())
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_licenses_against_brute_force(spark):
+    """Alignments are common subsequences, so never longer than the longest one; a notice that lost a tenth of its words or had words
+    put in between is found wherever it stands."""
+    rnd, data, planted = random.Random(3), [], {}
+    noise = [f"w{i}" for i in range(200)] + ["license", "the", "of", "under"]
+    prose = lambda n: [rnd.choice(noise) for _ in range(n)]
+    notices = [(name, licenses.words(t)) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    for k, (name, notice) in enumerate(notices):
+        for kind in range(3):
+            own = list(notice)
+            if kind == 1:
+                for _ in range(len(own) // 10):
+                    own.pop(rnd.randrange(len(own)))
+            elif kind == 2:
+                for _ in range(len(own) // 10):
+                    own.insert(rnd.randrange(len(own)), rnd.choice(noise[:200]))
+            key = 10 * k + kind
+            # a notice that lost the word that tells it from another is as much the other's
+            planted[key] = {n for n, t in notices if longest_common(own, t) >= longest_common(own, notice)} | {name}
+            data.append((key, " ".join(prose(rnd.randint(0, 300)) + own + prose(rnd.randint(0, 300)))))
+    data += [(1000 + i, " ".join(prose(400))) for i in range(20)] + [(None, "Released under the MIT License."), (None, None), (2000, ""), (2000, "")]
+    got = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == len(data)
+    for r in got:
+        if r["doc_id"] in planted:
+            assert r["license"] in planted[r["doc_id"]] and r["coverage"] >= licenses.COVERAGE
+        elif r["doc_id"] is not None:
+            assert (r["license"], r["coverage"], r["first_word"], r["n_licenses"]) == (None, 0.0, -1, 0)
+    assert sorted(r["license"] or "" for r in got if r["doc_id"] is None) == ["", "MIT"]
+    for _ in range(200):
+        a, b = (["abcdefgh"[rnd.randrange(8)] for _ in range(rnd.randint(0, 25))] for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) <= longest_common(a, b)
