@@ -3,10 +3,15 @@
 A block is a few megabytes of texts, handled in one piece by numpy. Each block deals its distinct keys out by their value;
 where all blocks' keys of one range meet they are counted, and the counts go back in the same order, as numbers of the type asked for, which bounds them. So
 no key is gathered more than once a block, whatever its frequency, and what moves is some bytes a key.
+
+Up to DIRECT buckets, a block sends a row to each of them. Beyond, rows would be many and small: n blocks send n / 16 rows each.
+There a block sends a row to each of some wide ranges, as many as the root of the buckets' number; groups of as many blocks merge
+their keys and send them on, and the counts come back the same way. Rows then grow with the power 1.5 of the input, not 2.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable
 
@@ -16,11 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import scratch
 from lodestone.llm.columns import text_of
 
 BLOCK_BYTES = 4 << 20
 #: Blocks whose keys' share one bucket counts, where a block has few keys; and keys that are sorted at a time there.
 BUCKET_BLOCKS, AT_A_TIME = 16, 1 << 20
+#: Buckets up to which blocks send to them directly: a block's keys make rows of some dozens of keys or more there.
+DIRECT = 4096
+_DEALT = "_blk int, bucket int, keys binary, counts binary"
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -33,9 +42,14 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes
 
 
 def buckets(n_blocks: int, bucket_blocks: int = BUCKET_BLOCKS) -> int:
-    """How many buckets count the keys of so many blocks: each gets about bucket_blocks blocks' worth. A row goes from each
-    block to each bucket, so at terabytes larger blocks should be chosen."""
-    return max(16, -(-n_blocks // bucket_blocks))
+    """How many buckets count the keys of so many blocks: each gets about bucket_blocks blocks' worth. A square number beyond DIRECT."""
+    n = max(16, -(-n_blocks // bucket_blocks))
+    return n if n <= DIRECT else (math.isqrt(n - 1) + 1) ** 2
+
+
+def sent(n_buckets: int) -> int:
+    """How many ranges a block deals its keys to."""
+    return n_buckets if n_buckets <= DIRECT else math.isqrt(n_buckets)
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -67,24 +81,59 @@ def write_counts(counts: np.ndarray, dtype: type) -> bytes:
     return zstandard.compress(np.minimum(counts, np.iinfo(dtype).max).astype(dtype).tobytes(), 1)
 
 
+def rows(blk: int, keys: np.ndarray, counts: np.ndarray, n_ranges: int, dtype: type) -> list[dict]:
+    """Ascending keys and their counts, a row for each of the ranges that has any."""
+    at = bounds(keys, n_ranges).tolist()
+    return [{"_blk": blk, "bucket": b, "keys": pack(keys[x:y]), "counts": write_counts(counts[x:y], dtype)} for b, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+
+
+def _table(made: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(made, pa.schema([("_blk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+
 def counted(base: DataFrame, n_blocks: int, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint8, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
     """Rows (_blk, bucket, counts). find(block) gives a block's distinct keys, ascending, and how often it has each. The
     counts of all blocks together come back for the same keys: read_counts() puts a block's rows in order."""
     n_buckets = buckets(n_blocks, bucket_blocks)
+    n_ranges = sent(n_buckets)
 
     def deal(table: pa.Table) -> pa.Table:
-        keys, counts = find(table)
-        at = bounds(keys, n_buckets)
-        blk = table.column("_blk")[0].as_py()
-        rows = [{"_blk": blk, "bucket": b, "keys": pack(keys[x:y]), "counts": write_counts(counts[x:y], dtype)} for b, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if y > x]
-        return pa.Table.from_pylist(rows, pa.schema([("_blk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        return _table(rows(table.column("_blk")[0].as_py(), *find(table), n_ranges, dtype))
+
+    return answer(base.groupBy("_blk").applyInArrow(deal, _DEALT), n_buckets, dtype)
+
+
+def answer(dealt: DataFrame, n_buckets: int, dtype: type = np.uint8) -> DataFrame:
+    """Counts of all rows (_blk, bucket, keys, counts) of a range together, for each row's keys, where rows() dealt them to the
+    ranges that sent() names. Rows of a negative block are counted, but not answered."""
+    return _direct(dealt, dtype) if n_buckets <= DIRECT else _by_groups(dealt, n_buckets, dtype)
+
+
+def _by_groups(dealt: DataFrame, n_buckets: int, dtype: type) -> DataFrame:
+    """The same by way of groups of blocks, which have about a block's worth of keys in each wide range."""
+    side, most = sent(n_buckets), np.iinfo(dtype).max
+    number = F.when(F.col("_blk") < 0, -1 - F.col("_blk")).otherwise(F.col("_blk"))
+    dealt = scratch.keep(dealt.select("_blk", "bucket", "keys", "counts"), "dealt").withColumn("_group", F.floor(number / side).cast("int"))
+
+    def merge(table: pa.Table) -> pa.Table:
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(c), dtype) for c in table.column("counts").to_pylist()])
+        keys, inverse = np.unique(np.concatenate([unpack(k) for k in table.column("keys").to_pylist()]), return_inverse=True)
+        return _table(rows(table.column("_group")[0].as_py(), keys, np.minimum(np.bincount(inverse, counts), most), n_buckets, dtype))
+
+    def part(table: pa.Table, replies: pa.Table) -> pa.Table:
+        keys = [unpack(k) for k in table.column("keys").to_pylist()]
+        totals, merged = read_counts(replies, dtype), np.unique(np.concatenate(keys))
+        blocks = zip(table.column("_blk").to_pylist(), table.column("bucket").to_pylist(), keys, strict=True)
+        made = [{"_blk": blk, "bucket": b, "counts": write_counts(totals[np.searchsorted(merged, k)], dtype)} for blk, b, k in blocks if blk >= 0]
+        return pa.Table.from_pylist(made, pa.schema([("_blk", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary())]))
 
-    return answer(base.groupBy("_blk").applyInArrow(deal, "_blk int, bucket int, keys binary, counts binary"), dtype)
+    merged = dealt.groupBy("_group", "bucket").applyInArrow(merge, _DEALT)
+    replies = _direct(merged, dtype).select(F.col("_blk").alias("_group"), F.floor(F.col("bucket") / side).cast("int").alias("_wide"), "bucket", "counts")
+    return dealt.groupBy("_group", "bucket").cogroup(replies.groupBy("_group", "_wide")).applyInArrow(part, "_blk int, bucket int, counts binary")
 
 
-def answer(dealt: DataFrame, dtype: type = np.uint8) -> DataFrame:
-    """Counts of all rows (_blk, bucket, keys, counts) of a bucket together, for each row's keys. Rows of a negative block
-    are counted, but not answered."""
+def _direct(dealt: DataFrame, dtype: type) -> DataFrame:
+    """Where all rows of a bucket meet."""
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpack(k) for k in table.column("keys").to_pylist()]

@@ -294,6 +294,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     base = base.withColumn("_text", F.col("_text").cast("binary"))
     kind = base.schema["_key"].dataType.simpleString()
     n_buckets = exchange.buckets(n_blocks)
+    n_ranges = exchange.sent(n_buckets)
     if length < LEAST:
         raise ValueError(f"repeated strings must have {LEAST} bytes or more")
 
@@ -334,8 +335,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 rows.append({"doc": docs_of[i], **row(raw, _covered(len(raw), s1, s2, length))})
         for name, (low, high) in ((blk, loose), (-1 - blk, (block.low[own[mixed]], block.high[own[mixed]]))):
             found, times = np.unique(block.window_keys(low, high), return_counts=True)
-            edges = exchange.bounds(found, n_buckets).tolist()
-            rows += [{"_blk": name, "bucket": b, "keys": exchange.pack(found[x:y]), "counts": exchange.write_counts(times[x:y], COUNTS)} for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+            rows += exchange.rows(name, found, times, n_ranges, COUNTS)
         return pa.Table.from_pylist(rows, _arrow(_STATE, table.column("_key").type))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -359,7 +359,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     replies = exchange.counted(base, n_blocks, find, COUNTS)
     state = scratch.keep(base.groupBy("_blk").cogroup(replies.groupBy("_blk")).applyInArrow(settle, _STATE.format(kind=kind)), "repeats")
-    answers = exchange.answer(state.where("bucket IS NOT NULL").select("_blk", "bucket", "keys", "counts"), COUNTS)
+    answers = exchange.answer(state.where("bucket IS NOT NULL").select("_blk", "bucket", "keys", "counts"), n_buckets, COUNTS)
     pending = state.where("text IS NOT NULL").select("_blk", "doc", "text", "solid", "loose")
     finished = pending.groupBy("_blk").cogroup(answers.groupBy("_blk")).applyInArrow(finish, _DONE.format(kind=kind))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, chat, fingerprint, graph, jaccard, licenses, memo, packing, quality, scratch, shards, spans, suffix, toxicity
+from lodestone.llm import bpe, chat, exchange, fingerprint, graph, jaccard, licenses, memo, packing, quality, scratch, shards, spans, suffix, toxicity
 
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,8 +106,9 @@ def test_classes_come_from_the_suffix_order(rows, monkeypatch):
             block.classes()
 
 
-@pytest.mark.parametrize("length", [400, 240, 100])
-def test_suffix_dedup(docs, rows, length):
+@pytest.mark.parametrize(("length", "direct"), [(400, 4096), (400, 4), (240, 4096), (100, 4096), (100, 4)])
+def test_suffix_dedup(docs, rows, length, direct, monkeypatch):
+    monkeypatch.setattr(exchange, "DIRECT", direct)  # few: keys go by way of groups of blocks
     out = {r["doc_id"]: r for r in suffix.dedup(docs, length=length, with_text=True).collect()}
     raw = {i: (t or "").encode() for i, t in rows}
     count = Counter(b[k : k + length] for b in raw.values() for k in range(len(b) - length + 1))
@@ -328,8 +329,9 @@ def brute_links(rows, percent=80):
     return sets, linked, component
 
 
-@pytest.mark.parametrize(("task_sets", "hot"), [(4, 5000), (4000, 2)])
-def test_jaccard(docs, rows, task_sets, hot, monkeypatch):
+@pytest.mark.parametrize(("task_sets", "hot", "direct"), [(4, 5000, 4096), (4000, 2, 4096), (4000, 5000, 4)])
+def test_jaccard(docs, rows, task_sets, hot, direct, monkeypatch):
+    monkeypatch.setattr(exchange, "DIRECT", direct)
     monkeypatch.setattr(jaccard, "HOT_CLASSES", hot)
     sets, links, component = brute_links(rows)
     got = jaccard.linked(docs, task_sets=task_sets).collect()
@@ -339,6 +341,13 @@ def test_jaccard(docs, rows, task_sets, hot, monkeypatch):
         assert (r["n_shingles"], r["component_id"], r["n_links"]) == (len(sets[i]), component[i], len(links[i])), i
 
 
+def test_exchange_grows_below_the_square():
+    for blocks in (16, 256, 4096, 65_536, 65_537, 1 << 20, 25_000_000):
+        buckets = exchange.buckets(blocks)
+        sent = exchange.sent(buckets)
+        assert buckets * exchange.BUCKET_BLOCKS >= blocks and buckets in (sent, sent**2) and sent <= exchange.DIRECT
+
+
 def test_jaccard_large_keys(spark):
     text = [" ".join(f"{c}{i}" for i in range(120)) for c in "abcd"]
     low, high = -(1 << 63), (1 << 63) - 1
