@@ -119,7 +119,7 @@ def cut(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     number: dict[str, int] = {}
     put = number.setdefault
     data = raw.tobytes()
-    _, index, inverse = np.unique(spans.Hashes(raw).of(w_start, w_end), return_index=True, return_inverse=True)
+    index, _, inverse = spans.distinct(raw, w_start, w_end)
     parts: list[int] = []
     size = np.empty(len(index), np.int64)
     for i, (a, b) in enumerate(zip(w_start[index].tolist(), w_end[index].tolist(), strict=True)):

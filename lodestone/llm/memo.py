@@ -2,7 +2,8 @@
 
 Texts are cut where the tokenizer's own pattern always cuts. Of a batch's distinct pieces, those not met lately are handed to
 the library together, a mark before each, and the ids of a text are its pieces' ids in a row. The result is what the tokenizer
-gives for the whole text. Pieces are told apart by 64-bit hashes; what is remembered are arrays of a bounded number of pieces.
+gives for the whole text. Pieces are found by hashes and told apart by their bytes; what is remembered are arrays of a bounded number of
+pieces.
 """
 
 from __future__ import annotations
@@ -54,10 +55,11 @@ def with_space(w_start: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Ids of pieces by their hashes, in ascending order of these."""
+    """Ids of pieces by their hashes, in ascending order of these, with the pieces' bytes."""
 
     def __init__(self, dtype: np.dtype):
         self.hashes, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
+        self.raw, self.start, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is known, and where."""
@@ -66,14 +68,22 @@ class Memory:
         i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return self.hashes[i] == hashes, i
 
-    def add(self, hashes: np.ndarray, pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        """Ascending hashes that aren't known, and their ids in `pool`."""
+    def agrees(self, i: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the pieces remembered at some places are the given ones, byte by byte."""
+        return spans.same(raw, start, end - start, self.raw, self.start[i], self.length[i])
+
+    def add(self, hashes: np.ndarray, pool: np.ndarray, at: np.ndarray, size: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Ascending hashes that aren't known, their ids in `pool` and their bytes in `raw`."""
         all_ = np.concatenate((self.hashes, hashes))
         order = np.argsort(all_, kind="stable")
+        length = end - start
         self.hashes = all_[order]
         self.at = np.concatenate((self.at, at + len(self.pool)))[order]
         self.size = np.concatenate((self.size, size.astype(np.int32)))[order]
         self.pool = np.concatenate((self.pool, pool))
+        self.start = np.concatenate((self.start, len(self.raw) + np.cumsum(length) - length))[order]
+        self.length = np.concatenate((self.length, length))[order]
+        self.raw = np.concatenate((self.raw, raw[spans.ragged(start, length)]))
 
 
 class Encoder:
@@ -136,23 +146,23 @@ class Encoder:
         """Ids of the distinct pieces in a row, and where each piece's ids are there."""
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes = spans.Hashes(raw).of(start, end)
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        inverse = np.empty(len(order), np.int32)
-        inverse[order] = np.cumsum(fresh, dtype=np.int32) - 1
-        index = order[fresh]
-        pool, at, size = self._recalled(ranked[fresh], raw, start[index], end[index])
+        index, hashes, inverse = spans.distinct(raw, start, end)
+        pool, at, size = self._recalled(hashes, raw, start[index], end[index])
         return pool, at[inverse], size[inverse]
 
     def _recalled(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of pieces with ascending hashes: from the newer memory, or the older one, which then go to the newer, or encoded."""
+        """Ids of distinct pieces, of which the first have ascending hashes: from the newer memory, or the older one, which then go to
+        the newer, or encoded. Pieces that share their hash with another one, here or in a memory, are encoded each time."""
         if len(self.new.hashes) > REMEMBERED:
             self.old, self.new = self.new, Memory(self.dtype)
-        known, _ = self.new.find(hashes)
+        n = len(hashes)
+        known, i = self.new.find(hashes)
+        clash = np.concatenate((np.zeros(n, bool), np.ones(len(start) - n, bool)))
+        here = np.flatnonzero(known)
+        clash[here] = ~self.new.agrees(i[here], raw, start[here], end[here])
         if (rest := np.flatnonzero(~known)).size:
             was, i = self.old.find(hashes[rest])
+            was[was] = self.old.agrees(i[was], raw, start[rest[was]], end[rest[was]])
             i = i[was]
             size = self.old.size[i].astype(np.int64)
             pools, ats, sizes = [self.old.pool[spans.ragged(self.old.at[i], size)]], [np.cumsum(size) - size], [size]
@@ -162,9 +172,15 @@ class Encoder:
                 pools.append(pool)
                 sizes.append(size)
             order = np.argsort(np.concatenate((rest[was], fresh)), kind="stable")
-            self.new.add(hashes[rest], np.concatenate(pools), np.concatenate(ats)[order], np.concatenate(sizes)[order])
+            self.new.add(hashes[rest], np.concatenate(pools), np.concatenate(ats)[order], np.concatenate(sizes)[order], raw, start[rest], end[rest])
         _, i = self.new.find(hashes)
-        return self.new.pool, self.new.at[i], self.new.size[i].astype(np.int64)
+        pool, at, size = self.new.pool, np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        at[:n], size[:n] = self.new.at[i], self.new.size[i]
+        if (alone := np.flatnonzero(clash)).size:
+            own, place, size[alone] = self._joined(raw, start[alone], end[alone])
+            at[alone] = place + len(pool)
+            pool = np.concatenate((pool, own))
+        return pool, at, size
 
     def _joined(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of pieces, the mark before each. A piece behind a line break has that as its mark, so it keeps the mark."""
