@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, chat, fingerprint, jaccard, licenses, packing, quality, shards, suffix, toxicity
+from lodestone.llm import bpe, chat, fingerprint, jaccard, licenses, minhash, packing, quality, shards, suffix, toxicity, trie, whitening
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_binary_output": shards.op8_binary_output,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_superminhash_dedup": minhash.op11_superminhash_dedup,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_conversation_trie": trie.op13_conversation_trie,
 }
 
 ORACLE = {
     "op7_chat_formatting": chat.OP7_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_superminhash_dedup": minhash.OP11_SQL,
+    "op13_conversation_trie": trie.OP13_SQL,
 }
