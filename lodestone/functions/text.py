@@ -56,9 +56,12 @@ def cited_files(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(_CITATION), F.lit(1))))
 
 
+def file_lines(text: Column) -> Column:
+    """All distinct citations of a text, as (file, line)."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_CITATION), F.lit(0)))
+    return F.transform(found, lambda c: F.struct(F.substring_index(c, ":", 1).alias("file"), F.substring_index(c, ":", -1).cast("long").alias("line")))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

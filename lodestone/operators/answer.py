@@ -57,7 +57,9 @@ def code_hits(found: DataFrame, repos: DataFrame, config: CodeIndex, by: str = "
     hits = hits.withColumn("place", F.concat_ws("/", F.col(by).cast("string"), "repo")).withColumn("chars", F.char_length("content"))
     hits = hits.withColumn("category", select.category(F.coalesce("heading", F.lit("")), F.col("layer"), config.category_map, config.overview_suffix))
     best = select.quota(hits, config.quotas, config.top_k, "category", "place", key, config.min_category_chars, config.min_category_extra, "chars")
-    return select.reorder(best, list(config.priority_order), "layer", "place").drop("place", "chars", "guaranteed", "files")
+    kind = [F.nullif(F.col(c), F.lit("")) for c in ("doc_type", "source_type") if c in best.columns]
+    best = best.withColumn("_kind", F.coalesce(*kind, F.lit("")))
+    return select.reorder(best, list(config.priority_order), "_kind", "place").drop("place", "chars", "guaranteed", "files", "_kind")
 
 
 def response_errors(chunks: DataFrame, by: str = "item_id") -> DataFrame:
@@ -72,7 +74,8 @@ def assemble(chunks: DataFrame, repos: DataFrame, by: str = "item_id") -> DataFr
     answered, or one row with its error. An answer that breaks the contract is an error of that repository alone; one without
     chunks is no error, and no row."""
     errors = response_errors(chunks, by)
-    good = route.merge_repos(chunks.join(errors, [by, "repo"], "left_anti"), by).withColumn("error", F.lit(None).cast("string"))
+    answered = repos.select(by, "repo").join(errors, [by, "repo"], "left_anti")
+    good = route.merge_repos(chunks.join(errors, [by, "repo"], "left_anti"), answered, by).withColumn("error", F.lit(None).cast("string"))
     return good.unionByName(errors.join(repos.select(by, "repo", "fallback"), [by, "repo"]), allowMissingColumns=True)
 
 

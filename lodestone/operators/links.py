@@ -10,10 +10,12 @@ from lodestone.functions.text import filled
 
 
 def id_index(chunks: DataFrame) -> DataFrame:
-    """(collection, key, node_id): the ids that each chunk owns. Hubs own their page id, technical hubs their features too."""
+    """(collection, key, node_id): the ids that each chunk owns, first of all its page's; ids that it only refers to aren't its own.
+    Technical hubs own their features too."""
+    none = F.array().cast("array<string>")
     own = F.when(F.col("doc_type") == "endpoint", F.array("endpoint_id")).when(F.col("doc_type") == "controller-context", F.array("controller_id")).when(F.col("doc_type") == "db-collection", F.array("db_id"))
-    own = own.when(F.col("doc_type") == "technical-hub", F.concat(F.array("page_id"), F.coalesce("feature", F.array().cast("array<string>")))).otherwise(F.array("page_id"))
-    spread = chunks.select("collection", "node_id", F.explode(own).alias("key"))
+    own = own.when(F.col("doc_type") == "technical-hub", F.coalesce("feature", none)).otherwise(none)
+    spread = chunks.select("collection", "node_id", F.explode(F.concat(F.array("page_id"), own)).alias("key"))
     return spread.where(F.col("key").isNotNull() & (F.col("key") != "")).select("collection", "key", "node_id").distinct()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import cited_files, repo_of
+from lodestone.functions.text import base_name, cited_files, file_lines, repo_of
 from lodestone.operators.fuse import min_max
 
 
@@ -37,19 +37,28 @@ def pinned(wanted: DataFrame, registered: DataFrame, questions: DataFrame, by: s
     return route(wanted.select(by, "repo", none.alias("files"), none.alias("symbols")).distinct(), registered, questions, by)
 
 
-def merge_repos(chunks: DataFrame, by: str = "item_id", across: bool = True) -> DataFrame:
+def merge_repos(chunks: DataFrame, answered: DataFrame, by: str = "item_id", across: bool = True) -> DataFrame:
     """Chunks of several repositories with scores scaled to 0..1 over all of them, or within each repository; those of a question
-    with one repository are left alone."""
-    several = F.size(F.collect_set("repo").over(W.partitionBy(by))) > 1  # repositories, a few
-    scaled = min_max(chunks.withColumn("_own", F.col("score")), *((by,) if across else (by, "repo")))
-    return scaled.withColumn("score", F.when(several, F.col("score")).otherwise(F.col("_own"))).drop("_own")
+    that one repository answered are left alone. `answered` (by, repo) are the answers, those without chunks too."""
+    counted = answered.groupBy(by).agg(F.count_distinct("repo").alias("_answers"))
+    scaled = min_max(chunks.withColumn("_own", F.col("score")), *((by,) if across else (by, "repo"))).join(counted, by, "left")
+    return scaled.withColumn("score", F.when(F.col("_answers") > 1, F.col("score")).otherwise(F.col("_own"))).drop("_own", "_answers")
 
 
 def stale_citations(cited: DataFrame, files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Citations (page_id, file, line) that don't hold, with a reason: no such file, or no returned chunk's lines of the page's
-    probe (page_id, file, start_line, end_line) hold the line."""
-    missing = cited.join(files.select("file").distinct(), "file", "left_anti").withColumn("reason", F.lit("no such file"))
-    present = cited.join(files.select("file").distinct(), "file", "left_semi")
-    r = ranges.where("start_line IS NOT NULL AND end_line IS NOT NULL")
-    inside = (present["page_id"] == r["page_id"]) & (present["file"] == r["file"]) & present["line"].between(r["start_line"], r["end_line"])
-    return missing.unionByName(present.join(r, inside, "left_anti").withColumn("reason", F.lit("line not in any chunk")))
+    """Citations (node_id, page_id, repo, file, line) that don't hold, with a reason: no file (repo, file_path) of that name anywhere in
+    the repository, or lines known of that file, and none of them the cited one. Lines are those of the chunks that a probe of the
+    page returned (page_id, repo, file_path, start_line, end_line); without any with both lines nothing is said against a citation."""
+    on = ["repo", "file"]
+    known = files.select("repo", base_name(F.col("file_path")).alias("file")).distinct()
+    missing = cited.join(known, on, "left_anti").withColumn("reason", F.lit("no such file"))
+    lines = ranges.where("start_line IS NOT NULL AND end_line IS NOT NULL").select("page_id", "repo", base_name(F.col("file_path")).alias("file"), "start_line", "end_line")
+    checked = cited.join(known, on, "left_semi").join(lines, ["page_id", *on]).groupBy(*cited.columns).agg(F.bool_or(F.col("line").between(F.col("start_line"), F.col("end_line"))).alias("_held"))
+    return missing.select(*cited.columns, "reason").unionByName(checked.where("NOT _held").select(*cited.columns, F.lit("line not in any chunk").alias("reason")))
+
+
+def cited_lines(chunks: DataFrame, registered: DataFrame) -> DataFrame:
+    """(node_id, page_id, repo, file, line) of each chunk's distinct citations, where the repository of its id is a registered one."""
+    repo = F.coalesce(repo_of(F.col("endpoint_id")), repo_of(F.col("controller_id")))
+    spread = chunks.select("node_id", "page_id", repo.alias("repo"), F.explode(file_lines(F.col("content"))).alias("c"))
+    return spread.join(registered.select("repo").distinct(), "repo", "left_semi").select("node_id", "page_id", "repo", "c.file", "c.line")

@@ -26,7 +26,8 @@ def quota(hits: DataFrame, quotas: dict[str, int], k: int, category: str, by: st
     if extra and chars:
         before = F.coalesce(F.sum(chars).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         ranked = ranked.withColumn("_before", before)
-        safe = safe | ((limit > 0) & (F.col("_n") <= limit + extra) & (F.col("_before") < min_chars))
+        listed = F.col(category).isin(list(quotas))  # one with a quota of 0 is topped up too
+        safe = safe | (listed & (F.col("_n") <= limit + extra) & (F.col("_before") < min_chars))
     ranked = ranked.withColumn("guaranteed", safe).drop("_n")
     order = W.partitionBy(by).orderBy(F.col("guaranteed").desc(), score.desc(), key)
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_before")

@@ -15,13 +15,14 @@ from lodestone.sources.tables import ENTITY_SQL, document_chunks, entity_chunks,
 
 
 def _orders_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """A page for each order: pending ones name their type, open ones an endpoint id, others a store and collection only."""
+    """A page for each order: pending ones name their type, open ones an endpoint id, others a store and collection only. Each has a field
+    that its type doesn't know."""
     o = table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
     fields = (
-        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("docType: `endpoint` · feature: `a\\_"), key, F.lit("` `b` · note")))
-        .when(F.col("o_orderstatus") == "O", F.concat(F.lit("endpoint_id: `ep::x::"), key, F.lit("` · repo: `first` · repo: `x`")))
-        .otherwise(F.concat(F.lit("store: `s"), (F.col("o_custkey") % 7).cast("string"), F.lit("` · collection: `c`")))
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("docType: `endpoint` · feature: `a\\_"), key, F.lit("` `b` · store: `no` · note")))
+        .when(F.col("o_orderstatus") == "O", F.concat(F.lit("endpoint_id: `ep::x::"), key, F.lit("` · repo: `first` · repo: `x` · controller: `C` · db_ids: `db::m::a` `db::m::b` · consumed_by: `no`")))
+        .otherwise(F.concat(F.lit("store: `s"), (F.col("o_custkey") % 7).cast("string"), F.lit("` · collection: `c` · type: `t` · consumed_by: `ep::x::1` `ep::x::2` · feature: `no`")))
     )
     head = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("# Page\n\n\n**Metadata** — "), fields)).otherwise(F.concat(F.lit("# Page\n**Metadata** — "), fields, F.lit("\n\nText")))
     title = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("GET /orders/"), key)).otherwise(F.concat(F.lit("Page "), key))
@@ -29,9 +30,9 @@ def _orders_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORDERS_MD_SQL = r"""
-f AS (SELECT *, CASE o_orderstatus WHEN 'P' THEN 'docType: `endpoint` · feature: `a\_' || o_orderkey || '` `b` · note'
-                     WHEN 'O' THEN 'endpoint_id: `ep::x::' || o_orderkey || '` · repo: `first` · repo: `x`'
-                     ELSE 'store: `s' || (o_custkey % 7) || '` · collection: `c`' END AS fields FROM orders),
+f AS (SELECT *, CASE o_orderstatus WHEN 'P' THEN 'docType: `endpoint` · feature: `a\_' || o_orderkey || '` `b` · store: `no` · note'
+                     WHEN 'O' THEN 'endpoint_id: `ep::x::' || o_orderkey || '` · repo: `first` · repo: `x` · controller: `C` · db_ids: `db::m::a` `db::m::b` · consumed_by: `no`'
+                     ELSE 'store: `s' || (o_custkey % 7) || '` · collection: `c` · type: `t` · consumed_by: `ep::x::1` `ep::x::2` · feature: `no`' END AS fields FROM orders),
 md AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '# Page' || chr(10) || chr(10) || chr(10) || '**Metadata** — ' || fields
                                ELSE '# Page' || chr(10) || '**Metadata** — ' || fields || chr(10) || chr(10) || 'Text' END AS markdown,
               CASE WHEN o_orderpriority = '5-LOW' THEN 'GET /orders/' || o_orderkey ELSE 'Page ' || o_orderkey END AS title FROM f),
@@ -63,15 +64,23 @@ c AS (SELECT o_orderkey, CASE WHEN list_contains(ks, 'docType') THEN 'endpoint'
 
 
 def build_tags(spark: SparkSession, sf: str) -> DataFrame:
-    p = _orders_markdown(spark, sf).select("o_orderkey", parse.metadata(F.col("markdown")).alias("m"))
-    feature = F.array_join(F.coalesce(F.try_element_at("m", F.lit("feature")), F.array().cast("array<string>")), "|")
-    db_id = parse.joined_id("db", parse.one(F.col("m"), "store"), parse.one(F.col("m"), "collection"))
-    return p.select("o_orderkey", parse.one(F.col("m"), "endpoint_id").alias("endpoint_id"), parse.one(F.col("m"), "repo").alias("repo"), db_id.alias("db_id"), feature.alias("feature")).where("m IS NOT NULL")
+    """The fields of each page's type, lists as text with bars between; empty for a list without values, null for what the type hasn't."""
+    p = _orders_markdown(spark, sf).select("o_orderkey", "title", parse.metadata(F.col("markdown")).alias("m")).where("m IS NOT NULL")
+    p = p.withColumn("doc_type", parse.page_type(F.col("m"), F.col("title"), F.lit(None).cast("string")))
+    tags = parse.tags(F.col("m"), F.col("doc_type"), F.col("title"))
+    return p.select("o_orderkey", "doc_type", *[(F.array_join(c, "|") if k in parse.LISTS else c).alias(k) for k, c in tags.items()])
 
 
-TAGS_SQL = f"""WITH {ORDERS_MD_SQL} SELECT o_orderkey, max(v[1]) FILTER (k = 'endpoint_id') AS endpoint_id, max(v[1]) FILTER (k = 'repo') AS repo,
-  'db::' || max(v[1]) FILTER (k = 'store') || '::' || max(v[1]) FILTER (k = 'collection') AS db_id, coalesce(max(array_to_string(v, '|')) FILTER (k = 'feature'), '') AS feature
-FROM meta GROUP BY 1"""
+def _tag_sql(doc_type: str, value: str, name: str) -> str:
+    return f"CASE WHEN doc_type = '{doc_type}' THEN {value} END AS {name}"
+
+
+_FIRST = "max(v[1]) FILTER (k = '{}')".format
+_ALL = "coalesce(max(array_to_string(v, '|')) FILTER (k = '{}'), '')".format
+TAGS_SQL = f"""WITH {ORDERS_MD_SQL}, g AS (SELECT o_orderkey, CASE WHEN bool_or(k IN ('docType', 'endpoint_id')) THEN 'endpoint' ELSE 'db-collection' END AS doc_type,
+  {", ".join(f"{_FIRST(k)} AS f_{k}" for k in ("repo", "endpoint_id", "controller", "store", "type", "collection"))}, {", ".join(f"{_ALL(k)} AS l_{k}" for k in ("feature", "db_ids", "consumed_by"))} FROM meta GROUP BY 1)
+SELECT o_orderkey, doc_type, {", ".join(_tag_sql("endpoint", v, n) for v, n in (("l_feature", "feature"), ("l_db_ids", "db_ids"), ("f_repo", "repo"), ("f_endpoint_id", "endpoint_id"), ("title", "route"), ("'ctrl::' || f_repo || '::' || f_controller", "controller_id")))},
+  {", ".join(_tag_sql("db-collection", v, n) for v, n in (("l_consumed_by", "consumed_by"), ("f_store", "store"), ("f_type", "type"), ("f_collection", "db_collection"), ("'db::' || f_store || '::' || f_collection", "db_id")))} FROM g JOIN md USING (o_orderkey)"""
 
 
 def _registry_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,8 +163,8 @@ def id_index(spark: SparkSession, sf: str) -> DataFrame:
     return links.id_index(entity_chunks(spark, sf))
 
 
-OWNED_SQL = f"""WITH {ENTITY_SQL}, idx AS (SELECT DISTINCT collection, key, node_id FROM (SELECT collection, node_id, unnest(CASE doc_type WHEN 'endpoint' THEN [endpoint_id] WHEN 'controller-context' THEN [controller_id]
-  WHEN 'db-collection' THEN [db_id] WHEN 'technical-hub' THEN list_concat([page_id], feature) ELSE [page_id] END) AS key FROM chunks) WHERE key <> '')"""
+OWNED_SQL = f"""WITH {ENTITY_SQL}, idx AS (SELECT DISTINCT collection, key, node_id FROM (SELECT collection, node_id, unnest(list_concat([page_id], CASE doc_type WHEN 'endpoint' THEN [endpoint_id] WHEN 'controller-context' THEN [controller_id]
+  WHEN 'db-collection' THEN [db_id] WHEN 'technical-hub' THEN feature ELSE []::VARCHAR[] END)) AS key FROM chunks) WHERE key <> '')"""
 
 
 def resolve_citations(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,8 +180,10 @@ SELECT item_id, idx.node_id AS cited, min(position)::BIGINT AS position FROM l J
 
 
 def _asked_ids(chunks: DataFrame) -> DataFrame:
-    """Endpoint ids, node ids of controllers, page ids of hubs, and one id that nothing owns."""
-    ids = chunks.where("doc_type = 'endpoint'").select(F.col("endpoint_id").alias("id"))
+    """Endpoint ids, page ids of endpoints and of registry pages (each with many chunks), node ids of controllers, page ids of hubs, and one
+    id that nothing owns."""
+    ids = chunks.where("doc_type = 'endpoint'").select(F.explode(F.array("endpoint_id", "page_id")).alias("id"))
+    ids = ids.unionByName(chunks.where("doc_type = 'controller-context'").select(F.col("page_id").alias("id")).distinct())
     ids = ids.unionByName(chunks.where("doc_type = 'controller-context'").select(F.col("node_id").alias("id")))
     ids = ids.unionByName(chunks.where("doc_type LIKE '%hub'").select(F.col("page_id").alias("id")))
     return ids.unionByName(chunks.sparkSession.createDataFrame([("ep::none::1",)], "id string"))
@@ -183,7 +194,7 @@ def expand_ids(spark: SparkSession, sf: str) -> DataFrame:
     return links.expand(_asked_ids(chunks), links.id_index(chunks), chunks)
 
 
-EXPAND_SQL = f"""{OWNED_SQL}, ids AS (SELECT endpoint_id AS id FROM chunks WHERE doc_type = 'endpoint' UNION ALL SELECT node_id FROM chunks WHERE doc_type = 'controller-context'
+EXPAND_SQL = f"""{OWNED_SQL}, ids AS (SELECT unnest([endpoint_id, page_id]) AS id FROM chunks WHERE doc_type = 'endpoint' UNION ALL SELECT DISTINCT page_id FROM chunks WHERE doc_type = 'controller-context' UNION ALL SELECT node_id FROM chunks WHERE doc_type = 'controller-context'
   UNION ALL SELECT page_id FROM chunks WHERE doc_type LIKE '%hub' UNION ALL SELECT 'ep::none::1'),
 owned AS (SELECT id, collection, node_id FROM ids JOIN idx ON key = id),
 open_ AS (SELECT id, collection FROM ids CROSS JOIN (SELECT DISTINCT collection FROM chunks) EXCEPT SELECT id, collection FROM owned),
@@ -398,21 +409,28 @@ SELECT item_id, n_repos, fallback, CASE WHEN split_part(item_id, '::', 2) IN (SE
 
 
 def citation_check(spark: SparkSession, sf: str) -> DataFrame:
-    """File and line of each endpoint against the files there are (those of customers below 80 modulo 100) and the line ranges
-    that a probe of its page returns (its line items)."""
+    """Files and lines that endpoints cite (urgent orders one more), in registered nations, against the files of the nation (one for each of its
+    customers outside furniture, in a folder for the segment) and the lines that a probe of the page returns (its line items)."""
     ep = entity_chunks(spark, sf).where("doc_type = 'endpoint'")
-    line = F.regexp_extract("content", r"\b([\w.]+\.cs):(\d+)\b", 2).cast("int")
-    cited = ep.select("page_id", F.regexp_extract("content", r"\b([\w.]+\.cs):(\d+)\b", 1).alias("file"), line.alias("line"))
-    files = spark.range(80).select(F.concat(F.lit("File"), F.col("id").cast("string"), F.lit(".cs")).alias("file"))
-    o = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    number = F.regexp_extract("page_id", r"order-(\d+)", 1).cast("long")
+    more = F.concat(F.lit(" and File"), (number % 90).cast("string"), F.lit(".cs:"), (number % 300 + 1).cast("string"))
+    ep = ep.withColumn("content", F.when(F.array_contains("feature", "1-URGENT"), F.concat("content", more)).otherwise(F.col("content")))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    path = lambda key: F.concat(F.lit("src/"), "c_mktsegment", F.lit("/File"), (F.col(key) % 100).cast("string"), F.lit(".cs"))
+    files = c.where("c_mktsegment <> 'FURNITURE'").select(F.col("n_name").alias("repo"), path("c_custkey").alias("file_path"))
+    o = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey"))
     start = F.col("l_linenumber") * 60
-    ranges = o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("page_id"), F.concat(F.lit("File"), (F.col("o_custkey") % 100).cast("string"), F.lit(".cs")).alias("file"), start.alias("start_line"), F.when(F.col("l_returnflag") != "R", start + 40).alias("end_line"))
-    return route.stale_citations(cited, files, ranges)
+    ranges = o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("page_id"), F.col("n_name").alias("repo"), path("o_custkey").alias("file_path"), start.alias("start_line"), F.when(F.col("l_returnflag") != "R", start + 40).alias("end_line"))
+    registered = table(spark, sf, "nation").where("n_regionkey <> 0").select(F.col("n_name").alias("repo"))
+    return route.stale_citations(route.cited_lines(ep, registered), files, ranges).drop("node_id")
 
 
-CITATION_SQL = """WITH c AS (SELECT 'order-' || o_orderkey AS page_id, o_custkey % 100 AS f, o_orderkey % 500 + 1 AS line, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
-SELECT page_id, 'File' || f || '.cs' AS file, line::INT AS line, CASE WHEN f >= 80 THEN 'no such file' ELSE 'line not in any chunk' END AS reason FROM c
-WHERE f >= 80 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R' AND line BETWEEN l_linenumber * 60 AND l_linenumber * 60 + 40)"""
+CITATION_SQL = """WITH o AS (SELECT o_orderkey, 'order-' || o_orderkey AS page_id, n_name AS repo, o_custkey, o_orderpriority, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 0),
+c AS (SELECT DISTINCT o_orderkey, page_id, repo, f, line FROM (SELECT o_orderkey, page_id, repo, o_custkey % 100 AS f, o_orderkey % 500 + 1 AS line FROM o UNION ALL SELECT o_orderkey, page_id, repo, o_orderkey % 90, o_orderkey % 300 + 1 FROM o WHERE o_orderpriority = '1-URGENT')),
+k AS (SELECT DISTINCT n_name AS repo, c_custkey % 100 AS f FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment <> 'FURNITURE'),
+r AS (SELECT o_orderkey, o_custkey % 100 AS f, l_linenumber * 60 AS a FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R')
+SELECT page_id, repo, 'File' || f || '.cs' AS file, line, CASE WHEN (repo, f) NOT IN (SELECT (repo, f) FROM k) THEN 'no such file' ELSE 'line not in any chunk' END AS reason FROM c
+WHERE (repo, f) NOT IN (SELECT (repo, f) FROM k) OR (EXISTS (SELECT 1 FROM r WHERE r.o_orderkey = c.o_orderkey AND r.f = c.f) AND NOT EXISTS (SELECT 1 FROM r WHERE r.o_orderkey = c.o_orderkey AND r.f = c.f AND line BETWEEN a AND a + 40))"""
 
 
 # --- registry ----------------------------------------------------------------------------------------------------------

@@ -80,8 +80,8 @@ scored AS (SELECT * EXCLUDE (qa, ha), round(len(list_intersect(qa, ha)) / len(qa
 
 HITS_SQL = f"""{_pool_sql("")},
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id) AS rank FROM scored) WHERE rank <= {TOP}),
-idx AS (SELECT DISTINCT collection, key, node_id FROM (SELECT collection, node_id, unnest(CASE doc_type WHEN 'endpoint' THEN [endpoint_id] WHEN 'controller-context' THEN [controller_id]
-  WHEN 'db-collection' THEN [db_id] WHEN 'technical-hub' THEN list_concat([page_id], feature) ELSE [page_id] END) AS key FROM chunks) WHERE key <> ''),
+idx AS (SELECT DISTINCT collection, key, node_id FROM (SELECT collection, node_id, unnest(list_concat([page_id], CASE doc_type WHEN 'endpoint' THEN [endpoint_id] WHEN 'controller-context' THEN [controller_id]
+  WHEN 'db-collection' THEN [db_id] WHEN 'technical-hub' THEN feature ELSE []::VARCHAR[] END)) AS key FROM chunks) WHERE key <> ''),
 keys_ AS (SELECT item_id, node_id, collection, CASE doc_type WHEN 'endpoint' THEN list_concat([controller_id], db_ids, feature) WHEN 'controller-context' THEN used_by ELSE []::VARCHAR[] END AS ks FROM hits),
 l AS (SELECT item_id, node_id, collection, unnest(ks) AS key, generate_subscripts(ks, 1) - 1 AS position FROM keys_),
 cited AS (SELECT item_id, l.node_id, idx.node_id AS target, min(position) AS position, arg_min(key, position) AS key FROM l JOIN idx USING (collection, key)
@@ -100,7 +100,7 @@ def _code(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     file = F.concat(F.lit("File"), (F.col("o_custkey") % 100).cast("string"))
     return o.select(
-        F.col("o_orderkey").alias("chunk_id"), F.col("n_name").alias("repo"), F.col("o_orderpriority").alias("layer"), F.lit("code").alias("source_type"), F.concat(file, F.lit(".cs")).alias("file_path"),
+        F.col("o_orderkey").alias("chunk_id"), F.col("n_name").alias("repo"), F.col("o_orderpriority").alias("layer"), F.lit("code").alias("source_type"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("doc_type"), F.concat(file, F.lit(".cs")).alias("file_path"),
         F.concat(file, F.lit(" "), "o_orderpriority").alias("content"), F.when((F.col("n_name") != "NATION_3") | (F.col("o_orderstatus") != "P"), F.col("o_orderpriority")).alias("heading"),
     )
 
@@ -133,7 +133,7 @@ der AS (SELECT DISTINCT item_id, regexp_extract(i.id, '^(ep|ctrl)::([^:]+)::', 2
 rt AS (SELECT DISTINCT item_id, repo, false AS fallback FROM der WHERE repo IN (SELECT repo FROM reg)),
 routed AS (SELECT * FROM rt UNION ALL SELECT item_id, repo, true FROM asked CROSS JOIN reg WHERE item_id NOT IN (SELECT item_id FROM rt)),
 code AS (SELECT o_orderkey AS chunk_id, n_name AS repo, o_orderpriority AS layer, 'File' || (o_custkey % 100) || '.cs' AS file_path, 'File' || (o_custkey % 100) || ' ' || o_orderpriority AS content,
-  CASE WHEN n_name <> 'NATION_3' OR o_orderstatus <> 'P' THEN o_orderpriority END AS heading FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+  CASE WHEN n_name <> 'NATION_3' OR o_orderstatus <> 'P' THEN o_orderpriority END AS heading, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority ELSE 'code' END AS kind FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 {_bm25_sql("c", "code", "chunk_id", "content")},
 kp AS (SELECT * FROM (SELECT item_id, c.*, score, row_number() OVER (PARTITION BY item_id, repo ORDER BY score DESC, chunk_id) AS pr FROM cbm25 JOIN code c ON c.chunk_id = k) WHERE pr <= {POOL}),
 kb AS (SELECT p.* EXCLUDE (score), fallback, CASE WHEN layer IN ('1-URGENT', '2-HIGH') THEN 'hot' ELSE 'other' END AS category,
@@ -141,10 +141,10 @@ kb AS (SELECT p.* EXCLUDE (score), fallback, CASE WHEN layer IN ('1-URGENT', '2-
   FROM kp p JOIN routed USING (item_id, repo)),
 kg AS (SELECT *, category = 'hot' AND row_number() OVER (PARTITION BY item_id, repo, category ORDER BY score DESC, chunk_id) <= 2 AS safe FROM kb),
 kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, repo ORDER BY safe DESC, score DESC, chunk_id) AS r FROM kg) WHERE r <= {TOP}),
-ko AS (SELECT *, row_number() OVER (PARTITION BY item_id, repo ORDER BY CASE layer WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, r) AS rank FROM kr),
+ko AS (SELECT *, row_number() OVER (PARTITION BY item_id, repo ORDER BY CASE kind WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, r) AS rank FROM kr),
 bad AS (SELECT DISTINCT item_id, repo, fallback FROM ko WHERE heading IS NULL),
 ok AS (SELECT * FROM ko WHERE (item_id, repo) NOT IN (SELECT (item_id, repo) FROM bad)),
-nr AS (SELECT item_id, count(DISTINCT repo) AS n FROM ok GROUP BY 1),
+nr AS (SELECT item_id, count(DISTINCT repo) AS n FROM routed WHERE (item_id, repo) NOT IN (SELECT (item_id, repo) FROM bad) GROUP BY 1),
 sc AS (SELECT * EXCLUDE (score), CASE WHEN n = 1 THEN score WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS score
   FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ok WINDOW w AS (PARTITION BY item_id)) JOIN nr USING (item_id)),
 deep AS (SELECT item_id, repo, fallback, chunk_id, file_path, score, rank, '' AS error FROM sc UNION ALL SELECT item_id, repo, fallback, -1, '', -1.0, 0, 'repo ' || repo || ': answer without heading' FROM bad)"""

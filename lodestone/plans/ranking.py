@@ -12,7 +12,7 @@ from lodestone.sources.tables import document_chunks, table
 
 CONFIG = Retrieval(quotas={"fr": 2, "de": 1, "es": 1})
 TOP, POOL = CONFIG.sized()
-CODE = CodeIndex(quotas={"guide": 2, "note": 1}, priority_order=("fr", "de"), min_category_chars=4000, min_category_extra=2, hint_boost=1.5, category_map={"fr": "guide", "de": "guide", "es": "note"})
+CODE = CodeIndex(quotas={"guide": 2, "note": 1, "other": 0}, priority_order=("fr", "de"), min_category_chars=4000, min_category_extra=2, hint_boost=1.5, category_map={"fr": "guide", "de": "guide", "es": "note"})
 HINTS = ["src1", " DE ", ""]
 
 
@@ -166,7 +166,7 @@ def quota_char_floor(spark: SparkSession, sf: str) -> DataFrame:
 CHAR_FLOOR_SQL = f"""WITH {CODE_SQL},
 n AS (SELECT *, CASE category WHEN 'guide' THEN 2 WHEN 'note' THEN 1 ELSE 0 END AS quota, row_number() OVER w AS rn,
              coalesce(sum(chars) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM code WINDOW w AS (PARTITION BY item_id, category ORDER BY score DESC, doc_id)),
-g AS (SELECT item_id, doc_id, category, score, rn <= quota OR (quota > 0 AND rn <= quota + 2 AND before < 4000) AS guaranteed FROM n),
+g AS (SELECT item_id, doc_id, category, score, rn <= quota OR (rn <= quota + 2 AND before < 4000) AS guaranteed FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY guaranteed DESC, score DESC, doc_id) AS rank FROM g) SELECT * FROM r WHERE rank <= 8"""
 
 
@@ -285,7 +285,7 @@ kb AS (SELECT item_id, repo, doc_id, lang, length(coalesce(text, '')) AS chars,
               CASE WHEN repo = 'src0' THEN 'other' WHEN lang IN ('fr', 'de') THEN 'guide' WHEN lang = 'es' THEN 'note' ELSE 'other' END AS category FROM kp JOIN documents USING (doc_id)),
 kn AS (SELECT *, CASE category WHEN 'guide' THEN 2 WHEN 'note' THEN 1 ELSE 0 END AS quota, row_number() OVER w AS rn,
               coalesce(sum(chars) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kb WINDOW w AS (PARTITION BY item_id, repo, category ORDER BY score DESC, doc_id)),
-kg AS (SELECT *, rn <= quota OR (quota > 0 AND rn <= quota + 2 AND before < 4000) AS guaranteed FROM kn),
+kg AS (SELECT *, rn <= quota OR (rn <= quota + 2 AND before < 4000) AS guaranteed FROM kn),
 kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, repo ORDER BY guaranteed DESC, score DESC, doc_id) AS r FROM kg) WHERE r <= {TOP}),
 code_ AS (SELECT item_id, repo, doc_id, category, score, row_number() OVER (PARTITION BY item_id, repo ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, r) AS rank,
                  CASE WHEN NOT EXISTS (SELECT 1 FROM kr x WHERE x.item_id = kr.item_id AND x.repo = kr.repo AND x.doc_id = kr.doc_id - kr.doc_id % 10)
@@ -295,12 +295,14 @@ QUERY_CODE_SQL = f"WITH {CODE_QUERY_SQL} SELECT * FROM code_"
 
 
 def code_score_merge(spark: SparkSession, sf: str) -> DataFrame:
-    merged = route.merge_repos(query_code(spark, sf).drop("rank"))
+    repos = table(spark, sf, "documents").select(F.col("source").alias("repo")).distinct()
+    answered = _questions(spark, sf).select("item_id").crossJoin(F.broadcast(repos))  # a row for each registered repository, few
+    merged = route.merge_repos(query_code(spark, sf).drop("rank"), answered)
     return lexical.ranked(merged, TOP).select("item_id", "repo", "doc_id", "score", "rank")
 
 
 MERGE_SQL = f"""WITH {CODE_QUERY_SQL}, c AS (SELECT item_id, repo, doc_id, score FROM code_),
-n AS (SELECT item_id, count(DISTINCT repo) AS n FROM c GROUP BY 1),
+n AS (SELECT item_id, (SELECT count(DISTINCT source) FROM documents) AS n FROM benchmark),
 s AS (SELECT item_id, repo, doc_id, CASE WHEN n = 1 THEN score ELSE round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) END AS score
       FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM c WINDOW w AS (PARTITION BY item_id)) JOIN n USING (item_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {TOP}"""
@@ -314,7 +316,7 @@ def deep_query(spark: SparkSession, sf: str) -> DataFrame:
     registered = table(spark, sf, "documents").where("lang = 'en'").select(F.col("source").alias("repo")).distinct()
     routed = route.route(derived, registered, _questions(spark, sf))
     code = query_code(spark, sf).drop("rank").join(routed.select("item_id", "repo", "fallback"), ["item_id", "repo"])
-    return lexical.ranked(route.merge_repos(code), TOP).select("item_id", "repo", "doc_id", "fallback", "score", "rank")
+    return lexical.ranked(route.merge_repos(code, routed), TOP).select("item_id", "repo", "doc_id", "fallback", "score", "rank")
 
 
 DEEP_SQL = HYBRID_SQL.replace(f"WITH {BM25_SQL}, {DENSE_SQL}", f"WITH {CODE_QUERY_SQL}", 1).replace("\nSELECT *, 'Document '", ",\ndocs AS (SELECT *, 'Document '", 1) + f"""),
@@ -322,7 +324,7 @@ reg AS (SELECT DISTINCT source AS repo FROM documents WHERE lang = 'en'),
 der AS (SELECT DISTINCT item_id, source AS repo FROM docs JOIN documents USING (doc_id) WHERE source IN (SELECT repo FROM reg)),
 routed AS (SELECT item_id, repo, false AS fallback FROM der UNION ALL SELECT item_id, repo, true FROM benchmark CROSS JOIN reg WHERE item_id NOT IN (SELECT item_id FROM der)),
 kc AS (SELECT item_id, repo, doc_id, score, fallback FROM code_ JOIN routed USING (item_id, repo)),
-n AS (SELECT item_id, count(DISTINCT repo) AS n FROM kc GROUP BY 1),
+n AS (SELECT item_id, count(DISTINCT repo) AS n FROM routed GROUP BY 1),
 sc AS (SELECT item_id, repo, doc_id, fallback, CASE WHEN n = 1 THEN score ELSE round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) END AS score
       FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM kc WINDOW w AS (PARTITION BY item_id)) JOIN n USING (item_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {TOP}"""
@@ -342,15 +344,16 @@ SELECT item_id, best_rank, coalesce(best_rank <= 3, false) AS passed FROM f"""
 
 
 def diversity_eval(spark: SparkSession, sf: str) -> DataFrame:
-    """Required types that are missing among each question's hits."""
+    """Required types that are missing among each question's hits; all of them where a question has no hit."""
     types = quota_select(spark, sf).groupBy("item_id").agg(F.collect_set("lang").alias("has"))
-    missing = F.array_sort(F.array_except(F.array(*map(F.lit, ["de", "en", "fr"])), "has"))
+    types = _questions(spark, sf).select("item_id").join(types, "item_id", "left")
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, ["de", "en", "fr"])), F.coalesce("has", F.array().cast("array<string>"))))
     return types.select("item_id", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("passed"))
 
 
 DIVERSITY_SQL = f"""WITH h AS ({QUOTA_SQL}), r AS (SELECT unnest(['de', 'en', 'fr']) AS t),
-m AS (SELECT i.item_id, t FROM (SELECT DISTINCT item_id FROM h) i CROSS JOIN r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.item_id = i.item_id AND h.lang = t))
-SELECT i.item_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS missing, count(t) = 0 AS passed FROM (SELECT DISTINCT item_id FROM h) i LEFT JOIN m USING (item_id) GROUP BY 1"""
+m AS (SELECT i.item_id, t FROM benchmark i CROSS JOIN r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.item_id = i.item_id AND h.lang = t))
+SELECT i.item_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS missing, count(t) = 0 AS passed FROM benchmark i LEFT JOIN m USING (item_id) GROUP BY 1"""
 
 
 QUERIES = {

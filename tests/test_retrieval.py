@@ -142,11 +142,20 @@ def test_routing(spark):
 
 
 def test_stale_citations(spark):
-    cited = spark.createDataFrame([("p", "a.cs", 5), ("p", "a.cs", 50), ("p", "no.cs", 1), ("q", "a.cs", 5)], "page_id string, file string, line int")
-    files = spark.createDataFrame([("a.cs",)], "file string")
-    ranges = spark.createDataFrame([("p", "a.cs", 1, 5), ("p", "a.cs", 40, None)], "page_id string, file string, start_line int, end_line int")
-    got = {(r["page_id"], r["file"], r["line"]): r["reason"] for r in route.stale_citations(cited, files, ranges).collect()}
-    assert got == {("p", "a.cs", 50): "line not in any chunk", ("p", "no.cs", 1): "no such file", ("q", "a.cs", 5): "line not in any chunk"}
+    pages = [
+        ("1", "p", "ep::r::x", None, "see a.cs:5, a.cs:50, no.cs:1 and a.cs:50"),
+        ("2", "q", "", "ctrl::r::C", "a.cs:99 has no known lines"),
+        ("3", "p", "ep::s::y", None, "b.cs:7 is in r only"),
+        ("4", "p", "ep::unregistered::z", None, "no.cs:1"),
+        ("5", "p", None, None, "no.cs:1"),
+        ("6", "p", "ep::r::w", None, None),
+    ]
+    chunks = spark.createDataFrame(pages, "node_id string, page_id string, endpoint_id string, controller_id string, content string")
+    cited = route.cited_lines(chunks, spark.createDataFrame([("r",), ("s",)], "repo string"))
+    files = spark.createDataFrame([("r", "src/deep/a.cs"), ("r", "b.cs"), ("s", "src/a.cs")], "repo string, file_path string")
+    ranges = spark.createDataFrame([("p", "r", "x/a.cs", 1, 5), ("p", "r", "x/a.cs", 40, None), ("q", "r", "a.cs", None, 9), ("p", "s", "b.cs", 1, 2)], "page_id string, repo string, file_path string, start_line int, end_line int")
+    got = {(r["node_id"], r["repo"], r["file"], r["line"]): r["reason"] for r in route.stale_citations(cited, files, ranges).collect()}
+    assert got == {("1", "r", "a.cs", 50): "line not in any chunk", ("1", "r", "no.cs", 1): "no such file", ("3", "s", "b.cs", 7): "no such file"}
 
 
 def test_integrity_rules(spark):
