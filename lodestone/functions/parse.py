@@ -89,7 +89,8 @@ def controller_sections(markdown: Column) -> Column:
 
 
 def html_to_markdown(html: Column) -> Column:
-    """Headings, list items and line breaks as Markdown, all other tags dropped."""
+    """Headings, list items and line breaks as Markdown, all other tags dropped: an outline, in columns alone. Pages that are parsed further
+    need functions/markdown.py, which keeps what metadata lines are written with."""
     out = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", "")
     for n in range(1, 7):
         out = F.regexp_replace(out, rf"(?i)<h{n}(\s[^>]*)?>", "\n" + "#" * n + " ")

@@ -1,10 +1,11 @@
-"""A page API as a Spark data source: children of pages, with cursors, and page bodies.
+"""A page API as a Spark data source: children of pages, with cursors; and the bodies of pages that were found.
 
     spark.dataSource.register(PageSource)
     spark.read.format("pages").option("base", "https://host/api").option("roots", "1,2").load()
 
 The children of each root are read by a task of their own. A missing page (404) has no rows. Credentials are read from
-the environment variable named in the option "tokenEnv", on the executors.
+the environment variable named in the option "tokenEnv", on the executors. bodies() fetches the bodies of any number of pages,
+dealt over tasks; sources/space.py makes chunks of both.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "page_id string, title string, parent_id string, version int"
@@ -61,6 +64,25 @@ def walk(base: str, root: str, excluded: set[str], get: Callable[[str], dict | N
         level = below
 
 
+def bodies(pages: DataFrame, base: str, token_env: str | None = None, tasks: int | None = None, get: Callable[[str], dict | None] | None = None) -> DataFrame:
+    """(page_id, title, html) of all pages that have a body; a missing one (404) has no row. Any other failure ends the task, which Spark
+    tries again; `tasks` bounds how many requests are under way at a time."""
+    spread = pages.select("page_id").repartition(tasks or 2 * pages.sparkSession.sparkContext.defaultParallelism, "page_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token = os.environ.get(token_env) if token_env else None
+        ask = get or (lambda url: fetch(url, token))
+        for batch in batches:
+            rows = []
+            for page_id in batch["page_id"]:
+                found = ask(f"{base.rstrip('/')}/pages/{urllib.parse.quote(page_id)}?body-format=export_view")
+                if found is not None:
+                    rows.append((page_id, found.get("title") or "", ((found.get("body") or {}).get("export_view") or {}).get("value") or ""))
+            yield pd.DataFrame(rows, columns=["page_id", "title", "html"])
+
+    return spread.mapInPandas(run, "page_id string, title string, html string")
+
+
 class _Root(InputPartition):
     def __init__(self, root: str):
         self.root = root
