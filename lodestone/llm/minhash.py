@@ -268,7 +268,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
     cuts = classes.select("doc", "bands").mapInArrow(cut, "doc long, band long")
     shared = cuts.groupBy("band").agg(F.min("doc").alias("u"), F.max("doc").alias("top")).where("u < top").select("band", "u")
-    clusters = graph.components(cuts.join(shared, "band").where("doc > u").select("u", F.col("doc").alias("v")))
+    # of the classes that come first in its bands, as many as there are bands at most, a class keeps the least; the others hang on that one, and
+    # classes of one group mostly name the same ones, so a group's links are about as many as its classes, not as its bands
+    firsts = cuts.join(shared, "band").where("doc > u").groupBy("doc").agg(F.collect_set("u").alias("us")).select("doc", F.array_min("us").alias("u"), "us")
+    hung = firsts.select("u", F.explode("us").alias("v")).where("u < v").distinct()
+    clusters = graph.components(firsts.select("u", F.col("doc").alias("v")).unionByName(hung))
     clusters = clusters.withColumnRenamed("node", "doc").withColumnRenamed("component", "cluster")
     # texts are read again for the classes in clusters only, one for each: rows of the same key and text are many only where they are repeated
     wanted = classes.join(clusters.select("doc"), "doc", "left_semi").select("doc", F.col("key").alias("_k"), F.col("t").alias("_t"), *on, "bands")
