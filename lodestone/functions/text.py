@@ -20,6 +20,32 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+#: Words that an analyser leaves out and endings that it takes off, by language. An ending goes if three letters or more are
+#: left before it, the longest one first.
+STOPWORDS = {
+    "en": "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with",
+    "fr": "au aux avec ce ces dans de des du elle en et il je la le les leur mais ne nous on ou par pas pour qu que qui sa se ses son sur un une vous",
+    "de": "aber als am an auch auf aus bei bin bis das dem den der des die du ein eine einem einen einer er es für ich im in ist mit nicht oder sie und von zu",
+    "es": "al con de del el ella en es esta este la las lo los no o para pero por que se sin sobre su sus un una uno y",
+}
+ENDINGS = {"en": "ations ation ingly edly ings ing ies ed es ly s", "fr": "issements issement ements ement ations ation euses euse ives ive ées és ée er ez es s", "de": "ungen ung keiten keit heiten heit lichen liche lich ern en er em es e s", "es": "aciones ación amientos amiento mente adas ados ada ado ando iendo ar er ir es os as s"}
+
+
+def analysed(text: Column, language: str | None = None) -> Column:
+    """The tokens of a text; with a language, without its stop words and endings."""
+    out = tokens(text)
+    if language is None:
+        return out
+    stop = F.array(*map(F.lit, STOPWORDS[language].split()))
+    kept = F.filter(out, lambda t: ~F.array_contains(stop, t))
+    return F.transform(kept, lambda t: F.regexp_replace(t, ending(language), "$1"))
+
+
+def ending(language: str) -> str:
+    """A pattern of words with an ending: what stands before it is the first group."""
+    return f"^(.{{3,}}?)({'|'.join(ENDINGS[language].split())})$"
+
+
 def strip_end(text: Column) -> Column:
     """The text without white space at its end (rtrim takes spaces only)."""
     return F.regexp_replace(text, r"\s+$", "")

@@ -4,6 +4,7 @@
     changes/run=N   what happened to each page: added, changed, unchanged or removed
     vectors/run=N   embeddings of the nodes of added and changed pages; a run adds vectors and rewrites none
     state/run=N     each page's node ids and the run that holds its vectors
+    text/           an inverted index of the content by collection, kept up by the same runs (textindex.py)
 
 The state is written last, and a run without it doesn't count: the next one takes its number and overwrites what it left. Deleting
 a node means that no state names it any more; its vector stays on disk until vacuum().
@@ -14,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import delta
+from lodestone.sources.textindex import TextIndex
 
 KEYS = ["collection", "page_id"]
 STATE = "collection string, page_id string, node_ids array<string>, nodes_run int, version long, parent_id string"
@@ -30,6 +32,7 @@ Embedder = Callable[[pd.Series], pd.Series]
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.text = TextIndex(spark, f"{self.root}/text", "node_id", "content", "collection", upto=self.last)
 
     def _paths(self, pattern: str) -> list[str]:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
@@ -68,10 +71,12 @@ class Store:
         stored = self.spark.read.schema(VECTORS + ", run int").option("basePath", f"{self.root}/vectors").parquet(*paths)
         return stored.join(state.select(*KEYS, F.col("nodes_run").alias("run")), [*KEYS, "run"], "left_semi").select(*KEYS, "node_id", "embedding", "run")
 
-    def sync(self, chunks: DataFrame, full: bool = False, embedder: Embedder | None = None) -> DataFrame:
+    def sync(self, chunks: DataFrame, full: bool = False, embedder: Embedder | Column | None = None, indexed: tuple[str, ...] | bool = False) -> DataFrame:
         """Brings the store up to the chunks (collection, page_id, node_id, content, ...) and returns (collection, n), the nodes
         each collection holds then. Only nodes of added and changed pages are embedded; in full mode all are, and what was
-        stored is forgotten. Without an embedder the vectors are null. Chunks without a page id or node id are an error."""
+        stored is forgotten. An embedder is a function of a batch of texts or a column of them; without one the vectors are null.
+        Chunks without a page id or node id are an error. The text index, if wanted (for some collections, or for all), takes the
+        nodes of changed pages in and out by the same delta; collections that it doesn't have are ranked by their vectors alone."""
         n, spark = self.last() + 1, self.spark
         write = lambda df, name, *by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}/run={n}")
         write(chunks, "docstore")
@@ -82,8 +87,10 @@ class Store:
         planned = delta.plan(old, delta.state(chunks)).join(old.select(*KEYS, "nodes_run"), KEYS, "left")
         write(planned, "changes")
         planned = self._read("changes", n, planned.schema)
+        if indexed:
+            self._index(n, chunks, planned, full, indexed)
         touched = chunks.join(planned.where("change IN ('added', 'changed')").select(*KEYS), KEYS, "left_semi").dropDuplicates([*KEYS, "node_id"])
-        vector = F.pandas_udf(lambda t: embedder(t), "array<float>")("content") if embedder else F.lit(None).cast("array<float>")
+        vector = embedder if isinstance(embedder, Column) else F.pandas_udf(lambda t: embedder(t), "array<float>")("content") if embedder else F.lit(None).cast("array<float>")
         write(touched.select(*KEYS, "node_id", vector.alias("embedding")), "vectors")
         about = [(F.max(c) if c in chunks.columns else F.lit(None)).cast(t).alias(c) for c, t in (("version", "long"), ("parent_id", "string"))]
         run = F.when(F.col("change") == "unchanged", F.col("nodes_run")).otherwise(F.lit(n))
@@ -91,6 +98,15 @@ class Store:
         write(kept.join(chunks.groupBy(*KEYS).agg(*about), KEYS), "state")
         return self.state().groupBy("collection").agg(F.sum(F.size("node_ids")).alias("n"))
 
+    def _index(self, run: int, chunks: DataFrame, planned: DataFrame, full: bool, indexed: tuple[str, ...] | bool) -> None:
+        """Takes the nodes of added and changed pages into the text index, and those that changed and removed pages had out of it."""
+        some = lambda df: df if indexed is True else df.where(F.col("collection").isin(*indexed))
+        of = lambda df, *kinds: some(df).join(planned.where(F.col("change").isin(*kinds)).select(*KEYS), KEYS, "left_semi").select("collection", "node_id", "content").dropDuplicates(["collection", "node_id"])
+        before = None if full else self.docstore()
+        anew = full or not self.text.runs()
+        added = of(chunks, "added", "changed", "unchanged") if anew else of(chunks, "added", "changed")
+        self.text.update(added, None if before is None or anew else of(before, "changed", "removed"), anew, run)
+
     def vacuum(self) -> None:
         """Removes what no later run reads: everything of runs before the last, but vectors that the state still names."""
         last = self.last()
