@@ -35,7 +35,7 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", t
     """
     spark = corpus.sparkSession
     some = corpus.select(key, *[within] * bool(within), text)
-    if some.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # one small file would keep one core busy
+    if 0 < len(some.inputFiles()) < spark.sparkContext.defaultParallelism:  # one small file would keep one core busy; the names alone are read
         some = some.repartition(spark.sparkContext.defaultParallelism)
     cut = some.select(key, *[within] * bool(within), tokens(F.col(text)).alias("t"))
     asked = questions.select(by, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import CodeIndex, Retrieval
 from lodestone.operators import answer, lexical, links, registry
+from lodestone.sources import shared
 from lodestone.sources.tables import ENTITY_SQL, entity_chunks, table
 
 DOCS = Retrieval()
@@ -24,16 +25,18 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("item_id"), text.alias("text"))
 
 
-def _hits(spark: SparkSession, sf: str, config: Retrieval, collection: str | None = None) -> DataFrame:
-    chunks = entity_chunks(spark, sf)
-    if collection:
-        chunks = chunks.where(F.col("collection") == collection)
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The linked chunks, written once: ranking, links and titles all read them."""
+    return shared.keep(entity_chunks(spark, sf), "chunks")
+
+
+def _hits(spark: SparkSession, sf: str, config: Retrieval, chunks: DataFrame) -> DataFrame:
     asked = _questions(spark, sf)
     found = lexical.topk(chunks, asked.withColumnRenamed("text", "content"), config.sized()[1], "node_id", "content", within="collection")
     found = found.withColumn("place", F.concat_ws("/", F.col("item_id").cast("string"), "collection"))
     pool = lexical.ranked(found, config.sized()[1], "place", "node_id").drop("rank", "place")
     pool = pool.join(chunks, ["collection", "node_id"]).join(asked.withColumnRenamed("text", "question"), "item_id")
-    return answer.best_hits(pool, config)
+    return shared.keep(answer.best_hits(pool, config), "hits")
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -41,7 +44,8 @@ def _shown(hits: DataFrame) -> DataFrame:
 
 
 def _cited(spark: SparkSession, sf: str) -> DataFrame:
-    return answer.with_citations(_hits(spark, sf, DOCS), entity_chunks(spark, sf))
+    chunks = _chunks(spark, sf)
+    return answer.with_citations(_hits(spark, sf, DOCS, chunks), chunks)
 
 
 def docs_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +55,7 @@ def docs_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def docs_query_scoped(spark: SparkSession, sf: str) -> DataFrame:
     """Five hits of the technical collection alone, under the quota after the rerank, without citations."""
-    hits = links.public_id(_hits(spark, sf, SCOPED, "technical"))
+    hits = links.public_id(_hits(spark, sf, SCOPED, _chunks(spark, sf).where("collection = 'technical'")))
     return hits.select("item_id", "rank", "id", "doc_type", "score")
 
 
@@ -111,12 +115,12 @@ def _registered(spark: SparkSession, sf: str) -> DataFrame:
 
 def _deep(spark: SparkSession, sf: str) -> DataFrame:
     asked = _questions(spark, sf)
-    repos = answer.routed(_cited(spark, sf), _registered(spark, sf), asked)
-    code = _code(spark, sf)
+    repos = shared.keep(answer.routed(_cited(spark, sf), _registered(spark, sf), asked), "routes")
+    code = shared.keep(_code(spark, sf), "code")
     found = lexical.topk(code, asked.withColumnRenamed("text", "content"), CODE.pool_size, "chunk_id", "content", within="repo")
     found = found.withColumn("place", F.concat_ws("/", F.col("item_id").cast("string"), "repo"))
     found = lexical.ranked(found, CODE.pool_size, "place", "chunk_id").drop("rank", "place").join(code, ["repo", "chunk_id"])
-    return answer.assemble(answer.code_hits(found, repos, CODE), repos)
+    return answer.assemble(shared.keep(answer.code_hits(found, repos, CODE), "code-hits"), repos)
 
 
 def deep_query_cited(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +215,7 @@ def repo_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Steps of every nation's validation, and of one that doesn't exist: registered, an index that isn't empty (that of NATION_5 is),
     an answer to a probe that keeps the contract."""
     names = table(spark, sf, "nation").select(F.col("n_name").alias("repo"))
-    code = _code(spark, sf).where("repo <> 'NATION_5'")
+    code = shared.keep(_code(spark, sf).where("repo <> 'NATION_5'"), "code")
     probe = spark.createDataFrame([(0, "urgent")], "item_id long, content string")
     found = lexical.topk(code, probe, 1, "chunk_id", "content", within="repo").withColumn("place", F.col("repo"))
     answers = lexical.ranked(found, 1, "place", "chunk_id").join(code, ["repo", "chunk_id"])
