@@ -15,6 +15,7 @@ from lodestone.sources import shared
 from lodestone.sources.store import Store
 from lodestone.sources.tables import ENTITY_SQL, entity_chunks, table
 from lodestone.sources.textindex import TextIndex
+from lodestone.sources.vectorindex import VectorIndex
 
 #: Folders of terms in these queries' own indexes.
 FOLDERS = 8
@@ -135,7 +136,36 @@ s AS (SELECT item_id, collection, node_id, doc_type, round(CASE WHEN hi = lo THE
   FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM u WINDOW w AS (PARTITION BY item_id, collection)))
 SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id) AS rank, node_id, collection, doc_type, score FROM s) WHERE rank <= {TOP}"""
 
+# --- approximate neighbours --------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[VectorIndex, DataFrame, DataFrame]:
+    """An index of all vectors, the vectors, and the questions: every vector whose id is divisible by 20."""
+    v = table(spark, sf, "embeddings")
+    index = VectorIndex(spark, shared.folder(spark, "cells"))
+    index.write(v)
+    return index, v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+
+
+def dense_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The best vectors of the cells that each question reads. No SQL states which neighbours an approximate index finds; the tests and
+    dense_recall hold them against all."""
+    index, _, asked = _vectors(spark, sf)
+    return index.topk(asked, TOP)
+
+
+def dense_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """For each question, how many of its true neighbours the index finds, and the share of the cells that it reads."""
+    index, v, asked = _vectors(spark, sf)
+    true = lexical.ranked(dense.topk(v, asked, TOP), TOP, key="vec_id").select("item_id", "vec_id")
+    found = index.topk(asked, TOP).select("item_id", "vec_id", F.lit(1).alias("hit"))
+    per = true.join(found, ["item_id", "vec_id"], "left").groupBy("item_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+    return per.withColumn("share", F.lit(index.share()))
+
+
 QUERIES = {
+    "dense_indexed": (dense_indexed, None),
+    "dense_recall": (dense_recall, None),
     "bm25_indexed": (bm25_indexed, f"WITH {BM25_SQL} {_ranked_sql('bm25', TOP)}"),
     "bm25_synced": (bm25_synced, SYNCED_SQL),
     "term_counts": (term_counts, COUNTS_SQL),

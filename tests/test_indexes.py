@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Retrieval
 from lodestone.functions import text as tx
-from lodestone.operators import embed, lexical, postings
+from lodestone.operators import cells, embed, lexical, postings
 from lodestone.plans import indexed
 from lodestone.sources.store import Store
 from lodestone.sources.textindex import TextIndex
+from lodestone.sources.vectorindex import VectorIndex
 
 WORDS = [f"w{i}" for i in range(40)] + ["rare", "the", "naïve"]
 
@@ -152,6 +153,39 @@ def test_analysis(spark):
     assert row.select(tx.analysed(F.col("t"))).first()[0][:2] == ["the", "ratings"]
 
 
+def clustered(n, d, centres, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(centres, d))[rng.integers(0, centres, n)] + 0.3 * rng.normal(size=(n, d))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 100])
+def test_cells_find_nearly_all_neighbours(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(cells, "PIECE", piece)
+    x = clustered(2000, 16, 25)
+    x[:700] = x[0]  # a hot vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = VectorIndex(spark, str(tmp_path))
+    model = index.write(df)
+    assert index.rows().count() == 2000 and index.share() < 0.5
+    stored = index.model()
+    assert stored.probes == model.probes and np.array_equal(stored.centres, model.centres)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(700, 2000, 20)] + [(9, None)], "item_id long, vector array<float>")
+    got = {(r.item_id, r.vec_id): r.score for r in index.topk(asked, 10).collect()}
+    scores = x[700:2000:20].astype(float) @ x.T.astype(float)
+    true = {(i, int(v)) for i, row in zip(range(700, 2000, 20), scores, strict=True) for v in np.lexsort((np.arange(2000), -np.round(row, 6)))[:10]}
+    assert len(got) == len(true) and len(got.keys() & true) >= 0.9 * len(true)
+    assert all(s == pytest.approx(float(x[q].astype(float) @ x[v].astype(float)), abs=1e-6) for (q, v), s in got.items())
+    plan = index.rows().where(F.col("cell").isin([0]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "cell#" in plan.split("PartitionFilters")[1]
+
+
+def test_recall_of_the_query(spark):
+    rows = indexed.dense_recall(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.found for r in rows) >= 0.9 * sum(r.wanted for r in rows)
+
+
 def chunk(page, content, collection="technical", doc_type="endpoint"):
     return (collection, page, f"{page}:{content}", content, doc_type)
 
