@@ -272,7 +272,8 @@ def _read_ids(blob: bytes) -> list[np.ndarray]:
 
 
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, ids array<int>) of all documents, as the tiktoken library would encode each text without special tokens."""
+    """Rows (key, ids array<int>) of all documents, as the tiktoken library would encode each text without special tokens. Null texts are empty; keys
+    may be null or repeated, and stay so; an empty table gives no rows, and other columns are passed over."""
 
     def finish(ids: list[np.ndarray], positions: np.ndarray, counts: np.ndarray, _):
         flat, bounds = _flat_ids(ids, positions, counts)

@@ -231,7 +231,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both. component_id is the smallest
     key that is reachable by links, of all 64-bit keys; documents without words (null or empty text) are linked with nothing. Repeated rows
     are linked like copies. Null keys stay null, and are a component only where no other key is reachable. No pair of documents is ever a row: classes of equal sets stand for their documents, and
-    tasks return one row for each set they compare.
+    tasks return one row for each set they compare. An empty table gives no rows; other columns are passed over, whatever their names.
     """
     spark = docs.sparkSession
     wanted = docs.select(F.col(key).cast("long").alias(key), text)

@@ -21,7 +21,7 @@ from lodestone.llm.columns import documents, map_texts, text_of
 
 #: Share of a template's words that a text has to hold in order.
 COVERAGE = 0.8
-#: A notice may be spread over so many times the template's words.
+#: A notice may be spread over so many times the template's words: any that is no longer lies whole in one of the stretches that are aligned.
 SPREAD = 2
 
 #: Short notices of public licenses, by SPDX identifier, and the notice that reserves all rights.
@@ -89,10 +89,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def _stretches(text: list[str], template: list[str], least: int):
     """(start, end) of the text's stretches that may hold `least` of the template's words: around runs of shared words with no
-    gap longer than the template, at most SPREAD templates long, starting half a stretch apart."""
+    gap longer than the template. Stretches are a third longer than SPREAD templates and start a quarter of their length apart, so each
+    run of SPREAD templates lies in one."""
     vocabulary = set(template)
     hits = [i for i, w in enumerate(text) if w in vocabulary]
-    width = SPREAD * len(template)
+    width = -(-4 * SPREAD * len(template) // 3) + 4
     at = 0
     while at < len(hits):
         start = hits[at]
@@ -120,7 +121,11 @@ def find(text: list[str], template: list[str], coverage: float) -> tuple[float,
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """Rows (key, license, coverage, first_word, last_word, n_licenses) of all documents: the best-covered license (the
     first in the order of `templates` among equals; longer notices win), where its notice stands, and how many different
-    licenses the text holds. Without one, license is null, coverage 0, the places -1. A null text counts as empty."""
+    licenses the text holds. Without one, license is null, coverage 0, the places -1. A null text counts as empty and null keys
+    stay null; repeated rows have equal results, an empty table none. Other columns are passed over, whatever their names; a key named as
+    one of the results is an error."""
+    if key in ("license", "coverage", "first_word", "last_word", "n_licenses"):
+        raise ValueError(f"the key is named as a result: {key}")
     cut = [(name, words(t)) for name, ts in (templates or TEMPLATES).items() for t in ts]
     vocabulary = {w for _, t in cut for w in t}
 

@@ -115,10 +115,11 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docum
 
     A null text counts as empty and fails the base rules. A null host is a host of its own. Repeated rows are judged
     one by one, each alike, and count as one document. An empty table gives no rows. Columns of `docs` with the names of
-    the figures are replaced; all others stay.
+    the figures are replaced; all others stay, whatever their names, as they travel in a column of their own.
     """
     light = [c for c in docs.columns if c != text and c not in _FIGURES]
-    base = docs.select(F.struct(*[F.col(c) for c in light], F.monotonically_increasing_id().alias("_i")).alias("_row"), F.when(F.col(host).isNull(), "").otherwise(F.concat(F.lit("."), F.col(host).cast("string"))).alias("_host"), text_of(text).alias("_text"))
+    own = F.struct(*[F.col(c) for c in light]) if light else F.struct(F.lit(0).alias("none"))
+    base = docs.select(F.struct(own.alias("own"), F.monotonically_increasing_id().alias("_i")).alias("_row"), F.when(F.col(host).isNull(), "").otherwise(F.concat(F.lit("."), F.col(host).cast("string"))).alias("_host"), text_of(text).alias("_text"))
     kind = base.schema["_row"].dataType.simpleString()
     if with_text:  # the texts are read twice, under the same numbers
         base = scratch.keep(base, "numbered")
@@ -131,7 +132,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docum
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed_words") <= max_removed_percent * F.col("n_words")))
-    columns = [F.col("_row")[c].alias(c) for c in light]
+    columns = [F.col("_row.own")[c].alias(c) for c in light]
     if not with_text:
         return out.select(*columns, *_FIGURES)
 

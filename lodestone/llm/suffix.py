@@ -13,7 +13,7 @@ block of texts a sequence of phrase numbers, some fifty times shorter than its b
 3. What remains are cuts near the ends of repeated passages. Their windows are checked one by one, again by counts
    over all blocks, against all windows of their class; so are windows whose first bytes have no cut.
 
-Between blocks, strings are compared by 64-bit hashes of their bytes.
+Between blocks, strings are compared by hashes of their bytes modulo a prime of 61 bits (spans.py), without a look at the bytes.
 """
 
 from __future__ import annotations
@@ -288,7 +288,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     A byte goes if it is in a string of `length` bytes that also starts anywhere else, in its own text (overlaps too) or in
     another; strings are judged on the input, and none crosses a text's end. Null texts are empty. Repeated rows are
-    copies of each other.
+    copies of each other. Null keys stay null, each row with its own result; an empty table gives none. Other columns are passed over,
+    whatever their names.
     """
     base, n_blocks = exchange.blocks(docs, key, text)
     base = base.withColumn("_text", F.col("_text").cast("binary"))

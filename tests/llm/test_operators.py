@@ -49,8 +49,8 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    data = [(i, t, "en" if i % 2 else None, f"h{i % 3}" if i % 5 else None, -1, "x", 0.5, True, "row", 7) for i, t in rows]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, _text string, score double, kept boolean, _row string, line long").repartition(3)
+    data = [(i, t, "en" if i % 2 else None, f"h{i % 3}" if i % 5 else None, -1, "x", 0.5, True, "row", 7, 3) for i, t in rows]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, _text string, score double, kept boolean, _row string, line long, _i int").repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -237,6 +237,19 @@ def test_license_scan(docs, spark):
     assert got.pop(100) == "MIT" and set(got.values()) == {None}
 
 
+def test_spread_notices_and_key_names(spark):
+    notice = licenses.words(licenses.TEMPLATES["Apache-2.0"][1])
+    rows = []
+    for shift in range(0, 200, 7):  # twice as long as the notice, wherever shared words stand before it
+        spread = [w for x in notice for w in (x, "qqq")][: licenses.SPREAD * len(notice)]
+        rows.append((shift, " ".join([*(["the", "license"] * 100)[:shift], *spread])))
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None)], "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    assert all(r.license == "Apache-2.0" and r.coverage == 1.0 for r in got if r.first_word >= 0) and sum(r.license is None for r in got) == 1
+    with pytest.raises(ValueError, match="license"):
+        licenses.scan(df.withColumnRenamed("doc_id", "license"), "license")
+
+
 def test_rights_reserved(spark):
     data = [(1, "Some prose.\nAll rights reserved.\nMore prose."), (2, "All of them, right or wrong, had a seat reserved."), (3, "Released under the MIT License. All rights reserved.")]
     got = {r["doc_id"]: (r["license"], r["n_licenses"]) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
