@@ -132,6 +132,22 @@ def test_crawl(spark):
     assert rows(tree.crawl(tree_pages, ["root", "r2"], ["Skip"]).select("root", "page_id", "depth")) == [("r2", "e", 1), ("root", "a", 1), ("root", "b", 2)]
 
 
+def test_crawl_of_nested_roots_and_circles(spark):
+    data = [("a", "A", "root"), ("b", "B", "a"), ("c", "C", "b"), ("d", "D", "c"), ("x", "X", "y"), ("y", "Y", "x"), ("z", "Z", "nowhere"), ("two", "T", "a"), ("two", "T", "b"), (None, "N", "root"), ("top", "T", None)]
+    got = tree.crawl(spark.createDataFrame(data, "page_id string, title string, parent_id string"), ["root", "b", "none"])
+    want = [("root", "a", 1), ("root", "b", 2), ("root", "c", 3), ("root", "d", 4), ("b", "c", 1), ("b", "d", 2), ("root", "two", 2), ("root", "two", 3), ("b", "two", 1)]
+    assert rows(got.select("root", "page_id", "depth")) == sorted(want)
+    empty = spark.createDataFrame([], "page_id string, title string, parent_id string")
+    assert rows(tree.crawl(empty, ["root"])) == []
+
+
+def test_crawl_of_deep_and_large_trees(spark):
+    wide = spark.range(1, 2_000_001).select(F.col("id").cast("string").alias("page_id"), F.lit("w").alias("title"), F.expr("id div 10").cast("string").alias("parent_id"))
+    deep = spark.range(200).select(F.concat(F.lit("d"), "id").alias("page_id"), F.lit("d").alias("title"), F.when(F.col("id") == 0, "0").otherwise(F.concat(F.lit("d"), F.col("id") - 1)).alias("parent_id"))
+    got = tree.crawl(wide.unionByName(deep), ["0"]).groupBy("title").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.sum("depth").alias("sum"))
+    assert rows(got) == [("d", 200, 200, 20100), ("w", 2_000_000, 7, sum(len(str(i)) for i in range(1, 2_000_001)))]
+
+
 def test_routing(spark):
     hits = spark.createDataFrame([(1, ["ep::r1::op", "db::m::c"], "see a.cs:12 and b.cs:3"), (1, ["ctrl::gone::C"], ""), (2, ["db::m::c"], "z.cs:1")], "item_id long, ids array<string>, content string")
     registered = spark.createDataFrame([("r1",), ("r2",)], "repo string")
