@@ -47,13 +47,16 @@ def routed(hits: DataFrame, registered: DataFrame, questions: DataFrame, by: str
     return route.route(route.derive(hits.select(by, ids.alias("ids"), "content"), by), registered, questions, by)
 
 
-def code_hits(found: DataFrame, repos: DataFrame, config: CodeIndex, by: str = "item_id", key: str = "chunk_id") -> DataFrame:
+def code_hits(found: DataFrame, repos: DataFrame, config: CodeIndex, by: str = "item_id", key: str = "chunk_id", scorer: rerank.Scorer | None = None) -> DataFrame:
     """The top_k code chunks of each question and routed repository, from what its index found (by, repo, key, heading, file_path, layer,
-    content, score): chunks in a hinted file are boosted, quotas and priorities hold within a repository. `repos`: by, repo, files."""
+    content, score, and question for a rerank): chunks in a hinted file are boosted, then all are reranked if the settings say so, which
+    makes new scores; quotas and priorities hold within a repository. `repos`: by, repo, files."""
     hits = found.join(repos.select(by, "repo", "fallback", "files"), [by, "repo"])
     place = F.lower(F.concat_ws("|", "file_path", "heading"))
     hinted = F.exists(F.filter(F.transform("files", lambda f: F.lower(F.trim(f))), lambda f: f != ""), lambda f: place.contains(f))
     hits = hits.withColumn("score", F.col("score") * F.when(hinted, config.hint_boost).otherwise(1.0))
+    if config.rerank:
+        hits = rerank.rerank(hits, scorer, text="content")
     hits = hits.withColumn("place", F.concat_ws("/", F.col(by).cast("string"), "repo")).withColumn("chars", F.char_length("content"))
     hits = hits.withColumn("category", select.category(F.coalesce("heading", F.lit("")), F.col("layer"), config.category_map, config.overview_suffix))
     best = select.quota(hits, config.quotas, config.top_k, "category", "place", key, config.min_category_chars, config.min_category_extra, "chars")

@@ -113,20 +113,21 @@ def _registered(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").where("n_regionkey <> 0").select(F.col("n_name").alias("repo"))
 
 
-def _deep(spark: SparkSession, sf: str) -> DataFrame:
+def _deep(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The routes, and the code stage's answer in them."""
     asked = _questions(spark, sf)
     repos = shared.keep(answer.routed(_cited(spark, sf), _registered(spark, sf), asked), "routes")
     code = shared.keep(_code(spark, sf), "code")
     found = lexical.topk(code, asked.withColumnRenamed("text", "content"), CODE.pool_size, "chunk_id", "content", within="repo")
     found = found.withColumn("place", F.concat_ws("/", F.col("item_id").cast("string"), "repo"))
     found = lexical.ranked(found, CODE.pool_size, "place", "chunk_id").drop("rank", "place").join(code, ["repo", "chunk_id"])
-    return answer.assemble(shared.keep(answer.code_hits(found, repos, CODE), "code-hits"), repos)
+    return repos, answer.assemble(shared.keep(answer.code_hits(found, repos, CODE), "code-hits"), repos)
 
 
 def deep_query_cited(spark: SparkSession, sf: str) -> DataFrame:
     """Docs stage, routing by the ids of hits and of their citations, code stage in those repositories with the cited files as
     hints, scores scaled over all that answered; a repository whose answer breaks the contract gives its error instead."""
-    d = _deep(spark, sf)
+    _, d = _deep(spark, sf)
     return d.select("item_id", "repo", "fallback", F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("error", F.lit("")).alias("error"))
 
 
@@ -192,7 +193,7 @@ evp AS (SELECT *, best_rank BETWEEN 1 AND 3 OR cited_on_top AS passed FROM ev)""
 def deep_eval(spark: SparkSession, sf: str) -> DataFrame:
     """For each question: repositories that answered or failed, and whether any returned file ends with an accepted name (the file
     that the question asks for)."""
-    d = _deep(spark, sf)
+    _, d = _deep(spark, sf)
     name = F.concat(F.lit("File"), (F.col("item_id") % 100).cast("string"), F.lit(".cs"))
     ok = F.coalesce(F.bool_or(F.col("file_path").endswith(name) & F.col("error").isNull()), F.lit(False))
     return d.groupBy("item_id").agg(F.count_distinct(F.when(F.col("error").isNull(), F.col("repo"))).alias("n_repos"), F.count_if(F.col("error").isNotNull()).alias("n_errors"), F.bool_or("fallback").alias("fallback"), ok.alias("passed"))
@@ -201,6 +202,30 @@ def deep_eval(spark: SparkSession, sf: str) -> DataFrame:
 DEEP_EVAL_SQL = f"""{DEEP_BODY} SELECT item_id, count(DISTINCT CASE WHEN error = '' THEN repo END) AS n_repos, count(*) FILTER (error <> '') AS n_errors, bool_or(fallback) AS fallback,
   coalesce(bool_or(error = '' AND suffix(file_path, 'File' || (item_id % 100) || '.cs')), false) AS passed FROM deep GROUP BY 1"""
 
+
+
+def orchestrator_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Each question judged as a whole: the nation of the customer it asks for is the one repository routed to, without fallback, or, where that isn't
+    registered, any by fallback; and a file that the question names is among those returned."""
+    repos, code = _deep(spark, sf)
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    cases = _questions(spark, sf).select("item_id").join(c.select(F.col("c_custkey").alias("item_id"), F.col("n_name").alias("own"), (F.col("n_regionkey") != 0).alias("known")), "item_id")
+    routed = repos.groupBy("item_id").agg(F.collect_set("repo").alias("repos"), F.bool_or("fallback").alias("fallback"))
+    name = F.concat(F.lit("File"), (F.col("item_id") % 100).cast("string"), F.lit(".cs"))
+    seen = code.where("error IS NULL").groupBy("item_id").agg(F.bool_or(F.col("file_path").endswith(name)).alias("seen"))
+    judged = cases.join(routed, "item_id", "left").join(seen, "item_id", "left")
+    repos_ok = ~F.col("known") | F.coalesce(F.col("repos") == F.array("own"), F.lit(False))
+    fallback_ok, files_ok = F.coalesce(F.col("fallback") != F.col("known"), F.lit(False)), F.coalesce("seen", F.lit(False))
+    return judged.select("item_id", repos_ok.alias("repos_ok"), fallback_ok.alias("fallback_ok"), files_ok.alias("files_ok"), (repos_ok & fallback_ok & files_ok).alias("passed"))
+
+
+ORCHESTRATOR_SQL = f"""{DEEP_BODY}, cases AS (SELECT s_suppkey AS item_id, n_name AS own, n_regionkey <> 0 AS known FROM supplier JOIN customer ON c_custkey = s_suppkey JOIN nation ON n_nationkey = c_nationkey),
+j AS (SELECT item_id, NOT known OR coalesce((SELECT list(DISTINCT repo) FROM routed r WHERE r.item_id = c.item_id) = [own], false) AS repos_ok,
+  coalesce((SELECT bool_or(fallback) FROM routed r WHERE r.item_id = c.item_id) <> known, false) AS fallback_ok,
+  EXISTS (SELECT 1 FROM deep d WHERE d.item_id = c.item_id AND error = '' AND suffix(file_path, 'File' || (c.item_id % 100) || '.cs')) AS files_ok FROM cases c)
+SELECT *, repos_ok AND fallback_ok AND files_ok AS passed FROM j"""
+
+
 def code_status(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of each repository's code index by layer and type, and in all; urgent orders have no layer here."""
     layer = F.when(F.col("layer") != "1-URGENT", F.col("layer"))
@@ -243,4 +268,5 @@ QUERIES = {
     "cited_eval": (cited_eval, f"{EVAL_BODY} SELECT * FROM evp"),
     "eval_counts": (eval_counts, f"{EVAL_BODY} SELECT count(*) FILTER (NOT informational) AS scored, count(*) FILTER (NOT informational AND passed) AS passed, count(*) FILTER (NOT informational AND best_rank = 1) AS first, count(*) FILTER (informational) AS informational FROM evp"),
     "deep_eval": (deep_eval, DEEP_EVAL_SQL),
+    "orchestrator_eval": (orchestrator_eval, ORCHESTRATOR_SQL),
 }

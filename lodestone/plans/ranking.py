@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,26 +256,32 @@ s AS (SELECT item_id, doc_id, collection, lang, round(len(list_intersect(a, h))
 SELECT *, 'Document ' || doc_id AS title FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {TOP}"""
 
 
-def query_code(spark: SparkSession, sf: str) -> DataFrame:
+def query_code(spark: SparkSession, sf: str, config: CodeIndex = CODE, repo: str | None = None) -> DataFrame:
     """Every repository's chunks for each question, without a docs stage: both lists of the repository fused, hinted chunks
-    boosted, categories under their quotas and character floors, in the order of priorities, with the parent's summary (here the
-    start of the first of ten documents) where the parent isn't selected itself."""
+    boosted, reranked if the settings say so, categories under their quotas and character floors, in the order of priorities, with the
+    parent's summary (here the start of the first of ten documents) where the parent isn't selected itself. With `repo` only that
+    repository's index is read, and terms are counted in it alone."""
     d = table(spark, sf, "documents").withColumnRenamed("source", "repo").withColumn("text", F.coalesce("text", F.lit("")))
+    if repo:
+        d = d.where(F.col("repo") == repo)
     v = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     asked = _questions(spark, sf).join(v, F.col("doc_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("vector"))
     of_repo = v.select("doc_id", "embedding").join(d.select("doc_id", "repo"), "doc_id")
     place = F.concat_ws("/", F.col("item_id").cast("string"), "repo")
     one = lambda df, name: lexical.ranked(df.withColumn("place", place), POOL, "place").withColumn("list", F.lit(name))
     lists = one(lexical.topk(d, _questions(spark, sf), POOL, within="repo"), "bm25").unionByName(one(dense.topk(of_repo, asked, POOL, key="doc_id", within="repo"), "dense"))
-    pool = lexical.ranked(fuse.fuse(lists, CODE.fusion, by="place"), POOL, "place").drop("rank").join(d, "doc_id")
-    hits = select.boost(pool, HINTS, CODE.hint_boost, "repo", "lang").withColumn("chars", F.char_length("text"))
+    pool = lexical.ranked(fuse.fuse(lists, config.fusion, by="place"), POOL, "place").drop("rank").join(d, "doc_id")
+    pool = pool.withColumn("item_id", F.element_at(F.split("place", "/"), 1).cast("long"))
+    hits = select.boost(pool, HINTS, config.hint_boost, "repo", "lang").withColumn("chars", F.char_length("text"))
+    if config.rerank:
+        hits = rerank.rerank(hits.join(_questions(spark, sf).withColumnRenamed("text", "question"), "item_id"))
     heading = F.when(F.col("repo") == "src0", F.concat("repo", F.lit(CODE.overview_suffix))).otherwise(F.col("repo"))
-    hits = hits.withColumn("category", select.category(heading, F.col("lang"), CODE.category_map, CODE.overview_suffix))
-    best = select.quota(hits, CODE.quotas, CODE.top_k, "category", by="place", min_chars=CODE.min_category_chars, extra=CODE.min_category_extra, chars="chars")
-    best = select.reorder(best, list(CODE.priority_order), "lang", by="place").drop("text")
+    hits = hits.withColumn("category", select.category(heading, F.col("lang"), config.category_map, config.overview_suffix))
+    best = select.quota(hits, config.quotas, config.top_k, "category", by="place", min_chars=config.min_category_chars, extra=config.min_category_extra, chars="chars")
+    best = select.reorder(best, list(config.priority_order), "lang", by="place").drop("text")
     parents = d.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("summary"))
     shown = links.parent_summaries(best.withColumn("chunk_id", F.col("doc_id")).withColumn("parent_id", F.col("doc_id") - F.col("doc_id") % 10), parents, "place")
-    return shown.select(F.element_at(F.split("place", "/"), 1).cast("long").alias("item_id"), "repo", "doc_id", "category", "score", "rank", "parent_summary")
+    return shown.select("item_id", "repo", "doc_id", "category", "score", "rank", "parent_summary")
 
 
 CODE_QUERY_SQL = f"""{BM25_SQL}, {DENSE_SQL},
@@ -294,6 +302,25 @@ code_ AS (SELECT item_id, repo, doc_id, category, score, row_number() OVER (PART
 QUERY_CODE_SQL = f"WITH {CODE_QUERY_SQL} SELECT * FROM code_"
 
 
+def query_code_reranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a rerank between boost and quotas."""
+    return query_code(spark, sf, replace(CODE, rerank=True))
+
+
+_BOOSTED = "score * CASE WHEN contains(lower(repo || '|' || lang), 'src1') OR contains(lower(repo || '|' || lang), 'de') THEN 1.5 ELSE 1.0 END AS score"
+_WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}'))".format
+_COVERED = f"(SELECT round(len(list_intersect({_WORDS('b.text')}, {_WORDS('documents.text')})) / len({_WORDS('b.text')}), 6) FROM benchmark b WHERE b.item_id = kp.item_id) AS score"
+RERANKED_CODE_SQL = f"WITH {CODE_QUERY_SQL.replace(_BOOSTED, _COVERED)} SELECT * FROM code_"
+
+
+def query_code_repo(spark: SparkSession, sf: str) -> DataFrame:
+    """One repository alone."""
+    return query_code(spark, sf, repo="src1")
+
+
+REPO_CODE_SQL = f"WITH own_docs AS (SELECT * FROM documents WHERE source = 'src1'), {CODE_QUERY_SQL.replace('documents', 'own_docs')} SELECT * FROM code_"
+
+
 def code_score_merge(spark: SparkSession, sf: str) -> DataFrame:
     repos = table(spark, sf, "documents").select(F.col("source").alias("repo")).distinct()
     answered = _questions(spark, sf).select("item_id").crossJoin(F.broadcast(repos))  # a row for each registered repository, few
@@ -377,6 +404,8 @@ QUERIES = {
     "rerank_udf": (rerank_udf, RERANK_UDF_SQL),
     "hybrid_query": (hybrid_query, HYBRID_SQL),
     "query_code": (query_code, QUERY_CODE_SQL),
+    "query_code_reranked": (query_code_reranked, RERANKED_CODE_SQL),
+    "query_code_repo": (query_code_repo, REPO_CODE_SQL),
     "code_score_merge": (code_score_merge, MERGE_SQL),
     "deep_query": (deep_query, DEEP_SQL),
     "retrieval_eval": (retrieval_eval, RETRIEVAL_SQL),
