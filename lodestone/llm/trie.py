@@ -141,18 +141,18 @@ def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _summed(nodes: DataFrame) -> DataFrame:
     """The nodes with n_leaves and saved_tokens of their subtrees, by differences of prefix sums at a subtree's two ends."""
     run = F.expr(f"start div {RUN}")
+    # the place behind the last node is the end of many subtrees, and so a mark that adds nothing
+    end = nodes.where("p1 IS NULL").select(F.col("stop").alias("start"), F.lit(0).cast("long").alias("leaf"), F.lit(0).cast("long").alias("saved"), F.expr(f"stop div {RUN}").alias("run"))
     marked = nodes.select("start", (F.col("stop") == F.col("start") + 1).cast("long").alias("leaf"), ((F.col("n") - 1) * F.col("bytes")).alias("saved"), run.alias("run"))
-    marked = scratch.keep(marked, "marks")
+    marked = scratch.keep(marked.unionByName(end), "marks")
     totals = marked.groupBy("run").agg(F.sum("leaf").alias("leaf"), F.sum("saved").alias("saved")).withColumn("_one", F.lit(0))
     order = W.partitionBy("_one").orderBy("run")  # a row for RUN nodes
     before = totals.select("run", (F.sum("leaf").over(order) - F.col("leaf")).alias("leaf0"), (F.sum("saved").over(order) - F.col("saved")).alias("saved0"))
     inner = W.partitionBy("run").orderBy("start")
     sums = marked.join(before, "run").select("start", *((F.col(f"{c}0") + F.sum(c).over(inner) - F.col(c)).alias(c) for c in ("leaf", "saved")))
-    whole = totals.agg(F.sum("leaf").alias("all_leaf"), F.sum("saved").alias("all_saved"))
     here = nodes.join(sums.select("start", F.col("leaf").alias("leaf_from"), F.col("saved").alias("saved_from")), "start")
-    out = here.join(sums.select(F.col("start").alias("stop"), F.col("leaf").alias("leaf_to"), F.col("saved").alias("saved_to")), "stop", "left")
-    out = out.crossJoin(F.broadcast(whole))  # one row
-    return out.select("*", (F.coalesce("leaf_to", "all_leaf") - F.col("leaf_from")).alias("n_leaves"), (F.coalesce("saved_to", "all_saved") - F.col("saved_from")).alias("saved_tokens"))
+    out = here.join(sums.select(F.col("start").alias("stop"), F.col("leaf").alias("leaf_to"), F.col("saved").alias("saved_to")), "stop")
+    return out.select("*", (F.col("leaf_to") - F.col("leaf_from")).alias("n_leaves"), (F.col("saved_to") - F.col("saved_from")).alias("saved_tokens"))
 
 
 def _ends(members: DataFrame) -> DataFrame:
