@@ -10,6 +10,8 @@ reading stops where no block left can reach the k-th score (block-max skipping);
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -121,8 +123,9 @@ def only(index: DataFrame, terms: DataFrame, bucket=None) -> DataFrame:
     return rows.where(F.col("bucket").isin(places))
 
 
-def topk(rows: DataFrame, shards: DataFrame, counts: DataFrame, asked: DataFrame, k: int, by: str, key: str, part: str | None = None, dead: DataFrame | None = None, score_step: int = 16) -> DataFrame:
+def topk(rows: DataFrame, shards: DataFrame, counts: DataFrame, asked: DataFrame, k: int, by: str, key: str, part: str | None = None, dead: DataFrame | None = None, score_step: int = 16, timed: bool = False) -> DataFrame:
     """(by, key, score), and the part's name if asked for: the k best documents of each shard for each question, which hold the k best of all.
+    timed: also seconds, the time that the question took in the shard, on each of its rows.
 
     rows: of the asked terms (part, run, shard, term, n, docs, tfs, blocks); shards: their shards (part, run, shard, tfs, keys); counts: how many
     documents of a part have each term, with the part's own number and total length under ALL (part, term, n, total); asked: (by, term);
@@ -144,7 +147,7 @@ def topk(rows: DataFrame, shards: DataFrame, counts: DataFrame, asked: DataFrame
     payload, ask = renamed(payload), renamed(ask)
     payload = payload.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks > 1 else payload.withColumn("q", F.lit(0))
     by_type, key_type = asked.schema["by"].dataType, shards.schema["keys"].dataType.elementType
-    schema = pa.schema([("by", to_arrow_type(by_type)), ("key", to_arrow_type(key_type)), ("part", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("by", to_arrow_type(by_type)), ("key", to_arrow_type(key_type)), ("part", pa.string()), ("score", pa.float64()), ("seconds", pa.float64())])
 
     def rank(table: pa.Table, questions: pa.Table) -> pa.Table:
         if not questions.num_rows or not table.num_rows:
@@ -164,23 +167,25 @@ def topk(rows: DataFrame, shards: DataFrame, counts: DataFrame, asked: DataFrame
         questions = questions.sort_by([("by", "ascending"), ("term", "ascending")])
         who, mean = questions.column("by").to_pylist(), questions.column("mean")[0].as_py()
         wanted = list(zip(questions.column("term").to_pylist(), questions.column("idf").to_pylist(), strict=True))
-        out_by, out_doc, out_score, a = [], [], [], 0
+        out_by, out_doc, out_score, out_time, a = [], [], [], [], 0
         while a < len(who):
             b = a
             while b < len(who) and who[b] == who[a]:
                 b += 1
+            began = time.perf_counter()
             doc, score, _ = best([(terms[t], w) for t, w in wanted[a:b]], length, mean, k, alive, score_step)
+            out_time += [time.perf_counter() - began] * len(doc)
             out_by += [who[a]] * len(doc)
             out_doc.append(doc)
             out_score.append(score)
             a = b
         doc = np.concatenate(out_doc)
-        return pa.Table.from_arrays([pa.array(out_by, schema.field(0).type), keys.take(pa.array(doc)), pa.array([part] * len(doc), pa.string()), pa.array(np.concatenate(out_score))], schema=schema)
+        return pa.Table.from_arrays([pa.array(out_by, schema.field(0).type), keys.take(pa.array(doc)), pa.array([part] * len(doc), pa.string()), pa.array(np.concatenate(out_score)), pa.array(out_time, pa.float64())], schema=schema)
 
     group = [*on, "q"]
-    ddl = f"by {by_type.simpleString()}, key {key_type.simpleString()}, part string, score double"
+    ddl = f"by {by_type.simpleString()}, key {key_type.simpleString()}, part string, score double, seconds double"
     found = payload.groupBy(*group).cogroup(ask.groupBy(*group)).applyInArrow(rank, ddl)
-    return found.select(F.col("by").alias(by), F.col("key").alias(key), *([F.col("part").alias(part)] if part else []), "score")
+    return found.select(F.col("by").alias(by), F.col("key").alias(key), *([F.col("part").alias(part)] if part else []), "score", *(["seconds"] if timed else []))
 
 
 def counted(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources import shared
+
 #: Contract versions that are understood.
 VERSIONS = (1, 2)
 SCHEMA = "position int, contractVersion int, repoKey string, displayName string, repoRoot string, serve string, persistDir string"
@@ -35,9 +39,17 @@ def conflicts(manifests: DataFrame) -> DataFrame:
 
 
 def page_ids(documents: DataFrame, column: str = "json") -> DataFrame:
-    """All strings under keys that end in "pageid", in any case, of JSON documents."""
-    found = F.regexp_extract_all(F.col(column), F.lit(r'(?i)"[^"]*pageid"\s*:\s*"([^"]+)"'), F.lit(1))
-    return documents.select(F.explode(found).alias("page_id")).distinct()
+    """All strings under keys that end in "pageid", in any case, at any depth of JSON documents. What isn't JSON has none. Documents are taken
+    apart level by level, all of them at once, until nothing is nested any more."""
+    level = documents.select(F.try_parse_json(F.col(column)).alias("v")).where("v IS NOT NULL")
+    found: list[DataFrame] = []
+    while True:
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.lower(F.col("key").cast("string")).alias("key"), F.col("value").alias("v"), F.schema_of_variant("value").alias("kind"))
+        inner = shared.keep(inner, "json")
+        found.append(inner.where(F.col("key").endswith("pageid") & (F.col("kind") == "STRING")).select(F.try_variant_get("v", "$", "string").alias("page_id")))
+        level = inner.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")).select("v")
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
 def audit(documents: DataFrame, crawled: DataFrame) -> DataFrame:

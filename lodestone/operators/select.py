@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources import shared
+
 
 def category_table(values: dict[str, object], default: object, column: Column) -> Column:
     """The value of a small mapping for a column."""
@@ -48,6 +52,30 @@ def boost(hits: DataFrame, hints: list[str], factor: float, *columns: str) -> Da
     return hits.withColumn("score", F.col("score") * F.when(hit, factor).otherwise(1.0))
 
 
+def boost_many(hits: DataFrame, hints: DataFrame, factor: float, by: str, *columns: str) -> DataFrame:
+    """As boost(), with hints (by, hint) of each question, however many: a question's hits are read once each, against an automaton of all of
+    its hints at a time. Hits without a hint keep their score."""
+    wanted = hints.select(by, F.lower(F.trim("hint")).alias("hint")).where("hint <> ''").distinct()
+    numbered = hits.withColumn("_n", F.monotonically_increasing_id()).withColumn("_place", F.lower(F.concat_ws("|", *columns)))
+    kind = hits.schema[by].dataType
+    schema = pa.schema([("_n", pa.int64())])
+
+    def matched(rows: pa.Table, own: pa.Table) -> pa.Table:
+        automaton = ahocorasick.Automaton()
+        for h in own.column("hint").to_pylist():
+            automaton.add_word(h, h)
+        if not rows.num_rows or not len(automaton):
+            return schema.empty_table()
+        automaton.make_automaton()
+        found = [n for n, place in zip(rows.column("_n").to_pylist(), rows.column("_place").to_pylist(), strict=True) if next(automaton.iter(place), None) is not None]
+        return pa.Table.from_arrays([pa.array(found, pa.int64())], schema=schema)
+
+    kept = shared.keep(numbered, "hits")  # the numbers must be the same at both reads
+    hit = kept.select(F.col(by).alias("_by"), "_n", "_place").groupBy("_by").cogroup(wanted.select(F.col(by).cast(kind).alias("_by"), "hint").groupBy("_by")).applyInArrow(matched, "_n long")
+    out = kept.join(hit.withColumn("_hit", F.lit(True)), "_n", "left")
+    return out.withColumn("score", F.col("score") * F.when(F.col("_hit"), factor).otherwise(1.0)).drop("_n", "_place", "_hit")
+
+
 def reorder(hits: DataFrame, order: list[str], category_column: str, by: str = "item_id") -> DataFrame:
     """Ranks by the category's place in `order`, unknown ones last, otherwise as before."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(category_column))

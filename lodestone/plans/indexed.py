@@ -90,9 +90,11 @@ def lists(store: Store, questions: DataFrame, pool: int, by: str = "item_id", fu
     return fused.select(by, "collection", "node_id", "score").unionByName(alone.select(by, "collection", "node_id", "score"))
 
 
-def hits(store: Store, questions: DataFrame, config: Retrieval, by: str = "item_id") -> DataFrame:
-    """The best chunks of all collections for each question, from the store alone."""
+def hits(store: Store, questions: DataFrame, config: Retrieval, by: str = "item_id", collection: str | None = None) -> DataFrame:
+    """The best chunks of all collections, or of one, for each question, from the store alone."""
     found = lists(store, questions, config.sized()[1], by, config.fusion)
+    if collection:
+        found = found.where(F.col("collection") == collection)
     pool = found.join(store.docstore(), ["collection", "node_id"]).join(questions.select(by, F.col("text").alias("question")), by)
     return answer.best_hits(pool, config, by)
 
@@ -136,6 +138,18 @@ s AS (SELECT item_id, collection, node_id, doc_type, round(CASE WHEN hi = lo THE
   FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM u WINDOW w AS (PARTITION BY item_id, collection)))
 SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id) AS rank, node_id, collection, doc_type, score FROM s) WHERE rank <= {TOP}"""
 
+def eval_report(spark: SparkSession, index: TextIndex, questions: DataFrame, accepted: DataFrame, by: str = "item_id") -> dict:
+    """Passed and first counts of some cases, and how long questions took: the average and the worst, in milliseconds of their ranking over all
+    shards. accepted: (by, key) of what a question is after; it passes if that is among its three best. A question without hits has failed."""
+    found = shared.keep(index.topk(questions, TOP, by, timed=True), "timed")
+    ranked = lexical.ranked(found, TOP, by, index.key)
+    best = questions.select(by).join(ranked.join(accepted, [by, index.key]).groupBy(by).agg(F.min("rank").alias("best")), by, "left")
+    took = found.groupBy(by, "seconds").agg(F.lit(1)).groupBy(by).agg(F.sum("seconds").alias("s"))  # a question's rows of one shard have one time
+    row = best.agg(F.count("*").alias("cases"), F.count_if(F.col("best") <= 3).alias("passed"), F.count_if(F.col("best") == 1).alias("first")).first()
+    time = took.agg(F.avg("s").alias("mean"), F.max("s").alias("worst")).first()
+    return {**row.asDict(), "mean_ms": 1000 * (time["mean"] or 0.0), "worst_ms": 1000 * (time["worst"] or 0.0)}
+
+
 # --- approximate neighbours --------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import chunk_id
@@ -25,11 +25,11 @@ class Report:
     ok: bool
 
 
-def run(spark: SparkSession, root: str, chunks: DataFrame, full: bool = False, strict: bool = False, embedder: Embedder | None = None) -> Report:
+def run(spark: SparkSession, root: str, chunks: DataFrame, full: bool = False, strict: bool = False, embedder: Embedder | Column | None = None, indexed: tuple[str, ...] | bool = False) -> Report:
     """Syncs the store under `root` to the chunks and checks the stored ones. Findings never undo a sync; a strict run with errors
     is reported as not ok."""
     store = Store(spark, root)
-    nodes = {r["collection"]: r["n"] for r in store.sync(chunks, full, embedder).collect()}
+    nodes = {r["collection"]: r["n"] for r in store.sync(chunks, full, embedder, indexed).collect()}
     pages = {r["change"]: r["count"] for r in store.changes().groupBy("change").count().collect()}
     findings = {r["severity"]: r["count"] for r in integrity.check(store.docstore()).groupBy("severity").count().collect()}
     return Report(nodes, pages, findings, not (strict and findings.get("error", 0)))

@@ -472,13 +472,17 @@ SELECT position, "repoKey", CASE WHEN k > 1 THEN 'duplicate repoKey' WHEN idx IS
 
 
 def manifest_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Page ids in JSON manifests (here one for each nation, naming itself and its successor) that the crawl of two trees lacks."""
+    """Page ids in JSON manifests (here one for each nation, naming itself and its successor, with another id in a text and one that is no
+    text) that the crawl of two trees lacks; every customer's manifest holds its page's id three lists deep, and orders' ones are cut off."""
     k = F.col("n_nationkey")
-    docs = table(spark, sf, "nation").select(F.concat(F.lit('{"x": {"rootPageId": "n'), k.cast("string"), F.lit('"}, "pageid": "n'), (k + 1).cast("string"), F.lit('", "other": "n999"}')).alias("json"))
+    docs = table(spark, sf, "nation").select(F.concat(F.lit('{"x": {"rootPageId": "n'), k.cast("string"), F.lit('", "note": "\\"pageId\\": \\"n998\\""}, "pageid": "n'), (k + 1).cast("string"), F.lit('", "other": "n999", "oldPageID": 7}')).alias("json"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit('[[[{"PAGEID":"c'), F.col("c_custkey").cast("string"), F.lit('"}]]]')).alias("json"))
+    docs = docs.unionByName(c).unionByName(table(spark, sf, "orders").select(F.lit('{"pageId": "cut"').alias("json")))
     return registry.audit(docs, crawl_tree(spark, sf))
 
 
-AUDIT_SQL = """SELECT DISTINCT 'n' || k AS page_id FROM (SELECT unnest([n_nationkey, n_nationkey + 1]) AS k FROM nation) WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 3))"""
+AUDIT_SQL = """SELECT DISTINCT 'n' || k AS page_id FROM (SELECT unnest([n_nationkey, n_nationkey + 1]) AS k FROM nation) WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 3))
+UNION ALL SELECT 'c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey NOT IN (0, 3)"""
 
 
 QUERIES = {

@@ -199,6 +199,22 @@ b AS (SELECT item_id, doc_id, score * CASE WHEN contains(lower(source || '|' ||
 {_ranked_sql("b", TOP)}"""
 
 
+def hint_boost_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Hints of each question's own, here one for each order: part of a source and of a document's number."""
+    o = table(spark, sf, "orders")
+    hint = F.concat(F.lit(" SRC"), (F.col("o_custkey") % 20).cast("string"), F.lit("|"), (F.col("o_orderkey") % 1000).cast("string"))
+    items = F.array(*[F.pmod(F.col("o_orderkey") * 7 + i, F.lit(50)) for i in range(3)])
+    hints = o.select(F.explode(F.array_distinct(items)).alias("item_id"), hint.alias("hint"))
+    hits = select.boost_many(_pool(spark, sf).drop("rank"), hints, CODE.hint_boost, "item_id", "source", "doc_id")
+    return lexical.ranked(hits.select("item_id", "doc_id", "score"), TOP)
+
+
+HINT_MANY_SQL = f"""WITH {POOL_SQL},
+ho AS (SELECT DISTINCT unnest([(o_orderkey * 7) % 50, (o_orderkey * 7 + 1) % 50, (o_orderkey * 7 + 2) % 50]) AS item_id, 'src' || (o_custkey % 20) || '|' || (o_orderkey % 1000) AS hint FROM orders),
+b AS (SELECT item_id, doc_id, score * CASE WHEN EXISTS (SELECT 1 FROM ho WHERE ho.item_id = hits.item_id AND contains(lower(source || '|' || doc_id), hint)) THEN 1.5 ELSE 1.0 END AS score FROM hits)
+{_ranked_sql("b", TOP)}"""
+
+
 def priority_reorder(spark: SparkSession, sf: str) -> DataFrame:
     hits = _pool(spark, sf).where(F.col("rank") <= TOP)
     return select.reorder(hits, list(CODE.priority_order), "lang").select("item_id", "doc_id", "lang", "rank")
@@ -399,6 +415,7 @@ QUERIES = {
     "category_bucket": (category_bucket, CATEGORY_SQL),
     "minmax_merge": (minmax_merge, MINMAX_SQL),
     "hint_boost": (hint_boost, HINT_SQL),
+    "hint_boost_many": (hint_boost_many, HINT_MANY_SQL),
     "priority_reorder": (priority_reorder, PRIORITY_SQL),
     "rerank_lexical": (rerank_lexical, RERANK_SQL),
     "rerank_udf": (rerank_udf, RERANK_UDF_SQL),

@@ -107,6 +107,18 @@ class Store:
         added = of(chunks, "added", "changed", "unchanged") if anew else of(chunks, "added", "changed")
         self.text.update(added, None if before is None or anew else of(before, "changed", "removed"), anew, run)
 
+    def status(self, collections: tuple[str, ...] = ("functional", "technical")) -> list[str]:
+        """A line for each collection and type with its chunks, one for each collection that is empty, and one for all; or that nothing is stored."""
+        chunks = self.docstore()
+        rows = chunks.groupBy("collection", F.coalesce(F.nullif("doc_type", F.lit("")), F.lit("?")).alias("doc_type")).agg(F.count("*").alias("n")).collect() if chunks is not None else []
+        if not rows:
+            return ["the store is empty: run an ingest"]
+        lines = []
+        for name in sorted({*collections, *(r.collection for r in rows)}):
+            own = sorted((r.doc_type, r.n) for r in rows if r.collection == name)
+            lines += [f"{name} | {kind} | {n} chunks" for kind, n in own] or [f"{name} | (empty)"]
+        return [*lines, f"total | | {sum(r.n for r in rows)} chunks"]
+
     def vacuum(self) -> None:
         """Removes what no later run reads: everything of runs before the last, but vectors that the state still names."""
         last = self.last()

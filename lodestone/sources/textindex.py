@@ -106,11 +106,12 @@ class TextIndex:
         whole = postings.counted(rows.select("part", "term", "n", "total").unionByName(taken.select("part", "term", "n", "total")))
         return whole.withColumn("total", F.when(F.col("term") == postings.ALL, F.col("total")).otherwise(F.lit(0))).where("n > 0")
 
-    def topk(self, questions: DataFrame, k: int, by: str = "item_id", text: str = "text") -> DataFrame:
+    def topk(self, questions: DataFrame, k: int, by: str = "item_id", text: str = "text", timed: bool = False) -> DataFrame:
         """(by, key, score), and the part: at least the k best documents of each part for each question by BM25, and no more than k for each
-        shard; lexical.ranked() takes the k best of these. Only the asked terms' rows and their shards' keys are read."""
+        shard; lexical.ranked() takes the k best of these. Only the asked terms' rows and their shards' keys are read. With `timed`, seconds say
+        how long the question took in the row's shard."""
         asked = postings.asked_terms(questions, by, text, self.language)
         terms = asked.select("term").distinct()
         rows = postings.only(self.rows(), terms, self.bucket).drop("keys", "bucket")
         shards = self.rows().where("bucket = -1").join(rows.select("part", "run", "shard").distinct(), ["part", "run", "shard"], "left_semi")
-        return postings.topk(rows, shards, self.counts(terms), asked, k, by, self.key, self.part, self.dead())
+        return postings.topk(rows, shards, self.counts(terms), asked, k, by, self.key, self.part, self.dead(), timed=timed)
