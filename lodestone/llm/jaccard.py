@@ -286,3 +286,33 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def linked_sql(percent: int, words: int = WORDS) -> str:
+    """SQL for `sizes` (doc_id, n), `edges` (x, y), both ways, and `reach` (doc_id, other), by comparing all pairs that share a shingle."""
+    return f"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words} - 1], ' ')) END) AS g FROM cut
+), sizes AS (
+  SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN shingles s USING (doc_id) GROUP BY 1
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= {percent} * (p.n + q.n - common)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION
+  SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other
+)
+"""
+
+
+OP9_SQL = (
+    linked_sql(PERCENT)
+    + """, own AS (SELECT x AS doc_id, count(*) AS n_links FROM edges GROUP BY 1)
+SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id, coalesce(any_value(o.n_links), 0) AS n_links FROM sizes s JOIN reach r USING (doc_id) LEFT JOIN own o USING (doc_id) GROUP BY s.doc_id, s.n"""
+)

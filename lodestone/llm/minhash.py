@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm import graph, scratch, spans
+from lodestone.llm import graph, jaccard, scratch, spans
 from lodestone.llm.columns import documents, map_texts, text_of
 from lodestone.llm.jaccard import Sets
 
@@ -301,23 +301,7 @@ def op11_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same by comparing all pairs that share a shingle.
-OP11_SQL = """
-WITH RECURSIVE cut AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
-), shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM cut
-), sizes AS (
-  SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN shingles s USING (doc_id) GROUP BY 1
-), pairs AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
-), links AS (
-  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)
-), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (
-  SELECT doc_id, doc_id AS other FROM sizes
-  UNION
-  SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other
+OP11_SQL = (
+    jaccard.linked_sql(PERCENT)
+    + "SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id, min(r.other) = s.doc_id AS kept FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n"
 )
-SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id, min(r.other) = s.doc_id AS kept FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
-"""

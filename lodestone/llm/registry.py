@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
     "op10_quality_rules": quality.OP10_SQL,
     "op11_superminhash_dedup": minhash.OP11_SQL,
