@@ -3,7 +3,8 @@
     spark.dataSource.register(PageSource)
     spark.read.format("pages").option("base", "https://host/api").option("roots", "1,2").load()
 
-The children of each root are read by a task of their own. A missing page (404) has no rows. Credentials are read from
+The source reads the children of each root by a task of their own, which suits many small trees; crawl() deals each level of all trees
+over tasks, which suits large ones. A missing page (404) has no rows. Credentials are read from
 the environment variable named in the option "tokenEnv", on the executors. bodies() fetches the bodies of any number of pages,
 dealt over tasks; sources/space.py makes chunks of both.
 """
@@ -16,11 +17,14 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.sources import shared
+
 SCHEMA = "page_id string, title string, parent_id string, version int"
 PAGE_SIZE, TIMEOUT_S = 100, 30
 
@@ -64,6 +68,30 @@ def walk(base: str, root: str, excluded: set[str], get: Callable[[str], dict | N
         level = below
 
 
+def crawl(spark: SparkSession, base: str, roots: list[str], excluded_titles: list[str] | None = None, token_env: str | None = None, tasks: int | None = None, get: Callable[[str], dict | None] | None = None) -> DataFrame:
+    """(root, page_id, title, parent_id, version, depth) of all pages below the roots, level by level: the pages of a level are dealt over tasks,
+    which ask for their children, and what they find is written before the next level starts. A task that is lost asks again for its own
+    pages' children, from the first cursor on; no level that is written is asked for again. Pages with excluded titles go with all below them."""
+    excluded = set(excluded_titles or [])
+    n = tasks or 2 * spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token = os.environ.get(token_env) if token_env else None
+        ask = get or (lambda url: fetch(url, token))
+        for batch in batches:
+            for root, page_id, depth in batch[["root", "page_id", "depth"]].itertuples(index=False):
+                rows = [(root, *row, depth + 1) for row in children(base.rstrip("/"), page_id, ask) if row[1] not in excluded]
+                yield pd.DataFrame(rows, columns=["root", "page_id", "title", "parent_id", "version", "depth"])
+
+    schema = "root string, page_id string, title string, parent_id string, version int, depth int"
+    level = spark.createDataFrame([(r, r, 0) for r in roots], "root string, page_id string, depth int")
+    levels = []
+    while not levels or levels[-1].limit(1).count():
+        level = shared.keep(level.select("root", "page_id", "depth").repartition(n).mapInPandas(run, schema), "level")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def bodies(pages: DataFrame, base: str, token_env: str | None = None, tasks: int | None = None, get: Callable[[str], dict | None] | None = None) -> DataFrame:
     """(page_id, title, html) of all pages that have a body; a missing one (404) has no row. Any other failure ends the task, which Spark
     tries again; `tasks` bounds how many requests are under way at a time."""

@@ -101,6 +101,28 @@ def test_bodies_are_fetched_in_tasks(spark):
     assert sorted(map(tuple, got)) == [("1", "T1", "<p>1</p>"), ("2", "T2", ""), ("a%20b", "Ta%2520b", "<p>a%2520b</p>")]
 
 
+def test_crawl_by_levels(spark):
+    def get(url):
+        page = url.split("/pages/")[1].split("/")[0].split("?")[0]
+        if "children" not in url:
+            return {"version": {"number": 9}}
+        if page in ("gone", "leaf") or page.startswith("d40"):
+            return None if page == "gone" else {"results": []}
+        if page == "wide":
+            at = int(url.split("cursor=")[1]) if "cursor=" in url else 0
+            more = {"_links": {"next": f"/api/pages/wide/children?cursor={at + 100}"}} if at < 300 else {}
+            return {"results": [{"id": f"w{i}", "title": "W", "version": {"number": 1}} for i in range(at, at + 100)], **more}
+        if page[0] == "w":
+            return {"results": []}
+        nth = int(page[1:]) if page[0] == "d" else 0
+        return {"results": [{"id": f"d{nth + 1}", "title": "D"}, {"id": "leaf", "title": "Skip"}]}
+
+    got = pages.crawl(spark, "https://host/api", ["wide", "d0", "gone"], ["Skip"], tasks=4, get=get)
+    rows = got.groupBy("root").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("version").alias("version")).collect()
+    assert sorted(map(tuple, rows)) == [("d0", 40, 40, 9), ("wide", 400, 1, 1)]
+    assert {r.parent_id for r in got.where("depth = 7").collect()} == {"d6"}
+
+
 def test_file_listing(spark, tmp_path):
     for name in ("a/src/A.cs", "a/src/deep/B.cs", "a/readme.md", "b/A.cs"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
