@@ -21,11 +21,23 @@ def derive(hits: DataFrame, by: str = "item_id") -> DataFrame:
     return spread.groupBy(by, "repo").agg(union("files").alias("files"), union("symbols").alias("symbols"))
 
 
+#: Repositories that are broadcast, at most.
+MOST_REPOS = 10_000
+
+
+def everywhere(questions: DataFrame, registered: DataFrame, by: str = "item_id") -> DataFrame:
+    """(by, repo): each question with every registered repository, which is what a fallback asks. Up to MOST_REPOS of them are broadcast; more are
+    dealt with the questions."""
+    repos = registered.select("repo").distinct()
+    few = repos.limit(MOST_REPOS + 1).count() <= MOST_REPOS
+    return questions.select(by).distinct().crossJoin(F.broadcast(repos) if few else repos)
+
+
 def route(derived: DataFrame, registered: DataFrame, questions: DataFrame, by: str = "item_id") -> DataFrame:
     """(by, repo, fallback, files, symbols): derived repositories that are registered; all registered ones, without hints, for a
     question that has none."""
     good = derived.join(registered, "repo", "left_semi").withColumn("fallback", F.lit(False))
-    rest = questions.select(by).distinct().join(good, by, "left_anti").crossJoin(registered)
+    rest = everywhere(questions.select(by).distinct().join(good, by, "left_anti"), registered, by)
     none = F.array().cast("array<string>")
     rest = rest.select(by, "repo", F.lit(True).alias("fallback"), none.alias("files"), none.alias("symbols"))
     return good.select(by, "repo", "fallback", "files", "symbols").unionByName(rest)

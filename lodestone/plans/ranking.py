@@ -339,8 +339,7 @@ REPO_CODE_SQL = f"WITH own_docs AS (SELECT * FROM documents WHERE source = 'src1
 
 def code_score_merge(spark: SparkSession, sf: str) -> DataFrame:
     repos = table(spark, sf, "documents").select(F.col("source").alias("repo")).distinct()
-    answered = _questions(spark, sf).select("item_id").crossJoin(F.broadcast(repos))  # a row for each registered repository, few
-    merged = route.merge_repos(query_code(spark, sf).drop("rank"), answered)
+    merged = route.merge_repos(query_code(spark, sf).drop("rank"), route.everywhere(_questions(spark, sf), repos))
     return lexical.ranked(merged, TOP).select("item_id", "repo", "doc_id", "score", "rank")
 
 
