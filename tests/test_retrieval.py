@@ -248,7 +248,8 @@ def test_forms_of_ids(spark):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE) and len(catalog.QUERIES) >= 54
+    """All but the approximate index, whose finds no SQL states: tests/test_indexes.py holds it against all vectors."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"dense_indexed", "dense_recall"} and set(catalog.ORACLE) < set(catalog.QUERIES) and len(catalog.QUERIES) >= 76
 
 
 def _pages(spark, data):
