@@ -129,8 +129,10 @@ class Whitening:
         e = s**2 / summary.n
         return cls(summary.n, summary.sums, e[kept], v[kept], float(e.sum()))
 
-    def centred(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows less the mean, and the sum over dimensions of the squares of n times that, exactly, as whole numbers."""
+    def centred(self, x: np.ndarray, deviation: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """The rows less the mean, and, if asked for, the sum over dimensions of the squares of n times that, exactly, as whole numbers."""
+        if not deviation:
+            return x - self.sums / self.n, None
         far = x * self.n - self.sums  # n * LARGEST fits for any n below 2**22; beyond, entries that large don't
         reach = int(np.abs(far).max(initial=0))
         if int(np.abs(x).max(initial=0)) * self.n >= 1 << 62 or reach * reach * x.shape[1] >= 1 << 63:
@@ -149,7 +151,7 @@ def identity_error(vectors: DataFrame, model: Whitening) -> float:
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, product = np.zeros(k), np.zeros((k, k))
         for batch in batches:
-            z = model.whitened(model.centred(_matrix(batch.column("x"), width))[0])
+            z = model.whitened(model.centred(_matrix(batch.column("x"), width), False)[0])
             total += z.sum(axis=0)
             product += z.T @ z
         flat = np.concatenate((total, product.ravel()))
@@ -161,11 +163,11 @@ def identity_error(vectors: DataFrame, model: Whitening) -> float:
     return float(np.abs(second - np.outer(mean, mean) - np.eye(k)).max(initial=0))
 
 
-def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
+def whiten(vectors: DataFrame, components: int = COMPONENTS, deviation: bool = True) -> DataFrame:
     """Rows (key, component, n, deviation, whitened, explained, identity_error) of all vectors (key, x), for components 1 to
     `components` by falling eigenvalue e of the covariance, or as many as aren't zero: the row less the mean, projected on the
     component, over the root of e. deviation is the sum over dimensions of (n * x - sum of x) squared; it is an error where that has
-    more than 64 bits. Equal vectors have equal rows, null and repeated keys stay as they are; an empty table gives none, nor do
+    more than 64 bits, as it has for some million rows of any spread, and null if it isn't asked for. Equal vectors have equal rows, null and repeated keys stay as they are; an empty table gives none, nor do
     vectors of another width than the commonest."""
     spark, kind = vectors.sparkSession, vectors.schema["key"].dataType
     schema = f"key {kind.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -180,11 +182,11 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                centred, deviation = model.centred(_matrix(batch.column("x"), width))
+                centred, far = model.centred(_matrix(batch.column("x"), width), deviation)
                 m = batch.num_rows
                 which = pa.array(np.repeat(np.arange(m), k))
                 columns = [
-                    batch.column("key").take(which), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)), pa.array(np.full(m * k, model.n)), pa.array(deviation.tolist(), pa.int64()).take(which),
+                    batch.column("key").take(which), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)), pa.array(np.full(m * k, model.n)), pa.array([None] * m if far is None else far.tolist(), pa.int64()).take(which),
                     pa.array(model.whitened(centred).ravel()), pa.array(np.tile(explained, m)), pa.array(np.full(m * k, off)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([("key", to_arrow_type(kind)), *((c, columns[i].type) for i, c in enumerate(["component", "n", "deviation", "whitened", "explained", "identity_error"], 1))]))

@@ -62,6 +62,7 @@ def test_small_and_flat_tables(spark):
     assert whitening.whiten(vectors([])).collect() == []
     assert whitening.whiten(vectors([[1, 2]])).collect() == []  # no spread
     assert whitening.whiten(vectors([[5, 5]] * 4)).collect() == []
+    assert {r.deviation for r in whitening.whiten(vectors([[0, 7], [2, 7], [4, 7]]), deviation=False).collect()} == {None}
     flat = whitening.whiten(vectors([[0, 7], [2, 7], [4, 7]])).collect()  # one dimension of two has any spread
     assert sorted((r.key, r.component, r.deviation) for r in flat) == [(0, 1, 36), (1, 1, 0), (2, 1, 36)] and flat[0].explained == 1
     wide = whitening.whiten(vectors([[0, 1], [3, 1], [4, 9], [1, 2, 3], [1]])).collect()
