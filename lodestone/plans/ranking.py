@@ -272,7 +272,7 @@ s AS (SELECT item_id, doc_id, collection, lang, round(len(list_intersect(a, h))
 SELECT *, 'Document ' || doc_id AS title FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {TOP}"""
 
 
-def query_code(spark: SparkSession, sf: str, config: CodeIndex = CODE, repo: str | None = None) -> DataFrame:
+def query_code(spark: SparkSession, sf: str, config: CodeIndex = CODE, repo: str | None = None, scorer: rerank.Scorer | None = None) -> DataFrame:
     """Every repository's chunks for each question, without a docs stage: both lists of the repository fused, hinted chunks
     boosted, reranked if the settings say so, categories under their quotas and character floors, in the order of priorities, with the
     parent's summary (here the start of the first of ten documents) where the parent isn't selected itself. With `repo` only that
@@ -290,7 +290,7 @@ def query_code(spark: SparkSession, sf: str, config: CodeIndex = CODE, repo: str
     pool = pool.withColumn("item_id", F.element_at(F.split("place", "/"), 1).cast("long"))
     hits = select.boost(pool, HINTS, config.hint_boost, "repo", "lang").withColumn("chars", F.char_length("text"))
     if config.rerank:
-        hits = rerank.rerank(hits.join(_questions(spark, sf).withColumnRenamed("text", "question"), "item_id"))
+        hits = rerank.rerank(hits.join(_questions(spark, sf).withColumnRenamed("text", "question"), "item_id"), scorer)
     heading = F.when(F.col("repo") == "src0", F.concat("repo", F.lit(CODE.overview_suffix))).otherwise(F.col("repo"))
     hits = hits.withColumn("category", select.category(heading, F.col("lang"), config.category_map, config.overview_suffix))
     best = select.quota(hits, config.quotas, config.top_k, "category", by="place", min_chars=config.min_category_chars, extra=config.min_category_extra, chars="chars")
@@ -329,6 +329,20 @@ _COVERED = f"(SELECT round(len(list_intersect({_WORDS('b.text')}, {_WORDS('docum
 RERANKED_CODE_SQL = f"WITH {CODE_QUERY_SQL.replace(_BOOSTED, _COVERED)} SELECT * FROM code_"
 
 
+def _load_length_model():
+    """A model's place: texts as long as the question score highest."""
+    return lambda questions, texts: [1 / (1 + abs(len(q) - len(t))) for q, t in zip(questions, texts, strict=True)]
+
+
+def query_code_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a rerank by a model that each worker loads once."""
+    return query_code(spark, sf, replace(CODE, rerank=True), scorer=rerank.Model(_load_length_model))
+
+
+_AS_LONG = "(SELECT round(1 / (1 + abs(length(b.text) - length(coalesce(documents.text, '')))), 6) FROM benchmark b WHERE b.item_id = kp.item_id) AS score"
+MODEL_CODE_SQL = f"WITH {CODE_QUERY_SQL.replace(_BOOSTED, _AS_LONG)} SELECT * FROM code_"
+
+
 def query_code_repo(spark: SparkSession, sf: str) -> DataFrame:
     """One repository alone."""
     return query_code(spark, sf, repo="src1")
@@ -421,6 +435,7 @@ QUERIES = {
     "hybrid_query": (hybrid_query, HYBRID_SQL),
     "query_code": (query_code, QUERY_CODE_SQL),
     "query_code_reranked": (query_code_reranked, RERANKED_CODE_SQL),
+    "query_code_model": (query_code_model, MODEL_CODE_SQL),
     "query_code_repo": (query_code_repo, REPO_CODE_SQL),
     "code_score_merge": (code_score_merge, MERGE_SQL),
     "deep_query": (deep_query, DEEP_SQL),

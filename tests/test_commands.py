@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import cli
 from lodestone.config import CodeIndex
-from lodestone.operators import answer, registry, route, select
+from lodestone.operators import answer, registry, rerank, route, select
 from lodestone.plans import indexed
 from lodestone.sources.store import Store
 from lodestone.sources.textindex import TextIndex
@@ -108,6 +108,31 @@ def test_code_stage_reranks_between_boost_and_quota(spark):
     assert [(r.chunk_id, r.score) for r in again] == [(0, 5.0), (1, 4.0)] and loads.value >= 1
 
 
+def test_rerank_models_are_loaded_once_and_fed_by_length(spark, tmp_path):
+    log = tmp_path / "loads"
+
+    def load():
+        with open(log, "a") as f:
+            f.write("x")
+
+        def model(questions, texts):
+            assert [len(q) + len(t) for q, t in zip(questions, texts)] == sorted(len(q) + len(t) for q, t in zip(questions, texts))
+            return [len(t) + 100.0 * (len(texts) <= 32) for t in texts]
+
+        return model
+
+    hits = spark.createDataFrame([(i, "q" * (i % 3), "a" * (i % 7)) for i in range(300)] + [(300, None, None)], "id long, question string, text string").coalesce(1)
+    got = rerank.rerank(hits, rerank.Model(load, 32)).collect()
+    assert len(got) == 301 and all(r.score == 100 + len(r.text or "") for r in got) and log.read_text() == "x"
+    # the model's scores, not the boosted ones, decide within the code stage
+    found = spark.createDataFrame([(1, "r", i, "H", f"f{i}.cs", "api", "code", "x" * (5 - i), 1.0, "q") for i in range(5)], "item_id long, repo string, chunk_id long, heading string, file_path string, layer string, source_type string, content string, score double, question string")
+    repos = spark.createDataFrame([(1, "r", False, ["f4.cs"])], "item_id long, repo string, fallback boolean, files array<string>")
+    best = answer.code_hits(found, repos, CodeIndex(top_k=2, hint_boost=3.0, rerank=True), scorer=rerank.Model(load, 32)).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in best] == [(0, 105.0), (1, 104.0)]
+    empty = rerank.rerank(hits.where("false"), rerank.Model(load))
+    assert empty.collect() == [] and empty.schema["score"].dataType.simpleString() == "double"
+
+
 def test_presentation_order_and_answers(spark):
     found = spark.createDataFrame([(1, "r", 1, "api", "doc-b", "code", 3.0), (1, "r", 2, "api", None, "rules", 2.0), (1, "r", 3, "api", "", "code", 1.0)], "item_id long, repo string, chunk_id long, layer string, doc_type string, source_type string, score double")
     found = found.withColumn("heading", F.lit("H")).withColumn("file_path", F.lit("f")).withColumn("content", F.lit("c"))
