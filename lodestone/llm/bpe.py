@@ -5,8 +5,8 @@ own list of distinct words, and deals those words out by their hash. Where all b
 encoded once; its ids go back to the blocks, and each text is put together again by position. Neither a frequent word
 nor a large group of equal texts weighs more than one word a block.
 
-Decoding joins the ids with the table of token bytes, which the vocabulary bounds: ids as rows with the table's rows
-(decode), or blocks of ids with the whole table (op4_byte_bpe).
+Decoding joins ids with the table of token bytes, a row each, which the vocabulary bounds: all ids of all documents (decode), or the
+distinct ids of a bucket's words on their way back to a block, which puts each text's bytes together by position (op4_byte_bpe).
 """
 
 from __future__ import annotations
@@ -60,22 +60,17 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, b) for b, i in ranks(path).items()], "id int, bytes binary")
 
 
-def packed_table(spark: SparkSession, path: str) -> DataFrame:
-    """The same table as one row (vocabulary, sizes, bytes): all tokens' bytes in the order of their ids, compressed."""
-    table = {i: b for b, i in ranks(path).items()}
-    tokens = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
-    row = (path, np.array([len(x) for x in tokens], "<u4").tobytes(), b"".join(tokens))
-    return spark.createDataFrame([(row[0], *(bytearray(zstandard.compress(x, 19)) for x in row[1:]))], "vocabulary string, sizes binary, bytes binary")
-
-
-def unpacked(sizes: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's number of bytes and where they start, and all tokens' bytes."""
-    size = np.frombuffer(zstandard.decompress(sizes), "<u4").astype(np.int64)
-    return size, np.cumsum(size) - size, np.frombuffer(zstandard.decompress(raw), np.uint8)
+def by_id(ids: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (id, bytes): each id's number of bytes, 0 where there is no row, where they start, and all bytes."""
+    size = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+    own, first = np.unique(ids, return_index=True)
+    parts = [tokens[i] or b"" for i in first.tolist()]
+    size[own] = np.fromiter(map(len, parts), np.int64, len(parts))
+    return size, np.cumsum(size) - size, np.frombuffer(b"".join(parts), np.uint8)
 
 
 def decode_ids(ids: np.ndarray, size: np.ndarray, start: np.ndarray, raw: np.ndarray) -> bytes:
-    """The bytes of ids in a row, by an unpacked table. No token is empty, so an id without bytes is an error."""
+    """The bytes of ids in a row, by rows that by_id() put in order. No token is empty, so an id without bytes is an error."""
     if len(ids) and (int(ids.max()) >= len(size) or not size[ids].all()):
         raise ValueError("an id has no token")
     return raw[spans.ragged(start[ids], size[ids])].tobytes()
@@ -154,8 +149,8 @@ def _bucket(words: list[bytes], n: int) -> np.ndarray:
 
 def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, with_tokens: bool = False) -> DataFrame:
     """finish(ids, positions, counts, tokens) of each block, as columns beside each document's key, where ids holds the ids of
-    each of the block's distinct words, and tokens the token-byte table, joined with each block, if asked for. It returns
-    one list for each of the columns. Null texts are empty; keys may be null, repeated and of any type.
+    each of the block's distinct words, and tokens, if asked for, what by_id() makes of these ids' rows in the token-byte table. It
+    returns one list for each of the columns. Null texts are empty; keys may be null, repeated and of any type.
 
     The texts are cut twice, once for the words and once for the positions; writing the positions down in between would
     cost more disk than cutting costs time. A block is named by its content, so that cuts which don't agree (rows in
@@ -206,8 +201,11 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
         if parts:
             yield block(parts, of_words)
 
+    reply_type = pa.schema([("blk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("id", pa.int32())])
+
     def encode_words(table: pa.Table) -> pa.Table:
-        """Each distinct word once; ids go back to every block that has the word."""
+        """Each distinct word once; ids go back to every block that has the word, and if its tokens' bytes have to follow, a row for each
+        of their distinct ids."""
         enc = encoding(vocabulary).encode_ordinary
         known: dict[bytes, bytes] = {}
         rows = []
@@ -216,8 +214,13 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
             for w in words:
                 if w not in known:
                     known[w] = np.asarray(enc(w.decode("utf-8", "replace")), "<u4").tobytes()
-            rows.append({"blk": blk, "bucket": bucket, "ids": _write_ids([known[w] for w in words])})
-        return pa.Table.from_pylist(rows, pa.schema([("blk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())]))
+            found = [known[w] for w in words]
+            rows.append(pa.RecordBatch.from_pylist([{"blk": blk, "bucket": bucket, "ids": _write_ids(found)}], reply_type))
+            if with_tokens:
+                own = np.unique(np.frombuffer(b"".join(found), "<u4")).astype(np.int32)
+                same = [pa.array(np.full(len(own), x), t) for x, t in ((blk, pa.int64()), (bucket, pa.int32()))]
+                rows.append(pa.RecordBatch.from_arrays([*same, pa.nulls(len(own), pa.binary()), pa.array(own)], schema=reply_type))
+        return pa.Table.from_batches(rows, reply_type)
 
     fields = [c.split() for c in columns.split(",")]
     arrow_of = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -227,7 +230,11 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
         if blocks.num_rows == 0:
             raise ValueError("the texts came in another order at the second read; write them as a table first")
         row = blocks.to_pylist()[0]
-        tokens = unpacked(row["sizes"], row["bytes"]) if with_tokens else None
+        tokens = None
+        if with_tokens:
+            spelt = replies.filter(pa.compute.is_valid(replies.column("id")))
+            tokens = by_id(np.asarray(spelt.column("id")), spelt.column("bytes").to_pylist())
+            replies = replies.filter(pa.compute.is_valid(replies.column("ids")))
         copies = blocks.num_rows  # blocks of equal content
         bucket = np.frombuffer(zstandard.decompress(row["buckets"]), "<u2")
         ids: list = [None] * len(bucket)
@@ -245,10 +252,10 @@ def encoded(docs: DataFrame, vocabulary: str, finish, columns: str, key: str = "
         return pa.concat_tables([done] * copies)
 
     words = base.mapInArrow(lambda it: cut_blocks(it, True), "blk long, bucket int, words binary")
-    replies = words.groupBy("bucket").applyInArrow(encode_words, "blk long, bucket int, ids binary")
+    replies = words.groupBy("bucket").applyInArrow(encode_words, "blk long, bucket int, ids binary, id int")
+    if with_tokens:  # a left join, as rows of words have no id; the vocabulary bounds the table
+        replies = replies.join(F.broadcast(token_table(docs.sparkSession, vocabulary)), "id", "left")
     blocks = base.mapInArrow(lambda it: cut_blocks(it, False), f"blk long, keys array<{kind}>, counts binary, positions binary, buckets binary")
-    if with_tokens:  # one row, as large as the vocabulary's file
-        blocks = blocks.withColumn("vocabulary", F.lit(vocabulary)).join(F.broadcast(packed_table(docs.sparkSession, vocabulary)), "vocabulary").drop("vocabulary")
     out = blocks.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(together, f"_key {kind}, {columns}")
     return out.select(F.col("_key").alias(key), *(n for n, _ in fields))
 

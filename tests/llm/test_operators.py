@@ -182,6 +182,8 @@ def test_op4_digests_and_struct_keys(docs, rows, spark, tmp_path):
         ids = encoding.encode_ordinary(rows[r["doc_id"]][1] or "")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256((rows[r["doc_id"]][1] or "").encode()).hexdigest()
+    plan = bpe.op4_byte_bpe(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftOuter, \(id#\d+ = id#\d+\)", plan)
     keyed = docs.select(F.struct("doc_id", "lang").alias("k"), "text")
     assert {r["k"]["doc_id"]: r["ids"] for r in bpe.encode(keyed, RANKS, "k").collect()} == {i: encoding.encode_ordinary(t or "") for i, t in rows}
     with pytest.raises(ValueError):
@@ -531,3 +533,24 @@ def test_licenses_against_brute_force(spark):
         pairs = licenses.align(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
         assert len(pairs) <= longest_common(a, b)
+
+
+def test_texts_are_spelt_by_the_joined_rows(docs, rows, spark, tmp_path, monkeypatch):
+    """op4 decodes by the rows of the token table: other bytes there give other texts, and a missing row is an error."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    table = {i: b for b, i in bpe.ranks(RANKS).items()}
+    of = lambda some: lambda spark, path: spark.createDataFrame(list(some.items()), "id int, bytes binary")
+    monkeypatch.setattr(bpe, "token_table", of({i: b.upper() for i, b in table.items()}))
+    want = {i: hashlib.sha256((t or "").encode().upper()).hexdigest() for i, t in rows}
+    assert {r["doc_id"]: r["decoded_sha256"] for r in bpe.op4_byte_bpe(spark, str(tmp_path)).collect()} == want
+    used = bpe.encoding(RANKS).encode_ordinary(next(t for _, t in rows if t and t.strip()))[0]
+    monkeypatch.setattr(bpe, "token_table", of({i: b for i, b in table.items() if i != used}))
+    with pytest.raises(Exception, match="an id has no token"):
+        bpe.op4_byte_bpe(spark, str(tmp_path)).collect()
+
+
+def test_rows_of_tokens_by_id():
+    size, start, raw = bpe.by_id(np.array([5, 2, 5]), [b"xyz", b"a", b"xyz"])
+    assert bpe.decode_ids(np.array([5, 2, 2, 5]), size, start, raw) == b"xyzaaxyz" and bpe.decode_ids(np.zeros(0, np.int64), size, start, raw) == b""
+    size, start, raw = bpe.by_id(np.zeros(0, np.int32), [])
+    assert len(size) == len(raw) == 0 and bpe.decode_ids(np.zeros(0, np.int64), size, start, raw) == b""
