@@ -116,12 +116,20 @@ def cut(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     data = raw.tobytes()
     index, _, inverse = spans.distinct(raw, w_start, w_end)
     parts: list[int] = []
-    size = np.empty(len(index), np.int64)
-    for i, (a, b) in enumerate(zip(w_start[index].tolist(), w_end[index].tolist(), strict=True)):
+    ends: list[int] = []
+    plain, one = memo.PLAIN.fullmatch, parts.append
+    for a, b in zip(w_start[index].tolist(), w_end[index].tolist(), strict=True):
         chunk = data[a:b].decode("utf-8", "replace")
-        got = m.groups() if (m := memo.PLAIN.fullmatch(chunk)) else find(chunk)
-        size[i] = len(got)
-        parts += [put(x, len(number)) for x in got]
+        if m := plain(chunk):
+            word, marks = m.groups()
+            one(put(word, len(number)))
+            if marks:
+                one(put(marks, len(number)))
+        else:
+            for x in find(chunk):
+                one(put(x, len(number)))
+        ends.append(len(parts))
+    size = np.diff(np.array([0, *ends], np.int64))
     at = np.cumsum(size) - size
     per_word = size[inverse]
     flat = np.asarray(parts, np.int64)[spans.ragged(at[inverse], per_word)]

@@ -22,8 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill t
 
 #: Pieces handed over as one text, and pieces remembered in each of two generations, of which the older is forgotten.
 RUN, REMEMBERED = 1024, 1 << 20
-#: Letters and then punctuation, which the pattern of byte-level BPE cuts apart in any case.
-PLAIN = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters alone, or letters and then punctuation, which the pattern of byte-level BPE cuts apart in any case.
+PLAIN = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)?")
 #: Pieces on which an encoder first tries whether joining changes nothing.
 _TRIED = ["a", " b", "don't", " x's", "...", " --", "12", " 345", "é", " ñandú,", "日本", " 🙂", "a.b", "('c')", " <|endoftext|>", "_", " ́", "$1"]
 
