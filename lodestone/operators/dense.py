@@ -8,9 +8,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.operators.best import groups, pick, question_blocks, slices
+from lodestone.operators.lexical import ranked
+from lodestone.sources import shared
 
 
 def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id", key: str = "vec_id", within: str | None = None) -> DataFrame:
@@ -44,3 +48,17 @@ def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id",
 
     blocks = list(question_blocks(questions.select(by, "vector").where("vector IS NOT NULL"), by))
     return reduce(DataFrame.unionByName, [part(b) for b in blocks if b] or [part([])])
+
+
+def topk_of_equal(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id", key: str = "vec_id", within: str | None = None) -> DataFrame:
+    """The k best as topk() and ranked() give them, without rank, where many vectors are equal, as those of copies and of short texts are: of equal
+    vectors only those with the k lowest keys can be among the k best, and equal questions have one list."""
+    places = [within] * bool(within)
+    first = W.partitionBy(*places, "embedding").orderBy(key)
+    some = vectors.select(key, *places, "embedding").where("embedding IS NOT NULL").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    some = shared.keep(some.drop("_r"), "alike")
+    asked = questions.select(by, "vector").where("vector IS NOT NULL")
+    distinct = shared.keep(asked.groupBy("vector").agg(F.min(by).alias("_one")), "asked")
+    found = topk(some, distinct, k, "_one", key, within)
+    found = shared.keep(ranked(found, k, ["_one", *places], key).drop("rank"), "lists")
+    return asked.join(distinct, "vector").join(found, "_one").select(by, key, *places, "score")

@@ -79,7 +79,7 @@ def lists(store: Store, questions: DataFrame, pool: int, by: str = "item_id", fu
     where it has both, and the vectors' list as it is, with scores not fused, for a collection that isn't indexed. questions: by, text, vector."""
     place = F.concat_ws("/", F.col(by).cast("string"), "collection")
     one = lambda df, name: lexical.ranked(df.withColumn("place", place), pool, "place", "node_id").withColumn("list", F.lit(name))
-    near = dense.topk(store.vectors(), questions.select(by, "vector"), pool, by, "node_id", within="collection")
+    near = dense.topk_of_equal(store.vectors(), questions.select(by, "vector"), pool, by, "node_id", within="collection")
     indexed = store.text.parts()
     if not indexed:
         return one(near, "dense").select(by, "collection", "node_id", "score")

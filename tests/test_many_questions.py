@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import lexical
+from lodestone.operators import dense, lexical
 
 
 @pytest.mark.parametrize("rare", [0, 2, 1000])
@@ -24,3 +24,14 @@ def test_questions_joined_by_terms_give_what_a_scan_gives(spark, monkeypatch, ra
     assert best() == whole and best(pairs) == some
     if rare == 2:  # questions meet the corpus by their distinct common terms: file, urgent and widget, of four files
         assert max(sizes) == 12
+
+
+def test_equal_vectors_and_equal_questions_are_compared_once(spark, monkeypatch):
+    n = F.col("id")
+    vectors = spark.range(400).select((500 - n).alias("vec_id"), (n % 2).alias("part"), F.when(n != 7, F.array((n % 3).cast("float"), (n % 5).cast("float"))).alias("embedding"))
+    asked = spark.range(60).select(n.alias("item_id"), F.when(n != 9, F.array((n % 4).cast("float"), F.lit(1.0).cast("float"))).alias("vector"))
+    rows = lambda df: {tuple(r) for r in lexical.ranked(df, 6, ["item_id", "part"], "vec_id").select("item_id", "part", "vec_id", "score", "rank").collect()}
+    whole, sizes, blocks = rows(dense.topk(vectors, asked, 6, within="part")), [], dense.question_blocks
+    monkeypatch.setattr(dense, "question_blocks", lambda df, by: (sizes.append(len(b)) or b for b in blocks(df, by)))
+    assert rows(dense.topk_of_equal(vectors, asked, 6, within="part")) == whole
+    assert max(sizes) == 4
