@@ -92,6 +92,14 @@ def test_an_empty_space(spark):
     assert space.read(none, spark.createDataFrame([], "page_id string, title string, html string")).collect() == []
 
 
+def test_metadata_is_parsed_once_and_bodies_do_not_go_by_parents(spark):
+    found = spark.createDataFrame([r[:3] for r in SPACE], "page_id string, parent_id string, title string")
+    bodies = spark.createDataFrame([(p, "", h) for p, _, _, h in SPACE], "page_id string, title string, html string").coalesce(1)
+    plan = space.typed(found, bodies)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Contains(") == 1  # of the line that is looked for
+    assert 0 < plan.index("hashpartitioning(page_id") < plan.index("hashpartitioning(parent_id")  # the join that is shown first comes last
+
+
 def test_bodies_are_fetched_in_tasks(spark):
     def get(url):
         page = url.split("/pages/")[1].split("?")[0]
