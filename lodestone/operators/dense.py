@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.operators.best import groups, pick, question_blocks, slices
+from lodestone.operators.best import groups, nearest, question_blocks, slices
 from lodestone.operators.lexical import ranked
 from lodestone.sources import shared
 
@@ -37,11 +37,8 @@ def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id",
                 for some in slices(batch):
                     own = some.column("embedding")
                     matrix = np.asarray(own.flatten(), float).reshape(len(own), -1)
-                    scores = np.round(matrix @ asked.T, 6)
-                    keys = np.asarray(some.column(key))
-                    for g in groups(some, within):
-                        row, question = pick(scores[g], np.ones(scores[g].shape, bool), keys[g], k)
-                        columns = [pa.array([names[q] for q in question.tolist()], schema.field(0).type), *(some.column(c).take(pa.array(g[row])) for c in names_in), pa.array(scores[g[row], question])]
+                    for row, question, score in nearest(matrix, asked, np.asarray(some.column(key)), list(groups(some, within)), k):
+                        columns = [pa.array([names[q] for q in question.tolist()], schema.field(0).type), *(some.column(c).take(pa.array(row)) for c in names_in), pa.array(score)]
                         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         return vectors.select(*names_in, "embedding").where("embedding IS NOT NULL").mapInArrow(run, ddl)

@@ -1,9 +1,12 @@
 """Sets of questions that grow with the corpus."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import dense, lexical
+from lodestone.operators import best, dense, lexical
 
 
 @pytest.mark.parametrize("rare", [0, 2, 1000])
@@ -35,3 +38,18 @@ def test_equal_vectors_and_equal_questions_are_compared_once(spark, monkeypatch)
     monkeypatch.setattr(dense, "question_blocks", lambda df, by: (sizes.append(len(b)) or b for b in blocks(df, by)))
     assert rows(dense.topk_of_equal(vectors, asked, 6, within="part")) == whole
     assert max(sizes) == 4
+
+
+def test_scores_of_many_questions_are_held_in_part():
+    vectors, asked, keys = np.random.default_rng(1).integers(-3, 4, (best.ROWS, 8)).astype(float), np.random.default_rng(2).integers(-3, 4, (best.MOST_QUESTIONS, 8)).astype(float), np.arange(best.ROWS)[::-1]
+    parts = [np.flatnonzero(keys % 2 == i) for i in (0, 1)]
+    tracemalloc.start()
+    got = {(r, q, s) for row, question, score in best.nearest(vectors, asked, keys, parts, 3) for r, q, s in zip(row.tolist(), question.tolist(), score.tolist()) if q < 600}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * best.ROWS * best.MOST_QUESTIONS  # less than all scores once
+    scores = np.round(vectors @ asked[:600].T, 6)
+    for g in parts:
+        row, question = best.pick(scores[g], np.ones(scores[g].shape, bool), keys[g], 3)
+        assert set(zip(g[row].tolist(), question.tolist(), scores[g[row], question].tolist())) <= got
+    assert len(got) == 600 * 3 * 2
