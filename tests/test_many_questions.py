@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import best, dense, lexical
+from lodestone.plans import linked
 
 
 @pytest.mark.parametrize("rare", [0, 2, 1000])
@@ -53,3 +54,10 @@ def test_scores_of_many_questions_are_held_in_part():
         row, question = best.pick(scores[g], np.ones(scores[g].shape, bool), keys[g], 3)
         assert set(zip(g[row].tolist(), question.tolist(), scores[g[row], question].tolist())) <= got
     assert len(got) == 600 * 3 * 2
+
+
+def test_copies_of_a_page_fill_a_pool_once(spark):
+    rows = spark.createDataFrame([("a", n, k) for n, keys in (("x", [7, 3, 5]), ("y", [9]), ("z", range(40)), ("w", [1])) for k in keys], "collection string, node_id string, key long")
+    pool = spark.createDataFrame([(1, "a", n, 1.0, i + 1) for i, n in enumerate("xyzw")] + [(2, "a", n, 1.0, i + 1) for i, n in enumerate("zx")] + [(3, "a", "w", 1.0, 1)], "item_id long, collection string, node_id string, score double, rank int")
+    got = sorted(tuple(r) for r in linked._with_rows(pool, rows, 6).select("item_id", "node_id", "key").collect())
+    assert got == [(1, "x", 3), (1, "x", 5), (1, "x", 7), (1, "y", 9), (1, "z", 0), (1, "z", 1), *((2, "z", k) for k in range(6)), (3, "w", 1)]
