@@ -1,6 +1,6 @@
 """An inverted index: postings of terms in shards of documents, and BM25 ranking that reads the asked terms only.
 
-Documents are dealt into shards of about SHARD documents of one part (a collection, say). In a shard they are numbered by key, and a term has one
+Documents are dealt into shards of about SHARD documents or SHARD_CHARS characters of one part (a collection, say), whichever are fewer. In a shard they are numbered by key, and a term has one
 row: the numbers of its documents, how often each has it, and for each run of BLOCK numbers what bounds any score there: the most
 occurrences and the least length. So a frequent term is many rows, one for each shard, and no row is longer than a shard.
 
@@ -24,6 +24,8 @@ from lodestone.operators.lexical import K1, B
 
 #: Documents of a shard, about, and of a block; questions that meet a shard at a time; terms that are listed in a filter of the scan.
 SHARD, BLOCK, QUESTIONS, LISTED = 1 << 14, 128, 4096, 2000
+#: Characters of a shard's texts, about: a shard is numbered in one task, whose memory grows with them.
+SHARD_CHARS = 1 << 23
 #: The term of the rows that hold a shard's keys and lengths.
 ALL = ""
 ROWS = "part string, shard int, term string, n long, total long, docs binary, tfs binary, blocks binary, keys array<{kind}>"
@@ -33,7 +35,8 @@ def build(docs: DataFrame, key: str, text: str, part: Column | None = None, lang
     """Rows ROWS for all documents: for each shard one with its keys and lengths (term ALL), and one for each of its terms. Null texts have no
     terms and count with length 0. `part` names the part that a document belongs to, which has counts of its own; all are one without it."""
     base = docs.select(F.coalesce(part.cast("string"), F.lit("")).alias("part") if part is not None else F.lit("").alias("part"), F.col(key).alias("key"), analysed(F.col(text), language).alias("tokens"), F.xxhash64(key, text).alias("_h"))
-    shards = max(1, -(-docs.count() // shard))
+    count, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.char_length(text)), F.lit(0))).first()
+    shards = max(1, -(-count // shard), -(-chars // SHARD_CHARS))
     base = base.withColumn("shard", F.pmod("_h", F.lit(shards)).cast("int"))
     kind = base.schema["key"].dataType
     schema = pa.schema([("part", pa.string()), ("shard", pa.int32()), ("term", pa.string()), ("n", pa.int64()), ("total", pa.int64()), *((c, pa.binary()) for c in ("docs", "tfs", "blocks")), ("keys", pa.list_(to_arrow_type(kind)))])
@@ -47,19 +50,23 @@ def build(docs: DataFrame, key: str, text: str, part: Column | None = None, lang
         owner = np.repeat(np.arange(len(lists)), length)
         pairs, tf = np.unique(np.asarray(coded.indices).astype(np.int64) * len(lists) + owner, return_counts=True)
         term, doc = np.divmod(pairs, max(1, len(lists)))
-        block = doc // BLOCK
-        edge = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1], [True]))) if len(term) else np.zeros(1, np.int64)
-        cut = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
-        bounds = np.stack([block[cut], cut, np.maximum.reduceat(tf, cut), np.minimum.reduceat(length[doc], cut)]).astype("<u4") if len(cut) else np.zeros((4, 0), "<u4")
+        head = pa.Table.from_pylist([{"part": part, "shard": shard, "term": ALL, "n": len(lists), "total": int(length.sum()), "tfs": length.tobytes(), "keys": table.column("key").to_pylist()}], schema)
+        if not len(term):
+            return head
+        block, changes = doc // BLOCK, term[1:] != term[:-1]
+        edge = np.flatnonzero(np.concatenate(([True], changes, [True])))
+        cut = np.flatnonzero(np.concatenate(([True], changes | (block[1:] != block[:-1]))))
         of_term = np.searchsorted(cut, edge)
-        docs, tfs = doc.astype("<u4"), tf.astype("<u4")
-        names = coded.dictionary.to_pylist()
-        rows = [{"part": part, "shard": shard, "term": ALL, "n": len(lists), "total": int(length.sum()), "tfs": length.tobytes(), "keys": table.column("key").to_pylist()}]
-        for i, (a, b) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)):
-            own = bounds[:, of_term[i] : of_term[i + 1]].copy()
-            own[1] -= a
-            rows.append({"part": part, "shard": shard, "term": names[term[a]], "n": b - a, "total": int(tf[a:b].sum()), "docs": docs[a:b].tobytes(), "tfs": tfs[a:b].tobytes(), "blocks": own.tobytes()})
-        return pa.Table.from_pylist(rows, schema)
+        size = np.diff(of_term)
+        # a term's blocks are four rows of as many numbers, one term's after another's
+        bounds, place = np.empty(4 * len(cut), "<u4"), np.arange(len(cut)) + 3 * np.repeat(of_term[:-1], size)
+        for i, row in enumerate((block[cut], cut - np.repeat(edge[:-1], size), np.maximum.reduceat(tf, cut), np.minimum.reduceat(length[doc], cut))):
+            bounds[place + i * np.repeat(size, size)] = row
+        cells = lambda numbers, ends: pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype("<i4")), pa.py_buffer(np.ascontiguousarray(numbers, "<u4"))])
+        n = len(edge) - 1
+        columns = [pa.array([part] * n, pa.string()), pa.array(np.full(n, shard, np.int32)), coded.dictionary.take(pa.array(term[edge[:-1]])), pa.array(np.diff(edge)), pa.array(np.add.reduceat(tf, edge[:-1]))]
+        columns += [cells(doc, edge), cells(tf, edge), cells(bounds, 4 * of_term), pa.nulls(n, schema.field("keys").type)]
+        return pa.concat_tables([head, pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)])
 
     return base.drop("_h").groupBy("part", "shard").applyInArrow(number, ROWS.format(kind=kind.simpleString()))
 

@@ -222,3 +222,14 @@ def test_models_are_loaded_once_and_fed_by_length(spark, tmp_path):
     df = spark.createDataFrame([("a" * (i % 7),) for i in range(300)] + [(None,)], "t string").coalesce(1)
     got = df.select("t", embed.by_model(load, F.col("t"), "query: ", 32).alias("v")).collect()
     assert all(r.v[0] == 7 + len(r.t or "") and r.v[1] <= 32 for r in got) and log.read_text() == "x"
+
+
+def test_long_texts_make_more_shards(spark, monkeypatch):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("only"), F.col("id").cast("string")), F.array_join(F.array_repeat(F.lit("many same words"), 50), " ")).alias("text"))
+    shards = lambda: {r.shard: r for r in postings.build(docs.unionByName(spark.createDataFrame([(99, None)], "doc_id long, text string")), "doc_id", "text").where("term = ''").collect()}
+    assert len(shards()) == 1
+    monkeypatch.setattr(postings, "SHARD_CHARS", 6400)  # 40 texts of some 805 characters
+    found = shards()
+    assert 3 <= len(found) <= 6
+    assert sum(r.n for r in found.values()) == 41 and sum(r.total for r in found.values()) == 40 * 151
+    assert sorted(k for r in found.values() for k in r["keys"]) == [*range(40), 99]
