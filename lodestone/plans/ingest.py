@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import chunk_id
 from lodestone.operators import integrity
+from lodestone.sources import shared
 from lodestone.sources.store import Embedder, Store
 from lodestone.sources.tables import ENTITY_SQL, entity_chunks
 
@@ -56,7 +57,7 @@ def _earlier(chunks: DataFrame) -> DataFrame:
 
 def ingest_sync(spark: SparkSession, sf: str) -> DataFrame:
     """Two ingests into a new store: the run that each live node's vector comes from, and what happened to its page in the second."""
-    store, now = Store(spark, _folder(spark)), entity_chunks(spark, sf)
+    store, now = Store(spark, _folder(spark)), shared.keep(entity_chunks(spark, sf), "chunks")  # both ingests read them, and links are joined once
     store.sync(_earlier(now))
     store.sync(now)
     changes = store.changes().select("collection", "page_id", "change")

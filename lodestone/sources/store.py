@@ -78,7 +78,7 @@ class Store:
         Chunks without a page id or node id are an error. The text index, if wanted (for some collections, or for all), takes the
         nodes of changed pages in and out by the same delta; collections that it doesn't have are ranked by their vectors alone."""
         n, spark = self.last() + 1, self.spark
-        write = lambda df, name, *by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}/run={n}")
+        write = lambda df, name, *by: df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.root}/{name}/run={n}")
         write(chunks, "docstore")
         chunks = self._read("docstore", n, chunks.schema)
         if bad := chunks.where("collection IS NULL OR page_id IS NULL OR node_id IS NULL").limit(1).count():
@@ -92,10 +92,12 @@ class Store:
         touched = chunks.join(planned.where("change IN ('added', 'changed')").select(*KEYS), KEYS, "left_semi").dropDuplicates([*KEYS, "node_id"])
         vector = embedder if isinstance(embedder, Column) else F.pandas_udf(lambda t: embedder(t), "array<float>")("content") if embedder else F.lit(None).cast("array<float>")
         write(touched.select(*KEYS, "node_id", vector.alias("embedding")), "vectors")
-        about = [(F.max(c) if c in chunks.columns else F.lit(None)).cast(t).alias(c) for c, t in (("version", "long"), ("parent_id", "string"))]
+        kinds = {"version": "long", "parent_id": "string"}
         run = F.when(F.col("change") == "unchanged", F.col("nodes_run")).otherwise(F.lit(n))
         kept = planned.where("change <> 'removed'").select(*KEYS, F.col("new_ids").alias("node_ids"), run.alias("nodes_run"))
-        write(kept.join(chunks.groupBy(*KEYS).agg(*about), KEYS), "state")
+        if about := [F.max(c).cast(t).alias(c) for c, t in kinds.items() if c in chunks.columns]:  # else the pages needn't be met again
+            kept = kept.join(chunks.groupBy(*KEYS).agg(*about), KEYS)
+        write(kept.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in chunks.columns}), "state")
         return self.state().groupBy("collection").agg(F.sum(F.size("node_ids")).alias("n"))
 
     def _index(self, run: int, chunks: DataFrame, planned: DataFrame, full: bool, indexed: tuple[str, ...] | bool) -> None:

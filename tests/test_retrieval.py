@@ -339,3 +339,14 @@ def test_manifest_files(spark, tmp_path):
     got = registry.load(spark, [str(tmp_path / f"{i}.json") for i in (1, 2, 3, 4)]).orderBy("position").collect()
     assert [(r["repoKey"], r["error"]) for r in got] == [("a", None), ("b", None), (None, "not valid JSON, or not of the contract's types"), (None, "not valid JSON, or not of the contract's types")]
     assert got[0]["repoRoot"] == str(tmp_path.parent) and got[1]["persistDir"] == str(tmp_path / "idx") and got[1]["repoRoot"] == str(tmp_path)
+
+
+def test_ingests_meet_their_pages_no_more_often_than_they_must(spark, tmp_path, monkeypatch):
+    from lodestone.plans import ingest
+
+    read, written, make = [], [], ingest.entity_chunks
+    monkeypatch.setattr(ingest, "entity_chunks", lambda *a: read.append(1) or make(*a))
+    monkeypatch.setattr(ingest.Store, "sync", lambda self, chunks, *a: written.append(chunks.inputFiles()))
+    monkeypatch.setattr(ingest.Store, "changes", lambda self: spark.createDataFrame([], "collection string, page_id string, change string"))
+    ingest.ingest_sync(spark, "/root/testdata/sf0.001")
+    assert len(read) == 1 and sorted(written[0]) == sorted(written[1]) and all("/chunks-" in f for f in written[0])  # both read what was written once
