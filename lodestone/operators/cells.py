@@ -93,10 +93,17 @@ def build(vectors: DataFrame, model: Model, key: str = "vec_id", column: str = "
     return rows.withColumn("piece", F.pmod(F.xxhash64("key", "embedding"), F.lit(pieces)).cast("int"))
 
 
+def _asked(questions: DataFrame, by: str) -> DataFrame:
+    """(by, vector), each question once. Single-precision vectors stay so: they are dealt to each cell that is read, and sorted there."""
+    kind = "array<float>" if questions.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
+    return questions.where(F.col("vector").isNotNull()).select(F.col(by).alias("by"), F.col("vector").cast(kind).alias("vector"))
+
+
 def probes(questions: DataFrame, model: Model, by: str) -> DataFrame:
     """(by, vector, cell): the cells that each question reads."""
-    kind = questions.schema[by].dataType
-    schema = pa.schema([("by", to_arrow_type(kind)), ("vector", pa.list_(pa.float64())), ("cell", pa.int32())])
+    asked = _asked(questions, by)
+    kind, numbers = asked.schema["by"].dataType, asked.schema["vector"].dataType
+    schema = pa.schema([("by", to_arrow_type(kind)), ("vector", to_arrow_type(numbers)), ("cell", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +113,7 @@ def probes(questions: DataFrame, model: Model, by: str) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column("by").take(at), batch.column("vector").take(at), pa.array(cells.ravel().astype(np.int32))], schema=schema)
 
-    asked = questions.where(F.col("vector").isNotNull()).select(F.col(by).alias("by"), F.col("vector").cast("array<double>").alias("vector"))
-    return asked.mapInArrow(run, f"by {kind.simpleString()}, vector array<double>, cell int")
+    return asked.mapInArrow(run, f"by {kind.simpleString()}, vector {numbers.simpleString()}, cell int")
 
 
 def topk(index: DataFrame, model: Model, questions: DataFrame, k: int, by: str = "item_id", key: str = "vec_id") -> DataFrame:
@@ -146,7 +152,7 @@ def topk(index: DataFrame, model: Model, questions: DataFrame, k: int, by: str =
     ddl = f"by {by_type.simpleString()}, cell int, key {key_type.simpleString()}, about double"
     near = some.select("cell", "piece", "key", "code").groupBy("cell", "piece").cogroup(dealt.groupBy("cell", "piece")).applyInArrow(guess, ddl)
     near = near.withColumn("_r", F.row_number().over(W.partitionBy("by").orderBy(F.col("about").desc(), "key"))).where(F.col("_r") <= spare)
-    exact = near.select("by", "cell", "key").join(some.select("cell", "key", "embedding"), ["cell", "key"]).join(asked.select("by", "vector", "cell"), ["by", "cell"])
-    product = F.aggregate(F.zip_with("embedding", "vector", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    exact = near.select("by", "cell", "key").join(some.select("cell", "key", "embedding"), ["cell", "key"]).join(_asked(questions, by), "by")
+    product = F.aggregate(F.zip_with("embedding", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     best = exact.select(F.col("by").alias(by), F.col("key").alias(key), F.round(product, 6).alias("score"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.col("score").desc(), key))).where(F.col("rank") <= k)

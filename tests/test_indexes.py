@@ -233,3 +233,12 @@ def test_long_texts_make_more_shards(spark, monkeypatch):
     assert 3 <= len(found) <= 6
     assert sum(r.n for r in found.values()) == 41 and sum(r.total for r in found.values()) == 40 * 151
     assert sorted(k for r in found.values() for k in r["keys"]) == [*range(40), 99]
+
+
+def test_questions_are_dealt_in_their_own_precision(spark):
+    model = cells.Model(np.eye(3), np.ones(3), 2)
+    asked = spark.createDataFrame([(1, [1.0, 0.5, 0.0]), (2, None)], "item_id long, vector array<double>")
+    for kind in ("float", "double"):
+        dealt = cells.probes(asked.withColumn("vector", F.col("vector").cast(f"array<{kind}>")), model, "item_id")
+        assert dealt.schema["vector"].dataType.simpleString() == f"array<{kind}>"
+        assert sorted((r.by, r.cell, *r.vector) for r in dealt.collect()) == [(1, 0, 1.0, 0.5, 0.0), (1, 1, 1.0, 0.5, 0.0)]
