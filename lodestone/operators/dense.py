@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.operators.best import groups, nearest, question_blocks, slices
+from lodestone.operators.best import Best, groups, nearest, passed_on, question_blocks, slices
 from lodestone.operators.lexical import ranked
 from lodestone.sources import shared
 
 
 def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id", key: str = "vec_id", within: str | None = None) -> DataFrame:
     """(by, key, score), and `within` if given: at least the k best of all vectors (key, embedding) for each stated question (by,
-    vector), of each value of `within` if given, and no more than k for each block of vectors; lexical.ranked() takes the k best
+    vector), of each value of `within` if given, and about k for each task; lexical.ranked() takes the k best
     of these. The score is the scalar product, which is the
     cosine of unit vectors. Null vectors are passed over; all vectors have one length."""
     by_type, key_type = (df.schema[c].dataType for df, c in ((questions, by), (vectors, key)))
@@ -33,13 +34,16 @@ def topk(vectors: DataFrame, questions: DataFrame, k: int, by: str = "item_id",
         asked = np.array([r["vector"] for r in block], float)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(names), k)
             for batch in batches:
                 for some in slices(batch):
-                    own = some.column("embedding")
+                    own, keys = some.column("embedding"), np.asarray(some.column(key))
+                    values, parts = zip(*groups(some, within), strict=True)
                     matrix = np.asarray(own.flatten(), float).reshape(len(own), -1)
-                    for row, question, score in nearest(matrix, asked, np.asarray(some.column(key)), list(groups(some, within)), k):
-                        columns = [pa.array([names[q] for q in question.tolist()], schema.field(0).type), *(some.column(c).take(pa.array(row)) for c in names_in), pa.array(score)]
-                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    for value, (row, question, score) in zip(cycle(values), nearest(matrix, asked, keys, list(parts), k), strict=False):
+                        best.add(value, question, keys[row], score)
+                    yield from passed_on(best, names, schema)
+            yield from passed_on(best, names, schema, end=True)
 
         return vectors.select(*names_in, "embedding").where("embedding IS NOT NULL").mapInArrow(run, ddl)
 
