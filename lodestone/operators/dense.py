@@ -8,6 +8,7 @@ from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,11 +56,35 @@ def topk_of_equal(vectors: DataFrame, questions: DataFrame, k: int, by: str = "i
     """The k best as topk() and ranked() give them, without rank, where many vectors are equal, as those of copies and of short texts are: of equal
     vectors only those with the k lowest keys can be among the k best, and equal questions have one list."""
     places = [within] * bool(within)
-    first = W.partitionBy(*places, "embedding").orderBy(key)
-    some = vectors.select(key, *places, "embedding").where("embedding IS NOT NULL").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
-    some = shared.keep(some.drop("_r"), "alike")
+    first = W.partitionBy(*places, "_bytes").orderBy(key)
+    some = _first_of_equal(vectors.select(key, *places, "embedding").where("embedding IS NOT NULL"), k, key, places)
+    some = some.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    some = shared.keep(some.drop("_r", "_bytes"), "alike")
     asked = questions.select(by, "vector").where("vector IS NOT NULL")
     distinct = shared.keep(asked.groupBy("vector").agg(F.min(by).alias("_one")), "asked")
     found = topk(some, distinct, k, "_one", key, within)
     found = shared.keep(ranked(found, k, ["_one", *places], key).drop("rank"), "lists")
     return asked.join(distinct, "vector").join(found, "_one").select(by, key, *places, "score")
+
+
+def _first_of_equal(vectors: DataFrame, k: int, key: str, places: list[str]) -> DataFrame:
+    """The rows with the k lowest keys of each vector and place in each batch, with the vector's bytes: Spark would tell equal arrays of numbers apart
+    number by number in each comparison of a sort."""
+    names = vectors.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("embedding")
+            width = np.asarray(own.value_lengths(), np.int64)
+            flat = np.asarray(own.flatten()) + 0  # -0 is 0
+            ends = flat.itemsize * np.concatenate(([0], np.cumsum(width)))
+            told = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+            code = pa.table({c: batch.column(c).dictionary_encode(null_encoding="encode").indices for c in places} | {"_v": told.dictionary_encode().indices, "_k": batch.column(key)})
+            order = np.asarray(pc.sort_indices(code, [(c, "ascending") for c in code.column_names]))
+            of = [np.asarray(code.column(c))[order] for c in [*places, "_v"]]
+            new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in of], axis=0))) if len(order) else np.zeros(0, bool)
+            at = np.arange(len(order))
+            kept = np.sort(order[at - np.maximum.accumulate(np.where(new, at, 0)) < k])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept)).columns, told.take(pa.array(kept))], names=[*names, "_bytes"])
+
+    return vectors.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema) + ", _bytes binary")

@@ -1,10 +1,12 @@
-"""Vectors of texts: by a model that each Python worker loads once, or by a stand-in made of columns."""
+"""Vectors of texts: by a model that each Python worker loads once, or by a stand-in that counts letters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +16,20 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def letters(text: Column) -> Column:
     """A deterministic stand-in for a model: how often a text has each letter, in any case, as a unit vector; null for a text without any."""
-    low = F.lower(text)
-    counts = F.transform(F.array(*map(F.lit, LETTERS)), lambda c: (F.char_length(low) - F.char_length(F.replace(low, c, F.lit("")))).cast("double"))
-    return F.get(F.transform(F.array(counts), lambda n: unit(n)), F.lit(0))
-
-
-def unit(vector: Column) -> Column:
-    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(vector, lambda x: (x / size).cast("float")))
+    return F.arrow_udf(_counted, "array<float>")(F.lower(text))
+
+
+def _counted(text: pa.Array) -> pa.Array:
+    """Unit vectors of lower-case texts. A byte of a letter is that letter in UTF-8, so a batch's bytes are counted at once."""
+    flat = text.cast(pa.large_binary())
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    letter = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] - np.uint8(ord(LETTERS[0]))
+    row, known = np.repeat(np.arange(len(flat)), np.diff(ends)), letter < len(LETTERS)
+    counts = np.bincount(row[known] * len(LETTERS) + letter[known], minlength=len(flat) * len(LETTERS)).reshape(len(flat), len(LETTERS)).astype(float)
+    size = np.sqrt((counts**2).sum(axis=1))
+    some = size > 0
+    vectors = (counts[some] / size[some, None]).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * len(LETTERS)))), pa.int32()), pa.array(vectors.ravel()), mask=pa.array(~some))
 
 
 def by_model(load: Callable[[], Callable[[list[str]], list]], text: Column, prefix: str = "", batch: int = 64) -> Column:

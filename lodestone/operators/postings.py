@@ -6,6 +6,9 @@ occurrences and the least length. So a frequent term is many rows, one for each
 
 A shard is ranked in one task. The bounds of a question's terms are added up by block, blocks are read from the highest bound down, and
 reading stops where no block left can reach the k-th score (block-max skipping); what is skipped can't be among the k best.
+
+Where many questions have the same common terms, each set of these is ranked once instead of each question, and a question's own, rare terms
+lead to the few documents that have them, which get their whole scores: see topk().
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import analysed
-from lodestone.operators.lexical import K1, B
+from lodestone.operators.lexical import K1, RARE, B, ranked
+from lodestone.sources import shared
 
 #: Documents of a shard, about, and of a block; questions that meet a shard at a time; terms that are listed in a filter of the scan.
 SHARD, BLOCK, QUESTIONS, LISTED = 1 << 14, 128, 4096, 2000
@@ -97,9 +101,10 @@ def best(terms: list[tuple[Term, float]], length: np.ndarray, mean: float, k: in
         for t, idf in terms:
             at = np.searchsorted(t.block, some)
             at = at[(at < len(t.block)) & (t.block[np.minimum(at, len(t.block) - 1)] == some)]
-            for a, b in zip(t.start[at].tolist(), t.end[at].tolist(), strict=True):
-                d = t.docs[a:b]
-                scores[d] += idf * _weight(t.tfs[a:b], length[d], mean)
+            size = t.end[at] - t.start[at]
+            own = np.repeat(t.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())  # the places of all these blocks' documents
+            d = t.docs[own]
+            scores[d] += idf * _weight(t.tfs[own], length[d], mean)
         new = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         new = new[new < len(length)]
         new = new[scores[new] > 0]
@@ -111,6 +116,20 @@ def best(terms: list[tuple[Term, float]], length: np.ndarray, mean: float, k: in
     return found, np.round(scores[found], 6), read
 
 
+def whole_scores(terms: list[tuple[Term, float]], rare: list[Term], length: np.ndarray, mean: float, k: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and scores, by all of the terms, of the k best of a shard's documents that have one of the rare terms, in the order of best()."""
+    docs = np.unique(np.concatenate([t.docs for t in rare]))
+    docs = docs if alive is None else docs[alive[docs]]
+    scores = np.zeros(len(docs))
+    for t, idf in terms:
+        at = np.minimum(np.searchsorted(t.docs, docs), len(t.docs) - 1)
+        has = t.docs[at] == docs
+        scores[has] += idf * _weight(t.tfs[at[has]], length[docs[has]], mean)
+    scores = np.round(scores, 6)
+    order = np.lexsort((docs, -scores))[:k]
+    return docs[order], scores[order]
+
+
 def asked_terms(questions: DataFrame, by: str, text: str, language: str | None = None) -> DataFrame:
     return questions.select(F.col(by).alias("by"), F.explode(F.array_distinct(analysed(F.col(text), language))).alias("term"))
 
@@ -131,35 +150,51 @@ def only(index: DataFrame, terms: DataFrame, bucket=None) -> DataFrame:
 
 
 def topk(rows: DataFrame, shards: DataFrame, counts: DataFrame, asked: DataFrame, k: int, by: str, key: str, part: str | None = None, dead: DataFrame | None = None, score_step: int = 16, timed: bool = False) -> DataFrame:
-    """(by, key, score), and the part's name if asked for: the k best documents of each shard for each question, which hold the k best of all.
-    timed: also seconds, the time that the question took in the shard, on each of its rows.
+    """(by, key, score), and the part's name if asked for: at least the k best documents of each part for each question, and no more than k of a shard, or
+    of its part by common terms and of a shard by rare ones. timed: also seconds, the time that the question took in the shard, on each of its rows.
 
     rows: of the asked terms (part, run, shard, term, n, docs, tfs, blocks); shards: their shards (part, run, shard, tfs, keys); counts: how many
     documents of a part have each term, with the part's own number and total length under ALL (part, term, n, total); asked: (by, term);
-    dead: documents that don't count any more (part, run, shard, doc)."""
+    dead: documents that don't count any more (part, run, shard, doc).
+
+    Where there are half as many sets of common terms, which more than RARE documents have, as questions, a set is ranked in the shards once for all of its
+    questions. The documents with a question's rare terms are found by these, and get their whole scores. The set's list may name one of them too, by
+    less than its score: the higher one counts. What such a document is listed before, its whole score is before too, so none of the k best is missing."""
     on = ["part", "run", "shard"]
     own = counts.where(F.col("term") == ALL).select("part", F.col("n").alias("_n"), (F.col("total") / F.col("n")).alias("mean"))
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = counts.where((F.col("term") != ALL) & (F.col("n") > 0)).select("part", "term", F.col("n").alias("df")).join(own, "part").select("part", "term", idf.alias("idf"), "mean")
-    n_blocks = max(1, -(-asked.select("by").distinct().count() // QUESTIONS))
-    place = F.pmod(F.xxhash64("by"), F.lit(n_blocks)).cast("int")
-    renamed = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  (columns of their own, where both sides come from one table)
-    ask = asked.join(renamed(rows.select(*on, "term")), "term").join(weights, ["part", "term"]).select(*on, place.alias("q"), "by", "term", "idf", "mean")
+    weights = counts.where((F.col("term") != ALL) & (F.col("n") > 0)).select("part", "term", F.col("n").alias("df")).join(own, "part").select("part", "term", idf.alias("idf"), "mean", (F.col("df") <= RARE).alias("rare"))
+    told = shared.keep(asked.join(weights, "term").select("part", "by", "term", "idf", "mean", "rare"), "told")
+    places = rows.select(*on, "term")
+    often = told.where("NOT rare").groupBy("part", "by").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("set"))  # terms hold no spaces
+    sets = often.groupBy("part", "set").agg(F.min("by").alias("one"))
+    alike = not timed and 2 * sets.count() <= often.count()
+    if alike:
+        often = shared.keep(often.join(sets, ["part", "set"]).select("part", "by", "one"), "sets")
+        listed = told.where("NOT rare").join(often.where(F.col("by") == F.col("one")).select("part", "by"), ["part", "by"], "left_semi")
+        meets = told.where("rare").join(places, ["part", "term"]).select(*on, "by").distinct()
+        ask = listed.join(places, ["part", "term"]).withColumn("whole", F.lit(False)).unionByName(meets.join(told, ["part", "by"]).withColumn("whole", F.lit(True)))
+    else:
+        ask = told.join(places, ["part", "term"]).withColumn("whole", F.lit(False))
+    ask = shared.keep(ask.select(*on, "by", "term", "idf", "mean", "rare", "whole"), "ask")
+    met = ask.select(*on, "by", "whole").distinct().groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    n_blocks = max(1, -(-met // QUESTIONS))
+    ask = ask.withColumn("q", F.pmod(F.xxhash64("by"), F.lit(n_blocks)).cast("int"))
     payload = rows.select(*on, "term", "docs", "tfs", "blocks").withColumn("keys", F.lit(None).cast(shards.schema["keys"].dataType))
     heads = shards.select(*on, F.lit(ALL).alias("term"), F.lit(None).cast("binary").alias("docs"), "tfs", F.lit(None).cast("binary").alias("blocks"), "keys")
     if dead is not None:
         gone = dead.groupBy(*on).agg(F.array_sort(F.collect_set("doc")).alias("_dead"))  # of one shard
         heads = heads.drop("docs").join(gone, on, "left").withColumn("docs", F.encode(F.array_join("_dead", ","), "UTF-8")).select(*payload.columns)
     payload = payload.unionByName(heads)
-    payload, ask = renamed(payload), renamed(ask)
     payload = payload.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks > 1 else payload.withColumn("q", F.lit(0))
     by_type, key_type = asked.schema["by"].dataType, shards.schema["keys"].dataType.elementType
-    schema = pa.schema([("by", to_arrow_type(by_type)), ("key", to_arrow_type(key_type)), ("part", pa.string()), ("score", pa.float64()), ("seconds", pa.float64())])
+    schema = pa.schema([("by", to_arrow_type(by_type)), ("key", to_arrow_type(key_type)), ("part", pa.string()), ("run", pa.int32()), ("shard", pa.int32()), ("doc", pa.int32()), ("score", pa.float64()), ("whole", pa.bool_()), ("seconds", pa.float64())])
 
     def rank(table: pa.Table, questions: pa.Table) -> pa.Table:
         if not questions.num_rows or not table.num_rows:
             return schema.empty_table()
-        terms, keys, length, alive, part = {}, None, None, None, table.column("part")[0].as_py()
+        terms, keys, length, alive = {}, None, None, None
+        part, run, shard = (table.column(c)[0].as_py() for c in on)
         for row in table.select(["term", "docs", "tfs", "blocks"]).to_pylist():
             if row["term"] != ALL:
                 terms[row["term"]] = Term(row["docs"], row["tfs"], row["blocks"])
@@ -171,27 +206,41 @@ def topk(rows: DataFrame, shards: DataFrame, counts: DataFrame, asked: DataFrame
         at = pc.index(table.column("term"), ALL).as_py()
         keys = table.column("keys").combine_chunks()
         keys = (keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys)[at].values
-        questions = questions.sort_by([("by", "ascending"), ("term", "ascending")])
-        who, mean = questions.column("by").to_pylist(), questions.column("mean")[0].as_py()
-        wanted = list(zip(questions.column("term").to_pylist(), questions.column("idf").to_pylist(), strict=True))
-        out_by, out_doc, out_score, out_time, a = [], [], [], [], 0
+        questions = questions.sort_by([("whole", "ascending"), ("by", "ascending"), ("term", "ascending")])
+        who, mean = list(zip(questions.column("whole").to_pylist(), questions.column("by").to_pylist(), strict=True)), questions.column("mean")[0].as_py()
+        # a question's rare terms lead to shards that needn't have its other ones
+        wanted = [(terms.get(t), w, rare) for t, w, rare in zip(*(questions.column(c).to_pylist() for c in ("term", "idf", "rare")), strict=True)]
+        out_by, out_whole, out_doc, out_score, out_time, a = [], [], [], [], [], 0
         while a < len(who):
             b = a
             while b < len(who) and who[b] == who[a]:
                 b += 1
+            whole, name = who[a]
             began = time.perf_counter()
-            doc, score, _ = best([(terms[t], w) for t, w in wanted[a:b]], length, mean, k, alive, score_step)
+            held = [(t, w) for t, w, _ in wanted[a:b] if t is not None]
+            if whole:
+                doc, score = whole_scores(held, [t for t, _, rare in wanted[a:b] if rare and t is not None], length, mean, k, alive)
+            else:
+                doc, score, _ = best(held, length, mean, k, alive, score_step)
             out_time += [time.perf_counter() - began] * len(doc)
-            out_by += [who[a]] * len(doc)
+            out_by += [name] * len(doc)
+            out_whole += [whole] * len(doc)
             out_doc.append(doc)
             out_score.append(score)
             a = b
         doc = np.concatenate(out_doc)
-        return pa.Table.from_arrays([pa.array(out_by, schema.field(0).type), keys.take(pa.array(doc)), pa.array([part] * len(doc), pa.string()), pa.array(np.concatenate(out_score)), pa.array(out_time, pa.float64())], schema=schema)
+        columns = [pa.array(out_by, schema.field(0).type), keys.take(pa.array(doc)), *(pa.array([x] * len(doc), schema.field(c).type) for c, x in (("part", part), ("run", run), ("shard", shard)))]
+        columns += [pa.array(doc, pa.int32()), pa.array(np.concatenate(out_score)), pa.array(out_whole, pa.bool_()), pa.array(out_time, pa.float64())]
+        return pa.Table.from_arrays(columns, schema=schema)
 
     group = [*on, "q"]
-    ddl = f"by {by_type.simpleString()}, key {key_type.simpleString()}, part string, score double, seconds double"
+    ddl = f"by {by_type.simpleString()}, key {key_type.simpleString()}, part string, run int, shard int, doc int, score double, whole boolean, seconds double"
     found = payload.groupBy(*group).cogroup(ask.groupBy(*group)).applyInArrow(rank, ddl)
+    if alike:
+        found = shared.keep(found.drop("seconds"), "found")
+        lists = ranked(found.where("NOT whole"), k, ["part", "by"], "key").withColumnRenamed("by", "one").join(often, ["part", "one"])
+        one = ["by", "key", "part", "run", "shard", "doc"]  # keys may be those of several documents
+        found = lists.select(*one, "score").unionByName(found.where("whole").select(*one, "score")).groupBy(*one).agg(F.max("score").alias("score"))
     return found.select(F.col("by").alias(by), F.col("key").alias(key), *([F.col("part").alias(part)] if part else []), "score", *(["seconds"] if timed else []))
 
 

@@ -102,7 +102,7 @@ def hits(store: Store, questions: DataFrame, config: Retrieval, by: str = "item_
 def stored_query(spark: SparkSession, sf: str) -> DataFrame:
     """Two ingests into a store, then each supplier's question to it: the technical collection is indexed, the functional one is not. Vectors
     are those of the stand-in, for chunks and questions."""
-    store, now = Store(spark, shared.folder(spark, "store")), entity_chunks(spark, sf)
+    store, now = Store(spark, shared.folder(spark, "store")), shared.keep(entity_chunks(spark, sf), "chunks")  # both syncs read them
     vector = embed.letters(F.col("content"))
     store.sync(_earlier(now), embedder=vector, indexed=("technical",))
     store.sync(now, embedder=vector, indexed=("technical",))

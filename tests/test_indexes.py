@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Retrieval
 from lodestone.functions import text as tx
-from lodestone.operators import cells, embed, lexical, postings
+from lodestone.operators import cells, dense, embed, lexical, postings
 from lodestone.plans import indexed
 from lodestone.sources.store import Store
 from lodestone.sources.textindex import TextIndex
@@ -98,6 +98,40 @@ def test_runs_are_as_a_rebuild(spark, asked, tmp_path, monkeypatch):
     assert index.runs() == [5] and ranked(index.topk(asked, 6), 6, True) == brute(before[:20], QUESTIONS, 6, True)
 
 
+def test_questions_with_the_same_common_terms_are_ranked_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings.build, "__defaults__", (None, None, 50))
+    monkeypatch.setattr(postings, "RARE", 8)
+    monkeypatch.setattr(postings, "QUESTIONS", 7)
+    rnd, k = random.Random(5), 4
+    own = lambda i, n: " ".join(f"own{rnd.randrange(n)}" for _ in range(i % 4))
+    rows = [(key, f"{text} {own(key, 90)}", part) for key, text, part in corpus(400, 3)]
+    before = [(key, f"{text} was {own(key, 90)}" if key % 5 == 0 else text, part) for key, text, part in rows if key % 7] + [(1000 + i, f"w0 own{i}", "a") for i in range(90)]
+    questions = [(i, f"w{i % 3} w1 own{i} own{i + 1} absent{i}") for i in range(90)] + [(90, "absent"), (91, "w0 w1"), (92, "own3")]
+    frame = lambda some: spark.createDataFrame(some, "key long, text string, part string")
+    index = TextIndex(spark, str(tmp_path / "i"), "key", "text", "part", buckets=3)
+    index.update(frame(before))
+    index.update(frame([r for r in rows if r not in before]), frame([r for r in before if r not in rows]))
+    found = index.topk(spark.createDataFrame(questions, "item_id long, text string"), k)
+    assert ranked(found, k, True) == brute(rows, questions, k, True)
+    assert found.count() <= len(questions) * 2 * (k + 2 * postings.RARE)  # and not k of each of the shards, of which there are some twenty
+
+
+def test_vectors_of_letters_and_equal_vectors(spark):
+    texts = ["", None, "123 é", "Aa\u212ab", "zZy", "\u0130i", "b" * 300]
+    letters = {r.t: r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", embed.letters(F.col("t")).alias("v")).collect()}
+    want = lambda n, size: np.float32(n / math.sqrt(size))
+    assert letters[""] is None and letters[None] is None and letters["123 é"] is None
+    assert (letters["Aa\u212ab"][0], letters["Aa\u212ab"][1], letters["Aa\u212ab"][10]) == (want(2, 6), want(1, 6), want(1, 6)) and letters["zZy"][25] == want(2, 5)
+    assert letters["\u0130i"][8] == letters["b" * 300][1] == 1.0
+    rows = [(f"k{i:03}", "a" if i % 3 else None, [[1.0, 0.0], [1.0, -0.0], [0.6, 0.8]][i % 5 % 3]) for i in range(99, -1, -1)]
+    vectors = spark.createDataFrame([*rows, ("none", "a", None)], "key string, part string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id long, vector array<float>")
+    got = dense.topk_of_equal(vectors, asked, 5, "item_id", "key", within="part").collect()
+    plain = lexical.ranked(dense.topk(vectors, asked, 5, "item_id", "key", within="part"), 5, ["item_id", "part"], "key").collect()
+    assert sorted((r.item_id, str(r.part), r.key, r.score) for r in got) == sorted((r.item_id, str(r.part), r.key, r.score) for r in plain) and len(got) == 30
+    assert dense._first_of_equal(vectors.where("embedding IS NOT NULL").coalesce(1), 5, "key", ["part"]).count() == 2 * 2 * 5
+
+
 def test_an_unfinished_run_does_not_count(spark, asked, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "key long, text string, part string")
     last = {"run": 1}
