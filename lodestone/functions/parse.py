@@ -20,7 +20,7 @@ _SECTION, _NEXT, _NAME = r"^##\s+Controllers\s*$", r"^##\s+\S", r"^###\s+(?=.)"
 def metadata(markdown: Column) -> Column:
     """The metadata line in the first three lines as map<string, array<string>>; null without one. Of equal keys the last
     wins, and a segment without back-quoted values is left out."""
-    line = F.get(F.filter(F.slice(F.split(markdown, "\n"), 1, 3), lambda x: x.contains("**Metadata**")), F.lit(0))
+    line = F.get(F.filter(F.slice(F.split(markdown, "\n", 4), 1, 3), lambda x: x.contains("**Metadata**")), F.lit(0))
     rest = F.regexp_replace(F.regexp_replace(line, r"^.*?\*\*Metadata\*\*", ""), _LEAD, "")
     segments = F.split(F.replace(rest, F.lit("\\_"), F.lit("_")), r"\s*·\s*")
     pairs = F.transform(segments, lambda s: F.struct(F.regexp_extract(s, _KEY, 1).alias("k"), F.regexp_extract_all(s, F.lit(_VALUE), F.lit(1)).alias("v")))

@@ -24,7 +24,10 @@ def crawl(pages: DataFrame, roots: list[str], excluded_titles: list[str] | None
     n = far.count()
     done = far.where("done")
     while far.where(f"NOT done AND depth <= {n}").limit(1).count():  # further up than there are pages: a circle
+        # the pages that others know, which may be few and then are met without a shuffle, where most pages know the same one
+        ups = shared.keep(far.where("NOT done").select("up").distinct(), "ups")
         known = far.select(F.col("page_id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        known = shared.keep(known.join(ups, "up", "left_semi"), "known")
         moved = far.where("NOT done").join(known, "up").select("page_id", "title", "parent_id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
         far = shared.keep(moved.unionByName(far.where("done")), "crawl")
         done = far.where("done")

@@ -16,10 +16,10 @@ def _field(name: str, *values) -> F.Column:
     return F.concat(F.lit(f"{name}: "), F.concat_ws(" ", *codes) if len(codes) > 1 else codes[0])
 
 
-def _page(page_id, parent: str, title, *fields, body=None, intro: str = "h1") -> list:
+def _page(page_id, parent: str | F.Column, title, *fields, body=None, intro: str = "h1") -> list:
     line = F.concat(F.lit("<p><strong>Metadata</strong> &mdash; "), F.concat_ws(" &middot; ", *fields), F.lit("</p>"))
     head = F.concat(F.lit(f"<{intro}>"), title, F.lit(f"</{intro}>\n"))
-    return [page_id.alias("page_id"), F.lit(parent).alias("parent_id"), title.alias("title"), F.concat(head, line, body if body is not None else F.lit("")).alias("html")]
+    return [page_id.alias("page_id"), (F.lit(parent) if isinstance(parent, str) else parent).alias("parent_id"), title.alias("title"), F.concat(head, line, body if body is not None else F.lit("")).alias("html")]
 
 
 def _space(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,8 +40,7 @@ def _space(spark: SparkSession, sf: str) -> DataFrame:
     title = F.when(status == "O", F.concat(F.lit("Order "), s("o_orderkey"))).otherwise(route)
     body = F.concat(F.lit("\n<h2>Handled in</h2><ul><li><code>File"), (F.col("o_custkey") % 100).cast("string"), F.lit(".cs:"), (F.col("o_orderkey") % 500 + 1).cast("string"), F.lit("</code></li>\n<li>see <a href=\"/orders\">all_orders</a>"), F.lit("</li></ul>"))
     where = F.when(F.col("o_orderpriority") == "5-LOW", "artifacts").otherwise("repos")
-    endpoints = o.select(*_page(F.concat(F.lit("order-"), s("o_orderkey")), "", title, F.when(status == "P", _field("docType", F.lit("endpoint"))), order_id, *common, body=body)).drop("parent_id")
-    endpoints = endpoints.join(o.select(F.concat(F.lit("order-"), s("o_orderkey")).alias("page_id"), where.alias("parent_id")), "page_id")
+    endpoints = o.select(*_page(F.concat(F.lit("order-"), s("o_orderkey")), where, title, F.when(status == "P", _field("docType", F.lit("endpoint"))), order_id, *common, body=body))
     p = t("part").withColumn("keyed", F.col("p_size") > 25)
     name = F.when(F.col("keyed"), F.col("p_name")).otherwise(F.concat("p_name", F.lit(" [mongo] ")))
     fields = [_field("store", F.col("p_brand")), _field("type", F.lit("mongo")), F.when(F.col("keyed"), _field("collection", s("p_partkey")))]

@@ -17,13 +17,15 @@ FIELDS = ["doc_type", "collection", "page_id", "parent_id", "title", "content",
 def typed(pages: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pages (page_id, parent_id, title) that have a body (page_id, title, html), a metadata line and a type, with markdown, meta and
     doc_type. A body's title stands before the page's; a parent is looked up among the pages themselves."""
-    parents = pages.select(F.col("page_id").alias("parent_id"), F.col("title").alias("parent_title"))
-    # a few files of bodies would keep a few cores busy
-    body = bodies.repartition("page_id").select("page_id", F.nullif("title", F.lit("")).alias("body_title"), markdown.to_markdown(F.coalesce("html", F.lit(""))).alias("markdown"))
-    # as the only element of an array, a line is parsed once, before the rules that read it
-    body = body.select("*", F.explode(F.array(parse.metadata(F.col("markdown")))).alias("meta")).where("meta IS NOT NULL")
-    # parents first: most pages may have one parent, so no body goes by it
+    # most pages may have one parent, so what they are met by is small wherever parents are few: Spark finds out when it has it
+    above = pages.select(F.col("parent_id").alias("page_id")).distinct()
+    parents = pages.join(above, "page_id", "left_semi").select(F.col("page_id").alias("parent_id"), F.col("title").alias("parent_title"))
+    # a few files of bodies would keep a few cores busy; a page that wasn't found isn't converted
+    body = bodies.select("page_id", F.nullif("title", F.lit("")).alias("body_title"), F.coalesce("html", F.lit("")).alias("html")).repartition("page_id")
     read = pages.select("page_id", "parent_id", "title").join(parents, "parent_id", "left").join(body, "page_id")
+    read = read.withColumn("markdown", markdown.to_markdown(F.col("html"))).drop("html")
+    # as the only element of an array, a line is parsed once, before the rules that read it
+    read = read.select("*", F.explode(F.array(parse.metadata(F.col("markdown")))).alias("meta")).where("meta IS NOT NULL")
     read = read.withColumn("doc_type", parse.page_type(F.col("meta"), F.col("title"), F.col("parent_title"))).where("doc_type IS NOT NULL")
     return read.select("page_id", "parent_id", "title", F.coalesce("body_title", "title").alias("heading"), "markdown", "meta", "doc_type")
 

@@ -1,9 +1,11 @@
 """Reading a space of pages: the HTML converter, bodies, types, tags, sections and files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import parse
+from lodestone.functions import markdown, parse
 from lodestone.functions.markdown import convert, to_markdown
 from lodestone.operators import links
 from lodestone.sources import files, pages, space
@@ -39,6 +41,34 @@ def test_deep_and_long_pages():
     assert len(convert("<b>" * 300 + "x")) == 5
 
 
+PIECES = [
+    "plain", "two words", "a_b *c*", " x", "x ", "a  b", "a|b", "a\\b", "it's", '"q"', "&amp;", "a & b", "a < b", "a>b", "/to", "n\n", "\n", "\xa0", "\ue0000_\ue001", "<!-- > x < -->", "<br>", "<hr/>", "<script>x</script>", "<pre>", "</pre>",
+    '<a href="/to">', '<a href="a_b">', '<a href="x>/to<y">', '<a href="/to" title="t">', "</a>", *(f"<{end}{tag}>" for tag in ("p", "b", "em", "code", "h2", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "div") for end in ("", "/")),
+]
+
+
+def test_pages_of_one_form_are_parsed_once():
+    markdown._form.cache_clear()
+    page = lambda i: f"<h1>Order {i}</h1>\n" + meta(endpoint_id=f"ep::a_{i}::{i * i}", repo=f"nation {i}") + f'<ul><li>n_{i}<li><a href="/to/7">/to/{i}</a></ul>'
+    got = [markdown.convert(page(i)) for i in range(300)]
+    assert markdown._form.cache_info().misses == 1
+    assert got == [markdown._parsed(page(i)).result() for i in range(300)] and got[7].endswith("* </to/7>") and "* n\\_8\n* [/to/8](/to/7)" in got[8]
+    rnd = random.Random(7)
+    for _ in range(3000):
+        html = "".join(rnd.choices(PIECES, k=rnd.randint(1, 12)))
+        for some in (html, html.replace("plain", "other_1").replace("two words", "/to")):  # of one form mostly
+            assert markdown.convert(some) == markdown._parsed(some).result(), some
+    long = "<p>word</p>" * 3000
+    assert markdown.convert(long) == "\n\n".join(["word"] * 3000) and markdown.convert("") == ""
+
+
+def test_pages_that_were_not_found_are_not_converted(spark):
+    found = spark.createDataFrame([r[:3] for r in SPACE], "page_id string, parent_id string, title string")
+    bodies = spark.createDataFrame([(p, "", h) for p, _, _, h in SPACE], "page_id string, title string, html string")
+    plan = space.typed(found, bodies)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("EvalPython") < plan.index("Join [page_id")  # what is shown first comes last
+
+
 def test_metadata_survives_the_conversion(spark):
     html = "<h1>GET /x</h1><p><strong>Metadata</strong> &mdash; endpoint_id: <code>ep::r_1::x</code> &middot; db_ids: <code>db::a_b::c</code> <code>db::d::e</code></p>"
     rows = spark.createDataFrame([(html,), (None,)], "h string").select(parse.metadata(to_markdown(F.col("h"))).alias("m"), to_markdown(F.col("h")).alias("t")).collect()
