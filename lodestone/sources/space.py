@@ -14,15 +14,20 @@ REGISTRY = "repo-registry"
 FIELDS = ["doc_type", "collection", "page_id", "parent_id", "title", "content", "repo", "feature", "endpoint_id", "controller_id", "db_ids", "route", "store", "type", "db_collection", "db_id", "consumed_by", "used_by", "metadata"]
 
 
-def typed(pages: DataFrame, bodies: DataFrame) -> DataFrame:
+def parents(pages: DataFrame) -> DataFrame:
+    """(parent_id, parent_title) of the pages that others are below of, written: where they are few, Spark knows, and nearly all pages may have one
+    parent without meeting it in one task."""
+    named = shared.keep(pages.select("parent_id").distinct(), "parent-ids")
+    return shared.keep(pages.select(F.col("page_id").alias("parent_id"), F.col("title").alias("parent_title")).join(named, "parent_id", "left_semi"), "parents")
+
+
+def typed(pages: DataFrame, bodies: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Pages (page_id, parent_id, title) that have a body (page_id, title, html), a metadata line and a type, with markdown, meta and
-    doc_type. A body's title stands before the page's; a parent is looked up among the pages themselves."""
-    # most pages may have one parent, so what they are met by is small wherever parents are few: Spark finds out when it has it
-    above = pages.select(F.col("parent_id").alias("page_id")).distinct()
-    parents = pages.join(above, "page_id", "left_semi").select(F.col("page_id").alias("parent_id"), F.col("title").alias("parent_title"))
+    doc_type. A body's title stands before the page's; a parent is looked up among the pages themselves, or among those of parents()."""
+    above = pages.select(F.col("page_id").alias("parent_id"), F.col("title").alias("parent_title")) if above is None else above
     # a few files of bodies would keep a few cores busy; a page that wasn't found isn't converted
     body = bodies.select("page_id", F.nullif("title", F.lit("")).alias("body_title"), F.coalesce("html", F.lit("")).alias("html")).repartition("page_id")
-    read = pages.select("page_id", "parent_id", "title").join(parents, "parent_id", "left").join(body, "page_id")
+    read = pages.select("page_id", "parent_id", "title").join(above, "parent_id", "left").join(body, "page_id")
     read = read.withColumn("markdown", markdown.to_markdown(F.col("html"))).drop("html")
     # as the only element of an array, a line is parsed once, before the rules that read it
     read = read.select("*", F.explode(F.array(parse.metadata(F.col("markdown")))).alias("meta")).where("meta IS NOT NULL")
@@ -34,7 +39,7 @@ def read(pages: DataFrame, bodies: DataFrame) -> DataFrame:
     """The chunks of all pages, with FIELDS and node_id: one for each page of a type, but for registry pages, which have one for each of
     their controllers' sections, with the endpoints of that repository and controller (used_by, in the order of their ids). Pages of
     types without fields of their own keep their metadata. Pages without a body, a metadata line or a type have none."""
-    every = shared.keep(typed(pages, bodies), "pages")
+    every = shared.keep(typed(pages, bodies, parents(pages)), "pages")
     tags = parse.tags(F.col("meta"), F.col("doc_type"), F.col("title"))
     kept = F.when(~F.col("doc_type").isin(list(parse.TAGS)), F.col("meta")).alias("metadata")
     about = ["doc_type", "page_id", "parent_id", F.col("heading").alias("title"), chunk_text(F.col("heading"), F.col("markdown")).alias("content")]

@@ -67,6 +67,11 @@ def test_pages_that_were_not_found_are_not_converted(spark):
     bodies = spark.createDataFrame([(p, "", h) for p, _, _, h in SPACE], "page_id string, title string, html string")
     plan = space.typed(found, bodies)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("EvalPython") < plan.index("Join [page_id")  # what is shown first comes last
+    above = space.parents(found)
+    assert {r.parent_id for r in above.collect()} == {r[1] for r in SPACE} & {r[0] for r in SPACE}
+    told = space.typed(found, bodies, above)
+    assert "hashpartitioning(parent_id" not in told._jdf.queryExecution().executedPlan().toString()  # nearly all pages have one
+    assert sorted(map(str, told.collect())) == sorted(map(str, space.typed(found, bodies).collect()))
 
 
 def test_metadata_survives_the_conversion(spark):
